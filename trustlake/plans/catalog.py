@@ -1,6 +1,6 @@
 """Collects the query modules; importing this module fills the registry."""
 
-from trustlake.plans import q_record  # noqa: F401
+from trustlake.plans import q_gate, q_record, q_text  # noqa: F401
 from trustlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ epoch microseconds of a timestamp column, the one spelling that differs.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +25,20 @@ class View:
     base: str
     steps: tuple[dict[str, str], ...]
     where: str | None = None
-    keep: tuple[bool, ...] = field(default=())
+    extend: bool = False  # keep the base's columns beside the first step's
 
     def spark(self, spark: SparkSession, sf: str) -> DataFrame:
         df = VIEWS[self.base].spark(spark, sf) if self.base in VIEWS else table(spark, sf, self.base)
         for i, step in enumerate(self.steps):
             exprs = [f"{US.sub(r'unix_micros(cast(\1 as timestamp))', e)} as {n}" for n, e in step.items()]
-            df = df.selectExpr(*(["*"] if i else []), *exprs)
+            df = df.selectExpr(*(["*"] if i or self.extend else []), *exprs)
         return df.where(self.where) if self.where else df
 
     def duck(self) -> str:
         sql = self.base
         for i, step in enumerate(self.steps):
             exprs = ", ".join(f"{US.sub(r'epoch_us(\1)', e)} as {n}" for n, e in step.items())
-            sql = f"select {'*, ' if i else ''}{exprs} from {sql if sql == self.base else f'({sql}) q{i}'}"
+            sql = f"select {'*, ' if i or self.extend else ''}{exprs} from {sql if sql == self.base else f'({sql}) q{i}'}"
         return f"select * from ({sql}) w where {self.where}" if self.where else sql
 
 
@@ -89,7 +89,6 @@ VIEWS["v_signal"] = View(
     "v_decision",
     (
         {
-            "sid": "id",
             "pii_score": "case when id%53=0 then null when id%41=0 then cast(0.9 as double) else cast(0.05 as double) end",
             "injection_score": "case when id%59=0 then null when id%37=0 then cast(0.5 as double) else cast(0.02 as double) end",
             "secret_score": "case when id%61=0 then cast(1.0 as double) else cast(0.0 as double) end",
@@ -99,6 +98,7 @@ VIEWS["v_signal"] = View(
             "user_scope": "cast(2 as int)",
         },
     ),
+    extend=True,
 )
 
 # a judge's answer for three decisions in ten
