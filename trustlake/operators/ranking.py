@@ -210,3 +210,26 @@ def rolling_sum(
         .filter("_own = _block")
         .drop("_own", "_block", "_rank", "_value")
     )
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column]) -> DataFrame:
+    """Per key the values at zero-based sorted positions, exactly.
+
+    A position is an expression over ``n_total``, the key's number of values.
+    Output: one row per key with ``n_total`` and one column per position.
+    """
+    ranked = value_ranks(df.filter(F.col(value).isNotNull()), keys, value)
+    picked = [
+        F.max(F.when(at.between(F.col("before"), F.col("before") + F.col("n") - 1), F.col(value))).alias(name)
+        for name, at in positions.items()
+    ]
+    return ranked.groupBy(*keys).agg(F.max("n_total").alias("n_total"), *picked)
+
+
+def upper_median() -> Column:
+    return F.floor(F.col("n_total") / 2)
+
+
+def nearest_rank(q: float) -> Column:
+    """Position round-half-even(q * (n - 1)), as a percentile without interpolation."""
+    return F.least(F.col("n_total") - 1, F.bround(F.lit(q) * (F.col("n_total") - 1)).cast("bigint"))

@@ -204,7 +204,7 @@ SHAPE_OK = """coalesce(json_valid(raw) and json_type(raw) = 'OBJECT'
   and json_type(raw, '$.p_wrong') in ('DOUBLE', 'UBIGINT', 'BIGINT')
   and json_type(raw, '$.verdict') = 'VARCHAR' and json_type(raw, '$.reasons') = 'ARRAY', false)"""
 DUCK_VIEWS["v_judge_checked"] = f"""
-select turn_id, seq, raw, ok and cast(raw ->> '$.p_wrong' as double) between 0 and 1
+select turn_id, seq, raw, ok and try_cast(raw ->> '$.p_wrong' as double) between 0 and 1
     and raw ->> '$.verdict' in ('correct','questionable','wrong')
     and len(list_filter(json_type(raw, '$.reasons[*]'), lambda t: t <> 'VARCHAR')) = 0 as good
 from (select *, {SHAPE_OK} as ok from (select turn_id, seq, case when json_valid(raw) then raw else '[]' end as raw
