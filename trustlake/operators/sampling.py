@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trustlake.config import BAND_NAMES, INTENT_MIX
 from trustlake.functions.pricing import band_index
 from trustlake.operators.ranking import last_rows
+from trustlake.session import durable
 
 
 def draw_order(key: str) -> Column:
@@ -49,15 +50,18 @@ def round_robin_sample(intents: DataFrame, key: str, total: int, mix=INTENT_MIX)
     """
     target = {name: int(round(total * share)) for name, share in mix}
     sizes = {r["intent"]: r["n"] for r in intents.groupBy("intent").agg(F.count("*").alias("n")).collect()}
+    order = [draw_order(key), F.col(key)]
+    # at most ``total`` orders can be taken already, so twice that many per cell always suffice
     priced = intents.filter(F.col("band").isin(*BAND_NAMES))
+    cells = durable(last_rows(priced, ["intent", "band"], order, 2 * total, [key]).drop("position"))
     picked: DataFrame | None = None
     for name, _ in sorted(mix, key=lambda item: sizes.get(item[0], 0)):
-        free = priced.filter(F.col("intent") == name)
+        free = cells.filter(F.col("intent") == name)
         if picked is not None:
-            free = free.join(F.broadcast(picked.select(key)), key, "left_anti")
-        queue = last_rows(free, ["band"], [draw_order(key), F.col(key)], target[name], [key])
+            free = free.join(F.broadcast(picked.select(key)), key, "left_anti")  # at most ``total`` rows
+        queue = last_rows(free, ["band"], order, target[name], [key])
         turn = queue.orderBy("position", band_index(F.col("band"))).limit(target[name]).drop("position")
-        picked = turn if picked is None else picked.unionByName(turn)
+        picked = durable(turn if picked is None else picked.unionByName(turn))
     return picked
 
 

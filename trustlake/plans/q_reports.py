@@ -1,5 +1,6 @@
 """Queries: corpus validation, governance, sampling and reports."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trustlake.config import BAND_NAMES, FEATURE_NAMES
@@ -154,10 +155,10 @@ def registry(spark, sf):
         F.count(F.when(even, 1)).alias("n_close_call"),
     )
     number = F.substring("version", 6, 9).cast("int")
-    newest = per.agg(F.max(number).alias("_last"))
+    versions = Window.partitionBy(F.lit(0))  # one row per version
     return (
         per.withColumn("_n", number)
-        .join(F.broadcast(newest), F.col("_n") <= F.col("_last"))  # one row
+        .withColumn("_last", F.max("_n").over(versions))
         .select(
             "version",
             (F.col("created_us") + DAY).alias("ready_us"),
