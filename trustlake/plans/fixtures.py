@@ -8,6 +8,7 @@ epoch microseconds of a timestamp column, the one spelling that differs.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,10 @@ class View:
     where: str | None = None
     extend: bool = False  # keep the base's columns beside the first step's
 
-    def spark(self, spark: SparkSession, sf: str) -> DataFrame:
-        df = VIEWS[self.base].spark(spark, sf) if self.base in VIEWS else table(spark, sf, self.base)
+    def spark(self, spark: SparkSession, sf: str, source: Callable[[str], DataFrame] | None = None) -> DataFrame:
+        """The view as a DataFrame; ``source`` replaces how the base table is read (a stream, say)."""
+        read = source or (lambda name: table(spark, sf, name))
+        df = VIEWS[self.base].spark(spark, sf, read) if self.base in VIEWS else read(self.base)
         for i, step in enumerate(self.steps):
             exprs = [f"{US.sub(r'unix_micros(cast(\1 as timestamp))', e)} as {n}" for n, e in step.items()]
             df = df.selectExpr(*(["*"] if i or self.extend else []), *exprs)

@@ -11,14 +11,12 @@ from trustlake.plans.registry import query
 
 HALF = 890_000_000_000_000  # 1998-03-16, in the middle of the decision history
 
-STRICT = "over (partition by action order by ts_us range between unbounded preceding and 1 preceding)"
-
 
 @query("length_z", f"""
 select id, case when n < 30 then null when n*sq - s*s = 0 then 0::double
   else round((length - cast(s as double)/n) / sqrt(cast(n*sq - s*s as double) / (cast(n as double)*n)), 6) end as length_z
-from (select id, length, count(*) {STRICT} as n, coalesce(sum(length) {STRICT}, 0) as s,
-  coalesce(sum(cast(length as hugeint)*length) {STRICT}, 0) as sq from v_length) q
+from (select id, length, count(*) {x.STRICT_BY_ACTION} as n, coalesce(sum(length) {x.STRICT_BY_ACTION}, 0) as s,
+  coalesce(sum(cast(length as hugeint)*length) {x.STRICT_BY_ACTION}, 0) as sq from v_length) q
 """)
 def length_z(spark, sf):
     out = features.length_z(fx.view(spark, sf, "v_length"), "action", "ts_us", "id", "length")
@@ -88,15 +86,16 @@ def feature_vectors(spark, sf):
     )
 
 
-def reports(spark, sf):
-    return fx.view(spark, sf, "v_outcome_event").select(
+def reports(spark, sf, rows=None):
+    rows = fx.view(spark, sf, "v_outcome_event") if rows is None else rows
+    return rows.select(
         "event_id", "decision_id", "reported_us", "processed_us",
         F.col("reported").alias("outcome"), F.col("event_source").alias("source"),
     )
 
 
-def accepted(spark, sf):
-    return outcomes.accept_reports(reports(spark, sf))[0]
+def accepted(spark, sf, rows=None):
+    return outcomes.accept_reports(reports(spark, sf, rows))[0]
 
 
 VALID = "event_source <> 'rumour' and reported in ('clean','wrong')"

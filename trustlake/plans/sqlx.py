@@ -78,3 +78,6 @@ def evidence(source: str, outcome_us: str, ts_us: str, as_of_us: int) -> str:
     seen = f"case when {outcome_us} is null or {outcome_us} = 0 then {ts_us} else {outcome_us} end"
     halflife = d(float(SETTINGS.age_halflife_days * 86_400_000_000))
     return f"(({source_weight(source)}) * pow({d(0.5)}, greatest(0, {as_of_us} - ({seen})) / {halflife}))"
+
+
+STRICT_BY_ACTION = "over (partition by action order by ts_us range between unbounded preceding and 1 preceding)"

@@ -31,13 +31,15 @@ def read_turns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_judgements(spark: SparkSession, path: str) -> DataFrame:
     """One judgement per turn: the last line wins.
 
-    ``seq`` numbers lines by file and offset, so "last" is well defined for a
-    directory of files read in name order.
+    Lines are ordered by file name, position of the block in the file, and line
+    within the block, so "last" is well defined for a directory of files.
     """
     rows = (
         _read_lines(spark, path, schemas.JUDGEMENT)
         .filter(F.col(BROKEN).isNull() & F.col("turn_id").isNotNull())
-        .withColumn("seq", F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id()))
+        .withColumn("seq", F.struct(
+            F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+        ))
     )
     return last_judgement(rows, F.col("seq"))
 
