@@ -93,6 +93,10 @@ def response_scores(spans: DataFrame) -> DataFrame:
 def chunked(texts: DataFrame, key: str, text: str, words: int = 4) -> DataFrame:
     """Cut whole texts into chunks of a few words, as a provider would send them."""
     pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?:\S+\s*){{1,{words}}}|\s+"), F.lit(0))
-    listed = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
-    cut = texts.select(F.col(key).cast("string").alias("response_id"), F.posexplode(listed).alias("seq", "chunk"), F.size(listed).alias("_n"))
-    return cut.withColumn("is_last", F.col("seq") == F.col("_n") - 1).drop("_n")
+    cut = texts.select(F.col(key).cast("string").alias("response_id"), pieces.alias("_p")).select(
+        "response_id",
+        F.when(F.size("_p") == 0, F.array(F.lit(""))).otherwise(F.col("_p")).alias("_p"),
+        F.greatest(F.size("_p"), F.lit(1)).alias("_n"),
+    )
+    rows = cut.select("response_id", "_n", F.posexplode("_p").alias("seq", "chunk"))
+    return rows.withColumn("is_last", F.col("seq") == F.col("_n") - 1).drop("_n")
