@@ -6,7 +6,9 @@ scans need no shuffle however large the table is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import operator
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,25 +46,29 @@ ANY_SECRET = "|".join(f"(?:{shape})" for shape in SECRET_SHAPES)
 ANY_PII = "|".join(f"(?:{shape})" for shape in PII_SHAPES)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def sentences(text: Column) -> Column:
-    """Non-blank sentences, trimmed."""
-    parts = F.transform(F.split(text, SENTENCE_BREAK), strip)
-    return F.filter(parts, lambda s: s != "")
+    """Non-blank sentences. Only the outer ends can carry blanks: the break itself takes all inner ones."""
+    return F.filter(F.split(strip(text), SENTENCE_BREAK), lambda s: s != "")
 
 
 def spans(text: Column, words: int = SETTINGS.flush_tokens) -> Column:
     """Sentences cut into runs of ``words`` words joined by one blank; blank text gives one empty span."""
-    def cut(sentence: Column) -> Column:
-        tokens = F.split(sentence, r"\s+")
+    def cut(tokens: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.size(tokens)) - 1, F.lit(words))
         return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(words)), " "))
 
-    found = F.flatten(F.transform(sentences(text), cut))
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+    tokens = F.transform(sentences(text), lambda s: F.split(s, r"\s+"))
+    found = F.flatten(F.transform(tokens, cut))
+    return let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(""))).otherwise(f))
 
 
 def words(text: Column) -> Column:
@@ -71,21 +77,24 @@ def words(text: Column) -> Column:
 
 def hedge_density(text: Column, lexicon: Sequence[str] = HEDGE_WORDS) -> Column:
     """Share of the words that are in the lexicon; 0 without words."""
-    tokens = words(text)
-    hits = F.size(F.filter(tokens, lambda w: w.isin(*lexicon)))
-    return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise(hits / F.size(tokens))
+    def share(tokens: Column) -> Column:
+        hits = F.size(F.filter(tokens, lambda w: w.isin(*lexicon)))
+        return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise(hits / F.size(tokens))
+
+    return let(words(text), share)
 
 
 def sentence_support(text: Column, chunks: Column) -> Column:
     """Per sentence: the largest share of its word set found in one chunk (1.0 for a wordless sentence)."""
-    chunk_sets = F.transform(chunks, lambda c: F.array_distinct(words(c)))
-
-    def best(sentence: Column) -> Column:
-        asked = F.array_distinct(words(sentence))
+    def best(asked: Column, chunk_sets: Column) -> Column:
         share = F.transform(chunk_sets, lambda c: F.size(F.array_intersect(asked, c)) / F.size(asked))
         return F.when(F.size(asked) == 0, F.lit(1.0)).otherwise(F.array_max(share))
 
-    return F.transform(sentences(text), best)
+    asked_sets = F.transform(sentences(text), lambda s: F.array_distinct(words(s)))
+    return let(
+        F.transform(chunks, lambda c: F.array_distinct(words(c))),
+        lambda chunk_sets: F.transform(asked_sets, lambda asked: best(asked, chunk_sets)),
+    )
 
 
 def support_min(scores: Column, chunks: Column) -> Column:
@@ -113,29 +122,56 @@ def key_likeness(token: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (entropy(token) - ENTROPY_FLOOR) / ENTROPY_RANGE))
 
 
-def _hit_in_span(text: Column, shapes: str) -> Column:
-    """Does a span match? The cheap whole-text test runs first.
+def _loose(shape: str) -> str:
+    """The shape with any run of blanks where a span has a single one.
 
-    Spans are pieces of the blank-normalised text cut at blanks, so a span can
-    only match where the normalised text does.
+    Spans join the words of the text by one blank, so whatever a span matches,
+    the raw text matches loosely.
     """
-    flat = F.regexp_replace(text, r"\s+", " ")
-    return flat.rlike(shapes) & F.exists(spans(text), lambda s: s.rlike(shapes))
+    for joint in ("[ -]?", "[- ]?"):
+        shape = shape.replace(joint, r"(?:-|\s+)?")
+    return shape.replace("[A-Z ]*", r"[A-Z\s]*").replace("BEGIN ", r"BEGIN\s+").replace("PRIVATE KEY", r"PRIVATE\s+KEY")
+
+
+def _any(shapes: Sequence[str]) -> str:
+    return "|".join(f"(?:{shape})" for shape in shapes)
+
+
+def _in_some_span(text: Column, shapes: str) -> Column:
+    return F.exists(spans(text), lambda s: s.rlike(shapes))
+
+
+# a text that a credential shape matches contains one of the shape's fixed parts
+SECRET_MARKS = (
+    ("sk-",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("AKIA",), ("AIza",),
+    ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), ("eyJ",), ("-----BEGIN",), ("=", ":"),
+)
+LOOSE_NUMBERS = _any([_loose(s) for s in PII_SHAPES[1:]])
 
 
 def secret_score(text: Column) -> Column:
-    """1.0 for a credential shape in a span, else the largest key-likeness of a long token; never NULL."""
+    """1.0 for a credential shape in a span, else the largest key-likeness of a long token; never NULL.
+
+    Cheap tests on the raw text run first; spans are cut only for the few texts that pass.
+    """
     tokens = F.regexp_extract_all(text, F.lit(f"({KEY_LIKE})"), F.lit(1))
-    dense = F.array_max(F.transform(tokens, key_likeness))
-    scored = F.when(_hit_in_span(text, ANY_SECRET), F.lit(1.0)).when(
-        text.rlike(KEY_LIKE), F.coalesce(dense, F.lit(0.0))
-    )
-    return F.coalesce(scored, F.lit(0.0))
+    dense = F.coalesce(F.array_max(F.transform(tokens, key_likeness)), F.lit(0.0))
+    marked = [
+        reduce(operator.or_, [text.contains(m) for m in marks]) & text.rlike(_loose(shape))
+        for shape, marks in zip(SECRET_SHAPES, SECRET_MARKS)
+    ]
+    shaped = reduce(operator.or_, marked) & _in_some_span(text, ANY_SECRET)
+    return F.when(text.isNull(), F.lit(0.0)).when(shaped, F.lit(1.0)).when(text.rlike(KEY_LIKE), dense).otherwise(0.0)
 
 
 def pii_score(text: Column) -> Column:
-    """1.0 for a personal-data shape in a span. A miss is NULL: no shape is no proof of absence."""
-    return F.when(_hit_in_span(text, ANY_PII), F.lit(1.0))
+    """1.0 for a personal-data shape in a span. A miss is NULL: no shape is no proof of absence.
+
+    Every shape needs an @ or a digit, so most texts are done after one linear test.
+    """
+    mail = text.contains("@") & text.rlike(PII_SHAPES[0])
+    number = text.rlike("[0-9]") & text.rlike(LOOSE_NUMBERS)
+    return F.when((mail | number) & _in_some_span(text, ANY_PII), F.lit(1.0))
 
 
 def truthy(flag: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trustlake.config import JUDGE_VERDICTS, REGIONS, SETTINGS
 from trustlake.functions.ledger import wilson
-from trustlake.operators.ranking import equal_frequency_bin, global_rank, value_ranks
+from trustlake.operators.ranking import before_cut, cut_points, equal_frequency_bin, global_rank, value_ranks
 
 REGION_SCOPES = ("global", *REGIONS)
 
@@ -180,16 +180,14 @@ def sampling_bias(df: DataFrame, keys: Sequence[str], wrong: Column, forced: Col
 
 def temporal_split(df: DataFrame, ts_us: str, row_id: str, test_fraction: float = SETTINGS.test_fraction) -> DataFrame:
     """Add ``split``: the first rows in time train, the last share is the frozen test set."""
-    ranked = global_rank(df, [], [ts_us, row_id], "_rank", totals=True)
-    cut = F.floor(F.col("_rank_total") * F.lit(1.0 - test_fraction))
-    return ranked.withColumn("split", F.when(F.col("_rank") < cut, "train").otherwise("test")).drop("_rank", "_rank_total")
+    cut = cut_points(df, [ts_us, row_id], [F.floor(F.col("n_total") * F.lit(1.0 - test_fraction))])[0]
+    return df.withColumn("split", F.when(before_cut(df, cut), "train").otherwise("test"))
 
 
 def halves(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``half``: 0 for the first ``n div 2`` rows, 1 for the rest."""
-    ranked = global_rank(df, [], list(order), "_rank", totals=True)
-    first = F.col("_rank") < F.floor(F.col("_rank_total") / 2)
-    return ranked.withColumn("half", F.when(first, 0).otherwise(1)).drop("_rank", "_rank_total")
+    """Add ``half``: 0 for the first ``n div 2`` rows in ``order``, 1 for the rest."""
+    cut = cut_points(df, list(order), [F.floor(F.col("n_total") / 2)])[0]
+    return df.withColumn("half", F.when(before_cut(df, cut), 0).otherwise(1))
 
 
 # --- strict checks of JSON answers ------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trustlake.config import SETTINGS
 from trustlake.operators.calibration import halves
 from trustlake.operators.ranking import value_ranks
+from trustlake.session import durable
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -18,13 +19,16 @@ def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
     return wide.unpivot(list(ids), list(features), "feature", "value").filter(F.col("value").isNotNull())
 
 
-def quantile_edges(long: DataFrame, keys: Sequence[str], value: str = "value", bins: int = SETTINGS.bins) -> DataFrame:
+def quantile_edges(
+    long: DataFrame, keys: Sequence[str], value: str = "value", bins: int = SETTINGS.bins, weight: Column | None = None
+) -> DataFrame:
     """Per key the ``bins - 1`` order statistics that cut it, as array ``edges``.
 
     The i-th edge sits at position min(n-1, half-even(i*n/bins)). Values are
-    counted before they are ordered; the array has at most ``bins - 1`` entries.
+    counted before they are ordered (``weight`` is the count of a row that is
+    already folded); the array has at most ``bins - 1`` entries.
     """
-    ranked = value_ranks(long, keys, value)
+    ranked = value_ranks(long, keys, value, weight, folded=weight is not None)
     n = F.col("n_total")
 
     def position(i: Column) -> Column:
@@ -40,9 +44,10 @@ def quantile_edges(long: DataFrame, keys: Sequence[str], value: str = "value", b
     )
 
 
-def bucket(value: Column, edges: Column) -> Column:
-    """Number of edges below the value."""
-    return F.size(F.filter(edges, lambda e: e < value))
+def bucket(value: Column, edges: Column, bins: int = SETTINGS.bins) -> Column:
+    """Number of edges below the value, spelled out so that it stays in generated code."""
+    below = [F.coalesce((F.get(edges, F.lit(i)) < value).cast("int"), F.lit(0)) for i in range(bins - 1)]
+    return sum(below[1:], below[0])
 
 
 def _psi(ref: list[Column], cur: list[Column]) -> Column:
@@ -56,22 +61,6 @@ def _psi(ref: list[Column], cur: list[Column]) -> Column:
     return F.when((n_ref == 0) | (n_cur == 0), F.lit(0.0)).otherwise(total)
 
 
-def histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str], flag: str, bins: int, few_keys: bool) -> DataFrame:
-    """Rows per key: counts of both sides in every bucket of the key's fixed edges.
-
-    ``few_keys`` states that there is one key per listed feature, so the edges
-    are known to be small enough to broadcast.
-    """
-    side = F.broadcast(edges) if few_keys else edges
-    slot = long.join(side, list(keys), "left").withColumn("_b", bucket(F.col("value"), F.col("edges")))
-    counts = [
-        F.count(F.when((F.col(flag) == s) & (F.col("_b") == b), 1)).alias(f"_{name}{b}")
-        for s, name in ((0, "r"), (1, "c"))
-        for b in range(bins)
-    ]
-    return slot.groupBy(*keys).agg(*counts)
-
-
 def psi_of(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     ref = [F.col(f"_r{b}") for b in range(bins)]
     cur = [F.col(f"_c{b}") for b in range(bins)]
@@ -86,12 +75,24 @@ def psi_of(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
 def psi(df: DataFrame, flag: str, features: Sequence[str], bins: int = SETTINGS.bins) -> DataFrame:
     """PSI per feature between the rows with ``flag`` 0 (reference) and 1 (current).
 
-    All features go through one ranking pass over the reference and one histogram
-    pass over everything. An empty side gives 0.
+    The rows are read once and folded to one row per feature and value with its
+    count on both sides; edges and histograms are taken from that. One edge array
+    per listed feature is broadcast. An empty side gives 0.
     """
     long = unpivot(df, [flag], features)
-    edges = quantile_edges(long.filter(F.col(flag) == 0), ["feature"], bins=bins)
-    return psi_of(histogram(long, edges, ["feature"], flag, bins, few_keys=True), ["feature"], bins)
+    folded = durable(
+        long.groupBy("feature", "value").agg(
+            F.count(F.when(F.col(flag) == 0, 1)).alias("n_ref"), F.count(F.when(F.col(flag) == 1, 1)).alias("n_cur")
+        )
+    )
+    edges = quantile_edges(folded.filter("n_ref > 0"), ["feature"], bins=bins, weight=F.col("n_ref"))
+    slot = folded.join(F.broadcast(edges), "feature", "left").withColumn("_b", bucket(F.col("value"), F.col("edges"), bins))
+    counts = [
+        F.coalesce(F.sum(F.when(F.col("_b") == b, F.col(n))), F.lit(0)).alias(f"_{n[2]}{b}")
+        for n in ("n_ref", "n_cur")
+        for b in range(bins)
+    ]
+    return psi_of(slot.groupBy("feature").agg(*counts), ["feature"], bins)
 
 
 def null_rates(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -129,7 +130,7 @@ def windowed_drift(
     edges = quantile_edges(reference, keys, bins=bins)
 
     def folded(part: DataFrame, group: Sequence[str], name: str) -> DataFrame:
-        slot = part.join(edges, list(keys)).withColumn("_b", bucket(F.col("value"), F.col("edges")))
+        slot = part.join(edges, list(keys)).withColumn("_b", bucket(F.col("value"), F.col("edges"), bins))
         return slot.groupBy(*group).agg(
             *[F.count(F.when(F.col("_b") == b, 1)).alias(f"_{name}{b}") for b in range(bins)]
         )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.config import SETTINGS
-from trustlake.operators.ranking import global_rank
+from trustlake.operators.ranking import before_cut, cut_points
 from trustlake.session import durable
 
 
@@ -54,11 +54,12 @@ def fit_calibrator(df: DataFrame, vector: str, wrong: Column, c: float = 1.0) ->
 
 def time_blocks(df: DataFrame, ts_us: str, row_id: str, blocks: int = SETTINGS.crossfit_blocks) -> DataFrame:
     """Add ``block``: equal runs of rows in time order, the last one takes the remainder."""
-    ranked = global_rank(df, [], [ts_us, row_id], "_rank", totals=True)
-    size = F.greatest(F.lit(1), F.floor(F.col("_rank_total") / blocks))
-    return ranked.withColumn("block", F.least(F.lit(blocks - 1), F.floor(F.col("_rank") / size)).cast("int")).drop(
-        "_rank", "_rank_total"
-    )
+    size = F.greatest(F.lit(1), F.floor(F.col("n_total") / blocks))
+    cuts = cut_points(df, [ts_us, row_id], [size * b for b in range(1, blocks)])
+    block = F.lit(0)
+    for cut in cuts:
+        block = block + (~before_cut(df, cut)).cast("int")
+    return df.withColumn("block", block)
 
 
 def expanding_crossfit(

@@ -145,15 +145,22 @@ def strict_history(
     )
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None, folded: bool = False
+) -> DataFrame:
     """One row per distinct (key, value): its count ``n``, the number of smaller
     values ``before`` and the key's size ``n_total``.
 
     Equal values are counted before anything is ordered, so a value held by a
     third of the rows costs one row. Average rank, order statistics, nearest-rank
-    percentiles and quantile edges all follow by arithmetic.
+    percentiles and quantile edges all follow by arithmetic. ``folded`` says that
+    the input has one row per (key, value) already, with its count in ``weight``.
     """
-    counts = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1).cast("bigint")).alias("n"))
+    count = weight if weight is not None else F.lit(1).cast("bigint")
+    if folded:
+        counts = df.select(*keys, value, count.alias("n"))
+    else:
+        counts = df.groupBy(*keys, value).agg(F.sum(count).alias("n"))
     ranked = running_sums(counts, keys, [value, *keys], {"before": F.col("n")}, totals=True)
     return ranked.withColumnRenamed("before_total", "n_total")
 
@@ -233,3 +240,46 @@ def upper_median() -> Column:
 def nearest_rank(q: float) -> Column:
     """Position round-half-even(q * (n - 1)), as a percentile without interpolation."""
     return F.least(F.col("n_total") - 1, F.bround(F.lit(q) * (F.col("n_total") - 1)).cast("bigint"))
+
+
+def cut_points(df: DataFrame, order: Sequence[str], positions: Sequence[Column]) -> list[dict | None]:
+    """The order values of the rows at zero-based positions of the whole table, None beyond its end.
+
+    A position is an expression over ``n_total``. Only the order columns are
+    partitioned by range, only the slices that hold a position are sorted, and one
+    row per position reaches the driver, to be used as a constant.
+    """
+    rows = slice_rows(df.select(*order), order)
+    every_slice = Window.partitionBy(F.lit(0))  # one row per slice
+    sizes = rows.groupBy(SLICE).agg(F.count("*").alias("_n")).select(
+        SLICE,
+        "_n",
+        F.sum("_n").over(every_slice).alias("n_total"),
+        F.coalesce(F.sum("_n").over(every_slice.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
+    )
+    asked = F.posexplode(F.array(*[p.cast("bigint") for p in positions])).alias("_i", "_at")
+    wanted = (
+        sizes.select(SLICE, "_n", "_b", asked)
+        .filter((F.col("_at") >= F.col("_b")) & (F.col("_at") < F.col("_b") + F.col("_n")))
+        .select(SLICE, "_i", (F.col("_at") - F.col("_b")).alias("_local"))
+    )
+    inside = Window.partitionBy(SLICE, "_i").orderBy(*order)
+    found = (
+        rows.join(F.broadcast(wanted), SLICE)  # at most one row per position
+        .withColumn("_rn", F.row_number().over(inside) - 1)
+        .filter("_rn = _local")
+        .collect()
+    )
+    cuts: list[dict | None] = [None] * len(positions)
+    for row in found:
+        cuts[row["_i"]] = {c: row[c] for c in order}
+    return cuts
+
+
+def before_cut(df: DataFrame, cut: dict | None) -> Column:
+    """Does a row come before the cut in the cut's order? Before nothing when there is no cut."""
+    if cut is None:
+        return F.lit(True)
+    types = dict(df.dtypes)
+    constant = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in cut.items()])
+    return F.struct(*[F.col(c) for c in cut]) < constant
