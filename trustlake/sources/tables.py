@@ -18,14 +18,17 @@ def _read_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def read_turns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(turns, broken lines) of a corpus in JSON lines; blank lines are skipped.
+    """(turns, unusable lines) of a corpus in JSON lines; blank lines are skipped.
+
+    Unusable are lines that do not parse and lines without a turn id; nothing is dropped.
 
     The corpus is not sorted here: what depends on time orders by ``ts_us`` itself.
     """
     rows = _read_lines(spark, path, schemas.TURN)
     good = F.col(BROKEN).isNull() & F.col("turn_id").isNotNull()
     turns = rows.filter(good).drop(BROKEN).withColumn("ts_us", F.round(F.col("ts") * 1_000_000).cast("bigint"))
-    return turns, rows.filter(~good & F.col(BROKEN).isNotNull()).select(BROKEN)
+    line = F.coalesce(F.col(BROKEN), F.to_json(F.struct(*[c for c in rows.columns if c != BROKEN])))
+    return turns, rows.filter(~good).select(line.alias("line"))
 
 
 def read_judgements(spark: SparkSession, path: str) -> DataFrame:

@@ -33,44 +33,63 @@ def stream_outcome_ingest(reports: DataFrame, folder: str) -> None:
 class OutcomeCloser(StatefulProcessor):
     """Per decision: remember the heaviest event until the horizon, emit it once, then only count late ones.
 
-    The state is one event and a counter, never the list of events.
+    The state is one event and a counter, never the list of events. The mark of a
+    closed decision is kept for ``retain_ms`` of event time and then forgotten; by
+    then the decision carries its outcome and is no longer joined to events.
     """
 
+    def __init__(self, retain_ms: int = 30 * 86_400_000):
+        self.retain_ms = retain_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.best = handle.getValueState(
-            "best", "weight double, reported_us bigint, event_id bigint, outcome string, source string, n bigint"
+            "best", "weight double, reported_us bigint, event_id bigint, outcome string, source string, n bigint, "
+            "fires_ms bigint"
         )
         self.closed = handle.getValueState("closed", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        late = 0
+        watermark = timerValues.getCurrentWatermarkInMs()
         best = self.best.get() if self.best.exists() else None
-        horizon = None
+        late = 0
+        out = []
+        # rows come before timers: a horizon that has passed closes the decision first
+        if best is not None and best[6] <= watermark:
+            out.append(self.close_now(key, watermark))
         done = self.closed.exists()
         for batch in rows:
             if done:
                 late += len(batch)
                 continue
             top = batch.sort_values(["weight", "reported_us", "event_id"]).iloc[-1]
-            candidate = (float(top["weight"]), int(top["reported_us"]), int(top["event_id"]), top["outcome"], top["source"])
-            count = len(batch) + (int(best[5]) if best else 0)
-            best = (*max(candidate, tuple(best[:5])), count) if best else (*candidate, count)
             horizon = int(top["horizon_us"]) // 1000
-        if done:
-            yield pd.DataFrame([(int(key[0]), "late", None, None, None, late)], columns=self.columns())
-        elif best is not None:
+            candidate = (float(top["weight"]), int(top["reported_us"]), int(top["event_id"]), top["outcome"], top["source"])
+            if best is None:
+                # a horizon that has passed already fires with the next batch
+                self.handle.registerTimer(max(horizon, watermark + 1))
+                best = (*candidate, len(batch), max(horizon, watermark + 1))
+            else:
+                best = (*max(candidate, tuple(best[:5])), int(best[5]) + len(batch), best[6])
+        if late:
+            out.append((int(key[0]), "late", None, None, None, late))
+        if not done and best is not None:
             self.best.update(best)
-            if horizon is not None and not list(self.handle.listTimers()):
-                # a horizon the watermark has passed already fires with the next batch
-                self.handle.registerTimer(max(horizon, timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.best.exists():
-            _, reported, _, outcome, source, n = self.best.get()
-            self.closed.update((int(expiredTimerInfo.getExpiryTimeInMs()),))
-            self.best.clear()
-            yield pd.DataFrame([(int(key[0]), "closed", outcome, source, reported, n)], columns=self.columns())
+            yield pd.DataFrame([self.close_now(key, expiredTimerInfo.getExpiryTimeInMs())], columns=self.columns())
+        elif self.closed.exists():
+            self.closed.clear()
+
+    def close_now(self, key, at: int) -> tuple:
+        _, reported, _, outcome, source, n, _ = self.best.get()
+        self.closed.update((int(at),))
+        self.handle.registerTimer(int(at) + self.retain_ms)
+        self.best.clear()
+        return (int(key[0]), "closed", outcome, source, reported, n)
 
     @staticmethod
     def columns() -> list[str]:
