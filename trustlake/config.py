@@ -195,5 +195,7 @@ def policy_table(spark: SparkSession, policies=POLICIES) -> DataFrame:
     return spark.createDataFrame(list(policies), POLICY_SCHEMA)
 
 
-def band_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(BANDS), "band string, band_low double, band_max double")
+def band_table(spark: SparkSession, action: str) -> DataFrame:
+    """The bands of an action; one row per band."""
+    rows = [(action, name, low, high) for name, low, high in BANDS]
+    return spark.createDataFrame(rows, "action string, band string, band_low double, band_max double")

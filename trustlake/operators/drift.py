@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trustlake.config import SETTINGS
 from trustlake.operators.calibration import halves
+from trustlake.operators.joins import spread_join
 from trustlake.operators.ranking import value_ranks
 from trustlake.session import durable
 
@@ -130,7 +131,8 @@ def windowed_drift(
     edges = quantile_edges(reference, keys, bins=bins)
 
     def folded(part: DataFrame, group: Sequence[str], name: str) -> DataFrame:
-        slot = part.join(edges, list(keys)).withColumn("_b", bucket(F.col("value"), F.col("edges"), bins))
+        joined = spread_join(part, edges, keys, spread="ts_us")
+        slot = joined.withColumn("_b", bucket(F.col("value"), F.col("edges"), bins))
         return slot.groupBy(*group).agg(
             *[F.count(F.when(F.col("_b") == b, 1)).alias(f"_{name}{b}") for b in range(bins)]
         )

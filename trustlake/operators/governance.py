@@ -12,7 +12,7 @@ from trustlake.functions import decision as dec
 from trustlake.functions import ledger
 from trustlake.operators.ranking import running_sums
 
-REGISTRY_BROADCAST_ROWS = 10_000
+REGISTRY_BROADCAST_ROWS = 512
 
 
 def newest_ready(registry: DataFrame, keys: Sequence[str] = ("capability_tier",)) -> DataFrame:

@@ -132,15 +132,8 @@ def order_pools(order: DataFrame, charge: DataFrame, refund: DataFrame) -> DataF
     Cancelled orders have no delivery date and no class; orders that are neither
     delivered nor refunded are left out as well.
     """
-    per_amount = charge.groupBy("order_id", "amount_paise").agg(F.count("*").alias("n"))
-    charges = (
-        per_amount.join(order.select("order_id", F.col("amount_paise").alias("_at")), "order_id")
-        .groupBy("order_id")
-        .agg(
-            F.sum("n").alias("charges"),
-            F.sum(F.when(F.col("amount_paise") == F.col("_at"), F.col("n")).otherwise(0)).alias("same"),
-        )
-    )
+    per_amount = charge.groupBy("order_id", "amount_paise").agg(F.count("*").alias("same"))
+    totals = charge.groupBy("order_id").agg(F.count("*").alias("charges"))
     refunds = refund.select("order_id").distinct().withColumn("_refunded", F.lit(True))
     pool = (
         F.when(F.col("_refunded"), "refunded")
@@ -151,7 +144,8 @@ def order_pools(order: DataFrame, charge: DataFrame, refund: DataFrame) -> DataF
     )
     return (
         order.filter(F.col("delivered_us").isNotNull())
-        .join(charges, "order_id", "left")
+        .join(totals, "order_id", "left")
+        .join(per_amount, ["order_id", "amount_paise"], "left")
         .join(refunds, "order_id", "left")
         .withColumn("pool", pool)
         .filter(F.col("pool").isNotNull())

@@ -67,7 +67,7 @@ def band_panel(scored: DataFrame) -> DataFrame:
         _n(F.col("region") == "act").alias("released"),
         _n(F.col("region").isin(*HELD)).alias("held"),
     )
-    bands = F.broadcast(band_table(scored.sparkSession)).withColumn("action", F.lit("issue_refund"))
+    bands = F.broadcast(band_table(scored.sparkSession, "issue_refund"))
     panel = pricing.with_action_terms(bands.join(counts, "band", "left"))
     n = F.coalesce("n", F.lit(0))
     any_row = F.col("n") > 0

@@ -130,7 +130,7 @@ def validation_gate(spark, sf):
 
 DUCK_VIEWS["v_registry"] = f"""
 select version, created_us + {DAY} as ready_us, case when n = last then 'candidate' when n = last - 1 then 'production'
-    when n % 2 = 0 then 'retired' else 'production' end as state, 'none' as capability_tier,
+    when n % 2 = 0 then 'retired' else 'production' end as state, case when n % 3 = 0 then 'topk' else 'none' end as capability_tier,
   case when n = 2 then 'rt-1' else 'rt-2' end as runtime_version, ece_global, ece_close_call, n_global, n_close_call
 from (select *, cast(substr(version, 6) as integer) as n, max(cast(substr(version, 6) as integer)) over () as last from (
   select calibrator_version as version, min(v.ts_us) as created_us,
@@ -167,7 +167,7 @@ def registry(spark, sf):
             .when(F.col("_n") % 2 == 0, "retired")
             .otherwise("production")
             .alias("state"),
-            F.lit("none").alias("capability_tier"),
+            F.when(F.col("_n") % 3 == 0, "topk").otherwise("none").alias("capability_tier"),
             F.when(F.col("_n") == 2, "rt-1").otherwise("rt-2").alias("runtime_version"),
             "ece_global", "ece_close_call", "n_global", "n_close_call",
         )
@@ -184,10 +184,13 @@ def newest_ready(spark, sf):
 
 @query("calibrator_as_of", """
 select d.id, arg_max(r.version, r.ready_us) as as_of_version from v_decision d
-left join v_registry r on r.ready_us <= d.ts_us and r.state in ('production','retired') group by 1
+left join v_registry r on r.ready_us <= d.ts_us and r.state in ('production','retired')
+  and r.capability_tier = case when d.id%2=0 then 'none' else 'topk' end group by 1
 """)
 def calibrator_as_of(spark, sf):
-    rows = fx.view(spark, sf, "v_decision").select("id", "ts_us", F.lit("none").alias("capability_tier"))
+    rows = fx.view(spark, sf, "v_decision").select(
+        "id", "ts_us", F.when(F.col("id") % 2 == 0, "none").otherwise("topk").alias("capability_tier")
+    )
     return governance.calibrator_as_of(rows, registry(spark, sf)).select("id", "as_of_version")
 
 
@@ -205,7 +208,9 @@ select c.version, p.version as production, case when c.runtime_version <> 'rt-2'
   when c.n_global >= 100 and c.n_close_call >= 100 and c.ece_global < p.ece_global and c.ece_close_call < p.ece_close_call
   then 'A' else 'B' end as path
 from (select *, case when version = 'cal-v2' then 'candidate' else state end as state2 from v_registry) c
-join (select * from v_registry where state = 'production' and version <> 'cal-v2' order by ready_us desc limit 1) p on true
+join (select capability_tier, arg_max(version, ready_us) as version, arg_max(ece_global, ready_us) as ece_global,
+    arg_max(ece_close_call, ready_us) as ece_close_call from v_registry where state = 'production' and version <> 'cal-v2' group by 1) p
+  using (capability_tier)
 where c.state2 = 'candidate'
 """)
 def promotion_path(spark, sf):

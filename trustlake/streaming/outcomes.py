@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from trustlake.config import SETTINGS
 from trustlake.operators import drift, outcomes
 from trustlake.operators.gate import TRUST_KEYS
+from trustlake.operators.joins import spread_join
 from trustlake.operators.trust import recompute_trust, upsert_trust
 from trustlake.sources.tables import snapshots, write_snapshot
 from trustlake.streaming.runner import drain_batches, write_batch
@@ -129,7 +130,7 @@ def stream_trust(decisions: DataFrame, history, folder: str, as_of_us: int) -> N
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         touched = batch.select(*TRUST_KEYS).distinct()
-        rows = history(spark).join(touched, list(TRUST_KEYS), "left_semi")
+        rows = spread_join(history(spark), touched, TRUST_KEYS, spread="id", how="left_semi")
         new = recompute_trust(rows, as_of_us)
         earlier = [s for s in snapshots(spark, root) if s < batch_id]
         if earlier:
