@@ -15,6 +15,12 @@ from trustlake.config import (
 )
 
 
+TERM_COLUMNS = (
+    "has_amount", "base_amount", "reversibility", "reversibility_field",
+    "visibility", "visibility_field", "blast_radius", "blast_field",
+)
+
+
 def band_of(amount: Column) -> Column:
     """Band name; bounds are upper-exclusive, the top band is closed.
 

@@ -12,6 +12,7 @@ from trustlake.config import (
     NON_EXECUTING_ACTIONS,
     OUTCOMES,
     SETTINGS,
+    action_table,
     policy_table,
 )
 from trustlake.functions import decision as dec
@@ -29,24 +30,21 @@ def price(decisions: DataFrame, actions: DataFrame | None = None, payload: Colum
     no price: its exposure stays NULL and the gate blocks it.
     """
     idle = F.col("action").isin(*NON_EXECUTING_ACTIONS)
-    return (
-        pricing.with_action_terms(decisions, actions)
-        .withColumn("exposure", F.when(idle, F.lit(0.0)).otherwise(pricing.exposure(F.col("amount"), payload)))
-        .withColumn("ceiling", pricing.ceiling(F.col("band"), payload))
-        .drop(
-            "has_amount", "base_amount", "reversibility", "reversibility_field",
-            "visibility", "visibility_field", "blast_radius", "blast_field",
-        )
-    )
+    terms = decisions if "has_amount" in decisions.columns else pricing.with_action_terms(decisions, actions)
+    return terms.withColumns(
+        {
+            "exposure": F.when(idle, F.lit(0.0)).otherwise(pricing.exposure(F.col("amount"), payload)),
+            "ceiling": pricing.ceiling(F.col("band"), payload),
+        }
+    ).drop(*pricing.TERM_COLUMNS)
 
 
 def reject_unpriced(decisions: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): an executing action must be registered."""
-    known = F.broadcast(actions.select("action"))
-    idle = F.col("action").isin(*NON_EXECUTING_ACTIONS)
-    accepted = decisions.filter(~idle).join(known, "action", "left_semi").unionByName(decisions.filter(idle))
-    rejected = decisions.filter(~idle).join(known, "action", "left_anti")
-    return accepted, rejected
+    known = F.broadcast(actions.select("action", F.lit(True).alias("_known")))
+    flagged = decisions.join(known, "action", "left")
+    fine = F.col("action").isin(*NON_EXECUTING_ACTIONS) | F.col("_known").isNotNull()
+    return flagged.filter(fine).drop("_known"), flagged.filter(~fine).drop("_known")
 
 
 def lookup_budget(decisions: DataFrame, trust: DataFrame) -> DataFrame:
@@ -67,10 +65,11 @@ def lookup_budget(decisions: DataFrame, trust: DataFrame) -> DataFrame:
 def apply_policy(decisions: DataFrame, policies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(decisions with ``budget`` and ``policy_k``, decisions with an unknown mode)."""
     dim = F.broadcast(policies if policies is not None else policy_table(decisions.sparkSession))
-    known = decisions.join(dim, "policy_mode").withColumn(
+    joined = decisions.join(dim, "policy_mode", "left")
+    known = joined.filter(F.col("policy_k").isNotNull()).withColumn(
         "budget", F.col("earned_budget") * F.col("budget_multiplier")
     )
-    return known, decisions.join(dim.select("policy_mode"), "policy_mode", "left_anti")
+    return known, joined.filter(F.col("policy_k").isNull()).select(*decisions.columns)
 
 
 def with_invariants(decisions: DataFrame) -> DataFrame:
@@ -221,16 +220,12 @@ def decide_batch(
     """
     if capability_tier not in CAPABILITY_TIERS:
         raise ValueError(f"unknown capability tier {capability_tier!r}")
-    spark = requests.sparkSession
-    from trustlake.config import action_table
-
-    dim = actions if actions is not None else action_table(spark)
-    accepted, unpriced = reject_unpriced(requests, dim)
-    limits = F.broadcast(dim.select("action", F.col("hard_limit").alias("_limit")))
-    banded = (
-        accepted.join(limits, "action", "left")
-        .withColumn("band", pricing.band_label(F.col("amount"), F.col("action"), F.col("_limit")))
-        .drop("_limit")
+    dim = actions if actions is not None else action_table(requests.sparkSession)
+    terms = pricing.with_action_terms(requests, dim)
+    fine = F.col("action").isin(*NON_EXECUTING_ACTIONS) | F.col("has_amount").isNotNull()
+    unpriced = terms.filter(~fine)
+    banded = terms.filter(fine).withColumn(
+        "band", pricing.band_label(F.col("amount"), F.col("action"), F.col("hard_limit"))
     )
     funded, unknown = apply_policy(lookup_budget(price(banded, dim), trust), policies)
     scored = p_wrong_or_prior(funded, model_p if model_p is not None else F.lit(None).cast("double"), None, priors)

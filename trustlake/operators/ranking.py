@@ -175,13 +175,15 @@ def equal_frequency_bin(rank0: Column, total: Column, bins: int) -> Column:
 
 
 def last_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: Sequence[str], salts: int = 64
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """The ``n`` leading rows of every key under ``order``.
 
     Two rounds: within (key, salt), then within the key, so that the second
-    round sees at most ``n * salts`` rows of one key.
+    round sees at most ``n * salts`` rows of one key. The number of salts follows
+    the number of shuffle partitions.
     """
+    salts = salts or max(16, slice_count(df.sparkSession))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     second = Window.partitionBy(*keys).orderBy(*order)

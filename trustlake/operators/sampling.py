@@ -49,10 +49,11 @@ def round_robin_sample(intents: DataFrame, key: str, total: int, mix=INTENT_MIX)
     reach the driver; picked rows number at most ``total``.
     """
     target = {name: int(round(total * share)) for name, share in mix}
-    sizes = {r["intent"]: r["n"] for r in intents.groupBy("intent").agg(F.count("*").alias("n")).collect()}
+    wanted = intents.filter(F.col("intent").isin(*target))
+    sizes = {r["intent"]: r["n"] for r in wanted.groupBy("intent").agg(F.count("*").alias("n")).collect()}
     order = [draw_order(key), F.col(key)]
     # at most ``total`` orders can be taken already, so twice that many per cell always suffice
-    priced = intents.filter(F.col("band").isin(*BAND_NAMES))
+    priced = wanted.filter(F.col("band").isin(*BAND_NAMES))
     cells = durable(last_rows(priced, ["intent", "band"], order, 2 * total, [key]).drop("position"))
     picked: DataFrame | None = None
     for name, _ in sorted(mix, key=lambda item: sizes.get(item[0], 0)):

@@ -332,14 +332,14 @@ select agent_id, list(p_wrong order by i) as edges from (
   select agent_id, p_wrong, row_number() over (partition by agent_id order by p_wrong) - 1 as rn,
     count(*) over (partition by agent_id) as n from v_decision where ts_us < {SPLIT_AT}) r
 join (select unnest(range(1, 10)) as i) g on rn = least(n - 1, cast(round_even(i*n/10.0::double, 0) as bigint)) group by 1"""
-DUCK_VIEWS["v_drift_long"] = f"""
-select agent_id, len(list_filter(edges, lambda e: e < p_wrong)) as b, ts_us < {SPLIT_AT} as is_ref,
-  cast(floor(ts_us / cast({YEAR} as double)) as bigint) as day from v_decision join v_drift_edges using (agent_id)"""
 
 
-@query("windowed_drift", f"""
-with r as (select agent_id, b, count(*)::double as cr from v_drift_long where is_ref group by all),
-c as (select agent_id, day, b, count(*)::double as cc from v_drift_long where not is_ref group by all),
+def drift_sql(width: int) -> str:
+    return f"""
+with l as (select agent_id, len(list_filter(edges, lambda e: e < p_wrong)) as b, ts_us < {SPLIT_AT} as is_ref,
+    cast(floor(ts_us / cast({width} as double)) as bigint) as day from v_decision join v_drift_edges using (agent_id)),
+r as (select agent_id, b, count(*)::double as cr from l where is_ref group by all),
+c as (select agent_id, day, b, count(*)::double as cc from l where not is_ref group by all),
 g as (select agent_id, day, unnest(range(0, 10)) as b from (select distinct agent_id, day from c) k),
 nr as (select agent_id, sum(cr) as n_ref from r group by 1), nc as (select agent_id, day, sum(cc) as n_cur from c group by 1, 2),
 p as (select g.agent_id, g.day, n_ref, n_cur, greatest(coalesce(cr, 0)/n_ref, {x.d(1e-6)}) as r,
@@ -347,8 +347,10 @@ p as (select g.agent_id, g.day, n_ref, n_cur, greatest(coalesce(cr, 0)/n_ref, {x
   from g join nr using (agent_id) join nc using (agent_id, day) left join r using (agent_id, b) left join c using (agent_id, day, b))
 select agent_id, day, cast(max(n_ref) as bigint) as n_ref, cast(max(n_cur) as bigint) as n_cur, round(sum((c-r)*ln(c/r)), 6) as psi,
   case when max(n_cur) < 100 then 'insufficient_data' when sum((c-r)*ln(c/r)) > 0.2 then 'L1' else 'ok' end as verdict
-from p group by 1, 2
-""")
+from p group by 1, 2"""
+
+
+@query("windowed_drift", drift_sql(YEAR))
 def windowed_drift(spark, sf):
     rows = fx.view(spark, sf, "v_decision").select("agent_id", "ts_us", "p_wrong")
     out = drift.windowed_drift(rows, "p_wrong", ["agent_id"], SPLIT_AT, YEAR)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trustlake.config import BAND_NAMES, FEATURE_NAMES
+from trustlake.config import BAND_NAMES, FEATURE_NAMES, INTENT_MIX
 from trustlake.functions import pricing
 from trustlake.operators import calibration as cal
 from trustlake.operators import drift, gate, governance, record, reports, sampling, validation
@@ -332,7 +332,22 @@ from (select order_id, amount_paise, unnest(case pool when 'refunded' then ['alr
   when 'near_duplicate' then ['ambiguous'] else ['non_duplicate_misread','out_of_policy_age','adversarial'] end) as intent from v_pool) q"""
 
 
-@query("round_robin_sample")
+def round_robin_sql(total: int) -> str:
+    """One stage per intent: the scarcest one left, its bands taking turns, orders already taken left out."""
+    mix = ", ".join(f"({i}, '{name}', {int(round(total * share))})" for i, (name, share) in enumerate(INTENT_MIX))
+    stages = [f"""m as (select * from (values {mix}) v(pos, intent, want)),
+s as (select m.*, row_number() over (order by (select count(*) from v_intent i where i.intent = m.intent), pos) as stage from m),
+u0 as (select order_id, intent, band from v_intent where false)"""]
+    for i in range(1, len(INTENT_MIX) + 1):
+        stages.append(f"""u{i} as materialized (select * from u{i-1} union all select order_id, intent, band from (
+  select *, row_number() over (order by rn, case band when '0-2k' then 0 when '2k-10k' then 1 when '10k-50k' then 2 else 3 end) as k from (
+    select v.*, want, row_number() over (partition by band order by md5(cast(order_id as varchar)), order_id) as rn
+    from v_intent v join s on s.intent = v.intent and s.stage = {i}
+    where order_id not in (select order_id from u{i-1})) q) t where k <= want)""")
+    return "with " + ",\n".join(stages) + f"\nselect * from u{len(INTENT_MIX)}"
+
+
+@query("round_robin_sample", round_robin_sql(300))
 def round_robin_sample(spark, sf):
     return drawn_orders(spark, sf)
 

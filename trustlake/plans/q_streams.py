@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from trustlake.operators import drift
 from trustlake.plans import fixtures as fx
 from trustlake.plans import sqlx as x
-from trustlake.plans.q_calibration import SPLIT_AT
+from trustlake.plans.fixtures import DAY
+from trustlake.plans.q_calibration import SPLIT_AT, drift_sql
 from trustlake.plans.q_gate import AS_OF, judgements, key_trust
 from trustlake.plans.q_reports import registry
 from trustlake.plans.q_trust import KEYS, accepted, reports
@@ -17,8 +18,7 @@ from trustlake.streaming import runner, spans
 
 def stream_table(spark, sf, name):
     """A given table as a stream of files."""
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(fx.TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def stream_view(spark, sf, name):
@@ -98,7 +98,10 @@ def stream_trust(spark, sf):
     )
 
 
-@query("stream_drift")
+@query("stream_drift", f"""
+select agent_id, day * {30 * DAY} as window_us, n_ref, n_cur, psi, verdict from ({drift_sql(30 * DAY)}) q
+where (day + 1) * {30 * DAY} <= (select max(ts_us) from v_decision)
+""")
 def stream_drift(spark, sf):
     rows = fx.view(spark, sf, "v_decision").filter(F.col("ts_us") < SPLIT_AT).select("agent_id", F.col("p_wrong").alias("value"))
     edges = drift.quantile_edges(rows, ["agent_id"])
