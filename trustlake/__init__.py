@@ -1,3 +1,11 @@
 """Trustlake: analysis and governance of AI-agent decisions on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# the few functions that run in Python workers travel with their code, so the
+# package need not be installed on the executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -220,33 +220,36 @@ def decide_batch(
     """
     if capability_tier not in CAPABILITY_TIERS:
         raise ValueError(f"unknown capability tier {capability_tier!r}")
-    dim = actions if actions is not None else action_table(requests.sparkSession)
-    terms = pricing.with_action_terms(requests, dim)
-    fine = F.col("action").isin(*NON_EXECUTING_ACTIONS) | F.col("has_amount").isNotNull()
-    unpriced = terms.filter(~fine)
-    banded = terms.filter(fine).withColumn(
-        "band", pricing.band_label(F.col("amount"), F.col("action"), F.col("hard_limit"))
+    spark = requests.sparkSession
+    modes = F.broadcast(policies if policies is not None else policy_table(spark))
+    dim = actions if actions is not None else action_table(spark)
+    joined = pricing.with_action_terms(requests, dim).join(modes, "policy_mode", "left")
+    idle = F.col("action").isin(*NON_EXECUTING_ACTIONS)
+    reason = F.when(~idle & F.col("has_amount").isNull(), "unregistered_action").when(
+        F.col("policy_k").isNull(), "unknown_policy_mode"
+    )
+    flagged = joined.withColumn("reject_reason", reason)
+    rejected = flagged.filter("reject_reason is not null").select(*requests.columns, "reject_reason")
+
+    label = pricing.band_label(F.col("amount"), F.col("action"), F.col("hard_limit"))
+    banded = flagged.filter("reject_reason is null").drop("reject_reason").withColumn("band", label)
+    funded = lookup_budget(price(banded), trust).withColumn(
+        "budget", F.col("earned_budget") * F.col("budget_multiplier")
     )
-    funded, unknown = apply_policy(lookup_budget(price(banded, dim), trust), policies)
     scored = p_wrong_or_prior(funded, model_p if model_p is not None else F.lit(None).cast("double"), None, priors)
     first = with_verdict(with_invariants(scored), F.col("policy_k"))
     final = with_rung(forced_review(resolve_tier2(first, judgements), review_rate))
-    rows = (
-        final.withColumn("expected_loss", F.col("p_wrong") * F.col("exposure"))
-        .withColumn("horizon_us", F.col("ts_us") + F.coalesce(F.col("horizon_sec"), F.lit(0)) * 1_000_000)
-        .withColumn("calibrator_version", F.lit(calibrator_version))
-        .withColumn("capability_tier", F.lit(capability_tier))
-        .withColumn("degraded_mode", F.col("degraded_reason").isNotNull())
-        .withColumn(
-            "reason",
-            dec.decision_reason(
-                F.col("verdict"), F.col("action"), F.col("band"),
-                F.col("p_wrong"), F.col("exposure"), F.col("budget"),
-            ),
-        )
+    text = dec.decision_reason(
+        F.col("verdict"), F.col("action"), F.col("band"), F.col("p_wrong"), F.col("exposure"), F.col("budget")
     )
-    columns = requests.columns
-    rejected = unpriced.select(*columns, F.lit("unregistered_action").alias("reject_reason")).unionByName(
-        unknown.select(*columns, F.lit("unknown_policy_mode").alias("reject_reason"))
+    rows = final.withColumns(
+        {
+            "expected_loss": F.col("p_wrong") * F.col("exposure"),
+            "horizon_us": F.col("ts_us") + F.coalesce(F.col("horizon_sec"), F.lit(0)) * 1_000_000,
+            "calibrator_version": F.lit(calibrator_version),
+            "capability_tier": F.lit(capability_tier),
+            "degraded_mode": F.col("degraded_reason").isNotNull(),
+            "reason": text,
+        }
     )
     return rows, rejected

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.config import DAY_US, SETTINGS
+from trustlake.functions.time import utc_date
 
 Verifier = Callable[[Column], Column]
 
@@ -166,7 +167,8 @@ def pool_intents(pools: DataFrame) -> DataFrame:
 
 
 def _date(us: Column) -> Column:
-    return F.coalesce(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd"), F.lit("(none)"))
+    """The UTC date as yyyy-MM-dd, whatever the session's time zone."""
+    return F.coalesce(utc_date(us).cast("string"), F.lit("(none)"))
 
 
 def ledger_lines(charge: DataFrame, refund: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ def latency_summary(decisions: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 
 
 def corpus_payload(scored: DataFrame) -> DataFrame:
-    """One row of corpus totals with the three control routes."""
+    """One row of corpus totals with the three control routes, and the agent's model where it is recorded."""
+    model = [F.min("agent_model").alias("model")] if "agent_model" in scored.columns else []
     return scored.agg(
         F.count("*").alias("turns"),
         F.count("region").alias("scored"),
@@ -137,6 +138,7 @@ def corpus_payload(scored: DataFrame) -> DataFrame:
         _n(F.col("region") == "act").alias("release"),
         _n(F.col("region") == "close_call").alias("check_harder"),
         _n(F.col("region") == "escalate").alias("human_control"),
+        *model,
     )
 
 

@@ -75,7 +75,12 @@ def stream_outcome_ingest(spark, sf):
     return spark.read.parquet(f"{folder}/accepted").select("event_id", "outcome", "source", "weight")
 
 
-@query("stream_close_outcomes")
+@query("stream_close_outcomes", """
+select decision_id, 'closed' as kind, arg_max(outcome, (weight, reported_us, event_id)) as outcome,
+  arg_max(source, (weight, reported_us, event_id)) as outcome_source,
+  arg_max(reported_us, (weight, reported_us, event_id)) as outcome_us, count(*) as events
+from v_accepted where decision_id in (select id from v_decision) group by 1
+""")
 def stream_close_outcomes(spark, sf):
     events = accepted(spark, sf, stream_view(spark, sf, "v_outcome_event"))
     horizon = fx.view(spark, sf, "v_decision").select(F.col("id").alias("decision_id"), "horizon_us")

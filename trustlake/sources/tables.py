@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trustlake import schemas
 from trustlake.config import ACTIONS, POLICIES, action_table, policy_table
+from trustlake.functions.time import utc_date
 from trustlake.operators.features import inject_judge
 
 BROKEN = "_corrupt_record"
@@ -89,7 +90,7 @@ def append_decisions(decisions: DataFrame, path: str) -> None:
     Rows are spread by (day, action, hash of the id) before the write, so a hot
     action makes several files of bounded size and never one huge task.
     """
-    rows = logged_columns(decisions).withColumn("dt", F.to_date(F.timestamp_micros("ts_us")))
+    rows = logged_columns(decisions).withColumn("dt", utc_date(F.col("ts_us")))
     files = F.pmod(F.xxhash64("id"), F.lit(16))
     rows.repartition("dt", "action", files).write.mode("append").partitionBy("dt", "action").parquet(path)
 
