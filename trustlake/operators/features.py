@@ -11,6 +11,7 @@ from trustlake.config import CAN_BE_UNAVAILABLE, CAPABILITY_TIERS, FEATURE_NAMES
 from trustlake.functions import text as tx
 from trustlake.operators import record, text
 from trustlake.operators.ranking import strict_history
+from trustlake.session import durable
 
 NOT_SUPPORTED = "not_supported"
 UNAVAILABLE = "unavailable"
@@ -98,25 +99,33 @@ def model_features(tier: str, with_judge: bool) -> list[str]:
     return [n for n in CAPABILITY_TIERS[tier] if with_judge or n != "judge_p_wrong"]
 
 
+MODEL_SCORES = ("injection_score", "policy_score")
+
+
 def build_features(turns: DataFrame, facts: DataFrame, tier: str = "none") -> DataFrame:
-    """Features of replayed turns: turn_id, ts_us, action, reply, prompt, chunks, claims.
+    """Features of replayed turns: one row (turn_id, ts_us, action, features) per turn.
 
-    Everything is narrow except the record join and the length history. The reply
-    is scanned (not the user's message); model scores are joined in by the caller
-    as columns ``injection_score`` and ``policy_score`` where models exist.
+    ``turns`` has turn_id, ts_us, action, reply, chunks and claims, and the model
+    scores where models were run. The texts are read once: their signals are
+    written out as narrow rows before the length history, which samples and
+    shuffles its input, sees them. The reply is scanned, not the user's message.
     """
+    scored = [c for c in MODEL_SCORES if c in turns.columns]
     checked = record.verify_claims(turns, facts)
     scanned = text.scan(text.retrieval_support(checked, "reply", "chunks"), "reply")
-    signals = (
-        scanned.withColumn("hedge_density", tx.hedge_density(F.col("reply")))
-        .withColumn("tool_retry_count", F.lit(0))
-        .withColumn("tool_error_count", F.lit(0))
-        .withColumn("reply_length", F.length("reply"))
+    signals = scanned.select(
+        "turn_id", "ts_us", "action",
+        "verify_fail_frac", "verify_n_claims", "retrieval_support_min", "retrieval_support_mean",
+        F.lit(0).alias("tool_retry_count"), F.lit(0).alias("tool_error_count"),
+        tx.hedge_density(F.col("reply")).alias("hedge_density"),
+        F.coalesce(F.length("reply"), F.lit(0)).alias("reply_length"),
+        "pii_score", "secret_score", *scored,
     )
-    measured = length_z(signals, "action", "ts_us", "turn_id", "reply_length")
-    return assemble_features(
+    measured = length_z(durable(signals), "action", "ts_us", "turn_id", "reply_length")
+    assembled = assemble_features(
         measured, F.col("ts_us"), tier, not_supported=("logprob_mean", "logprob_min", "judge_p_wrong")
     )
+    return assembled.select("turn_id", "ts_us", "action", "features")
 
 
 def inject_judge(cached: DataFrame, judgements: DataFrame) -> DataFrame:

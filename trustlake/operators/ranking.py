@@ -26,7 +26,9 @@ def slice_rows(df: DataFrame, order: Sequence[str | Column], slices: int | None
     """Tag every row with the number of its slice in the total order ``order``.
 
     ``order`` should end in a unique column, so that equal leading values can be
-    cut as well. The tagged rows are written out, which freezes the slices.
+    cut as well. The tagged rows are written out, which freezes the slices. The
+    input is read twice, once to sample the bounds: hand over narrow rows, and
+    make an input that is expensive to compute ``durable`` first.
     """
     n = slices or slice_count(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).withColumn(SLICE, F.spark_partition_id())

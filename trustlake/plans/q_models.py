@@ -2,10 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from trustlake import jobs
 from trustlake.functions.decision import hash_fraction_hit
 from trustlake.operators import features, models
+from trustlake.operators.gate import TRUST_KEYS
 from trustlake.plans import fixtures as fx
+from trustlake.plans import sqlx as x
+from trustlake.plans.fixtures import DUCK_VIEWS
 from trustlake.plans.q_calibration import is_wrong
+from trustlake.plans.q_gate import AS_OF
+from trustlake.plans.q_trust import accepted, assembled
 from trustlake.plans.registry import query
 from trustlake.sources import tables
 
@@ -97,6 +103,53 @@ def spill_replay(spark, sf):
     return tables.replay_spill(log, spilled)
 
 
+AFTER_WEIGHT = x.evidence("source", "outcome_us", "ts_us", AS_OF)
+DUCK_VIEWS["v_after"] = """
+select d.* exclude (outcome, source, outcome_us), coalesce(d.outcome, c.outcome) as outcome,
+  case when c.outcome is not null then c.outcome_source else d.source end as source,
+  case when c.outcome is not null then c.outcome_us else d.outcome_us end as outcome_us
+from v_decision d left join v_closed_all c on c.decision_id = d.id"""
+DUCK_VIEWS["v_closed_all"] = f"""
+select decision_id, outcome, source as outcome_source, reported_us as outcome_us from (
+  select e.*, row_number() over (partition by e.decision_id order by weight desc, reported_us desc, event_id desc) as rn
+  from v_accepted e join v_decision d on d.id = e.decision_id
+  where e.processed_us is null and d.outcome is null and d.horizon_us <= {AS_OF}) w where rn = 1"""
+
+
+@query("nightly", f"""
+select agent_id, action, band, fingerprint, round(sum(case when outcome in ('clean','wrong') then {AFTER_WEIGHT} else 0 end), 6) as n_total,
+  count(*) filter (where outcome in ('clean','wrong')) as n_own_raw,
+  count(*) filter (where from_end <= 100 and outcome='wrong') >= 3 as tripped, count(*) >= 100 as checked
+from (select *, row_number() over (partition by agent_id, action, band, fingerprint order by ts_us desc, id desc) as from_end from v_after) q
+where action in ('issue_refund','send_bulk_email') and band in ('0-2k','2k-10k','10k-50k','50k+') group by 1, 2, 3, 4
+""")
+def nightly(spark, sf):
+    out = jobs.nightly(fx.view(spark, sf, "v_decision"), accepted(spark, sf), AS_OF)
+    return out["trust"].join(out["drift_checks"], list(TRUST_KEYS)).select(
+        *TRUST_KEYS, F.round("n_total", 6).alias("n_total"), "n_own_raw",
+        F.col("tripped_at").isNotNull().alias("tripped"), (F.col("verdict") == "checked").alias("checked"),
+    )
+
+
+def corpus(spark, sf):
+    return assembled(spark, sf).select("id", "ts_us", "action", "amount", "band", "outcome", "features")
+
+
+@query("bootstrap_scored")
+def bootstrap_scored(spark, sf):
+    return jobs.bootstrap(corpus(spark, sf))["scored"].select("id", "split", "p_wrong", "verdict", "region", "own_total")
+
+
+@query("bootstrap_trust", f"""
+select 'agent_corpus' as agent_id, action, band, n_clean, n_total, p_lo, ceiling, coalesce({x.budget('p_lo', 'ceiling', 'n_total')}, 0) as budget
+from (select *, {x.wilson_low('n_clean', 'n_total')} as p_lo, {x.ceiling('action', 'band')} as ceiling from (
+  select action, band, count(*) filter (where outcome='clean') as n_clean, count(*) as n_total from v_decision
+  where outcome is not null and action in ('issue_refund','send_bulk_email') and band in ('0-2k','2k-10k','10k-50k','50k+') group by 1, 2) a) b
+""")
+def bootstrap_trust(spark, sf):
+    return jobs.bootstrap(corpus(spark, sf))["trust"].drop("state")
+
+
 @query("review_sample", """
 select id from v_decision where ('0x' || substr(md5(cast(id as varchar)), 1, 8))::bigint < 214748364
 """)
