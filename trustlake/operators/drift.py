@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from trustlake.config import SETTINGS
 from trustlake.operators.calibration import halves
 from trustlake.operators.joins import spread_join
-from trustlake.operators.ranking import value_ranks
-from trustlake.session import durable
+from trustlake.operators.ranking import slice_rows, value_ranks
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -21,15 +20,16 @@ def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
 
 
 def quantile_edges(
-    long: DataFrame, keys: Sequence[str], value: str = "value", bins: int = SETTINGS.bins, weight: Column | None = None
+    long: DataFrame, keys: Sequence[str], value: str = "value", bins: int = SETTINGS.bins,
+    weight: Column | None = None, sliced: bool = False,
 ) -> DataFrame:
     """Per key the ``bins - 1`` order statistics that cut it, as array ``edges``.
 
     The i-th edge sits at position min(n-1, half-even(i*n/bins)). Values are
-    counted before they are ordered (``weight`` is the count of a row that is
-    already folded); the array has at most ``bins - 1`` entries.
+    counted before they are ordered (``weight`` and ``sliced`` as in
+    ``value_ranks``); the array has at most ``bins - 1`` entries.
     """
-    ranked = value_ranks(long, keys, value, weight, folded=weight is not None)
+    ranked = value_ranks(long, keys, value, weight, sliced)
     n = F.col("n_total")
 
     def position(i: Column) -> Column:
@@ -81,12 +81,11 @@ def psi(df: DataFrame, flag: str, features: Sequence[str], bins: int = SETTINGS.
     per listed feature is broadcast. An empty side gives 0.
     """
     long = unpivot(df, [flag], features)
-    folded = durable(
-        long.groupBy("feature", "value").agg(
-            F.count(F.when(F.col(flag) == 0, 1)).alias("n_ref"), F.count(F.when(F.col(flag) == 1, 1)).alias("n_cur")
-        )
+    counted = long.groupBy("feature", "value").agg(
+        F.count(F.when(F.col(flag) == 0, 1)).alias("n_ref"), F.count(F.when(F.col(flag) == 1, 1)).alias("n_cur")
     )
-    edges = quantile_edges(folded.filter("n_ref > 0"), ["feature"], bins=bins, weight=F.col("n_ref"))
+    folded = slice_rows(counted, ["value", "feature"])
+    edges = quantile_edges(folded.filter("n_ref > 0"), ["feature"], bins=bins, weight=F.col("n_ref"), sliced=True)
     slot = folded.join(F.broadcast(edges), "feature", "left").withColumn("_b", bucket(F.col("value"), F.col("edges"), bins))
     counts = [
         F.coalesce(F.sum(F.when(F.col("_b") == b, F.col(n))), F.lit(0)).alias(f"_{n[2]}{b}")

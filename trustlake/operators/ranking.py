@@ -46,14 +46,17 @@ def running_sums(
     order: Sequence[str | Column],
     sums: dict[str, Column],
     totals: bool = False,
+    sliced: bool = False,
 ) -> DataFrame:
     """Per row: each sum over all earlier rows of the same key, own row excluded.
 
     ``order`` must be a total order within the key. With ``totals`` the sum over
-    the whole key is added as ``<name>_total``.
+    the whole key is added as ``<name>_total``. ``sliced`` says that ``df`` comes
+    from ``slice_rows`` with this order already.
     """
     names = list(sums)
-    rows = slice_rows(df.withColumns({f"_v_{n}": e for n, e in sums.items()}), order)
+    valued = df.withColumns({f"_v_{n}": e for n, e in sums.items()})
+    rows = valued if sliced else slice_rows(valued, order)
 
     per_slice = rows.groupBy(*keys, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     whole = Window.partitionBy(*keys)
@@ -148,22 +151,23 @@ def strict_history(
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None, folded: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None, sliced: bool = False
 ) -> DataFrame:
     """One row per distinct (key, value): its count ``n``, the number of smaller
     values ``before`` and the key's size ``n_total``.
 
     Equal values are counted before anything is ordered, so a value held by a
     third of the rows costs one row. Average rank, order statistics, nearest-rank
-    percentiles and quantile edges all follow by arithmetic. ``folded`` says that
-    the input has one row per (key, value) already, with its count in ``weight``.
+    percentiles and quantile edges all follow by arithmetic. ``sliced`` says that
+    the input is one row per (key, value) with its count in ``weight``, cut by
+    ``slice_rows`` on (value, keys).
     """
     count = weight if weight is not None else F.lit(1).cast("bigint")
-    if folded:
-        counts = df.select(*keys, value, count.alias("n"))
+    if sliced:
+        counts = df.select(*keys, value, SLICE, count.alias("n"))
     else:
         counts = df.groupBy(*keys, value).agg(F.sum(count).alias("n"))
-    ranked = running_sums(counts, keys, [value, *keys], {"before": F.col("n")}, totals=True)
+    ranked = running_sums(counts, keys, [value, *keys], {"before": F.col("n")}, totals=True, sliced=sliced)
     return ranked.withColumnRenamed("before_total", "n_total")
 
 
