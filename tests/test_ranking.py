@@ -95,3 +95,9 @@ def test_last_rows(spark):
     got = ranking.last_rows(df, ["k"], order, 100, ["id"], salts=8)
     want = df.withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy(*order))).filter("position<=100")
     assert _rows(got, "id", "position") == _rows(want, "id", "position")
+
+
+def test_half_even_is_python_round(spark):
+    df = spark.range(0, 400).withColumn("x", F.col("id") / 8.0)
+    got = df.withColumn("r", ranking.half_even(F.col("x"))).collect()
+    assert all(r["r"] == round(r["x"]) for r in got)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trustlake.config import SETTINGS
 from trustlake.operators.calibration import halves
 from trustlake.operators.joins import spread_join
-from trustlake.operators.ranking import slice_rows, value_ranks
+from trustlake.operators.ranking import half_even, slice_rows, value_ranks
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -33,13 +33,16 @@ def quantile_edges(
     n = F.col("n_total")
 
     def position(i: Column) -> Column:
-        return F.least(n - 1, F.bround(i * n / bins).cast("bigint"))
+        return F.least(n - 1, half_even(i * n / F.lit(float(bins))))
 
+    # a cheap necessary condition first: does i*n/bins fall near the row's positions for a whole i?
+    first, last = F.col("before") - 1, F.col("before") + F.col("n")
+    near = (F.floor(last * bins / n) >= F.ceil(first * bins / n)) | (last == n)
     here = F.filter(
         F.sequence(F.lit(1), F.lit(bins - 1)),
         lambda i: position(i).between(F.col("before"), F.col("before") + F.col("n") - 1),
     )
-    cut = ranked.select(*keys, value, F.explode(here).alias("_i"))
+    cut = ranked.filter(near).select(*keys, value, F.explode(here).alias("_i"))
     return cut.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", value))), lambda e: e[value]).alias("edges")
     )

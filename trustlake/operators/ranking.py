@@ -241,13 +241,21 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions:
     return ranked.groupBy(*keys).agg(F.max("n_total").alias("n_total"), *picked)
 
 
+def half_even(x: Column) -> Column:
+    """Nearest whole number, ties to the even one; plain arithmetic on doubles."""
+    whole = F.floor(x)
+    rest = x - whole
+    up = (rest > 0.5) | ((rest == 0.5) & (whole % 2 != 0))
+    return whole + up.cast("bigint")
+
+
 def upper_median() -> Column:
     return F.floor(F.col("n_total") / 2)
 
 
 def nearest_rank(q: float) -> Column:
     """Position round-half-even(q * (n - 1)), as a percentile without interpolation."""
-    return F.least(F.col("n_total") - 1, F.bround(F.lit(q) * (F.col("n_total") - 1)).cast("bigint"))
+    return F.least(F.col("n_total") - 1, half_even(F.lit(q) * (F.col("n_total") - 1)))
 
 
 def cut_points(df: DataFrame, order: Sequence[str], positions: Sequence[Column]) -> list[dict | None]:
