@@ -30,11 +30,14 @@ TEXTS = [
 ]
 
 
-def test_span_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("backwards", [False, True])
+def test_span_stream_equals_batch(spark, tmp_path, backwards):
     df = spark.createDataFrame(TEXTS, "id string, t string")
     chunks = spans.chunked(df, "id", "t", words=2)
     assert {r["response_id"] for r in chunks.filter("is_last").collect()} == {i for i, _ in TEXTS}
     parts = [chunks.filter("seq % 20 < 7 and seq < 20"), chunks.filter("seq >= 7 and seq < 20"), chunks.filter("seq >= 20")]
+    if backwards:
+        parts = parts[::-1]
     stream = spans.stream_spans(as_stream(spark, parts, tmp_path / "in"))
     out = runner.drain(stream, "t", str(tmp_path / "run"))
     got = {r["response_id"]: r for r in spans.response_scores(out).collect()}

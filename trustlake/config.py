@@ -185,14 +185,24 @@ INTENT_MIX = (
 # --- end of fixed values -----------------------------------------------------------
 
 
+MAX_CONFIG_ROWS = 10_000  # the configuration tables are broadcast
+
+
+def _config_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    rows = list(rows)
+    if len(rows) > MAX_CONFIG_ROWS:
+        raise ValueError(f"{len(rows)} configuration rows are too many to broadcast")
+    return spark.createDataFrame(rows, schema)
+
+
 def action_table(spark: SparkSession, actions=ACTIONS) -> DataFrame:
     """Risk surface per action; one row per configured action."""
-    return spark.createDataFrame(list(actions), ACTION_SCHEMA)
+    return _config_table(spark, actions, ACTION_SCHEMA)
 
 
 def policy_table(spark: SparkSession, policies=POLICIES) -> DataFrame:
     """Policy overlays; one row per configured mode."""
-    return spark.createDataFrame(list(policies), POLICY_SCHEMA)
+    return _config_table(spark, policies, POLICY_SCHEMA)
 
 
 def band_table(spark: SparkSession, action: str) -> DataFrame:

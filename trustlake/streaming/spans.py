@@ -20,37 +20,51 @@ SPAN = "response_id string, span_no int, span string, is_last boolean"
 class SpanCutter(StatefulProcessor):
     """Per response: collect chunks, cut a span at a sentence end or at 32 words, drain at the end.
 
-    The state is the unfinished span, its number and the next chunk number, so
-    it stays small however long the reply is. Only the cutting happens here;
-    scoring is done by column expressions on the emitted spans.
+    The state is the unfinished span, its number, the next chunk number, and the
+    chunks that came before their turn; input is taken batch by batch, so neither
+    grows with the reply. Only the cutting happens here; scoring is done by
+    column expressions on the emitted spans.
     """
 
     def __init__(self, words: int = SETTINGS.flush_tokens):
         self.words = words
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "buffer string, span_no int")
+        self.open = handle.getValueState("open", "buffer string, span_no int, expected int, waiting int")
+        self.early = handle.getMapState("early", "seq int", "chunk string, is_last boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        buffer, number = self.open.get() if self.open.exists() else ("", 0)
-        spans: list[tuple[str, int, str, bool]] = []
+        buffer, number, expected, waiting = self.open.get() if self.open.exists() else ("", 0, 0, 0)
+        early = {k[0]: (v[0], v[1]) for k, v in self.early.iterator()} if waiting else {}
         ended = False
-        chunks = pd.concat(list(rows)).sort_values("seq")
-        for chunk, last in zip(chunks["chunk"], chunks["is_last"]):
-            buffer += chunk or ""
-            ended = ended or bool(last)
-            if not last and (SPAN_END.search(buffer) or len(buffer.split()) >= self.words):
-                if buffer.strip():
-                    spans.append((key[0], number, buffer, False))
-                    number += 1
-                buffer = ""
+        for batch in rows:
+            spans: list[tuple[str, int, str, bool]] = []
+            early.update(
+                (int(seq), (chunk or "", bool(last)))
+                for seq, chunk, last in zip(batch["seq"], batch["chunk"], batch["is_last"])
+            )
+            while expected in early:
+                chunk, last = early.pop(expected)
+                expected += 1
+                buffer += chunk
+                if last:
+                    spans.append((key[0], number, buffer, True))
+                    ended = True
+                elif SPAN_END.search(buffer) or len(buffer.split()) >= self.words:
+                    if buffer.strip():
+                        spans.append((key[0], number, buffer, False))
+                        number += 1
+                        buffer = ""
+            if spans:
+                yield pd.DataFrame(spans, columns=["response_id", "span_no", "span", "is_last"])
+        if waiting:
+            self.early.clear()
         if ended:
-            spans.append((key[0], number, buffer, True))
             self.open.clear()
-        else:
-            self.open.update((buffer, number))
-        if spans:
-            yield pd.DataFrame(spans, columns=["response_id", "span_no", "span", "is_last"])
+            return
+        for seq, value in early.items():
+            self.early.updateValue((seq,), value)
+        self.open.update((buffer, number, expected, len(early)))
 
     def close(self) -> None:
         pass
@@ -59,9 +73,8 @@ class SpanCutter(StatefulProcessor):
 def stream_spans(chunks: DataFrame) -> DataFrame:
     """Span rows with their scores from a stream of chunks (response_id, seq, chunk, is_last).
 
-    The chunks of one response must arrive in order of ``seq`` over the
-    micro-batches; within a batch they are sorted. The last chunk of a response
-    carries ``is_last`` and closes it.
+    Chunks are numbered 0, 1, .. per response; one that arrives before its turn
+    waits in the state. The last chunk of a response carries ``is_last`` and closes it.
     """
     spans = (
         chunks.select("response_id", "seq", "chunk", "is_last")
