@@ -33,6 +33,14 @@ TABLES = {
 }
 
 
+def us_of(column: str) -> str:
+    """Epoch microseconds of a zone-less timestamp column, whatever the session's time zone."""
+    return (
+        f"(unix_date(cast({column} as date)) * 86400000000L + hour({column}) * 3600000000L "
+        f"+ minute({column}) * 60000000L + cast(extract(second from {column}) * 1000000 as bigint))"
+    )
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
@@ -49,7 +57,7 @@ class View:
         read = source or (lambda name: table(spark, sf, name))
         df = VIEWS[self.base].spark(spark, sf, read) if self.base in VIEWS else read(self.base)
         for i, step in enumerate(self.steps):
-            exprs = [f"{US.sub(r'unix_micros(cast(\1 as timestamp))', e)} as {n}" for n, e in step.items()]
+            exprs = [f"{US.sub(lambda m: us_of(m[1]), e)} as {n}" for n, e in step.items()]
             df = df.selectExpr(*(["*"] if i or self.extend else []), *exprs)
         return df.where(self.where) if self.where else df
 
@@ -308,7 +316,7 @@ def order_table(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("order_id"))
         .agg(
             (F.max(F.col("l_quantity").cast("bigint")) * 100).alias("amount_paise"),
-            F.max(F.unix_micros(F.col("l_shipdate").cast("timestamp"))).alias("delivered_us"),
+            F.max("l_shipdate").alias("_delivered"),
         )
     )
     orders = table(spark, sf, "orders").select(
@@ -317,14 +325,14 @@ def order_table(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", "SHIPPED")
         .otherwise("DELIVERED")
         .alias("status"),
-        F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("placed_us"),
+        F.expr(us_of("o_orderdate")).alias("placed_us"),
     )
     return orders.join(per_order, "order_id", "left").select(
         "order_id",
         F.coalesce("amount_paise", F.lit(0)).alias("amount_paise"),
         "status",
         "placed_us",
-        F.when(F.col("status") != "CANCELLED", F.col("delivered_us")).alias("delivered_us"),
+        F.when(F.col("status") != "CANCELLED", F.expr(us_of("_delivered"))).alias("delivered_us"),
     )
 
 
