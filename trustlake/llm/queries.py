@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, mixing, simhash
+from trustlake.llm import bpe, mixing, quality, simhash
+from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,11 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+@query
+def op6_host_quality(spark: SparkSession, sf: str) -> DataFrame:
+    measures = quality.measured(table(spark, sf, "documents").select("doc_id", "text", "source")).drop("text")
+    return quality.judged(stored(measures, "measures")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"
+    )
