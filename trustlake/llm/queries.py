@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, mixing, quality, simhash
+from trustlake.llm import bpe, mixing, quality, simhash, substrings
 from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def op6_host_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judged(stored(measures, "measures")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"
     )
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
