@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, mixing, quality, simhash, substrings
+from trustlake.llm import bpe, mixing, quality, simhash, substrings, topk
 from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,27 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op1_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", topk.integers("embedding").alias("vector"))
+    return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+ORACLES["op1_top_k"] = """
+with rows as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+),
+scored as (
+  select q.vec_id as query_id, r.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])), 0)::bigint as score
+  from rows q join rows r on q.vec_id <> r.vec_id where q.vec_id % 50 = 0
+),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
