@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, mixing, quality, simhash, substrings, topk
+from trustlake.llm import bpe, html, mixing, quality, simhash, substrings, topk
 from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,10 @@ ranked as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
+
+
+@query
+def op7_template_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html.main_text(table(spark, sf, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
