@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, html, mixing, quality, simhash, substrings, topk
+from trustlake.llm import bpe, html, mixing, quality, simhash, substrings, topk, toxicity
 from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,12 @@ def op7_template_text(spark: SparkSession, sf: str) -> DataFrame:
     return html.main_text(table(spark, sf, "pages").select("page_id", "url", "html")).select(
         "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
     )
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    return toxicity.scored(docs, labels, learn=part != 1).select(
+        "doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
