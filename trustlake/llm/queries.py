@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, html, mixing, quality, simhash, substrings, topk, toxicity
+from trustlake.llm import bpe, html, mixing, ppm, quality, simhash, substrings, topk, toxicity
 from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,19 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.scored(docs, labels, learn=part != 1).select(
         "doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op4_ppm(spark: SparkSession, sf: str) -> DataFrame:
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7))
+    scored, tokens, distinct = ppm.scored(table(spark, sf, "documents").select("doc_id", "text"), learn=part != 2)
+    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(tokens + distinct + 1)))
+    return scored.select(
+        "doc_id",
+        (part == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        "score",
+    )
