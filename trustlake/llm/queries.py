@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, html, mixing, ppm, quality, simhash, substrings, topk, toxicity
+from trustlake.llm import bpe, html, mixing, packing, ppm, quality, simhash, substrings, topk, toxicity
 from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,12 @@ def op4_ppm(spark: SparkSession, sf: str) -> DataFrame:
         base.alias("base_score"),
         "score",
     )
+
+
+@query
+def op8_packed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    path, pattern = tokenizer_files()
+    ranks = bpe.read_ranks(path)
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, pattern)
+    # all ranks are under 65,536
+    return packing.packed(encoded, length=2048, pad=0, kind="<u2")
