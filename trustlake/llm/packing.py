@@ -23,14 +23,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 #: Tokens of a chunk, unless one document has more.
 CHUNK_TOKENS = 4 << 20
-SCHEMA = StructType.fromDDL(
-    "chunk long, row int, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, "
-    "doc_ids array<long>, offsets array<int>"
+SCHEMA = T.StructType(
+    [
+        T.StructField("chunk", T.LongType()),
+        T.StructField("row", T.IntegerType()),
+        T.StructField("n_tokens", T.IntegerType()),
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
+        T.StructField("resets", T.ArrayType(T.IntegerType())),
+        T.StructField("doc_ids", T.ArrayType(T.LongType())),
+        T.StructField("offsets", T.ArrayType(T.IntegerType())),
+    ]
 )
 
 
