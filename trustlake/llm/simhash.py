@@ -148,3 +148,153 @@ def near_duplicates(
 def hex16(value: str | Column) -> Column:
     """A signed long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+# --- near copies by shingle similarity ---------------------------------------------------------------------------
+
+#: Bits of a wide fingerprint, and the share of pairs at the similarity itself that should share a block.
+WIDE, RECALL = 512, 0.95
+
+
+class Blocks:
+    """Blocks of a wide fingerprint for pairs of at least ``similarity`` (Jaccard, of shingle sets).
+
+    A pair of similarity s differs in a bit with probability arccos(2 s / (1 + s)) / pi. That many bits and two
+    standard deviations more are the radius. A block is ``width`` bits drawn by a fixed seed; there are so many
+    blocks that such a pair shares at least one with probability ``RECALL``, and a more similar one more often.
+    ``width`` follows the number of texts, so a block has few chance meetings at every size.
+    """
+
+    def __init__(self, similarity: float, n: int):
+        differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+        self.radius = int(WIDE * differ + 2 * (WIDE * differ * (1 - differ)) ** 0.5)
+        self.width = max(16, int(max(n, 1)).bit_length() - 3)
+        self.count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ) ** self.width)))
+        draw = np.random.default_rng(42)
+        self.bits = np.stack([draw.choice(WIDE, self.width, replace=False) for _ in range(self.count)])
+
+    def keys(self, prints: list[bytes]) -> np.ndarray:
+        """One row a fingerprint, one number a block; numbers of different blocks differ."""
+        bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, WIDE // 8), axis=1)
+        out = np.empty((len(prints), self.count), np.int64)
+        for i, chosen in enumerate(self.bits):
+            out[:, i] = bits[:, chosen].astype(np.int64) @ (1 << np.arange(self.width)) | i << self.width
+        return out
+
+
+def wide_simhash(hashes: np.ndarray) -> bytes:
+    """``WIDE`` majority bits of a set of hashes, each drawn out to as many bits; an empty set has none set."""
+    n = WIDE // 64
+    steps = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 255):  # so that bytes can count
+        x = hashes[at : at + 255, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), n * 8), axis=1)
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def wide_fingerprints(df: DataFrame, text: str, out: str, shingle: int) -> DataFrame:
+    """``df`` with ``out``, the wide SimHash of the set of word shingles of the whole text (A-Z lowered)."""
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for batch in batches:
+            texts = bytes_or_empty(batch.column(text))
+            rows = [wide_simhash(np.unique(shingle_hashes(t.lower().split(), shingle))) for t in texts]
+            yield batch, [pa.array(rows, pa.binary())]
+
+    return adding(df, T.StructType([T.StructField(out, T.BinaryType(), False)]), columns)
+
+
+def _few(values: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
+    """(member, root) like ``forest``, for a handful of wide fingerprints."""
+    rest, found = [(int.from_bytes(v, "big"), v) for v in values], []
+    while len(rest) > 1:
+        stack, (_, root), rest = [rest[0][0]], rest[0], rest[1:]
+        while stack and rest:
+            at = stack.pop()
+            near = [x for x in rest if (x[0] ^ at).bit_count() <= radius]
+            if near:
+                rest = [x for x in rest if (x[0] ^ at).bit_count() > radius]
+                found += [(v, root) for _, v in near]
+                stack += [x for x, _ in near]
+    return found
+
+
+def _many(values: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
+    rest, found = np.frombuffer(b"".join(values), np.uint64).reshape(-1, WIDE // 64), []
+    names = np.arange(len(values))
+    while len(names) > 1:
+        root, stack = names[0], [rest[0]]
+        rest, names = rest[1:], names[1:]
+        while stack and len(names):
+            near = np.bitwise_count(rest ^ stack.pop()).sum(axis=1, dtype=np.int64) <= radius
+            found += [(values[i], values[root]) for i in names[near]]
+            stack.extend(rest[near])
+            rest, names = rest[~near], names[~near]
+    return found
+
+
+def _wide_links(prints: DataFrame, out: str, blocks: Blocks) -> DataFrame:
+    """(a, b): edges that span the links between the distinct wide fingerprints ``prints``."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.column(0).slice(at, 1000)
+                keys = blocks.keys(part.to_pylist())
+                again = np.repeat(np.arange(len(part)), blocks.count)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.take(pa.array(again))], names=["key", "value"])
+
+    rows = prints.select(out).mapInArrow(keyed, "key long, value binary")
+    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pieces = (
+        rows.join(crowds, "key")
+        .withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+        .withColumn("own", F.pmod(F.xxhash64("value"), F.col("chunks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .agg(F.collect_list("value").alias("values"))
+        .select("values")
+    )
+    radius = blocks.radius
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [e for v in batch.column(0).to_pylist() for e in (_few if len(v) < 40 else _many)(v, radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return pieces.mapInArrow(span, "a binary, b binary").distinct()
+
+
+def first_of_near_copies(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The rows of ``df`` without near copies: of each class the row with the smallest id, null last.
+
+    Texts are linked if their wide fingerprints are within the radius of ``similarity`` (see ``Blocks``); classes
+    are the connected components. If rows of a class share the smallest id, the text with the smallest MD5 stays,
+    and of wholly repeated rows one.
+    """
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    rows = df.select(F.col(doc_id).alias("id"), digest.alias("digest"), F.col(text).alias("text"))
+    prints = stored(wide_fingerprints(rows, "text", "print", shingle).drop("text"), "prints")
+    distinct = stored(prints.select("print").distinct(), "distinct-prints")
+    edges = _wide_links(distinct, "print", Blocks(similarity, distinct.count()))
+    of = components(edges).withColumnRenamed("node", "print")
+    kept = (
+        prints.join(of, "print", "left")
+        .groupBy(F.coalesce("component", "print").alias("class"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest")).alias("first"))
+        .select(F.col("first.id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"))
+    )
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
+    return (
+        df.withColumn("_digest", digest)
+        .join(kept, same, "left_semi")
+        .dropDuplicates([doc_id, "_digest"])
+        .drop("_digest")
+    )
