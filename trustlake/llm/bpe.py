@@ -174,4 +174,4 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", data: str =
 
 def decoded_text(data: str = "decoded"):
     """The decoded bytes as a string; bytes that are not UTF-8 become U+FFFD."""
-    return F.decode(F.col(data), F.lit("UTF-8"))
+    return F.make_valid_utf8(F.col(data).cast("string"))

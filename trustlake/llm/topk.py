@@ -78,7 +78,7 @@ class SortedLists:
             fresh = np.flatnonzero(met)
             seen[fresh] = True
             kept, scores = np.concatenate((kept, fresh)), np.concatenate((scores, score(fresh)))
-            best = np.lexsort((kept, -scores))[:k]  # row numbers follow the ids
+            best = np.lexsort((kept, ~scores))[:k]  # row numbers follow the ids; ~ turns the order without overflow
             kept, scores = kept[best], scores[best]
             done, step = upto, step * 2
             if done < n and len(kept) == k:
