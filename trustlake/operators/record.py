@@ -59,9 +59,16 @@ def record_facts(order: DataFrame, charge: DataFrame, refund: DataFrame) -> Data
 
 def _with_facts(turns: DataFrame, order_id: Column, facts: DataFrame) -> DataFrame:
     """Left join of the record; an order that very many turns name skews only the turn side,
-    which adaptive execution splits."""
+    which adaptive execution splits.
+
+    Where a claimed id and the record's are of different types both are compared as text,
+    so an id that is no number matches nothing instead of ending the job.
+    """
     renamed = facts.withColumnRenamed("order_id", "_fact_order")
-    joined = turns.join(renamed, order_id == F.col("_fact_order"), "left")
+    known = F.col("_fact_order")
+    if turns.select(order_id.alias("_o")).schema["_o"].dataType != facts.schema["order_id"].dataType:
+        order_id, known = order_id.cast("string"), known.cast("string")
+    joined = turns.join(renamed, order_id == known, "left")
     return (
         joined.withColumn("order_found", F.coalesce("order_found", F.lit(False)))
         .withColumn("same_charges", F.coalesce("same_charges", F.lit(0)))
@@ -93,8 +100,11 @@ def verify_claims(turns: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def gather_facts(turns: DataFrame, order_id: Column, facts: DataFrame) -> DataFrame:
-    """Add the struct ``facts``: what the record says about the turn's order at ``ts_us``."""
-    joined = _with_facts(turns, order_id, facts).filter("order_found")
+    """Add the struct ``facts``: what the record says about the turn's order at ``ts_us``.
+
+    Every turn stays; without an order on record ``facts`` is null.
+    """
+    joined = _with_facts(turns, order_id, facts)
     inside = (F.col("ts_us") - F.col("delivered_us")) <= SETTINGS.refund_window_days * DAY_US
     delivered = F.col("delivered_us").isNotNull() & (F.col("delivered_us") != 0)
     record = F.struct(
@@ -105,15 +115,20 @@ def gather_facts(turns: DataFrame, order_id: Column, facts: DataFrame) -> DataFr
         F.col("refunded").alias("already_refunded"),
         (delivered & F.coalesce(inside, F.lit(False))).alias("within_window"),
     )
-    return joined.withColumn("facts", record).select(*turns.columns, "facts")
+    return joined.withColumn("facts", F.when(F.col("order_found"), record)).select(*turns.columns, "facts")
 
 
 def label_outcomes(turns: DataFrame) -> DataFrame:
-    """Add ``outcome`` and ``outcome_reasons`` from ``claims``, ``action`` and ``facts``."""
+    """Add ``outcome`` and ``outcome_reasons`` from ``claims``, ``action`` and ``facts``.
+
+    A turn without facts cannot be judged: its outcome is null, the reason ``order_not_on_record``.
+    """
     claim, act, fact = F.col("claims"), F.col("action"), F.col("facts")
     issuing = (act["type"] == "issue_refund") & (act["amount_paise"] > 0)
+    # fixed values: names of the faults
     faults = [
-        (claim["order_id"] != fact["order_id"], "wrong_order"),
+        (fact.isNull(), "order_not_on_record"),
+        (claim["order_id"].cast("string") != fact["order_id"].cast("string"), "wrong_order"),
         (claim["duplicate_charge"] & ~fact["has_duplicate"], "claimed_duplicate_that_does_not_exist"),
         (claim["already_refunded"] != fact["already_refunded"], "misreported_refund_status"),
         (issuing & fact["already_refunded"], "double_refund"),
@@ -123,7 +138,7 @@ def label_outcomes(turns: DataFrame) -> DataFrame:
     ]
     reasons = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in faults]))
     return turns.withColumn("outcome_reasons", reasons).withColumn(
-        "outcome", F.when(F.size("outcome_reasons") > 0, "wrong").otherwise("clean")
+        "outcome", F.when(fact.isNotNull(), F.when(F.size("outcome_reasons") > 0, "wrong").otherwise("clean"))
     )
 
 
@@ -194,7 +209,7 @@ def ledger_lines(charge: DataFrame, refund: DataFrame) -> DataFrame:
 def render_context(turns: DataFrame, order_id: Column, order: DataFrame, lines: DataFrame) -> DataFrame:
     """Add ``context``: policy bullets, date, order record and ledger lines as one text.
 
-    ``turns`` carries ``chunks`` (array of policy passages) and ``ts_us``.
+    Every turn stays; one without an order on record says so in the place of the record. ``turns`` carries ``chunks`` (array of policy passages) and ``ts_us``.
     """
     def section(name: str) -> Column:
         picked = F.array_sort(F.collect_list(F.when(F.col("section") == name, F.struct("at_us", "line", "n"))))
@@ -212,11 +227,8 @@ def render_context(turns: DataFrame, order_id: Column, order: DataFrame, lines:
     record = order.join(ledger, "order_id", "left").withColumnRenamed("order_id", "_o")
     none = [F.lit(f"      - (no {name}s on record)") for name in ("charge", "refund")]
     # fixed values: the layout of the context text
-    text = F.concat(
-        F.lit("Retrieved policy:\n"),
-        F.array_join(F.transform("chunks", lambda c: F.concat(F.lit("- "), c)), "\n"),
-        F.lit("\n\nToday's date is "), _date(F.col("ts_us")),
-        F.lit(".\n\nOrder record:\n  id:                "), F.col("_o").cast("string"),
+    found = F.concat(
+        F.lit("  id:                "), F.col("_o").cast("string"),
         F.lit("\n  amount_paise:      "), F.col("amount_paise").cast("string"),
         F.lit("\n  status:            "), F.col("status"),
         F.lit("\n  delivered_at:      "),
@@ -224,9 +236,15 @@ def render_context(turns: DataFrame, order_id: Column, order: DataFrame, lines:
         F.lit("\n  charge ledger:\n"), F.coalesce("_charges", none[0]),
         F.lit("\n  refund ledger:\n"), F.coalesce("_refunds", none[1]), F.lit("\n"),
     )
+    text = F.concat(
+        F.lit("Retrieved policy:\n"),
+        F.array_join(F.transform("chunks", lambda c: F.concat(F.lit("- "), c)), "\n"),
+        F.lit("\n\nToday's date is "), _date(F.col("ts_us")),
+        F.lit(".\n\nOrder record:\n"), F.when(F.col("_o").isNull(), "  (no order on record)\n").otherwise(found),
+    )
     return (
         turns.join(record.select("_o", "amount_paise", "status", "delivered_us", "_charges", "_refunds"),
-                   order_id == F.col("_o"))
+                   order_id == F.col("_o"), "left")
         .withColumn("context", text)
         .select(*turns.columns, "context")
     )

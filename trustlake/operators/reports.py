@@ -210,7 +210,7 @@ def extreme_per_region(scored: DataFrame) -> DataFrame:
     """One refund per region for display: the smallest act and close call, the largest escalation."""
     refunds = scored.filter(F.col("action") == "issue_refund")
     low = F.min(F.struct("amount", "id"))
-    high = F.max(F.struct(F.col("amount"), (-F.col("id")).alias("id")))
+    high = F.min(F.struct((-F.col("amount")).alias("amount"), F.col("id")))
     picked = refunds.groupBy("region").agg(low.alias("low"), high.alias("high"))
     escalated = F.col("region") == "escalate"
     # fixed values: route names and suggested modes
@@ -221,8 +221,8 @@ def extreme_per_region(scored: DataFrame) -> DataFrame:
     )
     return picked.select(
         "region",
-        F.when(escalated, -F.col("high.id")).otherwise(F.col("low.id")).alias("id"),
-        F.when(escalated, F.col("high.amount")).otherwise(F.col("low.amount")).alias("amount"),
+        F.when(escalated, F.col("high.id")).otherwise(F.col("low.id")).alias("id"),
+        F.when(escalated, -F.col("high.amount")).otherwise(F.col("low.amount")).alias("amount"),
         route["route"].alias("route"),
         route["mode"].alias("suggested_mode"),
     )

@@ -288,7 +288,7 @@ from orders left join (
   from lineitem group by 1) m on l_orderkey = o_orderkey"""
 
 DUCK_VIEWS["v_claim"] = f"""
-select id as turn_id, o.order_id as true_order,
+select id as turn_id, case when id%41=0 then -id else o.order_id end as true_order,
   case when id%13=0 then null when id%97=0 then -id else id end as claim_order,
   case when id%13=0 then null else id%3=0 end as claim_dup,
   case when id%13=0 then null else o.amount_paise + case when id%11=0 then 500 else 0 end end as claim_amount,
@@ -301,8 +301,8 @@ from v_decision join v_order o on o.order_id = id"""
 DUCK_VIEWS["v_reply"] = """
 select a.conv_id, a.turn, a.text as reply, b1.text as chunk1, b2.text as chunk2
 from conversations a
-join benchmark b1 on b1.item_id = a.conv_id % 20
-join benchmark b2 on b2.item_id = 19 - a.conv_id % 20
+join benchmark b1 on b1.item_id = a.conv_id % (select count(*) from benchmark)
+join benchmark b2 on b2.item_id = (select count(*) - 1 from benchmark) - a.conv_id % (select count(*) from benchmark)
 where a.role = 'assistant'"""
 
 
@@ -342,14 +342,15 @@ def claim_turns(spark: SparkSession, sf: str) -> DataFrame:
     order = order_table(spark, sf).select(F.col("order_id").alias("true_order"), "amount_paise", "delivered_us")
     t = F.col("turn_id")
     claim = F.struct(
-        F.when(t % 97 == 0, -t).otherwise(t).alias("order_id"),
+        # ids as text, as agents write them; some are no numbers
+        F.when(t % 97 == 0, F.concat(F.lit("ord_"), t.cast("string"))).otherwise(t.cast("string")).alias("order_id"),
         (t % 3 == 0).alias("duplicate_charge"),
         (F.col("amount_paise") + F.when(t % 11 == 0, 500).otherwise(0)).alias("refund_amount_paise"),
         (t % 4 == 0).alias("already_refunded"),
     )
     return turns.join(order, turns.turn_id == order.true_order).select(
         "turn_id",
-        "true_order",
+        F.when(t % 41 == 0, -t).otherwise(F.col("true_order")).alias("true_order"),
         F.when(t % 13 != 0, claim).alias("claims"),
         F.struct(
             F.when(t % 5 == 0, "no_action").otherwise("issue_refund").alias("type"),
@@ -362,11 +363,12 @@ def claim_turns(spark: SparkSession, sf: str) -> DataFrame:
 def replies(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns with the two passages that were retrieved for them."""
     bench = table(spark, sf, "benchmark")
+    n = bench.count()
     first = bench.select(F.col("item_id").alias("_i1"), F.col("text").alias("_c1"))
     second = bench.select(F.col("item_id").alias("_i2"), F.col("text").alias("_c2"))
     talk = table(spark, sf, "conversations").filter("role = 'assistant'")
     return (
-        talk.join(first, F.col("conv_id") % 20 == F.col("_i1"))
-        .join(second, 19 - F.col("conv_id") % 20 == F.col("_i2"))
+        talk.join(first, F.col("conv_id") % n == F.col("_i1"))
+        .join(second, (n - 1) - F.col("conv_id") % n == F.col("_i2"))
         .select("conv_id", "turn", F.col("text").alias("reply"), F.array("_c1", "_c2").alias("chunks"))
     )

@@ -16,7 +16,7 @@ select t.*, o.order_id as f_order, o.amount_paise as f_amount, o.status as f_sta
   coalesce(s.n, 0) > 1 as f_dup,
   t.true_order in (select order_id from v_refund) as f_refunded,
   o.delivered_us is not null and t.ts_us - o.delivered_us <= 30*{DAY} as f_window
-from v_claim t join v_order o on o.order_id = t.true_order left join v_same s on s.order_id = t.true_order"""
+from v_claim t left join v_order o on o.order_id = t.true_order left join v_same s on s.order_id = t.true_order"""
 
 
 def facts(spark, sf):
@@ -43,8 +43,10 @@ def verify_claims(spark, sf):
 
 
 @query("gather_facts", """
-select turn_id, f_order as order_id, f_amount as amount_paise, f_status as status, f_dup as has_duplicate,
-  f_refunded as already_refunded, f_window as within_window from v_fact
+select turn_id, f_order as order_id, f_amount as amount_paise, f_status as status,
+  case when f_order is not null then f_dup end as has_duplicate,
+  case when f_order is not null then f_refunded end as already_refunded,
+  case when f_order is not null then f_window end as within_window from v_fact
 """)
 def gather_facts(spark, sf):
     turns = fx.claim_turns(spark, sf)
@@ -52,16 +54,16 @@ def gather_facts(spark, sf):
 
 
 @query("label_outcomes", """
-with r as (select turn_id, list_filter([
+with r as (select turn_id, f_order, case when f_order is null then ['order_not_on_record'] else list_filter([
     case when claim_order <> f_order then 'wrong_order' end,
     case when claim_dup and not f_dup then 'claimed_duplicate_that_does_not_exist' end,
     case when claim_refunded <> f_refunded then 'misreported_refund_status' end,
     case when issuing and f_refunded then 'double_refund' end,
     case when issuing and not f_window then 'outside_refund_window' end,
     case when issuing and f_status='CANCELLED' then 'refunded_cancelled_order' end,
-    case when issuing and act_amount > f_amount then 'over_refund' end], lambda x: x is not null) as reasons
+    case when issuing and act_amount > f_amount then 'over_refund' end], lambda x: x is not null) end as reasons
   from (select *, act_type='issue_refund' and act_amount > 0 as issuing from v_fact) f)
-select turn_id, case when len(reasons) > 0 then 'wrong' else 'clean' end as outcome,
+select turn_id, case when f_order is not null then case when len(reasons) > 0 then 'wrong' else 'clean' end end as outcome,
   array_to_string(reasons, ',') as reasons from r
 """)
 def label_outcomes(spark, sf):
@@ -118,13 +120,14 @@ s as (select order_id, string_agg(line, chr(10) order by at_us, line) filter (wh
   string_agg(line, chr(10) order by at_us, line) filter (where section='refund') as refunds from l group by 1)
 select turn_id, 'Retrieved policy:' || chr(10) || '- p' || (turn_id % 7) || chr(10) || '- q' || chr(10) || chr(10)
   || 'Today''s date is ' || strftime(make_timestamp(ts_us), '%Y-%m-%d') || '.' || chr(10) || chr(10)
-  || 'Order record:' || chr(10) || '  id:                ' || o.order_id || chr(10)
+  || 'Order record:' || chr(10) || case when o.order_id is null then '  (no order on record)' || chr(10)
+  else '  id:                ' || o.order_id || chr(10)
   || '  amount_paise:      ' || o.amount_paise || chr(10) || '  status:            ' || o.status || chr(10)
   || '  delivered_at:      ' || case when o.delivered_us is null then 'never delivered (cancelled)'
      else strftime(make_timestamp(o.delivered_us), '%Y-%m-%d') end || chr(10)
   || '  charge ledger:' || chr(10) || coalesce(charges, '      - (no charges on record)') || chr(10)
-  || '  refund ledger:' || chr(10) || coalesce(refunds, '      - (no refunds on record)') || chr(10) as context
-from v_claim t join v_order o on o.order_id = t.true_order left join s on s.order_id = t.true_order
+  || '  refund ledger:' || chr(10) || coalesce(refunds, '      - (no refunds on record)') || chr(10) end as context
+from v_claim t left join v_order o on o.order_id = t.true_order left join s on s.order_id = t.true_order
 """)
 def render_context(spark, sf):
     turns = fx.claim_turns(spark, sf).withColumn(
