@@ -90,6 +90,7 @@ def test_live_gate_equals_batch_and_stamps_the_version(spark, tmp_path):
     live.stream_decide(
         as_stream(spark, [rows.filter("id < 25"), rows.filter("id >= 25")], tmp_path / "in"), str(tmp_path / "run"),
         lambda s: trust_rows, lambda s: judge, lambda s: priors, lambda s: registry, "rt", model_p=F.col("model_p"),
+        load_model=lambda version: F.col("model_p"),
     )
     got = spark.read.parquet(str(tmp_path / "run/decisions"))
     batch, rejected = gate.decide_batch(rows, trust_rows, judge, priors, model_p=F.col("model_p"))
@@ -171,3 +172,95 @@ def test_drift_stream_equals_batch(spark, tmp_path):
     out = closing.drift_of_histogram(runner.drain(counts, "d", str(tmp_path / "run")), reference, ["agent_id"])
     got = {r["window_us"] // day: (r["n_cur"], round(r["psi"], 9)) for r in out.collect()}
     assert got == batch and len(got) == 6
+
+
+def test_a_refused_version_keeps_the_model_in_use(spark):
+    def load(version):
+        if version == "broken":
+            raise ValueError("no such file")
+        return F.lit(0.25) if version == "v2" else None
+
+    model = live.LiveModel(load, F.lit(0.5))
+    assert model.refresh(None) == "no usable version" and model.version == "bootstrap"
+    assert model.refresh("broken") == "ValueError: no such file" and model.version == "bootstrap"
+    assert model.refresh("v2") is None and model.version == "v2"
+    assert model.refresh("v3") == "not found" and model.version == "v2"
+    assert spark.range(1).select(model.p).first()[0] == 0.25
+
+
+def test_rows_are_scored_by_the_version_they_carry(spark, tmp_path):
+    rows = request_rows(spark)
+    none = spark.createDataFrame([], "agent_id string, action string, band string, fingerprint string, budget double")
+    judge = spark.createDataFrame([], "id bigint, judge_p double, degraded_reason string")
+    priors = spark.createDataFrame([("issue_refund", 0.05)], "action string, prior double")
+    seen = iter(["v1", "broken", "v2"])
+    schema = "version string, ready_us bigint, state string, capability_tier string, runtime_version string"
+
+    def registry(s):
+        return s.createDataFrame([(next(seen), 1, "production", "none", "rt")], schema)
+
+    def load(version):
+        return {"v1": F.lit(0.125), "v2": F.lit(0.375)}[version]
+
+    parts = [rows.filter("id < 20"), rows.filter("id >= 20 and id < 40"), rows.filter("id >= 40")]
+    live.stream_decide(
+        as_stream(spark, parts, tmp_path / "in"), str(tmp_path / "run"), lambda s: none, lambda s: judge, lambda s: priors,
+        registry, "rt", load_model=load,
+    )
+    got = spark.read.parquet(str(tmp_path / "run/decisions")).select("id", "calibrator_version", "p_wrong").collect()
+    assert {(r.calibrator_version, r.p_wrong) for r in got} == {("v1", 0.125), ("v2", 0.375)}
+    assert all((r.calibrator_version == "v1") == (r.id < 40) for r in got)
+    swaps = {r.batch: (r.wanted, r.used, r.refused) for r in spark.read.parquet(str(tmp_path / "run/swaps")).collect()}
+    assert swaps == {0: ("v1", "v1", None), 1: ("broken", "v1", "KeyError: 'broken'"), 2: ("v2", "v2", None)}
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_a_decision_closes_once(spark, tmp_path, text_ids):
+    s = 1_000_000
+    kind = "string" if text_ids else "bigint"
+    seven, one, other = ("ord_7", "ord_1", "ord_9") if text_ids else (7, 1, 9)
+    schema = EVENTS.replace("decision_id bigint", f"decision_id {kind}")
+    batches = [
+        [(1, seven, 100 * s, "clean", "reversal", 0.9, 200 * s), (2, other, 100 * s, "clean", "reversal", 0.9, 150 * s)],
+        [(3, one, 300 * s, "clean", "reversal", 0.9, 9000 * s)],  # the watermark passes the horizon
+        [(4, seven, 310 * s, "wrong", "human_override", 1.0, 200 * s)],  # rows and the timer meet in one batch
+        [(5, seven, 5_000_000 * s, "wrong", "human_override", 1.0, 200 * s)],  # months later
+        [(6, one, 9_000_000 * s, "clean", "reversal", 0.9, 9000 * s)],
+    ]
+    parts = [spark.createDataFrame(b, schema) for b in batches]
+    closed = spark.createDataFrame([(other,)], f"decision_id {kind}")
+    stream = closing.stream_close_outcomes(as_stream(spark, parts, tmp_path / "in"), closed=closed)
+    out = runner.drain(stream, "c", str(tmp_path / "run")).collect()
+    mine = [(r["kind"], r["outcome"], r["events"]) for r in out if r["decision_id"] == seven]
+    assert [m for m in mine if m[0] == "closed"] == [("closed", "clean", 1)]
+    assert sum(m[2] for m in mine if m[0] == "late") == 2
+    assert not [r for r in out if r["decision_id"] == other]
+
+
+def test_span_stream_survives_repeats_and_silence(spark, tmp_path):
+    schema = "response_id string, seq int, chunk string, is_last boolean, sent_us bigint"
+    minute = 60_000_000
+    batches = [
+        [("a", 0, "One. ", False, 0), ("a", 1, "Two.", True, 1), ("b", 0, "Half a ", False, 0), ("b", 2, "lost", False, 2)],
+        [("a", 0, "One. ", False, 2), ("a", 1, "Two.", True, 3), ("b", 0, "Half a ", False, 4)],  # delivered again
+        [("z", 0, "later", True, 30 * minute)],
+        [("z1", 0, "later", True, 31 * minute)],
+        [("b", 1, "sentence", False, 32 * minute)],  # after it was drained
+        [("z2", 0, "end", True, 90 * minute)],
+        [("z3", 0, "end", True, 91 * minute)],
+    ]
+    parts = [spark.createDataFrame([(*r[:4], r[4] + 100 * minute) for r in b], schema) for b in batches]
+    stream = spans.stream_spans(as_stream(spark, parts, tmp_path / "in"), {"n": F.length}, delay="1 minute")
+    out = runner.drain(stream, "t", str(tmp_path / "run")).collect()
+    got = {k: [(r["span"], r["n"], r["is_last"]) for r in sorted(out, key=lambda r: r["span_no"]) if r["response_id"] == k] for k in "ab"}
+    assert got == {"a": [("One. ", 5, False), ("Two.", 4, True)], "b": [("Half a lost", 11, False)]}
+
+
+def test_late_lengths_are_set_aside(spark, tmp_path):
+    schema = "id bigint, action string, ts_us bigint, length bigint"
+    first = spark.createDataFrame([(i, "a", 100 + i, 10 + i % 5) for i in range(40)], schema)
+    second = spark.createDataFrame([(100, "a", 139, 11), (101, "a", 50, 11), (102, "a", 200, 11), (103, "b", 1, 5)], schema)
+    live.stream_length_z(as_stream(spark, [first, second], tmp_path / "in"), str(tmp_path / "run"))
+    got = {r["id"]: r["length_z"] for r in spark.read.parquet(str(tmp_path / "run/out")).collect()}
+    late = {r["id"] for r in spark.read.parquet(str(tmp_path / "run/late")).collect()}
+    assert late == {100, 101} and set(got) == {*range(40), 102, 103} and got[102] is not None

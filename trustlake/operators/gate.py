@@ -207,6 +207,7 @@ def decide_batch(
     judgements: DataFrame,
     priors: DataFrame,
     model_p: Column | None = None,
+    model_b: Column | None = None,
     actions: DataFrame | None = None,
     policies: DataFrame | None = None,
     calibrator_version: str = "bootstrap",
@@ -216,8 +217,9 @@ def decide_batch(
     """(decision rows, rejected requests): the whole path of one request, for a table of them.
 
     Requests carry id, ts_us, agent_id, action, amount, fingerprint, policy_mode
-    and the sensor scores. The plan is narrow apart from the lookups of trust and
-    judgement; the configuration tables are broadcast.
+    and the sensor scores. ``model_p`` is the first probability, ``model_b`` the one
+    after the deeper check (it may use ``judge_p``). The plan is narrow apart from the
+    lookups of trust and judgement; the configuration tables are broadcast.
     """
     if capability_tier not in CAPABILITY_TIERS:
         raise ValueError(f"unknown capability tier {capability_tier!r}")
@@ -239,7 +241,7 @@ def decide_batch(
     )
     scored = p_wrong_or_prior(funded, model_p if model_p is not None else F.lit(None).cast("double"), None, priors)
     first = with_verdict(with_invariants(scored), F.col("policy_k"))
-    final = with_rung(forced_review(resolve_tier2(first, judgements), review_rate))
+    final = with_rung(forced_review(resolve_tier2(first, judgements, model_b), review_rate))
     text = dec.decision_reason(
         F.col("verdict"), F.col("action"), F.col("band"), F.col("p_wrong"), F.col("exposure"), F.col("budget")
     )

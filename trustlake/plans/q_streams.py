@@ -61,6 +61,7 @@ def stream_decide(spark, sf):
         registry=lambda s: registry(s, sf),
         running_version="rt-2",
         model_p=F.col("model_p"),
+        load_model=lambda version: F.col("model_p"),
     )
     return spark.read.parquet(f"{folder}/decisions").select(
         "id", "band", "tier_reached", "exposure", "budget", "verdict", "region", "rung", "forced_review"

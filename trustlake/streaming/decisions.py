@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trustlake.operators import gate, governance
 from trustlake.operators.features import z_score
 from trustlake.operators.ranking import strict_history
+from trustlake.session import durable
 from trustlake.sources.tables import logged_columns, snapshots, spill, write_snapshot
 from trustlake.streaming.runner import drain_batches, write_batch
 
@@ -26,24 +27,61 @@ def live_version(registry: DataFrame, running_version: str, tier: str) -> str |
     return None if found is None else found[0]
 
 
+class LiveModel:
+    """The model that scores now. A newer version is taken if it can be loaded; otherwise the one in use stays.
+
+    ``load`` maps a version to the column that scores with it and may raise; the
+    version that a row is stamped with is always the one that scored it.
+    """
+
+    def __init__(self, load: Callable[[str], Column] | None, p: Column | None, version: str = "bootstrap"):
+        self.load, self.p, self.version = load, p, version
+
+    def refresh(self, wanted: str | None) -> str | None:
+        """Take ``wanted``; the reason if it is refused."""
+        if wanted is None or wanted == self.version:
+            return None if wanted else "no usable version"
+        if self.load is None:
+            return "no loader"
+        try:
+            p = self.load(wanted)
+        except Exception as error:  # a broken artefact must not stop the gate
+            return f"{type(error).__name__}: {error}"
+        if p is None:
+            return "not found"
+        self.p, self.version = p, wanted
+        return None
+
+
+SWAPS = "batch bigint, wanted string, used string, refused string"
+
+
 def stream_decide(
     requests: DataFrame, folder: str, trust: Tables, judgements: Tables, priors: Tables, registry: Tables | None = None,
     running_version: str = "", tier: str = "none", model_p: Column | None = None, review_rate: float | None = None,
+    load_model: Callable[[str], Column] | None = None, model_b: Column | None = None,
 ) -> None:
     """Decide every micro-batch of requests with the batch job and log it.
 
     Trust, judgements and the registry are read anew for each batch, so a
-    recomputed budget or a newly ready calibrator takes effect with the next
-    one, and every row is stamped with the version that was live.
+    recomputed budget takes effect with the next one. So does a newly ready
+    calibrator: ``load_model`` gives its score column. If it cannot, the previous
+    model goes on, rows keep its stamp, and ``swaps`` tells the reason. ``model_p``
+    is the score before any version is loaded, stamped ``bootstrap``.
     """
+    live = LiveModel(load_model, model_p)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = live_version(registry(spark), running_version, tier) if registry else None
+        if registry:
+            wanted = live_version(registry(spark), running_version, tier)
+            refused = live.refresh(wanted)
+            swap = spark.createDataFrame([(batch_id, wanted, live.version, refused)], SWAPS)
+            write_batch(swap, f"{folder}/swaps", batch_id)
         options = {} if review_rate is None else {"review_rate": review_rate}
         rows, rejected = gate.decide_batch(
-            batch, trust(spark), judgements(spark), priors(spark), model_p=model_p,
-            calibrator_version=version or "bootstrap", capability_tier=tier, **options,
+            batch, trust(spark), judgements(spark), priors(spark), model_p=live.p, model_b=model_b,
+            calibrator_version=live.version, capability_tier=tier, **options,
         )
         log_batch(rows, f"{folder}/decisions", f"{folder}/spill", batch_id)
         write_batch(rejected, f"{folder}/rejected", batch_id)
@@ -52,8 +90,11 @@ def stream_decide(
 
 
 def log_batch(rows: DataFrame, path: str, spill_path: str, batch_id: int) -> None:
-    """Write a batch to the log; where the log cannot be written the rows go to the spill, to be replayed."""
-    logged = logged_columns(rows)
+    """Write a batch to the log; where the log cannot be written the rows go to the spill, to be replayed.
+
+    The rows are computed before, so an error in the decision itself is raised, not spilled.
+    """
+    logged = durable(logged_columns(rows))
     try:
         write_batch(logged, path, batch_id)
     except Exception:
@@ -64,28 +105,36 @@ def stream_length_z(replies: DataFrame, folder: str) -> None:
     """Length z-scores of a stream (id, action, ts_us, length) against everything seen before.
 
     Exact sums per action are carried from batch to batch as a small snapshot
-    table; inside a batch the earlier rows are added by the batch operator. The
-    input must not go back in time between batches. A batch that runs again
-    starts from the same earlier snapshot.
+    table; inside a batch the earlier rows are added by the batch operator. A row
+    that is not newer than all rows of its action in earlier batches cannot be
+    scored against its past alone: it goes to ``late`` and counts in later sums. A
+    batch that runs again starts from the same earlier snapshot.
     """
     state = f"{folder}/totals"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = [s for s in snapshots(spark, state) if s < batch_id]
+        before = spark.read.parquet(f"{state}/snapshot={earlier[-1]}") if earlier else None
+        whole = batch
+        if before is not None:
+            # one row an action
+            newest = batch.join(before.select("action", "last_us"), "action", "left")
+            behind = F.coalesce(F.col("ts_us") <= F.col("last_us"), F.lit(False))
+            write_batch(newest.filter(behind).select(*batch.columns), f"{folder}/late", batch_id)
+            batch = newest.filter(~behind).select(*whole.columns)
         value = F.col("length").cast("decimal(10,0)")
         sums = {"n": F.lit(1).cast("bigint"), "s": value.cast("decimal(18,0)"), "q": (value * value).cast("decimal(20,0)")}
         rows = strict_history(batch, ["action"], "ts_us", "id", {f"_{k}": v for k, v in sums.items()})
-        totals = batch.groupBy("action").agg(
-            F.sum(sums["n"]).alias("n"), F.sum(sums["s"]).cast("decimal(28,0)").alias("s"),
+        totals = whole.groupBy("action").agg(
+            F.max("ts_us").alias("last_us"), F.sum(sums["n"]).alias("n"), F.sum(sums["s"]).cast("decimal(28,0)").alias("s"),
             F.sum(sums["q"]).cast("decimal(30,0)").alias("q"),
         )
-        if earlier:
-            before = spark.read.parquet(f"{state}/snapshot={earlier[-1]}")
-            rows = rows.join(before, "action", "left")
+        if before is not None:
+            rows = rows.join(before.drop("last_us"), "action", "left")
             totals = (
                 totals.unionByName(before).groupBy("action")
-                .agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(28,0)").alias("s"), F.sum("q").cast("decimal(30,0)").alias("q"))
+                .agg(F.max("last_us").alias("last_us"), F.sum("n").alias("n"), F.sum("s").cast("decimal(28,0)").alias("s"), F.sum("q").cast("decimal(30,0)").alias("q"))
             )
         else:
             rows = rows.withColumns({k: F.lit(0) for k in ("n", "s", "q")})

@@ -17,7 +17,7 @@ from trustlake.operators.trust import recompute_trust, upsert_trust
 from trustlake.sources.tables import snapshots, write_snapshot
 from trustlake.streaming.runner import drain_batches, write_batch
 
-CLOSED = "decision_id bigint, kind string, outcome string, outcome_source string, outcome_us bigint, events bigint"
+COLUMNS = ["decision_id", "kind", "outcome", "outcome_source", "outcome_us", "events"]
 
 
 def stream_outcome_ingest(reports: DataFrame, folder: str) -> None:
@@ -34,14 +34,10 @@ def stream_outcome_ingest(reports: DataFrame, folder: str) -> None:
 class OutcomeCloser(StatefulProcessor):
     """Per decision: remember the heaviest event until the horizon, emit it once, then only count late ones.
 
-    The state is one event and a counter, never the list of events. The mark of a
-    closed decision is kept for ``retain_ms`` of event time and then forgotten; by
-    then the decision carries its outcome and is no longer joined to events.
+    The state is one event and a counter, never the list of events. A closed decision
+    keeps a mark of one number for good, so no later event can close it again.
     """
 
-    def __init__(self, retain_ms: int = 30 * 86_400_000):
-        self.retain_ms = retain_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.best = handle.getValueState(
@@ -57,64 +53,67 @@ class OutcomeCloser(StatefulProcessor):
         out = []
         # rows come before timers: a horizon that has passed closes the decision first
         if best is not None and best[6] <= watermark:
+            self.handle.deleteTimer(best[6])
             out.append(self.close_now(key, watermark))
+            best = None
         done = self.closed.exists()
         for batch in rows:
             if done:
                 late += len(batch)
                 continue
             top = batch.sort_values(["weight", "reported_us", "event_id"]).iloc[-1]
-            horizon = int(top["horizon_us"]) // 1000
             candidate = (float(top["weight"]), int(top["reported_us"]), int(top["event_id"]), top["outcome"], top["source"])
             if best is None:
                 # a horizon that has passed already fires with the next batch
-                self.handle.registerTimer(max(horizon, watermark + 1))
-                best = (*candidate, len(batch), max(horizon, watermark + 1))
+                fires = max(int(top["horizon_us"]) // 1000, watermark + 1)
+                self.handle.registerTimer(fires)
+                best = (*candidate, len(batch), fires)
             else:
                 best = (*max(candidate, tuple(best[:5])), int(best[5]) + len(batch), best[6])
         if late:
-            out.append((int(key[0]), "late", None, None, None, late))
-        if not done and best is not None:
+            out.append((key[0], "late", None, None, None, late))
+        if best is not None:
             self.best.update(best)
         if out:
-            yield pd.DataFrame(out, columns=self.columns())
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.best.exists():
-            yield pd.DataFrame([self.close_now(key, expiredTimerInfo.getExpiryTimeInMs())], columns=self.columns())
-        elif self.closed.exists():
-            self.closed.clear()
+        if self.best.exists() and not self.closed.exists():
+            yield pd.DataFrame([self.close_now(key, expiredTimerInfo.getExpiryTimeInMs())], columns=COLUMNS)
 
     def close_now(self, key, at: int) -> tuple:
         _, reported, _, outcome, source, n, _ = self.best.get()
         self.closed.update((int(at),))
-        self.handle.registerTimer(int(at) + self.retain_ms)
         self.best.clear()
-        return (int(key[0]), "closed", outcome, source, reported, n)
-
-    @staticmethod
-    def columns() -> list[str]:
-        return ["decision_id", "kind", "outcome", "outcome_source", "outcome_us", "events"]
+        return (key[0], "closed", outcome, source, reported, n)
 
     def close(self) -> None:
         pass
 
 
-def stream_close_outcomes(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_close_outcomes(events: DataFrame, delay: str = "0 seconds", closed: DataFrame | None = None) -> DataFrame:
     """Closing outcomes of a stream of accepted events with their decision's ``horizon_us``.
 
     Event time is ``reported_us``. A decision closes when the watermark passes
     its horizon; the winner is emitted once and events after that come out as
-    rows of kind ``late``.
+    rows of kind ``late``. Events of decisions in ``closed`` (decision_id), which
+    have an outcome already, are ignored. Ids may be numbers or text.
     """
     timed = events.withColumn("reported_at", F.timestamp_micros("reported_us")).withWatermark("reported_at", delay)
+    if closed is not None:
+        timed = timed.join(closed.select("decision_id"), "decision_id", "left_anti")
+    kind = events.schema["decision_id"].dataType.simpleString()
     return (
         timed.select(
             "decision_id", "weight", "reported_us", "event_id", "outcome", "source", "horizon_us", "reported_at"
         )
         .groupBy("decision_id")
         .transformWithStateInPandas(
-            statefulProcessor=OutcomeCloser(), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime"
+            statefulProcessor=OutcomeCloser(),
+            outputStructType=f"decision_id {kind}, kind string, outcome string, outcome_source string, "
+            "outcome_us bigint, events bigint",
+            outputMode="Append",
+            timeMode="EventTime",
         )
     )
 
