@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustlake.operators import calibration as cal
+from trustlake.functions import ledger
 from trustlake.operators import drift, governance, ranking, reports, validation
 
 
@@ -282,9 +283,8 @@ def test_as_of_both_ways(spark):
         live = [(r, v) for v, r, s, _ in versions if s != "candidate" and r <= ts]
         return max(live)[1] if live else None
 
-    for limit in (100, 3):
-        got = {r["id"]: r["as_of_version"] for r in governance.calibrator_as_of(decisions, registry, broadcast_rows=limit).collect()}
-        assert got == {i: want(ts) for i, ts in rows}
+    got = {r["id"]: r["as_of_version"] for r in governance.calibrator_as_of(decisions, registry).collect()}
+    assert got == {i: want(ts) for i, ts in rows}
 
 
 def test_migration(spark):
@@ -298,9 +298,19 @@ def test_migration(spark):
 
 
 def test_first_budget(spark):
-    assert governance.first_budget_at() == 30
-
-
+    lengths = spark.range(1, 100).select(F.col("id").alias("n"), ledger.wilson_lower(F.col("id"), F.col("id")).alias("p"))
+    earned = lengths.filter(ledger.budget(F.col("p"), F.lit(720.0), F.col("n")) > 0)
+    assert earned.agg(F.min("n")).first()[0] == 30
+
+
+def test_a_key_without_reference_keeps_its_days(spark):
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 2 == 0, "old").otherwise("new").alias("agent_id"), F.col("id").alias("ts_us"), (F.col("id") % 10 / 10).alias("p")
+    ).filter("agent_id = 'old' or ts_us >= 200")
+    got = {(r["agent_id"], r["day"]): r for r in drift.windowed_drift(rows, "p", ["agent_id"], 200, 100).collect()}
+    assert set(got) == {("old", 2), ("old", 3), ("new", 2), ("new", 3)}
+    new = got["new", 2]
+    assert (new["n_ref"], new["n_cur"], new["psi"], new["verdict"]) == (0, 50, None, "insufficient_data")
 def test_fail_closed_on_a_random_population(spark):
     rng = random.Random(99)
     rows = []

@@ -81,7 +81,6 @@ class Settings:
     judge_in_per_mtok: float = 0.60
     judge_out_per_mtok: float = 2.20
     # operational log
-    log_batch_rows: int = 200
     decisions_page_max: int = 1000
 
 

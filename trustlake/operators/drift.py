@@ -126,14 +126,15 @@ def windowed_drift(
     """Per key and day: PSI of the day against the key's fixed reference period, with the sample floor.
 
     Days are tumbling windows on ``ts_us``. The reference is folded to one
-    histogram per key, each day to another, so days never meet row by row.
+    histogram per key, each day to another, so days never meet row by row. A key
+    without reference rows keeps its days: no PSI, verdict ``insufficient_data``.
     """
     rows = decisions.select(*keys, "ts_us", F.col(value).cast("double").alias("value")).filter("value is not null")
     reference = rows.filter(F.col("ts_us") < reference_until_us)
     edges = quantile_edges(reference, keys, bins=bins)
 
     def folded(part: DataFrame, group: Sequence[str], name: str) -> DataFrame:
-        joined = spread_join(part, edges, keys, spread="ts_us")
+        joined = spread_join(part, edges, keys, spread="ts_us", how="left")
         slot = joined.withColumn("_b", bucket(F.col("value"), F.col("edges"), bins))
         return slot.groupBy(*group).agg(
             *[F.count(F.when(F.col("_b") == b, 1)).alias(f"_{name}{b}") for b in range(bins)]
@@ -142,9 +143,18 @@ def windowed_drift(
     current = rows.filter(F.col("ts_us") >= reference_until_us).withColumn(
         "day", F.floor(F.col("ts_us") / day_us).cast("bigint")
     )
-    both = folded(current, [*keys, "day"], "c").join(folded(reference, keys, "r"), list(keys))
-    measured = psi_of(both, [*keys, "day"], bins)
-    return measured.withColumn("verdict", drift_verdict(F.col("n_cur"), F.col("psi"), F.lit(None), F.lit(None)))
+    return against_reference(folded(current, [*keys, "day"], "c"), folded(reference, keys, "r"), keys, "day", bins)
+
+
+def against_reference(
+    counts: DataFrame, reference: DataFrame, keys: Sequence[str], window: str, bins: int = SETTINGS.bins
+) -> DataFrame:
+    """PSI and verdict of each key's windows (counts ``_c0`` ..) against its reference (``_r0`` ..), which may be missing."""
+    filled = counts.join(reference, list(keys), "left").fillna(0, [f"_r{b}" for b in range(bins)])
+    known = F.col("n_ref") > 0
+    measured = psi_of(filled, [*keys, window], bins).withColumn("psi", F.when(known, F.col("psi")))
+    verdict = drift_verdict(F.col("n_cur"), F.col("psi"), F.lit(None), F.lit(None))
+    return measured.withColumn("verdict", F.when(known, verdict).otherwise("insufficient_data"))
 
 
 def drift_verdict(n: Column, psi_short: Column, psi_long: Column, psi_drift: Column) -> Column:

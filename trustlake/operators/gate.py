@@ -17,7 +17,6 @@ from trustlake.config import (
 )
 from trustlake.functions import decision as dec
 from trustlake.functions import ledger, pricing
-from trustlake.operators.joins import small
 from trustlake.operators.ranking import running_sums
 
 TRUST_KEYS = ("agent_id", "action", "band", "fingerprint")
@@ -158,10 +157,10 @@ def p_wrong_or_prior(
 ) -> DataFrame:
     """Model probability, else the calibrator's base rate, else the action's prior, else the default.
 
-    ``priors`` holds one row per action; it is counted before it is broadcast.
+    ``priors`` holds one row per action.
     """
     rate = F.lit(base_rate).cast("double") if not isinstance(base_rate, Column) else base_rate
-    dim = small(priors.select("action", F.col("prior").alias("_prior")))
+    dim = priors.select("action", F.col("prior").alias("_prior"))
     return (
         decisions.join(dim, "action", "left")
         .withColumn("p_wrong", F.coalesce(model_p, rate, F.col("_prior"), F.lit(SETTINGS.default_prior)))

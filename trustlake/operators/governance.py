@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from trustlake.config import DAY_US, SETTINGS
 from trustlake.functions import decision as dec
 from trustlake.functions import ledger
-from trustlake.operators.ranking import running_sums
-
-REGISTRY_BROADCAST_ROWS = 512
 
 
 def newest_ready(registry: DataFrame, keys: Sequence[str] = ("capability_tier",)) -> DataFrame:
@@ -24,37 +21,21 @@ def newest_ready(registry: DataFrame, keys: Sequence[str] = ("capability_tier",)
 
 
 def calibrator_as_of(
-    decisions: DataFrame, registry: DataFrame, tier: str = "capability_tier", ts: str = "ts_us",
-    row_id: str = "id", broadcast_rows: int = REGISTRY_BROADCAST_ROWS,
+    decisions: DataFrame, registry: DataFrame, tier: str = "capability_tier", ts: str = "ts_us"
 ) -> DataFrame:
     """Add ``as_of_version``: the newest version of the tier ready at the decision's time.
 
-    Versions in production then and since retired both count. A registry within
-    ``broadcast_rows`` (it is counted first) travels to the decisions as one
-    sorted array per tier. A larger one is merged with the decisions in time
-    order: the number of versions seen so far is the index of the version.
+    Versions in production then and since retired both count. The registry, a few
+    releases a day at most, becomes one sorted array per tier; how the tiers reach
+    the decisions is left to the planner.
     """
     live = registry.filter(F.col("ready_us").isNotNull() & F.col("state").isin("production", "retired")).select(
         tier, "ready_us", "version"
     )
-    if live.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        arrays = live.groupBy(tier).agg(F.array_sort(F.collect_list(F.struct("ready_us", "version"))).alias("_versions"))
-        seen = F.filter("_versions", lambda v: v["ready_us"] <= F.col(ts))
-        newest = F.try_element_at(seen, F.lit(-1))["version"]
-        return (
-            decisions.join(F.broadcast(arrays), tier, "left").withColumn("as_of_version", newest).drop("_versions")
-        )
-    versions = live.select(
-        tier, F.col("ready_us").alias(ts), F.col("version").alias("_version"), F.lit(1).cast("bigint").alias("_one")
-    )
-    merged = decisions.withColumn("_one", F.lit(0).cast("bigint")).unionByName(versions, allowMissingColumns=True)
-    order = [ts, F.desc("_one"), "_version", row_id]
-    counted = running_sums(merged, [tier], order, {"_seen": F.col("_one")})
-    index = counted.filter("_one = 1").select(
-        tier, (F.col("_seen") + 1).alias("_seen"), F.col("_version").alias("as_of_version")
-    )
-    rows = counted.filter("_one = 0").drop("_version", "_one")
-    return rows.join(index, [tier, "_seen"], "left").drop("_seen")
+    arrays = live.groupBy(tier).agg(F.array_sort(F.collect_list(F.struct("ready_us", "version"))).alias("_versions"))
+    seen = F.filter("_versions", lambda v: v["ready_us"] <= F.col(ts))
+    newest = F.try_element_at(seen, F.lit(-1))["version"]
+    return decisions.join(arrays, tier, "left").withColumn("as_of_version", newest).drop("_versions")
 
 
 def mixed_version_windows(decisions: DataFrame, window: str) -> DataFrame:
@@ -160,18 +141,7 @@ def earning_curve(records: DataFrame, points: Sequence[int] = CURVE_POINTS) -> D
     )
 
 
-def first_budget_at(limit: int = 200) -> int:
-    """Smallest all-clean record with a budget, from the formula itself."""
-    import math
-
-    z = SETTINGS.z
-    for n in range(1, limit):
-        low = (1 + z * z / (2 * n) - z * math.sqrt(z * z / (4 * n * n))) / (1 + z * z / n)
-        if n >= SETTINGS.min_own_observations and low > SETTINGS.p_min:
-            return n
-    raise ValueError("no record up to the limit earns a budget")
-
-
+# fixed values: the parts that are knocked out, one at a time
 KILLS = (
     "NONE", "TIER1_UNAVAILABLE", "TIER1_PARTIAL", "SOR_UNAVAILABLE", "LEDGER_ROW_MISSING",
     "TIER2_TIMEOUT", "TIER2_UNCONFIGURED", "FEATURES_UNAVAILABLE", "CALIBRATOR_STALE",

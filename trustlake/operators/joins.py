@@ -22,11 +22,3 @@ def spread_join(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-SMALL_ROWS = 10_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``rows`` rows, which is counted first; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

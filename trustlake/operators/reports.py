@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlake.config import SETTINGS, band_table
@@ -228,6 +228,35 @@ def extreme_per_region(scored: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: route -> region, and whether large amounts come first
+ROUTES = {"release": ("act", False), "check_harder": ("close_call", False), "human_control": ("escalate", True)}
+
+
+def decision_routes(scored: DataFrame, by: str, length: str, n: int = 3) -> DataFrame:
+    """(route, n, action_n, place, id, ``by``): the examples of each route, with the route's row counts.
+
+    Refunds come first, then the smallest probability (of escalations: the largest
+    amount), then the longest reply, then the id; of every ``by`` value only the first.
+    """
+    region = F.col("region")
+    route = F.create_map(*[F.lit(x) for name, (of, _) in ROUTES.items() for x in (of, name)])[region]
+    high = [of for of, first in ROUTES.values() if first]
+    lead = F.when(region.isin(*high), -F.col("amount")).otherwise(F.coalesce("p_wrong", F.lit(0.0)))
+    acting = F.col("action") == "issue_refund"
+    rows = scored.filter(region.isin(*[of for of, _ in ROUTES.values()])).select(
+        route.alias("route"), by, "id", acting.alias("_acting"),
+        F.struct((~acting).alias("other"), lead.alias("lead"), (-F.coalesce(F.col(length), F.lit(0))).alias("shorter"), F.col("id")).alias("_order"),
+    )
+    first = rows.groupBy("route", by).agg(F.min("_order").alias("_order"), F.count("*").alias("_n"), F.count_if("_acting").alias("_a"))
+    # one row a route and ``by`` value from here on
+    route_rows = Window.partitionBy("route")
+    ranked = first.withColumns({
+        "n": F.sum("_n").over(route_rows), "action_n": F.sum("_a").over(route_rows),
+        "place": F.row_number().over(route_rows.orderBy("_order")),
+    })
+    return ranked.filter(F.col("place") <= n).select("route", "n", "action_n", "place", F.col("_order.id").alias("id"), by)
+
+
 # fixed values: the expected criteria; the last two are asserted by tests, not measured by a job
 CRITERIA = (
     (1, "Calibrated probability", None, "measured"),

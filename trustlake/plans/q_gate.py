@@ -398,10 +398,10 @@ def replayed(spark, sf, signals=False, where=None, extra=()):
 
 
 @query("replay_gate", """
-select band, verdict, count(*) as n from v_replay where action='issue_refund' group by all
+select band, verdict, count(*) as n from v_replay group by all
 """)
 def replay_gate(spark, sf):
-    rows = replayed(spark, sf, where="action = 'issue_refund'")
+    rows = replayed(spark, sf)
     return rows.groupBy("band", "verdict").agg(F.count("*").alias("n"))
 
 

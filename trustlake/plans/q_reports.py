@@ -281,14 +281,14 @@ B_KILL = "case when kill = 'LEDGER_ROW_MISSING' then 0::double else earned_budge
 with k as (select *, {P_KILL} as p2, {B_KILL} as b2, kill = 'TIER1_UNAVAILABLE' or pii_score is null or pii_score >= 0.5
     or injection_score is null or injection_score >= 0.5 or kill = 'TIER1_PARTIAL' or secret_score >= 0.5
     or coalesce(amount > hard_limit, false) as bad
-  from (select *, unnest([{KILL_LIST}]) as kill from v_funded where action = 'issue_refund') f),
+  from (select *, unnest([{KILL_LIST}]) as kill from v_funded) f),
 d as (select kill, {x.decide('p2', 'exposure', 'b2', 'bad')} as v1,
   {x.decide("case when kill in ('TIER2_TIMEOUT','TIER2_UNCONFIGURED') then p2 else p2*0.3::double end", 'exposure', 'b2', 'bad', '1')} as v2 from k),
 a as (select kill, count(*) filter (where case when v1 = 'check_harder' then v2 else v1 end = 'act') as acts, count(*) as n from d group by 1)
 select kill, acts, n, (select acts from a where kill = 'NONE') as healthy_acts, acts <= (select acts from a where kill = 'NONE') as holds from a
 """)
 def fail_closed(spark, sf):
-    rows = gate.lookup_budget(checked(spark, sf).filter("action = 'issue_refund'"), key_trust(spark, sf))
+    rows = gate.lookup_budget(checked(spark, sf), key_trust(spark, sf))
     return governance.fail_closed_check(rows.withColumnRenamed("earned_budget", "budget"))
 
 
@@ -377,19 +377,18 @@ def diversified_top_k(spark, sf):
 
 
 @query("decision_routes", """
-select id, agent_id, region from (
-  select *, row_number() over (partition by region order by p_wrong, id) as k from (
-    select id, agent_id, region, p_wrong, row_number() over (partition by region, agent_id order by p_wrong, id) as rn
-    from v_replay where action='issue_refund') r where rn = 1) t where k <= 3
+with o as (select r.id, r.agent_id, r.region, r.action = 'issue_refund' as acting, l.length,
+    case when r.region = 'escalate' then -r.amount else coalesce(r.p_wrong, 0) end as lead
+  from v_replay r left join v_length l using (id) where r.region in ('act', 'close_call', 'escalate')),
+f as (select *, row_number() over (partition by region, agent_id order by acting desc, lead, coalesce(length, 0) desc, id) as rn from o),
+n as (select region, count(*) as n, count(*) filter (where acting) as action_n from o group by 1),
+k as (select *, cast(row_number() over (partition by region order by acting desc, lead, coalesce(length, 0) desc, id) as int) as place from f where rn = 1)
+select case region when 'act' then 'release' when 'close_call' then 'check_harder' else 'human_control' end as route,
+  n, action_n, place, id, agent_id from k join n using (region) where place <= 3
 """)
 def decision_routes(spark, sf):
-    rows = replayed(spark, sf, where="action = 'issue_refund'").select("id", "agent_id", "region", "p_wrong")
-    order = [F.col("p_wrong"), F.col("id")]
-    picks = [
-        sampling.diversified_top_k(rows.filter(F.col("region") == r), "agent_id", order, 3, ["id"], top_up=False)
-        for r in ("act", "close_call", "escalate")
-    ]
-    return picks[0].unionByName(picks[1]).unionByName(picks[2]).select("id", "agent_id", "region")
+    rows = replayed(spark, sf).join(fx.view(spark, sf, "v_length").select("id", "length"), "id", "left")
+    return reports.decision_routes(rows, "agent_id", "length")
 
 
 # --- reports ----------------------------------------------------------------------

@@ -32,20 +32,17 @@ def read_turns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return turns, rows.filter(~good).select(line.alias("line"))
 
 
-def read_judgements(spark: SparkSession, path: str) -> DataFrame:
-    """One judgement per turn: the last line wins.
+def read_judgements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(one judgement per turn, the last line wins; broken lines as ``line``).
 
     Lines are ordered by file name, position of the block in the file, and line
     within the block, so "last" is well defined for a directory of files.
     """
-    rows = (
-        _read_lines(spark, path, schemas.JUDGEMENT)
-        .filter(F.col(BROKEN).isNull() & F.col("turn_id").isNotNull())
-        .withColumn("seq", F.struct(
-            F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-        ))
-    )
-    return last_judgement(rows, F.col("seq"))
+    lines = _read_lines(spark, path, schemas.JUDGEMENT)
+    good = F.col(BROKEN).isNull() & F.col("turn_id").isNotNull()
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    line = F.coalesce(F.col(BROKEN), F.to_json(F.struct(*[c for c in lines.columns if c != BROKEN])))
+    return last_judgement(lines.filter(good).withColumn("seq", place), F.col("seq")), lines.filter(~good).select(line.alias("line"))
 
 
 def last_judgement(rows: DataFrame, seq: Column) -> DataFrame:
@@ -134,14 +131,6 @@ def spill(rows: DataFrame, path: str) -> None:
     logged_columns(rows).write.mode("append").json(path)
 
 
-def spill_overflow(rows: DataFrame, capacity: int, order: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(rows that fit the log's queue, rows to spill) by position in ``order``."""
-    from trustlake.operators.ranking import global_rank
-
-    ranked = global_rank(rows, [], [order], "_rank")
-    return ranked.filter(F.col("_rank") < capacity).drop("_rank"), ranked.filter(F.col("_rank") >= capacity).drop("_rank")
-
-
 def replay_spill(log: DataFrame, spilled: DataFrame) -> DataFrame:
     """Log plus spilled rows, each id once; the log's row wins."""
     late = spilled.dropDuplicates(["id"]).join(log.select("id"), "id", "left_anti")

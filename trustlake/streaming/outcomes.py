@@ -145,14 +145,14 @@ def stream_drift_histogram(
 ) -> DataFrame:
     """Per key and tumbling window the counts on the reference's fixed edges, as a stream.
 
-    ``edges`` has one small array per key. Windows come out once, when the
+    ``edges`` has one small array per key; keys without one are counted all the same. Windows come out once, when the
     watermark has passed them; state is one row of counters per key and window.
     """
-    slot = drift.bucket(F.col(value), F.col("edges"))
+    slot = drift.bucket(F.col(value), F.col("edges"), bins)
     rows = (
         decisions.withColumn("at", F.timestamp_micros("ts_us"))
         .withWatermark("at", delay)
-        .join(edges, list(keys))
+        .join(edges, list(keys), "left")
         .withColumn("_b", slot)
     )
     return (
@@ -165,8 +165,4 @@ def stream_drift_histogram(
 
 def drift_of_histogram(histograms: DataFrame, reference: DataFrame, keys: Sequence[str], bins: int = SETTINGS.bins) -> DataFrame:
     """PSI and verdict per window from streamed counts and the reference's counts (``_r0`` ..)."""
-    joined = histograms.join(reference, list(keys))
-    measured = drift.psi_of(joined, [*keys, "window_us"], bins)
-    return measured.withColumn(
-        "verdict", drift.drift_verdict(F.col("n_cur"), F.col("psi"), F.lit(None), F.lit(None))
-    )
+    return drift.against_reference(histograms, reference, keys, "window_us", bins)
