@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trustlake import jobs
 from trustlake.functions.decision import hash_fraction_hit
-from trustlake.operators import features, models
+from trustlake.operators import models
 from trustlake.operators.gate import TRUST_KEYS
 from trustlake.plans import fixtures as fx
 from trustlake.plans import sqlx as x
@@ -65,35 +65,6 @@ def fit_policy_head(spark, sf):
     return fitted.transform(vector, "_e", "policy_score").select("vec_id", F.round("policy_score", 5).alias("policy_score"))
 
 
-@query("feature_cache", """
-select s.id as turn_id, pii_score, judge_p as judge_p_wrong, 0 as judge_p_wrong_unavailable
-from v_signal s left join v_judge j on j.turn_id = s.id
-""")
-def feature_cache(spark, sf):
-    rows = fx.view(spark, sf, "v_signal").withColumnRenamed("id", "turn_id")
-    cached = features.assemble_features(rows, F.col("ts_us"), "none").select("turn_id", "features")
-    out = features.inject_judge(cached, fx.view(spark, sf, "v_judge"))
-    return out.select("turn_id", "features.pii_score", "features.judge_p_wrong", "features.judge_p_wrong_unavailable")
-
-
-@query("read_judgements", """
-select turn_id, arg_max(p_wrong, seq) as p_wrong from (
-  select turn_id - turn_id%3 as turn_id, judge_p as p_wrong, turn_id as seq from v_judge) q group by 1
-""")
-def read_judgements(spark, sf):
-    rows = fx.view(spark, sf, "v_judge").select(
-        (F.col("turn_id") - F.col("turn_id") % 3).alias("turn_id"), F.col("judge_p").alias("p_wrong"),
-        F.col("turn_id").alias("line"),
-    )
-    return tables.last_judgement(rows, F.col("line"))
-
-
-@query("read_record", "select order_id, amount_paise, status, delivered_us from v_order")
-def read_record(spark, sf):
-    return fx.order_table(spark, sf).select("order_id", "amount_paise", "status", "delivered_us")
-
-
-
 @query("spill_replay", "select id, agent_id, p_wrong from v_decision")
 def spill_replay(spark, sf):
     """The log lost every fifth row to the spill, and some rows are in both."""

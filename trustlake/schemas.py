@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
-ORDER = "order_id bigint, customer_id bigint, amount_paise bigint, status string, placed_us bigint, delivered_us bigint"
-CHARGE = "charge_id string, order_id bigint, amount_paise bigint, charged_us bigint"
-REFUND = "refund_id string, order_id bigint, amount_paise bigint, status string, issued_us bigint, reason string"
-CUSTOMER = "id bigint, name string, email string, created_us bigint"
+# identifiers are text, as agents and the system of record write them
+ORDER = "order_id string, customer_id string, amount_paise bigint, status string, placed_us bigint, delivered_us bigint"
+CHARGE = "charge_id string, order_id string, amount_paise bigint, charged_us bigint"
+REFUND = "refund_id string, order_id string, amount_paise bigint, status string, issued_us bigint, reason string"
+CUSTOMER = "id string, name string, email string, created_us bigint"
 
 CLAIMS = "struct<order_id:string,duplicate_charge:boolean,refund_amount_paise:bigint,already_refunded:boolean>"
 ACTION = "struct<type:string,amount_paise:bigint,order_id:string>"

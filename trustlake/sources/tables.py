@@ -61,9 +61,9 @@ def read_record(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     }
 
 
-def ensure_tables(spark: SparkSession, database: str = "default") -> list[str]:
-    """Create the six operational tables where they are missing."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+def ensure_tables(spark: SparkSession, database: str = "default", location: str | None = None) -> list[str]:
+    """Create the six operational tables where they are missing; a new database is put at ``location``."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{location}'" if location else ""))
     for name, ddl in schemas.OPERATIONAL.items():
         partitioned = " PARTITIONED BY (dt, action)" if name == "decision" else ""
         columns = f"{ddl}, dt date" if name == "decision" else ddl
@@ -84,12 +84,12 @@ def logged_columns(decisions: DataFrame) -> DataFrame:
 def append_decisions(decisions: DataFrame, path: str) -> None:
     """Append to the decision log, partitioned by day and action.
 
-    Rows are spread by (day, action, hash of the id) before the write, so a hot
-    action makes several files of bounded size and never one huge task.
+    Rows are brought together by (day, action) before the write, and adaptive
+    execution splits what is too large for a file, so a hot action makes as many
+    files as its size asks for.
     """
     rows = logged_columns(decisions).withColumn("dt", utc_date(F.col("ts_us")))
-    files = F.pmod(F.xxhash64("id"), F.lit(16))
-    rows.repartition("dt", "action", files).write.mode("append").partitionBy("dt", "action").parquet(path)
+    rows.hint("rebalance", F.col("dt"), F.col("action")).write.mode("append").partitionBy("dt", "action").parquet(path)
 
 
 def write_snapshot(table: DataFrame, root: str, snapshot: int) -> str:
