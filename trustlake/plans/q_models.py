@@ -42,6 +42,73 @@ def expanding_crossfit(spark, sf):
     return out.select("id", "block", F.round("p_wrong", 6).alias("p_wrong"))
 
 
+def gradient(rows, p, vector, wrong, weights, n, c=1.0):
+    """Per coefficient (the last one is the intercept) the slope of the penalised mean loss; 0 at the optimum."""
+    k = len(weights)
+    error = F.col(p) - wrong.cast("double")
+    parts = [F.avg(error * F.col(vector)[i].cast("double")) for i in range(k)] + [F.avg(error)]
+    penalty = [w / (c * n) for w in weights] + [0.0]
+    slopes = F.array(*[F.struct(F.lit(i).alias("i"), (g + F.lit(w)).alias("g")) for i, (g, w) in enumerate(zip(parts, penalty))])
+    return rows.agg(F.explode(slopes).alias("s")).select(
+        F.col("s.i").alias("coefficient"), F.round(F.abs(F.col("s.g")), 5).alias("slope")
+    )
+
+
+def no_slope(parts: int) -> str:
+    return f"select cast(i as integer) as coefficient, cast(0 as double) as slope from range({parts}) r(i)"
+
+
+@query("fit_calibrator_optimum", no_slope(5))
+def fit_calibrator_optimum(spark, sf):
+    """The fitted calibrator has no slope left in any coefficient, summed over all labelled rows."""
+    rows = vectors(spark, sf).filter("outcome is not null")
+    fitted = models.fit_calibrator(rows, "vector", is_wrong())
+    return gradient(fitted.transform(rows, "vector"), "p_wrong", "vector", is_wrong(), list(fitted.model.coefficients), fitted.n)
+
+
+@query("fit_policy_head_optimum", no_slope(65))
+def fit_policy_head_optimum(spark, sf):
+    rows = fx.table(spark, sf, "embeddings").withColumn("_e", F.transform("embedding", lambda v: v.cast("double")))
+    wrong = F.col("label") < 2
+    fitted = models.fit_policy_head(rows, "embedding", wrong)
+    return gradient(fitted.transform(rows, "_e"), "p_wrong", "_e", wrong, list(fitted.model.coefficients), fitted.n)
+
+
+@query("crossfit_base_block", """
+with b as (select id, outcome, least(4, (row_number() over (order by ts_us, id) - 1) // greatest(1, (select count(*) from v_decision) // 5)) as block
+  from v_decision)
+select id, round((select avg(case when outcome = 'wrong' then 1 else 0 end) from b where outcome in ('clean', 'wrong')), 9) as p_wrong
+from b where block = 0
+""")
+def crossfit_base_block(spark, sf):
+    """The first block of the cross-fit has no past and carries the base rate."""
+    out = models.expanding_crossfit(vectors(spark, sf), "vector", "ts_us", "id")
+    return out.filter("block = 0").select("id", F.round("p_wrong", 9).alias("p_wrong"))
+
+
+PLATT_X = f"ln(greatest({x.d(1e-6)}, least({x.d(1 - 1e-6)}, p_wrong)) / (1 - greatest({x.d(1e-6)}, least({x.d(1 - 1e-6)}, p_wrong))))"
+
+
+@query("fit_platt_steps", f"""
+with recursive f as (
+  select agent_id, {PLATT_X} as x, count(*)::double as n, count(*) filter (where outcome = 'wrong')::double as w
+  from v_decision where outcome is not null group by all),
+s(agent_id, step, a, b) as (
+  select distinct agent_id, 0, 1::double, 0::double from f
+  union all
+  select s.agent_id, s.step + 1,
+    any_value(s.a) - 0.1::double * sum((f.n / (1 + exp(-(s.a * f.x + s.b))) - f.w) * f.x) / sum(f.n),
+    any_value(s.b) - 0.1::double * sum(f.n / (1 + exp(-(s.a * f.x + s.b))) - f.w) / sum(f.n)
+  from s join f using (agent_id) where s.step < 20 group by s.agent_id, s.step)
+select agent_id, round(a, 5) as a, round(b, 5) as b from s where step = 20
+""")
+def fit_platt_steps(spark, sf):
+    """Twenty steps of the Platt fit, checked against the same steps in SQL."""
+    rows = fx.view(spark, sf, "v_decision").filter("outcome is not null")
+    out = models.fit_platt(rows, ["agent_id"], "p_wrong", is_wrong(), iterations=20)
+    return out.select("agent_id", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"))
+
+
 @query("time_blocks", """
 select id, cast(least(4, (row_number() over (order by ts_us, id) - 1) // greatest(1, (select count(*) from v_decision) // 5)) as integer) as block
 from v_decision

@@ -30,8 +30,9 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} as materialized (\n{body}\n)" for name, body in found.items())
     body = sql.strip()
-    if body[:4].lower() == "with":
-        return f"with {ctes},\n{body[4:].lstrip()}"
+    for opening in ("with recursive", "with"):
+        if body.lower().startswith(opening):
+            return f"{opening} {ctes},\n{body[len(opening):].lstrip()}"
     return f"with {ctes}\n{body}"
 
 
