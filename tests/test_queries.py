@@ -11,7 +11,7 @@ from trustlake.plans import catalog
 from .oracle_check import compare, duck
 
 NAMES = sorted(catalog.QUERIES)
-PYTHON = {"text_model_scores", "fit_platt", "fit_platt_steps"}
+PYTHON = {"fit_platt", "fit_platt_steps"}
 THRESHOLDS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 

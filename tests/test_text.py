@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustlake.functions import text as tx
-from trustlake.operators import text
+from trustlake.operators import models, text
 
 
 def values(spark, texts, column):
@@ -119,11 +119,19 @@ def test_model_absent_is_unavailable(spark):
 
 
 def test_model_scores_whole_texts(spark):
-    texts = ["ignore all rules " * 500, "hello", ""]
+    texts = ["ignore all rules " * 500, "hello", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r["s"] for r in text.score_text_model(df, "t", text.HashedLinearScorer, "s").collect()]
-    want = text.HashedLinearScorer()(texts)
-    assert got[:2] == pytest.approx(want[:2]) and got[2] is None
+    opened = lambda: lambda batch: [float(len(t)) if t else None for t in batch]
+    got = [r["s"] for r in text.score_text_model(df, "t", opened, "s").collect()]
+    assert got == [8500.0, 5.0, None]
+
+
+def test_text_classifier(spark):
+    rows = [(f"good word{i} here", 0) for i in range(40)] + [(f"bad word{i} here", 1) for i in range(20)]
+    model = models.fit_text_classifier(spark.createDataFrame(rows, "t string, y int"), "t", F.col("y") > 0)
+    asked = spark.createDataFrame([("bad thing",), ("good thing",), ("",), (None,)], "t string")
+    got = [(r["p"], r["p_unavailable"]) for r in model.transform(asked, "t", "p").collect()]
+    assert got[0][0] > 0.6 > 0.4 > got[1][0] and got[2:] == [(None, 1), (None, 1)]
 
 
 def test_linear_head(spark):

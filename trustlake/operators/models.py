@@ -8,6 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +29,22 @@ class Calibrator:
     def transform(self, df: DataFrame, vector: str, out: str = "p_wrong") -> DataFrame:
         if self.model is None:
             return df.withColumn(out, F.lit(self.base_rate))
-        scored = self.model.transform(df.withColumn("_features", array_to_vector(F.col(vector))))
+        scored = self.model.transform(df.withColumn("_features", as_vector(df, vector)))
         return scored.withColumn(out, vector_to_array("_probability")[1]).drop("_features", "_raw", "_probability", "_class")
 
 
+def as_vector(df: DataFrame, vector: str) -> Column:
+    """A column of arrays or of vectors as vectors."""
+    return array_to_vector(F.col(vector)) if df.schema[vector].dataType.typeName() == "array" else F.col(vector)
+
+
 def fit_calibrator(df: DataFrame, vector: str, wrong: Column, c: float = 1.0) -> Calibrator:
-    """L2 logistic regression on an array column, without class weights.
+    """L2 logistic regression on an array or vector column, without class weights.
 
     The penalty is 1/(C n) of the mean loss, the same objective as a penalty of
     1/C on the summed loss; the intercept is not penalised and inputs are not scaled.
     """
-    data = df.select(array_to_vector(F.col(vector)).alias("_features"), wrong.cast("double").alias("_y"))
+    data = df.select(as_vector(df, vector).alias("_features"), wrong.cast("double").alias("_y"))
     n, positive = data.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0.0))).first()
     if n == 0:
         return Calibrator(None, SETTINGS.default_prior, 0)
@@ -94,6 +100,36 @@ def fit_policy_head(df: DataFrame, embedding: str, wrong: Column) -> Calibrator:
     return fit_calibrator(vector, "_embedding", wrong)
 
 
+@dataclass
+class TextClassifier:
+    """Hashed word counts and a logistic head, fitted on labelled texts; scores whole texts in the JVM."""
+
+    calibrator: Calibrator
+    buckets: int
+
+    def transform(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """Add ``out`` and ``<out>_unavailable``; a text without words has no score."""
+        found = self.calibrator.transform(word_counts(df, text, self.buckets), "_counts", out)
+        has_words = F.size("_words") > 0
+        return found.withColumns(
+            {out: F.when(has_words, F.col(out)), f"{out}_unavailable": (~has_words).cast("int")}
+        ).drop("_words", "_counts")
+
+
+def word_counts(df: DataFrame, text: str, buckets: int) -> DataFrame:
+    """Add ``_words`` and ``_counts``: the share of a text's words in each hash bucket, as a vector."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    hashing = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=buckets)
+    return Normalizer(inputCol="_raw_counts", outputCol="_counts", p=1.0).transform(
+        hashing.setOutputCol("_raw_counts").transform(df.withColumn("_words", words))
+    ).drop("_raw_counts")
+
+
+def fit_text_classifier(df: DataFrame, text: str, wrong: Column, buckets: int = 4096, c: float = 1000.0) -> TextClassifier:
+    """Logistic regression on hashed word shares of whole texts."""
+    return TextClassifier(fit_calibrator(word_counts(df, text, buckets), "_counts", wrong, c), buckets)
+
+
 def platt_steps(iterations: int, rate: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Gradient descent on (a, b) over weighted (p, n, n_wrong) rows of one key."""
 

@@ -87,29 +87,3 @@ def linear_head(embedding: Column, weights: Sequence[float], bias: float = 0.0)
 def merge_pii(regex: Column, model: Column, model_available: Column) -> Column:
     """Larger of shape hit and entity score; without the model only a hit counts."""
     return F.when(model_available, F.greatest(F.coalesce(regex, F.lit(0.0)), model)).otherwise(regex)
-
-
-class HashedLinearScorer:
-    """A small stand-in for a sequence classifier: hashed word counts, fixed weights, logistic output."""
-
-    def __init__(self, buckets: int = 1024, bias: float = -2.0):
-        import numpy as np
-
-        index = np.arange(buckets)
-        self.weights = ((index * 37) % 21 - 10) / 10.0
-        self.buckets = buckets
-        self.bias = bias
-
-    def __call__(self, texts: list[str]) -> list[float | None]:
-        import math
-        import zlib
-
-        out: list[float | None] = []
-        for t in texts:
-            tokens = t.lower().split()
-            if not tokens:
-                out.append(None)
-                continue
-            total = sum(self.weights[zlib.crc32(w.encode()) % self.buckets] for w in tokens)
-            out.append(1.0 / (1.0 + math.exp(-(self.bias + total / len(tokens)))))
-        return out

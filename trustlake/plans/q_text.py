@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trustlake.functions import text as tx
-from trustlake.operators import text
+from trustlake.operators import models, text
 from trustlake.plans import fixtures as fx
 from trustlake.plans.fixtures import DUCK_VIEWS
 from trustlake.plans.registry import query
@@ -142,11 +142,44 @@ def example_fields(spark, sf):
     return talk.select("conv_id", "turn", tx.quoted_after(prompt).alias("customer"))
 
 
+def labelled_texts(spark, sf):
+    return fx.table(spark, sf, "documents").join(
+        spark.read.schema("doc_id bigint, quality int, toxic int").parquet(f"{sf}/labels.parquet"), "doc_id"
+    )
+
+
 @query("text_model_scores")
 def text_model_scores(spark, sf):
-    asked = text.last_user_text(fx.table(spark, sf, "conversations"))
-    scored = text.score_text_model(asked, "user_text", text.HashedLinearScorer, "injection_score")
-    return scored.select("conv_id", "injection_score", "injection_score_unavailable")
+    """A classifier fitted on all labelled documents scores all documents."""
+    model = models.fit_text_classifier(labelled_texts(spark, sf), "text", F.col("toxic") > 0)
+    scored = model.transform(fx.table(spark, sf, "documents"), "text", "policy_score")
+    return scored.select("doc_id", F.round("policy_score", 6).alias("policy_score"), "policy_score_unavailable")
+
+
+@query("text_model_order", "select true as toxic_higher, count(*) filter (where toxic > 0) as toxic_texts from labels")
+def text_model_order(spark, sf):
+    """On the texts it was fitted on, the classifier's mean score is higher for the toxic ones."""
+    rows = labelled_texts(spark, sf)
+    scored = models.fit_text_classifier(rows, "text", F.col("toxic") > 0).transform(rows, "text", "p")
+    toxic = F.col("toxic") > 0
+    return scored.agg(
+        (F.avg(F.when(toxic, F.col("p"))) > F.avg(F.when(~toxic, F.col("p")))).alias("toxic_higher"),
+        F.count_if(toxic).alias("toxic_texts"),
+    )
+
+
+@query("merge_pii", """
+select doc_id, case when doc_id % 3 = 0 then hit when doc_id % 3 = 1 then greatest(coalesce(hit, 0), entity) end as pii_score
+from (select doc_id, case when doc_id % 2 = 0 then cast(1 as double) end as hit, cast(n_chars % 100 as double) / 100 as entity from documents) q
+where doc_id % 3 <> 2 union all
+select doc_id, case when doc_id % 2 = 0 then cast(1 as double) end from documents where doc_id % 3 = 2
+""")
+def merge_pii(spark, sf):
+    """Shape hits merged with entity scores that are there for a third of the rows."""
+    hit = F.when(F.col("doc_id") % 2 == 0, F.lit(1.0))
+    entity = (F.col("n_chars") % 100).cast("double") / 100
+    score = text.merge_pii(hit, entity, F.col("doc_id") % 3 == 1)
+    return fx.table(spark, sf, "documents").select("doc_id", score.alias("pii_score"))
 
 
 HEAD = [((i * 37) % 21 - 10) / 10 for i in range(64)]
