@@ -48,13 +48,29 @@ def test_command_line(spark, night, tmp_path, capsys):
     events.write.parquet(f"{tmp_path}/e")
     args = ["--decisions", f"{tmp_path}/d", "--events", f"{tmp_path}/e", "--trust", f"{tmp_path}/t", "--as-of", "0.001"]
     assert jobs.main([*args, "--dry-run"]) == 0 and tables.snapshots(spark, f"{tmp_path}/t") == []
+    capsys.readouterr()
     assert jobs.main(args) == 0 and jobs.main(args) == 0
     assert tables.snapshots(spark, f"{tmp_path}/t") == [1, 2]
-    assert "closed 1 outcomes, 1 trust rows, 1 keys" in capsys.readouterr().out
+    said = capsys.readouterr().out.splitlines()
+    assert [x[:17] for x in said] == ["closed 1 outcomes", "closed 0 outcomes"] and "1 trust rows, 1 keys" in said[1]
     with pytest.raises(SystemExit):
         jobs.main(args[:-2])
 
 
+def test_a_closed_outcome_stays(spark, night, tmp_path):
+    decisions, events = night
+    root = f"{tmp_path}/t"
+    jobs.run_nightly(spark, decisions, events, root, 1000)
+    heavier = spark.createDataFrame([(3, 200, 900, "clean", "human_override", 1.0, None)], EVENTS)
+    out = jobs.run_nightly(spark, decisions, events.unionByName(heavier), root, 10_000)
+    assert [r["decision_id"] for r in out["closed"].collect()] == [201]
+    closed = {r["decision_id"]: (r["outcome"], r["closed_us"]) for r in tables.read_snapshot(spark, f"{root}-closed").collect()}
+    assert closed == {200: ("wrong", 1000), 201: ("wrong", 10_000)}
+    assert {r["event_id"]: r["processed_us"] for r in out["events"].collect()} == {1: 1000, 2: 10_000, 3: 1000}
+    assert out["trust"].first()["n_own_raw"] == 122
+    assert tables.read_snapshot(spark, f"{root}-drift").first()["run_us"] == 10_000
+
+
 def test_bootstrap(spark):
     rows = spark.range(400).select(
         "id", (F.col("id") * 10).alias("ts_us"), F.lit("issue_refund").alias("action"), F.lit(5000.0).alias("amount"),

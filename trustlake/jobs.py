@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.config import SETTINGS
@@ -27,9 +27,10 @@ def nightly(
     ``resume_breaker`` continues from the stored breaker state; by default every
     run starts from an untripped breaker.
     """
-    closed = outcomes.resolve_outcomes(events, decisions, as_of_us)
+    # both are read more than once below
+    closed = durable(outcomes.resolve_outcomes(events, decisions, as_of_us))
     after = outcomes.apply_outcomes(decisions, closed)
-    rows = trust.recompute_trust(after, as_of_us, prior=old_trust if resume_breaker else None)
+    rows = durable(trust.recompute_trust(after, as_of_us, prior=old_trust if resume_breaker else None))
     checks = rows.select(
         *gate.TRUST_KEYS,
         F.col("n_decisions").alias("n_observations"),
@@ -99,27 +100,53 @@ def close_call_delta(new_report: DataFrame, old_report: DataFrame) -> Column:
     return F.lit(values[0] - values[1])
 
 
+def run_nightly(
+    spark: SparkSession, decisions: DataFrame, events: DataFrame, root: str, as_of_us: int, dry_run: bool = False
+) -> dict[str, DataFrame]:
+    """One nightly run on the state under ``root``, and the next numbered state written there.
+
+    The state is what the runs have decided, not a copy of the large tables: all
+    closed outcomes (``closed``), one row a decision, the trust rows, and the run's
+    drift log. Earlier closings are laid over the decisions and mark their events
+    as processed before anything is computed, so nothing closes twice and no later
+    reference time picks another winner. The trust snapshot is written last; a run
+    that broke off before has no number and is done again.
+    """
+    done = tables.snapshots(spark, root)
+    old = tables.read_snapshot(spark, root)
+    before = spark.read.parquet(f"{root}-closed/snapshot={done[-1]}") if done else None
+    if before is not None:
+        decisions = outcomes.apply_outcomes(decisions, before)
+        marks = before.select("decision_id", F.col("closed_us").alias("_done"))
+        events = (
+            events.join(marks, "decision_id", "left")
+            .withColumn("processed_us", F.coalesce("processed_us", "_done"))
+            .select(*events.columns)
+        )
+    out = nightly(decisions, events, as_of_us, old)
+    if not dry_run:
+        number = done[-1] + 1 if done else 1
+        closed = out["closed"].withColumn("closed_us", F.lit(as_of_us))
+        tables.write_snapshot(closed if before is None else before.unionByName(closed), f"{root}-closed", number)
+        tables.write_snapshot(out["drift_checks"].withColumn("run_us", F.lit(as_of_us)), f"{root}-drift", number)
+        tables.write_snapshot(out["trust"], root, number)
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="trustlake.jobs")
     parser.add_argument("--as-of", type=float, required=True, help="reference time in epoch seconds")
     parser.add_argument("--decisions", required=True)
     parser.add_argument("--events", required=True)
-    parser.add_argument("--trust", required=True, help="root folder of the trust snapshots")
+    parser.add_argument("--trust", required=True, help="root folder of the state")
     parser.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
 
     spark = build_session("trustlake-nightly")
-    as_of_us = int(args.as_of * 1_000_000)
-    old = tables.read_snapshot(spark, args.trust)
-    out = nightly(spark.read.parquet(args.decisions), spark.read.parquet(args.events), as_of_us, old)
-    rows = durable(out["trust"])
-    if not args.dry_run:
-        done = tables.snapshots(spark, args.trust)
-        number = done[-1] + 1 if done else 1
-        tables.write_snapshot(rows, args.trust, number)
-        out["closed"].write.mode("overwrite").parquet(f"{args.trust}-closed/snapshot={number}")
+    inputs = spark.read.parquet(args.decisions), spark.read.parquet(args.events)
+    out = run_nightly(spark, *inputs, args.trust, int(args.as_of * 1_000_000), args.dry_run)
     checked = out["drift_checks"].filter("verdict = 'checked'").count()
-    print(f"closed {out['closed'].count()} outcomes, {rows.count()} trust rows, {checked} keys with enough rows for drift")
+    print(f"closed {out['closed'].count()} outcomes, {out['trust'].count()} trust rows, {checked} keys with enough rows for drift")
     return 0
 
 
