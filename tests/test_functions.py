@@ -192,3 +192,14 @@ def test_reason_texts(spark):
     assert reason("act", 30.0) == "action exposure is below the cost of human review"
     assert reason("act", 100.0) == "expected loss 10.00 is within earned budget 20.00 for issue_refund in 0-2k"
     assert reason("escalate", 400.0).endswith("human control is retained")
+
+
+def test_quoted_is_ascii_json(spark):
+    import json
+
+    from trustlake.functions.ledger import _quoted
+
+    texts = ["plain", 'a "b" \\ c', "tab\t nl\n cr\r bs\b ff\f nul\x00 esc\x1b del\x7f", "äß é 中文", "😀 and 𝄞", "", "~[]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["q"] for r in df.select("i", _quoted(F.col("t")).alias("q")).collect()}
+    assert got == {i: json.dumps(t) for i, t in enumerate(texts)}

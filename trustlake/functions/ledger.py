@@ -67,10 +67,28 @@ def platt(p: Column, a: Column | float, b: Column | float) -> Column:
     return 1 / (1 + F.exp(-(a * F.ln(clipped / (1 - clipped)) + b)))
 
 
+# fixed values: the short escapes of JSON strings, by code point
+SHORT_ESCAPES = {34: '\\"', 92: "\\\\", 8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+
+
 def _quoted(text: Column) -> Column:
-    """JSON string literal; the parts of a fingerprint are ASCII by contract."""
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """JSON string literal in ASCII: control characters and all beyond ASCII as \\uXXXX, pairs beyond U+FFFF."""
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        beyond = code - 0x10000
+        out = F.when(code.between(32, 126) & ~code.isin(34, 92), c)
+        for short, text_of in SHORT_ESCAPES.items():
+            out = out.when(code == short, F.lit(text_of))
+        out = out.when(code < 0x10000, unit(code))
+        return out.otherwise(F.concat(unit(0xD800 + F.shiftright(beyond, 10)), unit(0xDC00 + beyond.bitwiseAND(0x3FF))))
+
+    plain = ~text.rlike(r'[^ !#-\[\]-~]')
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c == "", c).otherwise(escaped(c))), "")
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(spelled), F.lit('"'))
 
 
 def fingerprint(model: Column, prompt: Column, tools: Column, sensors: Column, calibrator: Column) -> Column:
