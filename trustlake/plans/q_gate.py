@@ -45,7 +45,7 @@ select *, {x.budget('p_lo', 'ceiling', 'total')} as budget from (
   select *, {x.wilson_low('clean', 'total')} as p_lo, {x.ceiling('action', 'band')} as ceiling from (
     select agent_id, action, band, fingerprint, count(*) filter (where outcome='clean') as clean,
       count(*) filter (where outcome in ('clean','wrong')) as total
-    from v_decision where action='issue_refund' and band<>'over_limit' group by all) a) b"""
+    from v_decision where action in ('issue_refund', 'send_bulk_email') and band<>'over_limit' group by all) a) b"""
 DUCK_VIEWS["v_funded"] = f"""
 select v.*, coalesce(k.budget, {x.d(0)}) as earned_budget from v_checked v
 left join v_key k using (agent_id, action, band, fingerprint)"""
@@ -91,11 +91,11 @@ def checked(spark, sf):
 
 
 def key_trust(spark, sf):
-    """Unweighted trust per key from all labels."""
+    """Unweighted trust per key from all labels; without a number of recipients an email earns no budget."""
     labelled = F.col("outcome").isin(*OUTCOMES)
     counts = (
         fx.view(spark, sf, "v_decision")
-        .filter("action = 'issue_refund' and band <> 'over_limit'")
+        .filter("action in ('issue_refund', 'send_bulk_email') and band <> 'over_limit'")
         .groupBy("agent_id", "action", "band", "fingerprint")
         .agg(F.count(F.when(F.col("outcome") == "clean", 1)).alias("clean"), F.count(F.when(labelled, 1)).alias("total"))
     )

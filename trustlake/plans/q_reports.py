@@ -260,16 +260,19 @@ POINTS = ", ".join(str(p) for p in governance.CURVE_POINTS)
 
 
 @query("earning_curve", f"""
-select agent_id, band, n, p_lo, budget, budget / ceiling as share from (
+select agent_id, action, band, n, p_lo, coalesce(budget, 0) as budget, coalesce(budget, 0) / ceiling as share from (
   select *, {x.budget('p_lo', 'ceiling', 'n')} as budget from (
-    select *, {x.wilson_low('n', 'n')} as p_lo, {x.ceiling("'issue_refund'", 'band')} as ceiling from (
-      select agent_id, band, clean, unnest([{POINTS}])::bigint as n from (
-        select agent_id, band, sum(clean)::bigint as clean from v_key group by 1, 2) s) a where n <= clean) b) c
+    select *, {x.wilson_low('n', 'n')} as p_lo, {x.ceiling('action', 'band')} as ceiling from (
+      select agent_id, action, band, clean, unnest([{POINTS}])::bigint as n from (
+        select agent_id, action, band, sum(clean)::bigint as clean from v_key group by 1, 2, 3) s) a where n <= clean) b) c
 """)
 def earning_curve(spark, sf):
     records = key_trust(spark, sf).groupBy("agent_id", "action", "band").agg(F.sum("clean").alias("n_clean"))
     rows = pricing.with_action_terms(records).withColumn("ceiling", pricing.ceiling(F.col("band")))
-    return governance.earning_curve(rows).select("agent_id", "band", "n", "p_lo", "budget", "share")
+    return governance.earning_curve(rows).select(
+        "agent_id", "action", "band", "n", "p_lo", F.coalesce("budget", F.lit(0.0)).alias("budget"),
+        (F.coalesce("budget", F.lit(0.0)) / F.col("ceiling")).alias("share"),
+    )
 
 
 KILL_LIST = ", ".join(f"'{k}'" for k in governance.KILLS)
