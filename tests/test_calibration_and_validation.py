@@ -335,3 +335,17 @@ def test_criteria_status(spark):
     reports_df = spark.createDataFrame([(2, False, "x")], "criterion int, passed boolean, evidence string")
     got = {r["criterion"]: (r["passed"], r["evidence"]) for r in reports.criteria_status(reports_df).collect()}
     assert got[2] == (False, "x") and got[1] == (None, "not run yet") and got[6] == (True, None)
+
+
+def test_policy_head_never_scores_its_own_rows(spark):
+    from trustlake.operators import models
+
+    # the embedding gives the label away from row 60 on only
+    rows = spark.range(100).select(
+        "id", F.col("id").alias("ts_us"), F.when(F.col("id") % 2 == 0, "wrong").otherwise("clean").alias("outcome"),
+        F.when(F.col("id") != 99, F.array(F.when((F.col("id") >= 60) & (F.col("id") % 2 == 0), 4.0).otherwise(0.0))).alias("e"),
+    )
+    got = {r["id"]: (r["policy_score"], r["policy_score_unavailable"]) for r in models.crossfit_policy_head(rows, "e", "ts_us", "id").collect()}
+    assert len(got) == 100 and all(got[i] == (None, 1) for i in [*range(20), 99])
+    assert all(abs(got[i][0] - 0.5) < 0.01 for i in range(20, 80))  # the past knows nothing, also of rows 60 to 79
+    assert all((got[i][0] > 0.7) == (i % 2 == 0) for i in range(80, 99))

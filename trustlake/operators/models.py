@@ -100,6 +100,32 @@ def fit_policy_head(df: DataFrame, embedding: str, wrong: Column) -> Calibrator:
     return fit_calibrator(vector, "_embedding", wrong)
 
 
+def crossfit_policy_head(
+    df: DataFrame, embedding: str, ts_us: str, row_id: str, out: str = "policy_score", blocks: int = SETTINGS.crossfit_blocks
+) -> DataFrame:
+    """Add ``out`` and ``<out>_unavailable``: every block scored by a head that saw earlier blocks only.
+
+    A head that scored its own training rows would hand the calibrator labels in
+    disguise. The first block, blocks whose past has one class only, and rows without
+    an embedding have no score.
+    """
+    wrong = F.col("outcome") == "wrong"
+    vector = F.transform(embedding, lambda v: v.cast("double"))
+    rows = durable(time_blocks(df, ts_us, row_id, blocks).withColumn("_embedding", vector))
+    usable = F.col("_embedding").isNotNull()
+    parts = [rows.filter(~usable | (F.col("block") == 0)).withColumn(out, F.lit(None).cast("double"))]
+    for b in range(1, blocks):
+        past = rows.filter(usable & F.col("outcome").isin("clean", "wrong") & (F.col("block") < b))
+        fitted = fit_calibrator(past, "_embedding", wrong)
+        here = rows.filter(usable & (F.col("block") == b))
+        scored = here.withColumn(out, F.lit(None).cast("double")) if fitted.model is None else fitted.transform(here, "_embedding", out)
+        parts.append(scored.select(parts[0].columns))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.withColumn(f"{out}_unavailable", F.col(out).isNull().cast("int")).drop("_embedding")
+
+
 @dataclass
 class TextClassifier:
     """Hashed word counts and a logistic head, fitted on labelled texts; scores whole texts in the JVM."""

@@ -74,6 +74,20 @@ def fit_policy_head_optimum(spark, sf):
     return gradient(fitted.transform(rows, "_e"), "p_wrong", "_e", wrong, list(fitted.model.coefficients), fitted.n)
 
 
+@query("crossfit_policy_head", """
+select id, block, case when block = 0 then 1 else 0 end as policy_score_unavailable from (
+  select id, cast(least(4, (row_number() over (order by ts_us, id) - 1) // greatest(1, count(*) over () // 5)) as integer) as block
+  from v_decision join embeddings on vec_id = id) q
+""")
+def crossfit_policy_head(spark, sf):
+    """Every block after the first has a score of a head fitted on the blocks before it."""
+    rows = fx.view(spark, sf, "v_decision").select("id", "ts_us", "outcome").join(
+        fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id"
+    )
+    out = models.crossfit_policy_head(rows, "embedding", "ts_us", "id")
+    return out.select("id", "block", "policy_score_unavailable")
+
+
 @query("crossfit_base_block", """
 with b as (select id, outcome, least(4, (row_number() over (order by ts_us, id) - 1) // greatest(1, (select count(*) from v_decision) // 5)) as block
   from v_decision)
