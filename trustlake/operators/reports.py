@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustlake.config import SETTINGS, band_table
+from trustlake.config import ACTIONS, SETTINGS, band_table
 from trustlake.functions import decision as dec
 from trustlake.functions import ledger, pricing
+from trustlake.functions import text as tx
 from trustlake.operators.ranking import nearest_rank, order_statistics, upper_median
 
 HELD = ("escalate", "close_call")
@@ -257,6 +258,28 @@ def decision_routes(scored: DataFrame, by: str, length: str, n: int = 3) -> Data
     return ranked.filter(F.col("place") <= n).select("route", "n", "action_n", "place", F.col("_order.id").alias("id"), by)
 
 
+def example_rows(turns: DataFrame) -> DataFrame:
+    """One row a turn for display: what the customer and the agent said, the action, its price band and the outcome.
+
+    An amount above the refund limit has no band; a turn without an amount counts as 0.
+    """
+    limit = next(row[9] for row in ACTIONS if row[0] == "issue_refund")
+    amount = F.coalesce(F.col("action.amount_paise"), F.lit(0)) / 100.0
+    return turns.select(
+        "turn_id",
+        "scenario",
+        tx.quoted_after(F.coalesce("prompt", F.lit(""))).alias("customer"),
+        tx.strip(F.coalesce("reply_text", F.lit(""))).alias("reply"),
+        F.col("action.type").alias("action"),
+        amount.alias("amount"),
+        F.when(amount <= limit, pricing.band_of(amount)).alias("band"),
+        "p_wrong",
+        "region",
+        "outcome",
+        F.coalesce("outcome_reasons", F.array().cast("array<string>")).alias("reasons"),
+    )
+
+
 # fixed values: the expected criteria; the last two are asserted by tests, not measured by a job
 CRITERIA = (
     (1, "Calibrated probability", None, "measured"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trustlake.operators import record
+from trustlake.operators import record, reports
 from trustlake.plans import fixtures as fx
 from trustlake.plans.fixtures import DAY, DUCK_VIEWS
 from trustlake.plans.registry import query
@@ -136,3 +136,26 @@ def render_context(spark, sf):
     lines = record.ledger_lines(fx.view(spark, sf, "v_charge"), fx.view(spark, sf, "v_refund"))
     out = record.render_context(turns, F.col("true_order"), fx.order_table(spark, sf), lines)
     return out.select("turn_id", "context")
+
+
+@query("example_rows", """
+select turn_id, 's' || (turn_id % 5) as scenario, 'my order ' || turn_id as customer, 'done ' || turn_id as reply, act_type as action,
+  cast(act_amount * 1000 as double) / 100 as amount,
+  case when act_amount * 10 > 200000 or act_amount < 0 then null when act_amount * 10 < 2000 then '0-2k'
+    when act_amount * 10 < 10000 then '2k-10k' when act_amount * 10 < 50000 then '10k-50k' else '50k+' end as band,
+  p_wrong, r.region, d.outcome, case when turn_id % 2 = 0 then 'late' else '' end as reasons
+from v_claim c join v_decision d on d.id = c.turn_id join v_replay r on r.id = c.turn_id
+""".replace("p_wrong, r.region", "d.p_wrong, r.region"))
+def example_rows(spark, sf):
+    from trustlake.plans.q_gate import replayed
+
+    t = F.col("turn_id").cast("string")
+    regions = replayed(spark, sf).select(F.col("id").alias("turn_id"), "p_wrong", "region", "outcome")
+    turns = fx.claim_turns(spark, sf).join(regions, "turn_id").withColumns({
+        "scenario": F.concat(F.lit("s"), (F.col("turn_id") % 5).cast("string")),
+        "prompt": F.concat(F.lit("Policy.\n\nCustomer says: 'my order "), t, F.lit("'\nReview.")),
+        "reply_text": F.concat(F.lit("  done "), t, F.lit("\n")),
+        "action": F.col("action").withField("amount_paise", F.col("action.amount_paise") * 1000),
+        "outcome_reasons": F.when(F.col("turn_id") % 2 == 0, F.array(F.lit("late"))),
+    })
+    return reports.example_rows(turns).withColumn("reasons", F.array_join("reasons", ","))
