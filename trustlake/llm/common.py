@@ -20,6 +20,9 @@ from trustlake.session import checkpoint_dir
 #: The same words as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch that are worked on at a time; what a task holds besides follows from it.
+PART_BYTES = 4 << 20
+
 Columns = Callable[[Iterator[pa.RecordBatch]], Iterable[tuple[pa.RecordBatch, list[pa.Array]]]]
 
 
@@ -38,6 +41,14 @@ def bytes_or_empty(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``PART_BYTES``, without copying; one long row is a run of its own."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * min(1.0, PART_BYTES / max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def adding(df: DataFrame, added: T.StructType, columns: Columns) -> DataFrame:
     """``df`` with the fields ``added``, which ``columns`` makes from its Arrow batches, one pass and no shuffle."""
     names = [f.name for f in added]
@@ -46,7 +57,7 @@ def adding(df: DataFrame, added: T.StructType, columns: Columns) -> DataFrame:
     arrow = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, made in columns(batches):
+        for batch, made in columns(parts(batches)):
             old = [(f, batch.column(i)) for i, f in enumerate(batch.schema) if f.name not in names]
             fields = [f for f, _ in old] + list(arrow)
             yield pa.RecordBatch.from_arrays([a for _, a in old] + made, schema=pa.schema(fields))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustlake.llm.common import adding, text_or_empty
+from trustlake.llm.common import adding, parts, text_or_empty
 
 # Elements by their role in HTML, and usual names of what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,7 +190,7 @@ def tokens(pages: DataFrame, html: str = "html") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in parts(batches):
             sums: dict[tuple[str, str], list[int]] = {}
             for of, page in zip(batch.column("host").to_pylist(), text_or_empty(batch.column(html))):
                 texts, counts = runs(page)
