@@ -289,12 +289,11 @@ def first_of_near_copies(
         prints.join(of, "print", "left")
         .groupBy(F.coalesce("component", "print").alias("class"))
         .agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest")).alias("first"))
-        .select(F.col("first.id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"))
-    )
-    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
-    return (
-        df.withColumn("_digest", digest)
-        .join(kept, same, "left_semi")
-        .dropDuplicates([doc_id, "_digest"])
-        .drop("_digest")
+        .select(_row_key(F.col("first.id"), F.col("first.digest")).alias("_row"))
     )
+    # one key for the join and for repeated rows, so the texts are shuffled once
+    return df.withColumn("_row", _row_key(F.col(doc_id), digest)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
