@@ -199,6 +199,8 @@ def test_bpe_is_the_rank_files_encoding(spark, ranks):
         assert r.ids == encoding.encode_ordinary(text)
         assert bytes(r.decoded) == text.encode() and r.back == text
     assert bpe.encode(df.limit(0), ranks, pattern).count() == 0
+    both = bpe.round_trip(df, ranks, pattern).collect()
+    assert {r.doc_id: (r.ids, r.decoded) for r in both} == {r.doc_id: (r.ids, r.decoded) for r in rows}
 
 
 def test_bpe_offsets(spark, ranks):

@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +83,7 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 #: Pieces whose ids a task remembers; beyond it the memory starts anew, which changes the speed only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class _Pieces(dict):
@@ -108,6 +108,56 @@ def _lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def _opened(model: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(model)
+
+
+def _encoder(model: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
+    """In a task: ids of texts."""
+    import regex
+
+    known, pieces_of = _Pieces(_opened(model)), regex.compile(pattern).findall
+
+    def encoded(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in text_or_empty(texts):
+            rows.append(b"".join(map(known.__getitem__, pieces_of(t))))
+            if len(known) > REMEMBERED:
+                known.clear()
+        return _lists(rows)
+
+    return encoded
+
+
+def _decoder(shown: dict[int, str]) -> Callable[[pa.Array], pa.Array]:
+    """In a task: bytes of ids, by the vocabulary in its printable characters, reversed."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    bytes_of = {r: bytes(map(back.__getitem__, s)) for r, s in shown.items()}
+
+    def decoded(ids: pa.Array) -> pa.Array:
+        out = []
+        for row in ids:
+            known = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []
+            try:
+                out.append(b"".join(map(bytes_of.__getitem__, known)))
+            except KeyError as unknown:
+                raise ValueError(f"id {unknown} is not in the vocabulary") from None
+        return pa.array(out, pa.binary())
+
+    return decoded
+
+
+def _shown(ranks: dict[bytes, int]) -> dict[int, str]:
+    of = byte_characters()
+    return {r: "".join(of[b] for b in t) for t, r in ranks.items()}
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
 def encode(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", offsets: str | None = None
 ) -> DataFrame:
@@ -116,58 +166,53 @@ def encode(
     ``offsets`` is an array of (start, end) structs in code points of the text, one for each id; ids that
     share a character share its offsets.
     """
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast(tokenizer_json(ranks, pattern))
-    added = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    model = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks, pattern))
+    added = T.StructType([T.StructField(ids, IDS, False)])
     ids_type, span_type = pa.list_(pa.int32()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     if offsets:
         span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
         added.add(offsets, T.ArrayType(span, False), False)
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        import regex
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model.value)
-        known, pieces_of = _Pieces(tokenizer), regex.compile(pattern).findall
+        if not offsets:
+            encoded = _encoder(model.value, pattern)
+            for batch in batches:
+                yield batch, [encoded(batch.column(text))]
+            return
+        tokenizer = _opened(model.value)
         for batch in batches:
-            texts = text_or_empty(batch.column(text))
-            if offsets:
-                found = tokenizer.encode_batch(texts, add_special_tokens=False)
-                spans = [[{"start": a, "end": b} for a, b in e.offsets] for e in found]
-                yield batch, [pa.array([e.ids for e in found], ids_type), pa.array(spans, span_type)]
-            else:
-                rows = []
-                for t in texts:
-                    rows.append(b"".join(map(known.__getitem__, pieces_of(t))))
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                yield batch, [_lists(rows)]
+            found = tokenizer.encode_batch(text_or_empty(batch.column(text)), add_special_tokens=False)
+            spans = [[{"start": a, "end": b} for a, b in e.offsets] for e in found]
+            yield batch, [pa.array([e.ids for e in found], ids_type), pa.array(spans, span_type)]
 
     return adding(df, added, columns)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``df`` with ``data``, the bytes that its ids stand for."""
-    of = byte_characters()
-    back = {c: b for b, c in enumerate(of)}
-    # the table is kept in the mapped characters of the vocabulary and reversed in the task
-    shown = {r: "".join(of[b] for b in t) for t, r in ranks.items()}
-    table = df.sparkSession.sparkContext.broadcast(shown)
-    added = T.StructType([T.StructField(data, T.BinaryType(), False)])
+    table = df.sparkSession.sparkContext.broadcast(_shown(ranks))
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        decoded = _decoder(table.value)
+        for batch in batches:
+            yield batch, [decoded(batch.column(ids))]
+
+    return adding(df, T.StructType([T.StructField(data, T.BinaryType(), False)]), columns)
+
+
+def round_trip(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded"
+) -> DataFrame:
+    """``df`` with its texts' ids and the bytes decoded from those ids: ``encode`` and ``decode`` in one Python worker."""
+    context = df.sparkSession.sparkContext
+    model, table = context.broadcast(tokenizer_json(ranks, pattern)), context.broadcast(_shown(ranks))
+    added = T.StructType([T.StructField(ids, IDS, False), T.StructField(data, T.BinaryType(), False)])
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        bytes_of = {r: bytes(map(back.__getitem__, s)) for r, s in table.value.items()}
+        encoded, decoded = _encoder(model.value, pattern), _decoder(table.value)
         for batch in batches:
-            out = []
-            for row in batch.column(ids):
-                known = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []
-                try:
-                    out.append(b"".join(map(bytes_of.__getitem__, known)))
-                except KeyError as unknown:
-                    raise ValueError(f"id {unknown} is not in the vocabulary") from None
-            yield batch, [pa.array(out, pa.binary())]
+            made = encoded(batch.column(text))
+            yield batch, [made, decoded(made)]
 
     return adding(df, added, columns)
 

@@ -35,8 +35,7 @@ def tokenizer_files() -> tuple[str, str]:
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path, pattern = tokenizer_files()
     ranks = bpe.read_ranks(path)
-    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
-    return bpe.decode(encoded, ranks).select(
+    return bpe.round_trip(table(spark, sf, "documents").select("doc_id", "text"), ranks, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
