@@ -191,6 +191,42 @@ def test_near_copies_catch_similar_texts(spark):
     assert {r for r in range(0, n, 2)} <= kept and len(kept) <= 60 + 3
 
 
+def pairs_at(similarities, words, seed):
+    """(similarity counted out, text, text) of pairs of texts that differ in a few words."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for similarity in similarities:
+        a = [f"v{x}" for x in rng.integers(0, 1 << 40, words)]
+        b = list(a)
+        # the words at one end go, so that the share is the one asked for
+        gone = round((words - 4) * (1 - similarity) / (1 + similarity))
+        b[:gone] = [f"u{x}" for x in rng.integers(0, 1 << 40, gone)]
+        sets = [set(simhash.shingle_hashes(" ".join(t).encode().split(), 5).tolist()) for t in (a, b)]
+        out.append((len(sets[0] & sets[1]) / len(sets[0] | sets[1]), " ".join(a), " ".join(b)))
+    return out
+
+
+def linked(spark, pairs):
+    """Whether one text of each pair is left."""
+    rows = [(2 * i + k, p[1 + k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    kept = {r.doc_id for r in simhash.first_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {2 * i for i in range(len(pairs))} <= kept
+    return [2 * i + 1 not in kept for i in range(len(pairs))]
+
+
+def test_every_pair_from_the_similarity_on_is_linked(spark):
+    pairs = pairs_at([0.80 + 0.1 * i / 600 for i in range(600)], 150, 11)
+    near = [p for p in pairs if 0.8 <= p[0] <= 0.9]
+    assert len(near) > 500 and sum(p[0] < 0.82 for p in near) > 80
+    assert all(linked(spark, near))
+
+
+def test_bands_share_as_their_formula_says():
+    pairs = pairs_at([0.6] * 300, 400, 13)
+    shared = [len(np.intersect1d(*[simhash.band_keys(simhash.shingle_set(t.encode(), 5)) for t in p[1:]])) / simhash.BANDS for p in pairs]
+    assert abs(np.mean(shared) - np.mean([p[0] ** simhash.ROWS for p in pairs])) < 0.01
+
+
 def brute_removed(rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     first = {}

@@ -152,122 +152,121 @@ def hex16(value: str | Column) -> Column:
 
 # --- near copies by shingle similarity ---------------------------------------------------------------------------
 
-#: Bits of a wide fingerprint, and the share of pairs at the similarity itself that should share a block.
-WIDE, RECALL = 512, 0.95
+#: Minima of a band, bands of a text: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40, about 1e-7.
+ROWS, BANDS = 5, 40
+#: Shingles in one chunk of a crowded band, and hashes whose minima are taken at a time.
+CHUNK_SHINGLES, MINIMA = 1 << 20, 1 << 9
 
+_draw = np.random.default_rng(42)
+_FACTORS = _draw.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIXERS = _draw.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
-class Blocks:
-    """Blocks of a wide fingerprint for pairs of at least ``similarity`` (Jaccard, of shingle sets).
 
-    A pair of similarity s differs in a bit with probability arccos(2 s / (1 + s)) / pi. That many bits and two
-    standard deviations more are the radius. A block is ``width`` bits drawn by a fixed seed; there are so many
-    blocks that such a pair shares at least one with probability ``RECALL``, and a more similar one more often.
-    ``width`` follows the number of texts, so a block has few chance meetings at every size.
-    """
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of the word shingles of the whole text (A-Z lowered), in order."""
+    return np.unique(shingle_hashes(text.lower().split(), shingle))
 
-    def __init__(self, similarity: float, n: int):
-        differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-        self.radius = int(WIDE * differ + 2 * (WIDE * differ * (1 - differ)) ** 0.5)
-        self.width = max(16, int(max(n, 1)).bit_length() - 3)
-        self.count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ) ** self.width)))
-        draw = np.random.default_rng(42)
-        self.bits = np.stack([draw.choice(WIDE, self.width, replace=False) for _ in range(self.count)])
-
-    def keys(self, prints: list[bytes]) -> np.ndarray:
-        """One row a fingerprint, one number a block; numbers of different blocks differ."""
-        bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, WIDE // 8), axis=1)
-        out = np.empty((len(prints), self.count), np.int64)
-        for i, chosen in enumerate(self.bits):
-            out[:, i] = bits[:, chosen].astype(np.int64) @ (1 << np.arange(self.width)) | i << self.width
-        return out
-
-
-def wide_simhash(hashes: np.ndarray) -> bytes:
-    """``WIDE`` majority bits of a set of hashes, each drawn out to as many bits; an empty set has none set."""
-    n = WIDE // 64
-    steps = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros(WIDE, np.int64)
-    for at in range(0, len(hashes), 255):  # so that bytes can count
-        x = hashes[at : at + 255, None] + steps
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), n * 8), axis=1)
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes)).tobytes()
-
-
-def wide_fingerprints(df: DataFrame, text: str, out: str, shingle: int) -> DataFrame:
-    """``df`` with ``out``, the wide SimHash of the set of word shingles of the whole text (A-Z lowered)."""
 
-    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        for batch in batches:
-            texts = bytes_or_empty(batch.column(text))
-            rows = [wide_simhash(np.unique(shingle_hashes(t.lower().split(), shingle))) for t in texts]
-            yield batch, [pa.array(rows, pa.binary())]
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band of minima of a set of hashes; an empty set has none."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), MINIMA):
+        part = hashes[at : at + MINIMA]
+        np.minimum(least, (_FACTORS[:, None] * part).min(axis=1), out=least)
+    # numbers of different bands differ, as each has its own factors
+    x = (least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIXERS
+    x = (x ^ (x >> np.uint64(32))).sum(axis=1, dtype=np.uint64)
+    return x.view(np.int64)
 
-    return adding(df, T.StructType([T.StructField(out, T.BinaryType(), False)]), columns)
 
+def banded(df: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``df`` with node (a 128-bit digest of the set of shingles), its size, and the keys of its bands."""
 
-def _few(values: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
-    """(member, root) like ``forest``, for a handful of wide fingerprints."""
-    rest, found = [(int.from_bytes(v, "big"), v) for v in values], []
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for t in bytes_or_empty(batch.column(text)):
+                hashes = shingle_set(t, shingle)
+                nodes.append(xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes))
+            yield batch, [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+
+    added = [("node", T.BinaryType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    return adding(df, T.StructType([T.StructField(n, t) for n, t in added]), columns)
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(member, root) that span the links of Jaccard ``similarity`` or more between the sets, every one counted out."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(ids.max(initial=0) + 1, bool)
+    ends = np.cumsum(sizes)
+    of = [ids[e - n : e] for e, n in zip(ends, sizes)]
+    rest, found = np.arange(len(sets)), []
+    flat = ids
     while len(rest) > 1:
-        stack, (_, root), rest = [rest[0][0]], rest[0], rest[1:]
-        while stack and rest:
+        root = rest[0]
+        stack, rest, flat = [root], rest[1:], flat[sizes[root] :]
+        while stack and len(rest):
             at = stack.pop()
-            near = [x for x in rest if (x[0] ^ at).bit_count() <= radius]
-            if near:
-                rest = [x for x in rest if (x[0] ^ at).bit_count() > radius]
-                found += [(v, root) for _, v in near]
-                stack += [x for x, _ in near]
-    return found
-
-
-def _many(values: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
-    rest, found = np.frombuffer(b"".join(values), np.uint64).reshape(-1, WIDE // 64), []
-    names = np.arange(len(values))
-    while len(names) > 1:
-        root, stack = names[0], [rest[0]]
-        rest, names = rest[1:], names[1:]
-        while stack and len(names):
-            near = np.bitwise_count(rest ^ stack.pop()).sum(axis=1, dtype=np.int64) <= radius
-            found += [(values[i], values[root]) for i in names[near]]
-            stack.extend(rest[near])
-            rest, names = rest[~near], names[~near]
+            marked[of[at]] = True
+            starts = np.cumsum(sizes[rest]) - sizes[rest]
+            both = np.add.reduceat(marked[flat], starts, dtype=np.int64)
+            marked[of[at]] = False
+            near = both >= similarity * (sizes[at] + sizes[rest] - both)
+            if near.any():
+                found += [(int(i), int(root)) for i in rest[near]]
+                stack.extend(rest[near])
+                rest, flat = rest[~near], flat[np.repeat(~near, sizes[rest])]
     return found
 
 
-def _wide_links(prints: DataFrame, out: str, blocks: Blocks) -> DataFrame:
-    """(a, b): edges that span the links between the distinct wide fingerprints ``prints``."""
+def _similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): edges that span the links between the sets ``distinct`` (node, size, digest, keys).
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.column(0).slice(at, 1000)
-                keys = blocks.keys(part.to_pylist())
-                again = np.repeat(np.arange(len(part)), blocks.count)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.take(pa.array(again))], names=["key", "value"])
-
-    rows = prints.select(out).mapInArrow(keyed, "key long, value binary")
-    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pieces = (
-        rows.join(crowds, "key")
-        .withColumn("chunks", F.ceil(F.col("n") / CHUNK))
-        .withColumn("own", F.pmod(F.xxhash64("value"), F.col("chunks")))
+    Sets that share a band meet in a piece; crowded bands are dealt out in chunks by hash, and every pair of chunks
+    is a piece. Pieces of the same sets are one. The sets come to the pieces whole, made again from ``texts``
+    (digest, text), and every link is counted out there.
+    """
+    keyed = distinct.select("node", "size", F.explode("keys").alias("key"))
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum")).filter("n > 1")
+    dealt = (
+        keyed.join(crowds, "key")
+        .withColumn("chunks", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("sum") / CHUNK_SHINGLES)))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        .agg(F.collect_list("value").alias("values"))
-        .select("values")
+        .agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+        .filter(F.size("nodes") > 1)
+        .select("nodes")
+        .distinct()
     )
-    radius = blocks.radius
+    members = stored(
+        dealt.withColumn("piece", F.unhex(F.md5(F.array_join(F.transform("nodes", F.hex), ""))))
+        .select("piece", F.explode("nodes").alias("node")),
+        "pieces",
+    )
+    wanted = stored(distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest"), "wanted")
 
-    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
-            found = [e for v in batch.column(0).to_pylist() for e in (_few if len(v) < 40 else _many)(v, radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield batch, [pa.array([shingle_set(t, shingle).tobytes() for t in bytes_or_empty(batch.column("text"))], pa.binary())]
+
+    found = adding(texts.join(wanted, "digest"), T.StructType([T.StructField("set", T.BinaryType())]), sets)
+    whole = stored(found.select("node", "set").dropDuplicates(["node"]), "sets")
 
-    return pieces.mapInArrow(span, "a binary, b binary").distinct()
+    def span(piece: pa.Table) -> pa.Table:
+        nodes = piece.column("node").to_pylist()
+        arrays = [np.frombuffer(s, np.uint64) for s in piece.column("set").to_pylist()]
+        edges = similar_forest(arrays, similarity)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in edges], pa.binary()), "b": pa.array([nodes[j] for _, j in edges], pa.binary())})
+
+    return members.join(whole, "node").groupBy("piece").applyInArrow(span, "a binary, b binary").distinct()
 
 
 def first_of_near_copies(
@@ -275,19 +274,23 @@ def first_of_near_copies(
 ) -> DataFrame:
     """The rows of ``df`` without near copies: of each class the row with the smallest id, null last.
 
-    Texts are linked if their wide fingerprints are within the radius of ``similarity`` (see ``Blocks``); classes
-    are the connected components. If rows of a class share the smallest id, the text with the smallest MD5 stays,
-    and of wholly repeated rows one.
+    Texts are linked if the Jaccard similarity of their sets of word shingles, counted out, is ``similarity`` or
+    more; classes are the connected components. Pairs are found by bands of minima (see ``BANDS``). If rows of a
+    class share the smallest id, the text with the smallest MD5 stays, and of wholly repeated rows one.
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(F.col(doc_id).alias("id"), digest.alias("digest"), F.col(text).alias("text"))
-    prints = stored(wide_fingerprints(rows, "text", "print", shingle).drop("text"), "prints")
-    distinct = stored(prints.select("print").distinct(), "distinct-prints")
-    edges = _wide_links(distinct, "print", Blocks(similarity, distinct.count()))
-    of = components(edges).withColumnRenamed("node", "print")
+    prints = stored(banded(rows, "text", shingle).drop("text"), "prints")
+    distinct = stored(
+        prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("keys").alias("keys")),
+        "distinct-sets",
+    )
+    edges = _similar_links(distinct, rows.select("digest", "text"), shingle, similarity)
+    of = components(edges)
     kept = (
-        prints.join(of, "print", "left")
-        .groupBy(F.coalesce("component", "print").alias("class"))
+        prints.select("id", "digest", "node")
+        .join(of, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("class"))
         .agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest")).alias("first"))
         .select(_row_key(F.col("first.id"), F.col("first.digest")).alias("_row"))
     )
