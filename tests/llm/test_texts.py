@@ -227,6 +227,29 @@ def test_bands_share_as_their_formula_says():
     assert abs(np.mean(shared) - np.mean([p[0] ** simhash.ROWS for p in pairs])) < 0.01
 
 
+def test_no_pair_below_the_similarity_is_linked(spark):
+    below = [p for p in pairs_at([0.6 + 0.2 * i / 300 for i in range(300)], 150, 17) if p[0] < 0.8]
+    assert len(below) > 280 and sum(p[0] >= 0.75 for p in below) > 50
+    assert not any(linked(spark, below))
+
+
+def test_a_template_below_the_similarity_chains_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = np.random.default_rng(19)
+    template = [f"t{x}" for x in range(120)]
+    texts = [" ".join(template + [f"o{x}" for x in rng.integers(0, 1 << 40, 25)]) for _ in range(40)]  # 0.7 to each other
+    texts += [texts[k] + " and one more" for k in range(10)]  # near copies of ten of them
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in simhash.first_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(40))
+
+
+def test_forest_tries_every_link():
+    sets = [np.unique(np.array(x, np.uint64)) for x in ([1, 2, 3, 4, 5], [2, 3, 4, 5], [9, 10], [2, 3, 4, 5, 6], [9, 10, 11, 12], [3, 4, 5, 6])]
+    found = simhash.similar_forest(sets, 0.8)
+    assert {frozenset(x) for x in found} == {frozenset((0, i)) for i in (1, 3, 5)}
+
+
 def brute_removed(rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     first = {}
