@@ -53,6 +53,28 @@ def test_bad_host_is_strict(spark):
     assert kept == {("bad", False): 10, ("fine", False): 95, ("fine", True): 5}
 
 
+def test_host_verdict_follows_the_other_hosts(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    soft, hard = good + " " + "# " * 30, "too short"
+    n = {"worse": (75, 25), "usual": (95, 5), "usual too": (96, 4), "small": (3, 1)}
+    rows = [(s, t) for s, (a, b) in n.items() for t in [good] * (5 * a) + [soft] * (5 * b - 2) + [hard] * 2]
+    out = quality.judged(quality.measured(spark.createDataFrame(rows, "source string, text string"))).collect()
+    rate = {r.source: r.host_rate for r in out}
+    assert rate["worse"] < quality.HOST_LIMIT
+    kept = collections.Counter((r.source, r.text) for r in out if r.kept)
+    # every clean text stays; what breaks a soft rule goes on the host that is worse than the others, and only there
+    assert {s: kept[s, good] for s in n} == {s: 5 * a for s, (a, _) in n.items()}
+    assert {s: kept[s, soft] for s in n} == {"worse": 0, "usual": 23, "usual too": 18, "small": 3}
+    assert not any(kept[s, hard] for s in n)
+
+
+def test_equal_hosts_are_not_bad(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(f"h{i % 5}", good + " " + "# " * 30 if i % 20 < 5 else good) for i in range(400)]
+    out = quality.judged(quality.measured(spark.createDataFrame(rows, "source string, text string"))).collect()
+    assert all(r.kept for r in out)
+
+
 def test_prior_shrinks():
     mean, strength = quality.prior(100, 50, 2, 45.0 * 45 / 50 + 5.0 * 5 / 50)
     assert mean == 0.5 and strength >= 1

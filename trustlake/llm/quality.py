@@ -2,7 +2,8 @@
 
 Every document is measured on its whole text and failed by fixed rules. The failures are then summed by host,
 and each host's failure rate is shrunk towards the rate of all hosts with a beta prior that is fitted to the
-hosts by the method of moments, so a host with few documents is not judged by them alone. The verdicts go back
+hosts by the method of moments, so a host with few documents is not judged by them alone. A host fails if its rate is above one half, or surely
+above the rate of all hosts. The verdicts go back
 to the documents in a join on the host: on a host that fails, a document that breaks any rule is rejected; on
 other hosts only the two hard rules reject. A document that breaks no rule is kept on every host.
 
@@ -27,8 +28,8 @@ from trustlake.llm.common import adding, bytes_or_empty
 
 MIN_WORDS, MAX_REPEAT = 50, 0.5
 WORD_LENGTH, MAX_SYMBOLS, MAX_DUP_LINES = (2.0, 16.0), 0.2, 0.3
-#: A host fails if its shrunken failure rate is above this.
-HOST_LIMIT = 0.5
+#: A host fails if its shrunken failure rate is above this, or this many posterior deviations above the rate of all.
+HOST_LIMIT, HOST_DEVIATIONS = 0.5, 2.0
 SYMBOLS = b"#*$%&|<>"
 #: Bytes that start a code point.
 STARTS = bytes(b for b in range(256) if b & 0xC0 != 0x80)
@@ -96,12 +97,13 @@ def any_failed() -> Column:
 
 
 def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
-    """(host, n_docs, n_failed, rate): failure rate of each host, shrunk with the beta prior of all hosts.
+    """(host, n_docs, n_failed, rate, bad): failure rate of each host, shrunk with the beta prior of all hosts.
 
     With m the mean and v the variance of the hosts' rates (hosts weigh by their documents), v is the prior's
     variance plus the part that chance alone gives, m (1 - m) K / N for K hosts and N documents; the prior's
     strength is m (1 - m) / (v - chance) - 1, at least 1. If the hosts differ no more than by chance, every
-    host has the rate m.
+    host has the rate m. ``bad`` are the hosts with a rate above ``HOST_LIMIT``, and those whose rate lies more than
+    ``HOST_DEVIATIONS`` standard deviations of its beta posterior above m.
     """
     by_host = rows.groupBy(F.col(host).alias("_host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed")
@@ -114,7 +116,11 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
     ).first()
     m, strength = prior(sums.n or 0, sums.f or 0, sums.k or 0, sums.sq or 0.0)
     rate = F.lit(m) if strength is None else (F.col("n_failed") + strength * m) / (F.col("n_docs") + strength)
-    return by_host.select("_host", "n_docs", "n_failed", rate.alias("rate"))
+    bad = F.col("rate") > HOST_LIMIT
+    if strength is not None:
+        deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + strength + 1))
+        bad = bad | (F.col("rate") - HOST_DEVIATIONS * deviation > m)
+    return by_host.select("_host", "n_docs", "n_failed", rate.alias("rate")).withColumn("bad", bad)
 
 
 def prior(n: int, failed: int, hosts: int, squares: float) -> tuple[float, float | None]:
@@ -130,9 +136,9 @@ def prior(n: int, failed: int, hosts: int, squares: float) -> tuple[float, float
 def judged(rows: DataFrame, host: str = "source") -> DataFrame:
     """``rows`` with base_failed, host_rate and kept. ``rows`` comes from ``measured`` and is read twice."""
     marked = rows.drop("host_rate", "kept").withColumns({"base_failed": base_failed(), "_failed": any_failed()})
-    hosts = host_rates(marked, host, "_failed").select("_host", F.col("rate").alias("host_rate"))
+    hosts = host_rates(marked, host, "_failed").select("_host", F.col("rate").alias("host_rate"), F.col("bad").alias("_bad"))
     return (
         marked.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
-        .withColumn("kept", ~F.col("base_failed") & ~(F.col("_failed") & (F.col("host_rate") > HOST_LIMIT)))
-        .drop("_host", "_failed")
+        .withColumn("kept", ~F.col("base_failed") & ~(F.col("_failed") & F.col("_bad")))
+        .drop("_host", "_failed", "_bad")
     )
