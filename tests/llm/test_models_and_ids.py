@@ -311,3 +311,15 @@ def test_template_classes(spark):
     assert vector(f"{body}/article/p") not in (vector(""), vector(f"{body}/nav/ul/li"))
     row = html.templates(html.tokens(pages)).first()
     assert (row.host, row.article) == ("h", f"{body}/article") and row.classes >= 3
+
+
+def test_names_do_not_empty_a_page():
+    article = "<h1>Head</h1><p>long text</p>"
+    for whole in (
+        f"<html><body class='no-sidebar search'><div class='menu'>m</div><article>{article}</article></body></html>",
+        f"<body><div id='main' class='has-comments'><div>Head<br>long text</div><div class='comments'>c</div></div></body>",
+        f"<body><div role='main' id='with-banner'>{article}</div></body>",
+        f"<body><main class='widget'>{article}</main></body>",
+        f"<body><article id='search-history'>{article}</article><article class='comment'>c</article></body>",
+    ):
+        assert html.slot_text(whole, None) == "Head\nlong text", whole

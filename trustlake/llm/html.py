@@ -1,11 +1,11 @@
-"""Main text of web pages by equivalence classes of template tokens.
+"""Main text of web pages by the skeleton of their host and by element and name rules.
 
 A token is an element in its context: the path of element names (with their classes) from the root. Its
 occurrence vector says how often it occurs on each page of a host. Tokens of a host that share their vector form
-an equivalence class. The class of the root, once on every page, is the skeleton of the template; the other
-classes that lie on more than one page are nested into it by their paths (list items, paragraphs). What is left
-between the tokens are the slots. The template gives the slot of the article: the text inside its element less
-what lies in elements that serve another purpose.
+an equivalence class. The class of the root, once on every page, is the skeleton of the template, in which the
+article's element is looked for; the other classes are only counted. Texts are no tokens. The text of a page is what
+lies inside the article's element less what lies in elements that serve another purpose, by the lists ``EXCLUDED``
+and ``EXCLUDED_NAMES``; a text that repeats on all pages of a host under an unlisted name stays.
 
 Vectors are never collected. Each is summed to two numbers, occurrences times a hash of the page, so the classes
 are found by a grouping with map-side combine however many pages a host has; rows are per (host, token). The
@@ -66,6 +66,8 @@ EXCLUDED_NAMES = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments reply replies respond discussion footer masthead topbar toolbar widget widgets search".split()
 )
+#: Never excluded by a name; an article or an element named main only by a whole class or id, not by a part of it.
+WHOLE_PAGE = frozenset("html body main".split())
 DEEPEST = 48  # deeper elements get their parent's path
 
 TAG = re.compile(
@@ -149,7 +151,12 @@ def _label(name: str, attributes: str) -> tuple[str, bool]:
     if not attributes or "=" not in attributes:
         return name, name in EXCLUDED
     values = defaultdict(str, {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)})
-    words = {w for v in values.values() for w in NAMES.split(v)}
+    whole = {w for v in values.values() for w in v.split()}
+    words = {part for w in whole for part in NAMES.split(w)}
+    if name in WHOLE_PAGE:
+        words = set()
+    elif name == "article" or "main" in (values["id"], values["role"]):
+        words = whole
     classes = ".".join(sorted(values["class"].split()))
     role = "[main]" if values["role"] == "main" else ""
     return DIGITS.sub("9", name + (f".{classes}" if classes else "") + role), name in EXCLUDED or not words.isdisjoint(EXCLUDED_NAMES)
