@@ -237,3 +237,14 @@ def test_platt_steps_brute_force(spark):
         assert got[key] == pytest.approx((a, b, len(part)))
     whole = models.fit_platt(df, [], "p", F.col("y") == 1).collect()
     assert len(whole) == 1 and whole[0]["n"] == 300
+
+
+def test_judgements_over_several_files(spark, sf, tmp_path, monkeypatch):
+    from trustlake.plans import q_sources
+
+    monkeypatch.setattr(q_sources, "work_folder", lambda spark, name: str(tmp_path / name))
+    got = {r.turn_id: r.p_wrong for r in q_sources.read_judgements(spark, sf).collect()}
+    assert len(list((tmp_path / "judgements").glob("part-*.json"))) > 1
+    rows = q_sources.fx.view(spark, sf, "v_judge").collect()
+    want = {str(r.turn_id - r.turn_id % 3): r.judge_p for r in sorted(rows, key=lambda r: r.turn_id)}
+    assert got == want

@@ -35,13 +35,14 @@ select cast(turn_id as varchar) as turn_id, arg_max(p_wrong, seq) as p_wrong fro
   select turn_id - turn_id%3 as turn_id, judge_p as p_wrong, turn_id as seq from v_judge) q group by 1
 """)
 def read_judgements(spark, sf):
-    """One file in which turns are judged up to three times."""
+    """Files in the order of their lines, in which turns are judged up to three times."""
     folder = work_folder(spark, "judgements")
     rows = fx.view(spark, sf, "v_judge").select(
         F.col("turn_id").alias("line"), (F.col("turn_id") - F.col("turn_id") % 3).cast("string").alias("turn_id"),
         F.col("judge_p").alias("p_wrong"),
     )
-    rows.repartition(1).sortWithinPartitions("line").select("turn_id", "p_wrong").write.json(folder)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(files, "line").sortWithinPartitions("line").select("turn_id", "p_wrong").write.json(folder)
     return tables.read_judgements(spark, folder)[0].select("turn_id", "p_wrong")
 
 
