@@ -75,3 +75,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns _c0, _c1, ..; and the new name of each old one.
+
+    Operators work on the renamed columns, so that a caller's column may have any name, those of the operator's own
+    columns included.
+    """
+    names = {name: f"_c{i}" for i, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def named_back(out: DataFrame, names: dict[str, str], made: Iterable[str]) -> DataFrame:
+    """The columns of ``renamed`` under their old names, then the columns ``made``, which replace old ones of their names."""
+    made = list(made)
+    return out.select(*[F.col(new).alias(old) for old, new in names.items() if old not in made], *made)

@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, html, mixing, packing, ppm, quality, simhash, substrings, topk, toxicity
+from trustlake.llm import (
+    bpe,
+    counting,
+    html,
+    importance,
+    mixing,
+    packing,
+    ppm,
+    quality,
+    simhash,
+    substrings,
+    topk,
+    toxicity,
+)
 from trustlake.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +149,20 @@ def op8_packed_ids(spark: SparkSession, sf: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, pattern)
     # all ranks are under 65,536
     return packing.packed(encoded, length=2048, pad=0, kind="<u2")
+
+
+@query
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs, target = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text")
+    drawn = importance.resampled(docs, target, share=(5, 100), min_words=20, seed=42, keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return counting.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit"
+    )
