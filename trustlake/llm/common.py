@@ -91,3 +91,22 @@ def named_back(out: DataFrame, names: dict[str, str], made: Iterable[str]) -> Da
     """The columns of ``renamed`` under their old names, then the columns ``made``, which replace old ones of their names."""
     made = list(made)
     return out.select(*[F.col(new).alias(old) for old, new in names.items() if old not in made], *made)
+
+
+#: A key that more rows ask for than this, and more than one of HOT_KEYS rows does, is answered by broadcast.
+HOT_ROWS, HOT_KEYS = 100_000, 1_000_000
+
+
+def answered(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``asked`` joined with ``table``, which has one row for each of its keys and, as ``asks``, how many rows ask for it.
+
+    A key's rows go to one task of a join. Keys asked for by more than ``HOT_ROWS`` rows and by more than one in
+    ``HOT_KEYS`` of all rows are therefore broadcast: these are fewer than ``HOT_KEYS``, whatever the data.
+    """
+    sums = table.agg(F.sum("asks").alias("all"), F.max("asks").alias("most")).first()
+    limit = max(HOT_ROWS, (sums["all"] or 0) // HOT_KEYS)
+    if (sums["most"] or 0) <= limit:
+        return asked.join(table.drop("asks"), key)
+    hot = F.broadcast(table.filter(F.col("asks") > limit).drop("asks"))
+    rest = asked.join(hot.select(key), key, "left_anti").join(table.filter(F.col("asks") <= limit).drop("asks"), key)
+    return asked.join(hot, key).unionByName(rest)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.llm import (
+    alignment,
     bpe,
     counting,
     html,
@@ -151,6 +152,20 @@ def op8_packed_ids(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(encoded, length=2048, pad=0, kind="<u2")
 
 
+@query
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    linked = alignment.linked(docs, *files)
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = stored(linked.withColumn("groups_sha256", groups).drop("text", "groups"), "linked")
+    return alignment.counted(rows).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 @query
 def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
     docs, target = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text")
