@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trustlake.config import SETTINGS
 from trustlake.operators.calibration import halves
 from trustlake.operators.joins import spread_join
-from trustlake.operators.ranking import half_even, slice_rows, value_ranks
+from trustlake.operators.ranking import half_even, select_at, value_ranks
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -20,16 +20,15 @@ def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
 
 
 def quantile_edges(
-    long: DataFrame, keys: Sequence[str], value: str = "value", bins: int = SETTINGS.bins,
-    weight: Column | None = None, sliced: bool = False,
+    long: DataFrame, keys: Sequence[str], value: str = "value", bins: int = SETTINGS.bins, weight: Column | None = None
 ) -> DataFrame:
     """Per key the ``bins - 1`` order statistics that cut it, as array ``edges``.
 
     The i-th edge sits at position min(n-1, half-even(i*n/bins)). Values are
-    counted before they are ordered (``weight`` and ``sliced`` as in
-    ``value_ranks``); the array has at most ``bins - 1`` entries.
+    counted before they are ordered (``weight`` as in ``value_ranks``); the
+    array has at most ``bins - 1`` entries.
     """
-    ranked = value_ranks(long, keys, value, weight, sliced)
+    ranked = value_ranks(long, keys, value, weight)
     n = F.col("n_total")
 
     def position(i: Column) -> Column:
@@ -76,26 +75,35 @@ def psi_of(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     )
 
 
+def selected_edges(long: DataFrame, key: str, value: str = "value", bins: int = SETTINGS.bins) -> dict[str, list[float]]:
+    """The edges of ``quantile_edges`` for the few values of ``key``, selected without moving a row."""
+
+    def positions(n: int) -> list[int]:
+        return [min(n - 1, round(i * n / bins)) for i in range(1, bins)]
+
+    return {k: [at[0] for at in edges] for k, (_, edges) in select_at(long, [value], positions, key).items()}
+
+
 def psi(df: DataFrame, flag: str, features: Sequence[str], bins: int = SETTINGS.bins) -> DataFrame:
     """PSI per feature between the rows with ``flag`` 0 (reference) and 1 (current).
 
-    The rows are read once and folded to one row per feature and value with its
-    count on both sides; edges and histograms are taken from that. One edge array
-    per listed feature is broadcast. An empty side gives 0.
+    The edges of the listed features are selected from the reference and become constants; one pass over the rows
+    then counts every feature's buckets on both sides. An empty side gives 0.
     """
     long = unpivot(df, [flag], features)
-    counted = long.groupBy("feature", "value").agg(
+    edges = selected_edges(long.filter(F.col(flag) == 0), "feature", bins=bins)
+    constants = F.lit(None).cast("array<double>")
+    for feature, values in edges.items():
+        constants = F.when(F.col("feature") == feature, F.array(*[F.lit(float(v)) for v in values])).otherwise(constants)
+    folded = long.groupBy("feature", bucket(F.col("value"), constants, bins).alias("_b")).agg(
         F.count(F.when(F.col(flag) == 0, 1)).alias("n_ref"), F.count(F.when(F.col(flag) == 1, 1)).alias("n_cur")
     )
-    folded = slice_rows(counted, ["value", "feature"])
-    edges = quantile_edges(folded.filter("n_ref > 0"), ["feature"], bins=bins, weight=F.col("n_ref"), sliced=True)
-    slot = folded.join(F.broadcast(edges), "feature", "left").withColumn("_b", bucket(F.col("value"), F.col("edges"), bins))
     counts = [
         F.coalesce(F.sum(F.when(F.col("_b") == b, F.col(n))), F.lit(0)).alias(f"_{n[2]}{b}")
         for n in ("n_ref", "n_cur")
         for b in range(bins)
     ]
-    return psi_of(slot.groupBy("feature").agg(*counts), ["feature"], bins)
+    return psi_of(folded.groupBy("feature").agg(*counts), ["feature"], bins)
 
 
 def null_rates(df: DataFrame, features: Sequence[str]) -> DataFrame:

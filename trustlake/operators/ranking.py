@@ -1,38 +1,131 @@
 """Ordered computations that never put a whole key into one task.
 
 A window over ``partitionBy(action)`` sends every row of an action to one task.
-Here the rows are cut into ordered slices of about equal size (a range
-partitioning on a total order), each (key, slice) is summed, the sums are
-carried forward over the slices (at most one row per key and slice), and the
-row-level window only runs inside one (key, slice).
-
-The carried-forward sums enter the row window as extra leading rows, so the
-rows are shuffled once after the range partitioning and no join is needed.
+Here the rows are cut into ordered slices of about equal size, each (key, slice)
+is summed, the sums are carried forward over the slices (at most one row per key
+and slice), and the row-level window only runs inside one (key, slice).
+
+A slice is a function of the row: the number of bounds before it, and the bounds
+are constants taken from a sample of the order columns, chosen by hash. So nothing is
+written, every reader of the rows gives a row the same slice, and the number of
+slices follows the number of rows. The carried-forward sums enter the row window as
+extra leading rows, so the rows are shuffled once and no join is needed.
+
+Single positions (quantiles, medians, cuts) need no order at all: ``select_at`` counts
+rows between pivots, pass by pass, and neither shuffles nor writes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.session import durable, slice_count
-
 SLICE = "_slice"
+#: Rows of a slice, about, and sampled rows for each bound; the driver holds the sample.
+SLICE_ROWS, SAMPLES = 250_000, 32
+#: Pivots drawn for an open interval, and rows of an interval that are looked at one by one.
+PIVOTS, DIRECT = 256, 2_000
+
+
+@dataclass(frozen=True)
+class Term:
+    """One column of an order."""
+
+    value: Column
+    descending: bool = False
+
+    def before(self, a: Column, b: Column) -> Column:
+        """Nulls come first, and last in descending order, as in a sort."""
+        if self.descending:
+            return F.coalesce(a > b, a.isNotNull() & b.isNull())
+        return F.coalesce(a < b, a.isNull() & b.isNotNull())
+
+
+def terms(order: Sequence[str | Column]) -> list[Term]:
+    """Names, expressions, and ``desc``/``asc`` of names."""
+    out = []
+    for item in order:
+        sort = re.fullmatch(r"Column<'(.*) (ASC NULLS FIRST|DESC NULLS LAST)'>", str(item), re.S)
+        if isinstance(item, str):
+            out.append(Term(F.col(item)))
+        elif sort:
+            out.append(Term(F.col(sort[1]), sort[2].startswith("DESC")))
+        else:
+            out.append(Term(item))
+    return out
+
+
+def _before_key(order: list[Term], a: Column, b: list[Column]) -> Column:
+    """Does the struct ``a`` come before the columns ``b``?"""
+    out = None
+    for i in range(len(order) - 1, -1, -1):
+        mine = a[f"f{i}"]
+        here = order[i].before(mine, b[i])
+        out = here if out is None else here | (mine.eqNullSafe(b[i]) & out)
+    return out
+
+
+def bounds_before(order: list[Term], bounds: Column | list[Column]) -> Column:
+    """How many of the sorted ``bounds`` (structs f0, f1, ..) come before the row, in two short searches."""
+    columns = [t.value for t in order]
+
+    def count(array: Column) -> Column:
+        return F.size(F.filter(array, lambda b: _before_key(order, b, columns)))
+
+    if len(bounds) <= 32:
+        return count(F.array(*bounds)) if bounds else F.lit(0)
+    step = int(len(bounds) ** 0.5) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    # the last bound of each block says in which one the row is; only that one is searched
+    block = count(F.array(*[b[-1] for b in blocks]))
+    inside = F.coalesce(count(F.get(F.array(*[F.array(*b) for b in blocks]), block)), F.lit(0))
+    return F.least(block * step, F.lit(len(bounds))) + inside
+
+
+def _literals(df: DataFrame, order: list[Term], keys: Sequence[tuple]) -> list[Column]:
+    """Keys of ``order`` as constants of the columns' types."""
+    types = [f.dataType for f in df.select(*[t.value for t in order]).schema]
+    return [
+        F.struct(*[F.lit(v).cast(kind).alias(f"f{i}") for i, (v, kind) in enumerate(zip(key, types))]) for key in keys
+    ]
+
+
+def _sorted(order: list[Term], keys: Sequence[tuple]) -> list[tuple]:
+    out = list(keys)
+    for i in range(len(order) - 1, -1, -1):
+        # nulls first going up, last going down; NaN is the largest number
+        out.sort(key=lambda k: (0, 0) if k[i] is None else (2, 0) if k[i] != k[i] else (1, k[i]), reverse=order[i].descending)
+    return out
+
+
+def _sample(df: DataFrame, order: list[Term], one_in: int, seed: int) -> list[tuple]:
+    """The keys of about one row in ``one_in``, chosen by a hash of the key, so that a repeated read draws the same."""
+    keys = df.select(*[t.value.alias(f"f{i}") for i, t in enumerate(order)])
+    if one_in > 1:
+        keys = keys.filter(F.pmod(F.xxhash64(F.lit(seed), *keys.columns), F.lit(one_in)) == 0)
+    return [tuple(r) for r in keys.collect()]
 
 
 def slice_rows(df: DataFrame, order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
     """Tag every row with the number of its slice in the total order ``order``.
 
     ``order`` should end in a unique column, so that equal leading values can be
-    cut as well. The tagged rows are written out, which freezes the slices. The
-    input is read twice, once to sample the bounds: hand over narrow rows, and
-    make an input that is expensive to compute ``durable`` first.
+    cut as well. The order columns are read once to count them and, if there is more than
+    one slice, once to sample the bounds; nothing is written. Make an input that is expensive to compute
+    ``durable`` first.
     """
-    n = slices or slice_count(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).withColumn(SLICE, F.spark_partition_id())
-    return durable(ranged)
+    by = terms(order)
+    total = df.select(*[t.value for t in by]).count()
+    n = slices or -(-total // SLICE_ROWS)
+    if n <= 1:
+        return df.withColumn(SLICE, F.lit(0))
+    drawn = _sorted(by, set(_sample(df, by, max(1, total // (n * SAMPLES)), n)))
+    bounds = sorted({len(drawn) * i // n for i in range(1, n)}) if drawn else []
+    return df.withColumn(SLICE, bounds_before(by, _literals(df, by, [drawn[i] for i in bounds])))
 
 
 def _before(column: str, keys: Sequence[str]) -> Column:
@@ -46,17 +139,16 @@ def running_sums(
     order: Sequence[str | Column],
     sums: dict[str, Column],
     totals: bool = False,
-    sliced: bool = False,
+    slices: int | None = None,
 ) -> DataFrame:
     """Per row: each sum over all earlier rows of the same key, own row excluded.
 
     ``order`` must be a total order within the key. With ``totals`` the sum over
-    the whole key is added as ``<name>_total``. ``sliced`` says that ``df`` comes
-    from ``slice_rows`` with this order already.
+    the whole key is added as ``<name>_total``.
     """
     names = list(sums)
     valued = df.withColumns({f"_v_{n}": e for n, e in sums.items()})
-    rows = valued if sliced else slice_rows(valued, order)
+    rows = slice_rows(valued, order, slices)
 
     per_slice = rows.groupBy(*keys, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     whole = Window.partitionBy(*keys)
@@ -86,7 +178,7 @@ def global_rank(
 
 
 def strict_history(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, sums: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, sums: dict[str, Column], slices: int | None = None
 ) -> DataFrame:
     """Per row: each sum over the rows of the same key with a strictly smaller ``ts``.
 
@@ -97,7 +189,7 @@ def strict_history(
     an integer column.
     """
     names = list(sums)
-    rows = slice_rows(df.withColumns({f"_v_{n}": e for n, e in sums.items()}), [ts, tie])
+    rows = slice_rows(df.withColumns({f"_v_{n}": e for n, e in sums.items()}), [ts, tie], slices)
     # one row per slice, so the size of the broadcast is the number of slices
     bounds = rows.groupBy(SLICE).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     per_slice = (
@@ -151,23 +243,18 @@ def strict_history(
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None, sliced: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None
 ) -> DataFrame:
     """One row per distinct (key, value): its count ``n``, the number of smaller
     values ``before`` and the key's size ``n_total``.
 
     Equal values are counted before anything is ordered, so a value held by a
     third of the rows costs one row. Average rank, order statistics, nearest-rank
-    percentiles and quantile edges all follow by arithmetic. ``sliced`` says that
-    the input is one row per (key, value) with its count in ``weight``, cut by
-    ``slice_rows`` on (value, keys).
+    percentiles and quantile edges all follow by arithmetic. ``weight`` counts a row of ``df`` more than once.
     """
     count = weight if weight is not None else F.lit(1).cast("bigint")
-    if sliced:
-        counts = df.select(*keys, value, SLICE, count.alias("n"))
-    else:
-        counts = df.groupBy(*keys, value).agg(F.sum(count).alias("n"))
-    ranked = running_sums(counts, keys, [value, *keys], {"before": F.col("n")}, totals=True, sliced=sliced)
+    counts = df.groupBy(*keys, value).agg(F.sum(count).alias("n"))
+    ranked = running_sums(counts, keys, [value, *keys], {"before": F.col("n")}, totals=True)
     return ranked.withColumnRenamed("before_total", "n_total")
 
 
@@ -189,7 +276,7 @@ def last_rows(
     round sees at most ``n * salts`` rows of one key. The number of salts follows
     the number of shuffle partitions.
     """
-    salts = salts or max(16, slice_count(df.sparkSession))
+    salts = salts or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     second = Window.partitionBy(*keys).orderBy(*order)
@@ -205,35 +292,69 @@ def last_rows(
 
 def rolling_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, rows: int, name: str,
-    block: int = 100_000,
+    slices: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the current and the ``rows - 1`` preceding rows of the key.
 
-    Rows are numbered, cut into blocks of ``block`` rows, and the last
-    ``rows - 1`` rows of each block are copied into the next one, so each block
-    is complete on its own.
+    The last ``rows - 1`` rows of each (key, slice) are its halo. A halo row goes to the following
+    slices of its key until ``rows - 1`` rows lie between, which is the next one unless that is
+    short. The halo is cut down on the map side, so the rows themselves are shuffled once.
     """
-    ranked = global_rank(df.withColumn("_value", value), keys, order, "_rank")
-    number = F.floor(F.col("_rank") / block)
-    spill = F.pmod(F.col("_rank"), F.lit(block)) >= block - (rows - 1)
-    blocks = ranked.withColumn("_own", number).withColumn(
-        "_block", F.explode(F.when(spill, F.array(number, number + 1)).otherwise(F.array(number)))
+    sliced = slice_rows(df.withColumn("_value", value), order, slices)
+    at = [f"_o{i}" for i in range(len(order))]
+    by = terms(order)
+    ordered = [F.col(a).desc() if t.descending else F.col(a).asc() for a, t in zip(at, by)]
+    backwards = [F.col(a).asc_nulls_last() if t.descending else F.col(a).desc_nulls_last() for a, t in zip(at, by)]
+    narrow = sliced.select(*keys, SLICE, "_value", *[t.value.alias(a) for a, t in zip(at, by)])
+    tail = (
+        narrow.withColumn("_back", F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*backwards)))
+        .filter(F.col("_back") < rows)
     )
-    spec = Window.partitionBy(*keys, "_block").orderBy("_rank").rowsBetween(-(rows - 1), 0)
-    return (
-        blocks.withColumn(name, F.sum("_value").over(spec))
-        .filter("_own = _block")
-        .drop("_own", "_block", "_rank", "_value")
+    # per (key, slice): the following slices with the number of rows in between, as long as these are too few
+    sizes = narrow.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*keys).orderBy(SLICE)
+    following = F.collect_list(F.struct(F.col(SLICE).alias("to"), F.col("_n").alias("n"))).over(along.rowsBetween(1, rows - 1))
+    between = F.aggregate(F.slice("_next", 1, F.col("_i")), F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
+    links = (
+        sizes.withColumn("_next", following)
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(SLICE).alias("_from"), "_next", F.posexplode("_next").alias("_i", "_e"))
+        .withColumn("_between", between)
+        .filter(F.col("_between") < rows - 1)
+        .select(*[f"_k{i}" for i in range(len(keys))], "_from", F.col("_e.to").alias("_to"), "_between")
+    )
+    same = F.col(SLICE) == F.col("_from")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    halo = (
+        tail.join(links, same)
+        .filter(F.col("_back") + F.col("_between") < rows)
+        .select(*keys, F.col("_to").alias(SLICE), "_value", *at, F.lit(True).alias("_halo"))
     )
+    both = sliced.withColumns({a: t.value for a, t in zip(at, by)}).withColumn("_halo", F.lit(False)).unionByName(
+        halo, allowMissingColumns=True
+    )
+    spec = Window.partitionBy(*keys, SLICE).orderBy(*ordered).rowsBetween(-(rows - 1), 0)
+    return both.withColumn(name, F.sum("_value").over(spec)).filter(~F.col("_halo")).drop("_halo", "_value", SLICE, *at)
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column]) -> DataFrame:
     """Per key the values at zero-based sorted positions, exactly.
 
     A position is an expression over ``n_total``, the key's number of values.
-    Output: one row per key with ``n_total`` and one column per position.
+    Output: one row per key with ``n_total`` and one column per position; without keys the
+    positions are selected (``select_at``) and come back as constants.
     """
-    ranked = value_ranks(df.filter(F.col(value).isNotNull()), keys, value)
+    known = df.filter(F.col(value).isNotNull())
+    if not keys:
+        spark = df.sparkSession
+        found = select_at(known, [value], lambda n: evaluated(spark, list(positions.values()), n)).get(None)
+        n, picked = found or (0, [None] * len(positions))
+        kind = df.schema[value].dataType
+        return spark.range(1 if n else 0).select(
+            F.lit(n).cast("bigint").alias("n_total"),
+            *[F.lit(None if at is None else at[0]).cast(kind).alias(name) for name, at in zip(positions, picked)],
+        )
+    ranked = value_ranks(known, keys, value)
     picked = [
         F.max(F.when(at.between(F.col("before"), F.col("before") + F.col("n") - 1), F.col(value))).alias(name)
         for name, at in positions.items()
@@ -241,6 +362,137 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions:
     return ranked.groupBy(*keys).agg(F.max("n_total").alias("n_total"), *picked)
 
 
+def evaluated(spark: SparkSession, positions: Sequence[Column], n: int) -> list[int]:
+    """Positions as numbers, from expressions over ``n_total``."""
+    one = spark.range(1).select(F.lit(n).cast("bigint").alias("n_total"))
+    row = one.select(*[p.cast("bigint").alias(f"p{i}") for i, p in enumerate(positions)]).first()
+    return list(row)
+
+
+@dataclass
+class Interval:
+    """An open interval of a group: its ends (None at the outside), the rows before it, and its own rows."""
+
+    low: tuple | None
+    high: tuple | None
+    before: int
+    n: int
+
+
+def select_at(
+    df: DataFrame, order: Sequence[str | Column], positions: Callable[[int], Sequence[int]], group: str | None = None
+) -> dict:
+    """The keys at zero-based positions of each group's order: {group: (number of rows, [key or None beyond the end])}.
+
+    Works by refinement. Random pivots cut the open intervals that hold a position, one pass counts the rows between
+    and at the pivots exactly, and what holds no position is left out of the next pass. A pivot that is at a position is found; the
+    rows of an interval of ``DIRECT`` rows or less are looked at themselves. Rows are neither shuffled nor written; the
+    driver holds the pivots and those last rows, whose number depends on the positions and groups only. ``group`` should
+    have few values.
+    """
+    by = terms(order)
+    of = F.lit(None).cast("string") if group is None else F.col(group)
+    rows = df.select(of.alias("_group"), *[t.value.alias(f"f{i}") for i, t in enumerate(by)])
+    by = [Term(F.col(f"f{i}"), t.descending) for i, t in enumerate(by)]
+    sizes = {r["_group"]: r["n"] for r in rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {g: list(positions(n)) for g, n in sizes.items()}
+    found: dict = {g: {} for g in sizes}
+    open_ = {g: [Interval(None, None, 0, n)] for g, n in sizes.items() if any(0 <= p < n for p in wanted[g])}
+    seed = 0
+    while open_:
+        seed += 1
+        small = {g: [x for x in xs if x.n <= DIRECT] for g, xs in open_.items()}
+        large = {g: [x for x in xs if x.n > DIRECT] for g, xs in open_.items()}
+        _look_at(rows, by, {g: xs for g, xs in small.items() if xs}, wanted, found)
+        open_ = _refined(rows, by, {g: xs for g, xs in large.items() if xs}, wanted, found, seed)
+    return {g: (n, [found[g].get(p) for p in wanted[g]]) for g, n in sizes.items()}
+
+
+def _inside(rows: DataFrame, by: list[Term], intervals: dict) -> Column:
+    """The group's number of the interval that a row lies in, null for none."""
+    out = F.lit(None).cast("int")
+    columns = [t.value for t in by]
+    for g, xs in intervals.items():
+        here = F.lit(None).cast("int")
+        for i, x in enumerate(xs):
+            inside = F.lit(True)
+            if x.low is not None:
+                inside = inside & _before_key(by, _literals(rows, by, [x.low])[0], columns)
+            if x.high is not None:
+                high = _literals(rows, by, [x.high])[0]
+                same = F.lit(True)
+                for k, c in enumerate(columns):
+                    same = same & high[f"f{k}"].eqNullSafe(c)
+                inside = inside & ~_before_key(by, high, columns) & ~same
+            here = F.when(inside, F.lit(i)).otherwise(here)
+        out = F.when(F.col("_group").eqNullSafe(F.lit(g)), here).otherwise(out)
+    return out
+
+
+def _look_at(rows: DataFrame, by: list[Term], intervals: dict, wanted: dict, found: dict) -> None:
+    """Positions in small intervals, from their rows."""
+    if not intervals:
+        return
+    held = rows.withColumn("_in", _inside(rows, by, intervals)).filter("_in is not null").collect()
+    keys: dict = {}
+    for r in held:
+        keys.setdefault((r["_group"], r["_in"]), []).append(tuple(r[f"f{k}"] for k in range(len(by))))
+    for g, xs in intervals.items():
+        for i, x in enumerate(xs):
+            mine = _sorted(by, keys.get((g, i), []))
+            for p in wanted[g]:
+                if x.before <= p < x.before + len(mine):
+                    found[g][p] = mine[p - x.before]
+
+
+def _refined(rows: DataFrame, by: list[Term], intervals: dict, wanted: dict, found: dict, seed: int) -> dict:
+    """One round: the parts of the intervals that still hold a position."""
+    if not intervals:
+        return {}
+    inside = rows.withColumn("_in", _inside(rows, by, intervals)).filter("_in is not null")
+    # about PIVOTS keys of each interval
+    one_in = F.lit(None).cast("bigint")
+    for g, xs in intervals.items():
+        each = F.element_at(F.array(*[F.lit(max(1, x.n // PIVOTS)).cast("bigint") for x in xs]), F.col("_in") + 1)
+        one_in = F.when(F.col("_group").eqNullSafe(F.lit(g)), each).otherwise(one_in)
+    names = [f"f{k}" for k in range(len(by))]
+    drawn = inside.filter(F.pmod(F.xxhash64(F.lit(seed), *names), one_in) == 0).select("_group", "_in", *names).distinct().collect()
+    pivots: dict = {}
+    for r in drawn:
+        pivots.setdefault((r["_group"], r["_in"]), []).append(tuple(r[n] for n in names))
+    pivots = {place: _sorted(by, keys) for place, keys in pivots.items()}
+    # parts between pivots are even, pivots odd
+    part = F.lit(0)
+    for (g, i), keys in pivots.items():
+        literals = _literals(rows, by, keys)
+        below = bounds_before(by, literals)
+        at = F.get(F.array(*literals), below)
+        same = F.lit(True)
+        for n in names:
+            same = same & at[n].eqNullSafe(F.col(n))
+        mine = 2 * below + F.when(at.isNotNull() & same, 1).otherwise(0)
+        part = F.when(F.col("_group").eqNullSafe(F.lit(g)) & (F.col("_in") == i), mine).otherwise(part)
+    counts = {
+        (r["_group"], r["_in"], r["_part"]): r["n"]
+        for r in inside.groupBy("_group", "_in", part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    following: dict = {}
+    for g, xs in intervals.items():
+        for i, x in enumerate(xs):
+            keys, before = pivots.get((g, i), []), x.before
+            for k in range(2 * len(keys) + 1):
+                n = counts.get((g, i, k), 0)
+                held = [p for p in wanted[g] if before <= p < before + n]
+                if held and k % 2:
+                    found[g].update(dict.fromkeys(held, keys[k // 2]))
+                elif held:
+                    low = keys[k // 2 - 1] if k else x.low
+                    high = keys[k // 2] if k // 2 < len(keys) else x.high
+                    following.setdefault(g, []).append(Interval(low, high, before, n))
+                before += n
+    return following
+
+
 def half_even(x: Column) -> Column:
     """Nearest whole number, ties to the even one; plain arithmetic on doubles."""
     whole = F.floor(x)
@@ -261,35 +513,13 @@ def nearest_rank(q: float) -> Column:
 def cut_points(df: DataFrame, order: Sequence[str], positions: Sequence[Column]) -> list[dict | None]:
     """The order values of the rows at zero-based positions of the whole table, None beyond its end.
 
-    A position is an expression over ``n_total``. Only the order columns are
-    partitioned by range, only the slices that hold a position are sorted, and one
-    row per position reaches the driver, to be used as a constant.
+    A position is an expression over ``n_total``. The positions are selected (``select_at``), so no row moves; one row
+    per position is used as a constant.
     """
-    rows = slice_rows(df.select(*order), order)
-    every_slice = Window.partitionBy(F.lit(0))  # one row per slice
-    sizes = rows.groupBy(SLICE).agg(F.count("*").alias("_n")).select(
-        SLICE,
-        "_n",
-        F.sum("_n").over(every_slice).alias("n_total"),
-        F.coalesce(F.sum("_n").over(every_slice.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
-    )
-    asked = F.posexplode(F.array(*[p.cast("bigint") for p in positions])).alias("_i", "_at")
-    wanted = (
-        sizes.select(SLICE, "_n", "_b", asked)
-        .filter((F.col("_at") >= F.col("_b")) & (F.col("_at") < F.col("_b") + F.col("_n")))
-        .select(SLICE, "_i", (F.col("_at") - F.col("_b")).alias("_local"))
-    )
-    inside = Window.partitionBy(SLICE, "_i").orderBy(*order)
-    found = (
-        rows.join(F.broadcast(wanted), SLICE)  # at most one row per position
-        .withColumn("_rn", F.row_number().over(inside) - 1)
-        .filter("_rn = _local")
-        .collect()
-    )
-    cuts: list[dict | None] = [None] * len(positions)
-    for row in found:
-        cuts[row["_i"]] = {c: row[c] for c in order}
-    return cuts
+    spark = df.sparkSession
+    found = select_at(df, order, lambda n: evaluated(spark, positions, n)).get(None)
+    keys = found[1] if found else [None] * len(positions)
+    return [None if key is None else dict(zip(order, key)) for key in keys]
 
 
 def before_cut(df: DataFrame, cut: dict | None) -> Column:
