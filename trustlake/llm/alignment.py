@@ -42,8 +42,10 @@ from trustlake.llm.counting import byte_level, splitter
 
 #: Text bytes and distinct pairs of a batch.
 BATCH_BYTES, BATCH_PAIRS = 24 << 20, 1_000_000
+#: Text bytes that are encoded at a time: their tokens as objects and arrays take some hundred times as much.
+PART_BYTES = 1 << 19
 #: Pre-tokens and runs between spaces whose ids a task remembers, each; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Bits of a byte offset in a key of (document of a batch, offset).
 OFFSET = 40
 
@@ -185,7 +187,8 @@ class Aligner:
         n_groups = np.bincount(cuts.column("key").to_numpy() >> OFFSET, minlength=len(texts))
 
         # an interval between neighbouring ends lies in the first token of either side that ends at it or later
-        ends = np.union1d(a.key, b.key)
+        ends = np.sort(np.r_[a.key, b.key], kind="stable")
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         at_a, at_b = np.searchsorted(a.key, ends), np.searchsorted(b.key, ends)
         doc = ends >> OFFSET
         pair = a.ids.to_numpy()[at_a].astype(np.int64) << 32 | b.ids.to_numpy()[at_b]
@@ -256,7 +259,7 @@ def linked(
         align = Aligner(*shared.value)
         numbers = iter(range(TaskContext.get().partitionId() << 32, 1 << 62))
         batch, waiting = Batch(next(numbers)), None
-        for part in parts(batches):
+        for part in parts(batches, PART_BYTES):
             if batch.size >= BATCH_BYTES or len(batch.sorted) >= BATCH_PAIRS:
                 yield _closed(waiting, batch)
                 batch, waiting = Batch(next(numbers)), None

@@ -41,10 +41,10 @@ def bytes_or_empty(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
-def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in runs of rows of about ``PART_BYTES``, without copying; one long row is a run of its own."""
+def parts(batches: Iterable[pa.RecordBatch], size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``size`` bytes, without copying; one long row is a run of its own."""
     for batch in batches:
-        rows = max(1, int(batch.num_rows * min(1.0, PART_BYTES / max(batch.nbytes, 1))))
+        rows = max(1, int(batch.num_rows * min(1.0, size / max(batch.nbytes, 1))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
