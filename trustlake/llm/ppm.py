@@ -1,18 +1,19 @@
 """Language-model scores by prediction by partial matching, with word counts beside them.
 
-A text is its words (A-Z lowered), each followed by a space, and one end. The model is a trie of byte contexts: the
-bytes of the same word before a byte, at most ``ORDER`` of them, the space before the word included. It is trained
-on the words of all training texts. A byte is predicted in its longest context that training has seen; where the
+A text is a stream of bytes: its words (A-Z lowered), each followed by one space, and an end. The model is a trie of byte
+contexts: the bytes of the stream before a byte, at most ``ORDER`` of them, over word boundaries; a space stands before the
+stream. It is trained on all training texts. A byte is predicted in its longest context that training has seen; where the
 context has never led to this byte, an escape goes to the context that is one byte shorter, and the bytes that the
 longer context knows are excluded there. Escape estimation is method C: a context with q different bytes in n
 occurrences escapes with q / (n + q). Below the empty context all bytes not excluded are equally likely, so every
-text has a probability, and the probabilities of all texts sum to one.
+text has a probability, and the probabilities of all texts sum to one at most.
 
-The trie is never whole in one place. Documents are dealt by hash into batches of bounded size. A batch sends the
-n-grams of its words, each once, with their training counts, to groups by the last three context bytes; all
-contexts between three bytes and ``ORDER`` of an n-gram lie in its group. The orders below are one table of at most
-2**24 rows (n-grams of three bytes), which is broadcast. The group answers each batch with the code lengths of its
-n-grams, and the batch adds them up. Word counts are asked for and answered in the same way by word.
+The trie is never whole in one place. A task cuts its rows into batches of bounded size and writes them with the
+distinct n-grams and words of the batch and their training counts. Counts are summed by n-gram, combined on the map
+side, so a common one costs a row a task. An n-gram is then looked up once for the corpus, in groups by its last three
+context bytes: all contexts of three bytes and more of an n-gram lie in its group, and groups follow the number of n-grams. The
+orders below are one table of at most 2**24 rows (n-grams of three bytes), which is broadcast. Every batch is answered the
+code lengths of its n-grams and the counts of its words, each once, and adds them up over its texts.
 
 Defined cases: a null or empty text has no words and is scored for its end; without training texts all bytes are
 equally likely and no word is known; a repeated row counts again in training if its id says so; ids may be null (a
@@ -22,52 +23,71 @@ of their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from trustlake.llm.common import bytes_or_empty, stored
+from trustlake.llm.common import answered, bytes_or_empty, named_back, parts, renamed, stored
 
 #: Longest context in bytes; contexts up to SHORT bytes are in the broadcast table.
-ORDER, SHORT = 4, 2
-#: Text bytes of a batch, n-gram groups.
-BATCH_BYTES, GROUPS = 6 << 20, 512
+ORDER, SHORT = 5, 2
+#: Text bytes, distinct n-grams and distinct words of a batch, at which it closes; n-grams of a group, about.
+BATCH_BYTES, BATCH_GRAMS, BATCH_WORDS, GROUP_GRAMS = 24 << 20, 1_500_000, 500_000, 500_000
 #: Symbols: a word's bytes, the space after it, and the end of the text in the place of a word.
 SPACE, END = 0x20, 0x0A
 ADDED = T.StructType(
     [
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("n_known", T.LongType()),
-        T.StructField("log_counts", T.DoubleType()),
-        T.StructField("score", T.DoubleType()),
+        T.StructField("n_tokens", T.LongType(), False),
+        T.StructField("n_known", T.LongType(), False),
+        T.StructField("log_counts", T.DoubleType(), False),
+        T.StructField("score", T.DoubleType(), False),
+    ]
+)
+#: Beside each row: its batch; in one row of each batch its n-grams and words with their training counts.
+KEPT = T.StructType(
+    [
+        T.StructField("batch", T.LongType(), False),
+        T.StructField("grams", T.ArrayType(T.LongType(), False)),
+        T.StructField("gram_counts", T.ArrayType(T.LongType(), False)),
+        T.StructField("words", T.ArrayType(T.BinaryType(), False)),
+        T.StructField("word_counts", T.ArrayType(T.LongType(), False)),
     ]
 )
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """The words of a text and its end."""
-    return [*text.lower().split(), bytes([END])]
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram, index of its word) of all words. An n-gram is its bytes, the last one predicted, and their number.
+def stream(words: list[bytes]) -> bytes:
+    """What is predicted, after one space that is not."""
+    return b" ".join([b"", *words, bytes([END])])
 
-    A word's bytes and the space after it are predicted; the end is one symbol.
-    """
-    parts = [b" " + w + b" " if w[0] != END else b" " + w for w in words]
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    start = np.repeat(np.cumsum(lengths) - lengths, lengths - 1)
-    of = np.repeat(np.arange(len(parts)), lengths - 1)
-    at = np.arange(len(of)) + of + 1
-    width = np.minimum(at - start, ORDER)
-    key = np.zeros(len(of), np.int64)
+
+def grams(streams: list[bytes]) -> np.ndarray:
+    """The n-gram of each predicted byte: its bytes, the predicted one last, and above them their number less one."""
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    lengths = np.fromiter(map(len, streams), np.int64, len(streams))
+    first = np.cumsum(lengths) - lengths
+    key = np.zeros(len(data), np.int64)
     for back in range(ORDER, -1, -1):
-        key = np.where(back <= width, key << 8 | data[at - np.minimum(back, width)], key)
-    return width << 8 * (ORDER + 1) | key, of
+        key <<= 8
+        key[back:] |= data[: max(0, len(data) - back)]
+    width = np.full(len(data), ORDER, np.int64)
+    for at in range(min(ORDER, int(lengths.max(initial=0)))):
+        # a stream's byte number ``at`` has as many bytes before it
+        place = first[lengths > at] + at
+        width[place] = at
+        key[place] &= (1 << 8 * (at + 1)) - 1
+    key |= width << 8 * (ORDER + 1)
+    return np.delete(key, first)
 
 
 def _width(key: np.ndarray) -> np.ndarray:
@@ -136,89 +156,139 @@ def code_lengths(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
+class Counted:
+    """Sorted distinct n-grams with their counts, grown part by part."""
+
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct n-grams of a part."""
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        place = np.searchsorted(self.keys, keys)
+        held = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        held[inside] = self.keys[place[inside]] == keys[inside]
+        self.counts[place[held]] += counts[held]
+        self.keys = np.insert(self.keys, place[~held], keys[~held])
+        self.counts = np.insert(self.counts, place[~held], counts[~held])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams in order of first sight, and the place of each one's n-gram among them."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 class Batch:
-    """The tokens of a batch of documents: the distinct ones in order, and for each row its tokens' numbers."""
-
-    def __init__(self, rows: pa.Table, text: str):
-        parts, sizes, number = [], [], {}
-        for t in bytes_or_empty(rows.column(text).combine_chunks()):
-            tokens = tokens_of(t)
-            sizes.append(len(tokens))
-            # numbers in the order of first sight, turned into the sorted order below
-            for w in set(tokens).difference(number):
-                number[w] = len(number)
-            parts.append(np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens)))
-        self.distinct = sorted(number)
-        place = np.empty(len(number), np.int64)
-        place[np.fromiter(map(number.__getitem__, self.distinct), np.int64, len(number))] = np.arange(len(number))
-        self.sizes = np.array(sizes, np.int64)
-        self.at = place[np.concatenate(parts)] if parts else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.learn = np.array(rows.column("_learn").to_pylist(), bool)
-
-    def training_counts(self) -> np.ndarray:
-        """How often the training texts have each distinct token."""
-        return np.bincount(self.at[self.learn[self.row]], minlength=len(self.distinct))
-
-
-def _asked_words(rows: pa.Table, batch: int, text: str) -> pa.Table:
-    tokens = Batch(rows, text)
-    distinct, counts = tokens.distinct, tokens.training_counts()
-    n = len(distinct)
-    return pa.table(
-        {"batch": np.full(n, batch, np.int64), "at": np.arange(n), "word": pa.array(distinct, pa.binary()), "n": counts.astype(np.int64)}
+    """What a batch of documents asks for."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.grams, self.words = Counted(), {}
+
+    def add(self, texts: list[bytes], learn: np.ndarray) -> None:
+        words = [words_of(t) for t in texts]
+        streams = [stream(w) for w in words]
+        self.size += sum(map(len, streams))
+        keys, at = _distinct(grams(streams))
+        counted = np.repeat(learn, [len(s) - 1 for s in streams])
+        self.grams.add(keys, np.bincount(at[counted], minlength=len(keys)))
+        known = self.words
+        for row, learned in zip(words, learn):
+            row.append(bytes([END]))
+            if learned:
+                for w in row:
+                    known[w] = known.get(w, 0) + 1
+            else:
+                for w in row:
+                    known.setdefault(w, 0)
+
+    def full(self) -> bool:
+        return self.size >= BATCH_BYTES or len(self.grams.keys) >= BATCH_GRAMS or len(self.words) >= BATCH_WORDS
+
+
+def _batched(df: DataFrame, text: str, learn: str, kept: str) -> DataFrame:
+    """``df`` with ``kept`` in place of ``learn``."""
+    schema = T.StructType([*[f for f in df.schema if f.name != learn], T.StructField(kept, KEPT, False)])
+    arrow = to_arrow_schema(schema)
+    lists = [arrow.field(kept).type.field(i) for i in range(len(KEPT))]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = iter(range(TaskContext.get().partitionId() << 32, 1 << 62))
+        batch, waiting = Batch(next(numbers)), None
+        for part in parts(rows):
+            if batch.full():
+                yield with_batch(waiting, batch, last=True)
+                batch, waiting = Batch(next(numbers)), None
+            if waiting is not None:
+                yield with_batch(waiting, batch)
+            batch.add(bytes_or_empty(part.column(text)), np.array(part.column(learn).to_pylist(), bool))
+            waiting = part
+        if waiting is not None:
+            yield with_batch(waiting, batch, last=True)
+
+    def with_batch(part: pa.RecordBatch, batch: Batch, last: bool = False) -> pa.RecordBatch:
+        """The rows with their batch; the first row of the last part of a batch gets what the batch asks for."""
+        n = part.num_rows
+        of_row = [pa.array(np.full(n, batch.number, np.int64))]
+        asked = (batch.grams.keys, batch.grams.counts, list(batch.words), list(batch.words.values()))
+        for field, values in zip(lists[1:], asked):
+            of_row.append(pa.array([values if last and not i else None for i in range(n)], field.type))
+        old = [c.cast(arrow.field(f.name).type) for f, c in zip(part.schema, part.columns) if f.name != learn]
+        return pa.RecordBatch.from_arrays([*old, pa.StructArray.from_arrays(of_row, fields=lists)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _asked(rows: DataFrame, kept: str, what: str, key: str) -> DataFrame:
+    """(batch, ``key``, n) of each batch."""
+    of = F.col(kept)
+    pairs = F.explode(F.arrays_zip(of[what].alias("k"), of[f"{key}_counts"].alias("n"))).alias("e")
+    return rows.filter(of[what].isNotNull()).select(of["batch"].alias("batch"), pairs).select(
+        "batch", F.col("e.k").alias(key), F.col("e.n").alias("n")
     )
 
 
-def _asked_grams(rows: pa.Table, batch: int, text: str) -> pa.Table:
-    tokens = Batch(rows, text)
-    counts = tokens.training_counts()
-    key, of = grams(tokens.distinct)
-    keys, inverse = np.unique(key, return_inverse=True)
-    n = np.bincount(inverse, counts[of], len(keys)).astype(np.int64)
-    return pa.table({"batch": np.full(len(keys), batch, np.int64), "key": keys, "n": n})
+def _short_levels(counts: DataFrame) -> list[Level]:
+    """The levels up to SHORT context bytes from (gram, n): at most 256 ** (SHORT + 1) rows reach the driver."""
+    width = F.least(F.shiftright("gram", 8 * (ORDER + 1)), F.lit(SHORT))
+    cut = F.col("gram").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    rows = counts.filter("n > 0").groupBy(width.alias("width"), cut.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    widths, key, n = (rows.column(c).to_numpy() for c in ("width", "key", "n"))
+    levels: list[Level] = []
+    for order in range(SHORT + 1):
+        levels.append(Level(_cut(key[widths >= order], order), n[widths >= order], levels[-1] if levels else None))
+    return levels
 
 
-def _answered_grams(rows: pa.Table, low: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """Of a group of n-grams: the code length of each one asked for."""
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy().astype(float)
-    levels: list[Level] = []
-    for k, c in low:
-        levels.append(Level(k, c, levels[-1] if levels else None))
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    counts = np.bincount(inverse, n, len(distinct))
-    width = _width(distinct)
+def _looked_up(rows: pa.Table, low: list[Level]) -> pa.Table:
+    """(gram, asks, value) of a group of distinct n-grams."""
+    keys, counts = rows.column("gram").to_numpy(), rows.column("n").to_numpy().astype(float)
+    width, levels = _width(keys), list(low)
     for order in range(SHORT + 1, ORDER + 1):
         trained = (width >= order) & (counts > 0)
-        levels.append(Level(_cut(distinct[trained], order), counts[trained], levels[-1]))
-    value = code_lengths(distinct, levels)[inverse]
-    return pa.table({"batch": rows.column("batch"), "kind": np.ones(len(keys), np.int64), "key": keys, "n": np.zeros(len(keys), np.int64), "value": value})
-
-
-def _scored(rows: pa.Table, answers: pa.Table, text: str, schema: pa.Schema) -> pa.Table:
-    """The batch with its scores: the answers of kind 0 are word counts, those of kind 1 code lengths."""
-    tokens = Batch(rows, text)
-    distinct, at, row = tokens.distinct, tokens.at, tokens.row
-    kind, key, n, value = (answers.column(c).to_numpy() for c in ("kind", "key", "n", "value"))
-    count = np.zeros(len(distinct), np.int64)
-    count[key[kind == 0]] = n[kind == 0]
-    order = np.argsort(key[kind == 1])
-    gram, length = key[kind == 1][order], value[kind == 1][order]
-    mine, of = grams(distinct)
-    score = np.bincount(of, length[np.searchsorted(gram, mine)], len(distinct))
-    n = len(tokens.sizes)
-    made = {
-        "n_tokens": tokens.sizes,
-        "n_known": np.bincount(row, count[at] > 0, n).astype(np.int64),
-        "log_counts": np.bincount(row, np.log10(count + 1.0)[at], n),
-        "score": np.bincount(row, score[at], n),
-    }
-    return pa.Table.from_arrays(
-        [pa.array(made[f.name], f.type) if f.name in made else rows.column(f.name).cast(f.type) for f in schema], schema=schema
-    )
-
-
-def scored(df: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
+        levels.append(Level(_cut(keys[trained], order), counts[trained], levels[-1]))
+    return pa.table({"gram": keys, "asks": rows.column("asks"), "value": code_lengths(keys, levels)})
+
+
+def _added_up(texts: list[bytes], known: dict[bytes, int], keys: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """The added columns of texts, from the counts of all their words and the sorted n-grams' code lengths."""
+    words = [words_of(t) for t in texts]
+    streams = [stream(w) for w in words]
+    found, at = _distinct(grams(streams))
+    code = values[np.searchsorted(keys, found)][at]
+    ends = np.cumsum([0] + [len(s) - 1 for s in streams])
+    score = np.add.reduceat(code, ends[:-1])  # every stream predicts its end at least
+    counts = [np.array([known[w] for w in (*row, bytes([END]))], np.int64) for row in words]
+    n_tokens = np.fromiter(map(len, counts), np.int64, len(counts))
+    n_known = np.fromiter((np.count_nonzero(c) for c in counts), np.int64, len(counts))
+    logs = np.fromiter((np.log10(c + 1.0).sum() for c in counts), float, len(counts))
+    return [n_tokens, n_known, logs, score]
+
+
+def scored(df: DataFrame, learn: Column, text: str = "text") -> tuple[DataFrame, int, int]:
     """(``df`` with n_tokens, n_known, log_counts and score; training tokens; distinct training tokens).
 
     ``score`` is the model's log10 probability of the text; ``n_known`` counts the tokens that training has and
@@ -226,65 +296,50 @@ def scored(df: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "te
     the training rows.
     """
     spark = df.sparkSession
-    names = [f.name for f in ADDED]
-    keep = T.StructType([f for f in df.schema if f.name not in names])
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = int(max(1, -(-size // BATCH_BYTES)))
-    docs = (
-        df.drop(*names)
-        .withColumns({"_batch": F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(batches)), "_learn": F.coalesce(learn, F.lit(False))})
-        .repartition(batches, "_batch")
-    )
-    grouped = docs.groupBy("_batch")
-
-    asked = grouped.applyInArrow(
-        lambda key, rows: _asked_words(rows, key[0].as_py(), text), "batch long, at long, word binary, n long"
-    )
-    # at most one row a batch for each word
-    counted = stored(
-        asked.select(
-            "batch",
-            "at",
-            F.sum("n").over(Window.partitionBy("word")).alias("n"),
-            (F.row_number().over(Window.partitionBy("word").orderBy("batch")) == 1).alias("first"),
-        ),
-        "word-counts",
-    )
-    totals = counted.filter("first and n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    flag = next(n for n in map("learn{}".format, range(len(df.columns) + 1)) if n not in df.columns)
+    rows, names = renamed(df.withColumn(flag, F.coalesce(learn, F.lit(False))))
+    text, flag = names[text], names.pop(flag)
+    rows = stored(_batched(rows, text, flag, "kept"), "batches")
+
+    asked_words, asked_grams = _asked(rows, "kept", "words", "word"), _asked(rows, "kept", "grams", "gram")
+    words = stored(asked_words.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asks")), "words")
+    totals = words.filter("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, distinct = totals[0] or 0, totals[1] or 0
 
-    wanted = stored(
-        grouped.applyInArrow(lambda key, rows: _asked_grams(rows, key[0].as_py(), text), "batch long, key long, n long"), "n-grams"
-    )
-    low = []
-    trained = wanted.filter("n > 0")
-    short = _short_counts(trained)
-    for width in range(SHORT + 1):
-        low.append(short[width])
-    table = spark.sparkContext.broadcast(low)
-    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
-    answer = "batch long, kind long, key long, n long, value double"
-    lengths = wanted.groupBy(F.pmod(F.xxhash64(context), F.lit(GROUPS)).alias("group")).applyInArrow(
-        lambda rows: _answered_grams(rows, table.value), answer
+    counts = stored(asked_grams.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asks")), "n-grams")
+    low = spark.sparkContext.broadcast(_short_levels(counts))
+    groups = max(1, counts.count() // GROUP_GRAMS)
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    lengths = stored(
+        counts.groupBy(F.pmod(F.xxhash64(context), F.lit(groups)).alias("group")).applyInArrow(
+            lambda found: _looked_up(found, low.value), "gram long, asks long, value double"
+        ),
+        "code-lengths",
     )
-    counts = counted.select("batch", F.lit(0).cast("long").alias("kind"), F.col("at").alias("key"), "n", F.lit(0.0).alias("value"))
-    schema = to_arrow_schema(T.StructType([*keep, *ADDED]))
-    out = grouped.cogroup(counts.unionByName(lengths).groupBy("batch")).applyInArrow(
-        lambda rows, answers: _scored(rows, answers, text, schema), T.StructType([*keep, *ADDED])
+    none = {"gram": F.lit(None).cast("long"), "value": F.lit(None).cast("double"), "word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")}
+    columns = ["batch", *none]
+    answers = (
+        answered(asked_words.drop("n"), words, "word").withColumns({c: none[c] for c in ("gram", "value")}).select(columns)
+    ).unionByName(
+        answered(asked_grams.drop("n"), lengths, "gram").withColumns({c: none[c] for c in ("word", "n")}).select(columns)
     )
-    return out, tokens, distinct
-
 
-def _short_counts(trained: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(n-grams, counts) with up to SHORT context bytes, by order: at most 256 ** (SHORT + 1) rows in all."""
-    width = F.shiftright("key", 8 * (ORDER + 1))
-    cut = F.col("key").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
-    rows = (
-        trained.groupBy(F.least(width, F.lit(SHORT)).alias("width"), cut.alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    )
-    width, key, n = (rows.column(c).to_numpy() for c in ("width", "key", "n"))
-    out = []
-    for order in range(SHORT + 1):
-        keys, inverse = np.unique(_cut(key[width >= order], order), return_inverse=True)
-        out.append((keys, np.bincount(inverse, n[width >= order], len(keys))))
-    return out
+    kept = T.StructType([f for f in rows.schema if f.name != "kept"])
+    schema = T.StructType([*kept, *ADDED])
+    arrow = to_arrow_schema(schema)
+
+    def summed(docs: pa.Table, found: pa.Table) -> pa.Table:
+        of_words, of_grams = found.filter(pc.is_valid(found.column("word"))), found.filter(pc.is_valid(found.column("gram")))
+        known = dict(zip(of_words.column("word").to_pylist(), of_words.column("n").to_pylist()))
+        of_grams = of_grams.sort_by("gram")
+        keys, values = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
+        out = []
+        for part in parts(docs.to_batches()):
+            made = _added_up(bytes_or_empty(part.column(text)), known, keys, values)
+            old = [part.column(f.name).cast(arrow.field(f.name).type) for f in kept]
+            out.append(pa.RecordBatch.from_arrays([*old, *map(pa.array, made)], schema=arrow))
+        return pa.Table.from_batches(out, schema=arrow)
+
+    travelling = rows.withColumn("batch", F.col("kept.batch")).drop("kept")
+    out = travelling.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(summed, schema)
+    return named_back(out, names, ADDED.names), tokens, distinct
