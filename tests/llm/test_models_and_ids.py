@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, html, packing, ppm, topk, toxicity
+from trustlake.llm import bpe, common, html, packing, ppm, topk, toxicity
 from trustlake.llm.queries import tokenizer_files
 
 
@@ -118,13 +118,12 @@ def test_class_models_are_distributions():
 def brute_ppm(texts, learn):
     tokens = [[*t.lower().split(), b"\n"] for t in texts]
     train = collections.Counter(w for row, ok in zip(tokens, learn) if ok for w in row)
-    spelled = lambda w: b" " + w + b" " if w != b"\n" else b" \n"
+    streams = [b" " + b" ".join(row) for row in tokens]
     trie = collections.defaultdict(collections.Counter)
-    for w, c in train.items():
-        s = spelled(w)
-        for i in range(1, len(s)):
+    for s, ok in zip(streams, learn):
+        for i in range(1, len(s) if ok else 0):
             for k in range(min(ppm.ORDER, i) + 1):
-                trie[k, s[i - k : i]][s[i]] += c
+                trie[k, s[i - k : i]][s[i]] += 1
 
     def byte(s, i):
         p, out = 0.0, set()
@@ -140,8 +139,8 @@ def brute_ppm(texts, learn):
         return p - math.log10(256 - len(out))
 
     rows = []
-    for row in tokens:
-        score = sum(byte(spelled(w), i) for w in row for i in range(1, len(spelled(w))))
+    for row, s in zip(tokens, streams):
+        score = sum(byte(s, i) for i in range(1, len(s)))
         rows.append((len(row), sum(train[w] > 0 for w in row), sum(math.log10(train[w] + 1) for w in row), score))
     return rows, sum(train.values()), len(train)
 
@@ -159,6 +158,34 @@ def test_ppm(spark, docs, doc_rows, monkeypatch):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3]) and g[4] == pytest.approx(w[4])
 
 
+def test_ppm_reads_across_words(spark):
+    text = "alpha beta gamma delta"
+    rows = [(i, text) for i in range(20)] + [(100, text), (101, "delta gamma beta alpha")]
+    out, _, _ = ppm.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100)
+    score = {r.doc_id: r.score for r in out.collect()}
+    assert score[0] == score[100] > score[101] + 3
+
+
+def test_grams_of_short_streams():
+    streams = [b" \n", b" a \n", b" \n"]
+    width = 8 * (ppm.ORDER + 1)
+    got = [(int(k >> width), int(k & ((1 << width) - 1)).to_bytes(ppm.ORDER + 1, "big").lstrip(b"\0")) for k in ppm.grams(streams)]
+    assert got == [(1, b" \n"), (1, b" a"), (2, b" a "), (3, b" a \n"), (1, b" \n")]
+
+
+@pytest.mark.parametrize("rows", [0, 2])
+def test_ppm_with_hot_grams_and_clashing_columns(spark, docs, doc_rows, monkeypatch, rows):
+    monkeypatch.setattr(common, "HOT_ROWS", rows)
+    monkeypatch.setattr(ppm, "BATCH_BYTES", 20_000)
+    monkeypatch.setattr(ppm, "GROUP_GRAMS", 3_000)
+    names = {n: F.lit(f"own {n}") for n in ("kept", "learn", "learn0", "word", "gram", "n", "asks", "_batch", "_learn", "value")}
+    want, *_ = brute_ppm([(r[1] or "").encode() for r in doc_rows], [True] * len(doc_rows))
+    out, _, _ = ppm.scored(docs.withColumns(names), F.lit(True))
+    got = out.collect()
+    assert all(r[n] == f"own {n}" for r in got for n in names)
+    assert sorted(r.score for r in got) == pytest.approx(sorted(w[3] for w in want))
+
+
 def test_ppm_without_training(docs, no_docs, doc_rows):
     out, n, v = ppm.scored(docs.filter("doc_id < 9"), F.lit(False))
     assert (n, v) == (0, 0)
@@ -203,6 +230,16 @@ def test_bpe_is_the_rank_files_encoding(spark, ranks):
     assert {r.doc_id: (r.ids, r.decoded) for r in both} == {r.doc_id: (r.ids, r.decoded) for r in rows}
 
 
+def test_bpe_token_of_a_whole_match_only(spark):
+    # no merge reaches abc, but a match that is abc is that token
+    odd = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"de": 257}
+    rows = spark.createDataFrame([("abc",), ("xabc",), ("de",), ("xde",)], "text string")
+    out = bpe.encode(rows, odd, r"\S+")
+    assert {r.text: list(r.ids) for r in out.collect()} == {"abc": [256], "xabc": [120, 97, 98, 99], "de": [257], "xde": [120, 257]}
+    with pytest.raises(ValueError):
+        bpe.tokenizer_json({b"a": 0}, r"\S+")
+
+
 def test_bpe_offsets(spark, ranks):
     _, pattern = tokenizer_files()
     text = "Äpfel, naïve 中文 😀 done"
@@ -301,16 +338,74 @@ def test_main_text(spark):
 
 def test_template_classes(spark):
     pages = spark.createDataFrame(
-        [("h", page("<article><p>a<p>b</article>", n)) for n in (1, 2, 3)], "host string, html string"
+        [("h", page(f"<article><p>a{'x' * n}<p>b<div class=box>Join us</div></article>", n)) for n in (1, 2, 3)], "host string, html string"
     )
-    found = {r.path: r for r in html.tokens(pages).collect()}
-    vector = lambda p: (found[p].pages, found[p].total, found[p].a, found[p].b)
-    body = "/html/body"
-    assert vector("") == vector(f"{body}/article") == vector(f"{body}/nav")
-    assert vector(f"{body}/nav/ul/li") == vector(f"{body}/nav/ul/li/a") != vector("")
-    assert vector(f"{body}/article/p") not in (vector(""), vector(f"{body}/nav/ul/li"))
+    rows = html.tokens(pages).collect()
+    found = {r.label: r for r in rows if r.kind == 0}
+    vector = lambda r: (r.pages, r.total, r.a, r.b)
+    assert vector(found[""]) == vector(found["article"]) == vector(found["nav"])
+    assert vector(found["li"]) == vector(found["a"]) != vector(found[""]) and vector(found["p"]) not in (vector(found[""]), vector(found["li"]))
     row = html.templates(html.tokens(pages)).first()
-    assert (row.host, row.article) == ("h", f"{body}/article") and row.classes >= 3
+    assert (row.host, row.pages) == ("h", 3) and row.classes >= 3
+    assert {e.label for e in row.skeleton} >= {"", "html", "body", "article", "nav"}
+    # texts of the skeleton's class: the header, the box and the paragraph that all pages share, not those that differ
+    shared = {x: [r.token for r in rows if r.kind == 1 and r.pages == 3 and r.above == found[x].token] for x in ("header", "div.box", "p")}
+    assert all(len(x) == 1 for x in shared.values()) and sorted(row.texts) == sorted(sum(shared.values(), []))
+
+
+def prose(seed, n=40):
+    return " ".join(f"w{(seed * 37 + i * i) % 1000}" for i in range(n))
+
+
+def extracted(spark, articles, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", f"<html><body>{a}</body></html>") for i, a in enumerate(articles)]
+    out = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return [r.main_text for r in out.orderBy("page_id").collect()]
+
+
+def test_template_deduction(spark, monkeypatch):
+    monkeypatch.setattr(html, "TASK_PAGES", 2)  # large hosts take the salted way
+    box = "<div class=box7><p>Read our house rules before you write to us</p></div>"
+    # a heading beside one paragraph, an article in two parts, a name that only looks like boilerplate
+    assert extracted(spark, [f"<div class=entry><h1>Head {prose(i, 3)}</h1><p>{prose(i)}</p></div>" for i in range(6)]) == [
+        f"Head {prose(i, 3)}\n{prose(i)}" for i in range(6)
+    ]
+    assert extracted(spark, [f"<div class=lead>{prose(i, 30)}</div><div class=body>{prose(i + 50, 20)}</div>" for i in range(6)]) == [
+        f"{prose(i, 30)}\n{prose(i + 50, 20)}" for i in range(6)
+    ]
+    assert extracted(spark, [f"<article><p>{prose(i)}</p><div class=search-results-story>{prose(i + 9)}</div></article>" for i in range(4)]) == [
+        f"{prose(i)}\n{prose(i + 9)}" for i in range(4)
+    ]
+    # a block that repeats under an unlisted name goes, on every page and in a layout that a part of the pages has
+    assert extracted(spark, [f"<article><h1>T {prose(i, 2)}</h1>{box}<p>{prose(i)}</p></article>" for i in range(6)]) == [
+        f"T {prose(i, 2)}\n{prose(i)}" for i in range(6)
+    ]
+    assert extracted(spark, [f"<article><p>{prose(i)}</p>{box if i % 2 else ''}</article>" for i in range(8)]) == [prose(i) for i in range(8)]
+    assert extracted(spark, [f"<section class=thread><p>Posted under the rules</p></section><div>{prose(i)}</div>" for i in range(5)]) == [
+        prose(i) for i in range(5)
+    ]
+
+
+def test_copies_are_no_template(spark):
+    text = "".join(f"<p>{prose(i)}</p>" for i in range(3))
+    want = "\n".join(prose(i) for i in range(3))
+    assert extracted(spark, [f"<article>{text}</article>"] * 6) == [want] * 6
+    # near copies: what differs is less than what they share
+    near = extracted(spark, [f"<article>{text}<p>edit {prose(90 + i, 3)}</p></article>" for i in range(6)])
+    assert near == [f"{want}\nedit {prose(90 + i, 3)}" for i in range(6)]
+    # copies on a part of the pages of a host
+    some = extracted(spark, [f"<article><p>{prose(i if i > 3 else 0)}</p><p>{prose(500 + (i if i > 3 else 0))}</p></article>" for i in range(9)])
+    assert some == [f"{prose(i if i > 3 else 0)}\n{prose(500 + (i if i > 3 else 0))}" for i in range(9)]
+
+
+def test_html_at_any_depth_and_with_clashing_columns(spark):
+    deep = "".join(f"<div class=c{chr(97 + i % 26)}>" for i in range(400))
+    rows = [(i, "http://d.example", f"{deep}<div class=note>same words here</div><p>{prose(i)}</p>") for i in range(4)]
+    own = {n: F.lit(f"own {n}") for n in ("host", "_host", "_at", "_article", "salt", "salts", "skeleton", "texts", "token")}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(own)
+    got = html.main_text(pages).collect()
+    assert sorted(r.main_text for r in got) == sorted(prose(i) for i in range(4))
+    assert all(r[n] == f"own {n}" for r in got for n in own)
 
 
 def test_names_do_not_empty_a_page():
@@ -322,4 +417,4 @@ def test_names_do_not_empty_a_page():
         f"<body><main class='widget'>{article}</main></body>",
         f"<body><article id='search-history'>{article}</article><article class='comment'>c</article></body>",
     ):
-        assert html.slot_text(whole, None) == "Head\nlong text", whole
+        assert html.slot_text(whole) == "Head\nlong text", whole

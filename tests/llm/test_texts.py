@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -75,6 +76,42 @@ def test_equal_hosts_are_not_bad(spark):
     assert all(r.kept for r in out)
 
 
+def test_wide_limits_hold_on_every_host(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    symbols, lines = good + " " + "# " * 60, "the same line again\n" * 5 + good
+    rows = [(f"h{i % 4}", good) for i in range(400)] + [(f"h{i % 4}", t) for i in range(8) for t in (symbols, lines)]
+    out = quality.judged(quality.measured(spark.createDataFrame(rows, "source string, text string"))).collect()
+    assert {r.kept for r in out if r.text == good} == {True}
+    assert {r.kept for r in out if r.text != good} == {False} and not any(r.base_failed for r in out)
+
+
+@pytest.mark.parametrize("size", [10, 100_000])
+def test_equal_rates_have_equal_verdicts(spark, size):
+    def bad(rates):
+        rows = [(f"h{i}", size, int(size * r)) for i, r in enumerate(rates)]
+        return [r.bad for r in quality.rated(spark.createDataFrame(rows, "_host string, n_docs long, n_failed long")).orderBy(F.expr("int(substr(_host, 2))")).collect()]
+
+    assert bad([0.1] * 6 + [0.6] * 6) == [False] * 6 + [True] * 6
+    assert not any(bad([0.1 + i / 1000 for i in range(20)]))
+    assert not any(bad([0.2] * 20)) and all(bad([0.7] * 20))
+
+
+def test_internal_names_are_free(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    names = {n: F.lit(f"own {n}") for n in ("_host", "_bad", "_failed", "bad", "narrow", "wide", "failed", "rate", "hash", "_hash", "_source", "limit", "passes", "size_")}
+    rows = spark.createDataFrame([(1, good, "a"), (2, "x", None), (3, None, "b")], "doc_id long, text string, source string").withColumns(names)
+    for out in (quality.judged(quality.measured(rows)), mixing.mix(rows)):
+        got = out.collect()
+        assert len(got) == 3 and all(r[n] == f"own {n}" for r in got for n in names)
+
+
+def test_texts_without_words_are_not_copied_beyond_the_bound(spark):
+    rows = [(i, "a b c", "s1") for i in range(4)] + [(10 + i, "", "s1") for i in range(200)] + [(900 + i, "x " * 50, "s2") for i in range(9)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(9, 1))
+    assert {r.copies for r in out.filter("size = 0").collect()} <= {0, 1, 2}
+    assert {r.copies for r in out.filter("source = 's1' and size > 0").collect()} == {2}
+
+
 def test_prior_shrinks():
     mean, strength = quality.prior(100, 50, 2, 45.0 * 45 / 50 + 5.0 * 5 / 50)
     assert mean == 0.5 and strength >= 1

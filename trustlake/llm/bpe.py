@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from trustlake.llm.common import adding, text_or_empty
 
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their rank; the file is read on the driver only."""
     with open(path, "rb") as lines:
@@ -43,7 +44,10 @@ def byte_characters() -> list[str]:
 
 
 def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
-    """For each token of two bytes or more, the two tokens that the lower ranks leave of its bytes, by rank."""
+    """For each token of two bytes or more, the two tokens that the lower ranks leave of its bytes, by rank.
+
+    A token of which they leave more parts has no merge: it is the token of a whole match only, which is looked up first.
+    """
     found = []
     for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
         if len(token) > 1:
@@ -68,11 +72,13 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     """A serialised tokenizer with these ranks as merges, applied to each match of ``pattern`` separately."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+    missing = [b for b in range(256) if bytes([b]) not in ranks]
+    if missing:
+        raise ValueError(f"bytes without a rank: {missing}")
     of = byte_characters()
     show = lambda token: "".join(of[b] for b in token)
-    tokenizer = Tokenizer(
-        models.BPE(vocab={show(t): r for t, r in ranks.items()}, merges=[(show(a), show(b)) for a, b in merges_of(ranks)])
-    )
+    merges = [(show(a), show(b)) for a, b in merges_of(ranks)]
+    tokenizer = Tokenizer(models.BPE(vocab={show(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
         [
             pre_tokenizers.Split(Regex(pattern), behavior="isolated"),

@@ -16,10 +16,12 @@ empty table gives no rows. Extra columns are passed through by ``mix``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import n_words, stored
+from trustlake.llm.common import n_words, named_back, renamed, stored
 
 #: Four hexadecimal digits of the hash a round, twelve digits in all.
 DIGITS, ROUNDS = 3, 4
@@ -132,23 +134,24 @@ def mix(
 ) -> DataFrame:
     """``df`` with size, source_size, target (of the source) and copies (how often the mix takes the document).
 
-    The four columns replace columns of the same names. ``most`` bounds the copies of a document, rounded up.
+    The four columns replace columns of the same names. No document has more than ``most`` copies, rounded up.
     """
     made = ("size", "source_size", "target", "copies")
-    kept = df.drop(*made)
+    rows, names = renamed(df)
+    doc_id, text, source = names[doc_id], names[text], names[source]
     # ids, sizes and hashes are small next to the texts and are read six times
     docs = stored(
-        df.select(F.col(source).alias("source"), n_words(text).alias("size"), hash_digits(doc_id, text).alias("hash")), "sizes"
+        rows.select(F.col(source).alias("source"), n_words(text).alias("size"), hash_digits(doc_id, text).alias("hash")), "sizes"
     )
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stored(targets(sizes, weights, share, most), "targets")
     ends = thresholds(docs, goals)
-    plan = goals.join(ends.withColumnRenamed("source", "_e"), F.col("source").eqNullSafe(F.col("_e"))).select(
-        F.col("source").alias("_source"), "source_size", "target", "passes", "limit"
-    )
-    return (
-        kept.withColumns({"size": n_words(text), "_hash": hash_digits(doc_id, text)})
-        .join(plan, F.col(source).eqNullSafe(F.col("_source")))
-        .withColumn("copies", F.col("passes") + F.when(F.col("_hash") < F.col("limit"), 1).otherwise(0))
-        .drop("_source", "_hash", "passes", "limit")
+    plan = goals.join(ends.withColumnRenamed("source", "_e"), F.col("source").eqNullSafe(F.col("_e"))).drop("_e")
+    copies = F.col("passes") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)
+    out = (
+        rows.withColumns({"size": n_words(text), "hash": hash_digits(doc_id, text)})
+        .join(plan, F.col(source).eqNullSafe(F.col("source")))
+        # documents of size 0 lie under every limit before the first word, a limit of nothing included
+        .withColumn("copies", F.least(copies, F.lit(math.ceil(most))).cast("long"))
     )
+    return named_back(out, names, made)

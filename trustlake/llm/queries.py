@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +38,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def tokenizer_files() -> tuple[str, str]:
-    """Path of the rank file and the pattern; TRUSTLAKE_RANKS names another file."""
+    """Path of the rank file and the pattern."""
     import public_tokenizers
 
-    return os.environ.get("TRUSTLAKE_RANKS") or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 @query

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustlake.llm.common import adding, bytes_or_empty, stored
+from trustlake.llm.common import adding, bytes_or_empty, named_back, renamed, stored
 from trustlake.llm.graph import components
 
 BITS = 64
@@ -278,8 +278,10 @@ def first_of_near_copies(
     more; classes are the connected components. Pairs are found by bands of minima (see ``BANDS``). If rows of a
     class share the smallest id, the text with the smallest MD5 stays, and of wholly repeated rows one.
     """
+    own, names = renamed(df)
+    doc_id, text = names[doc_id], names[text]
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    rows = df.select(F.col(doc_id).alias("id"), digest.alias("digest"), F.col(text).alias("text"))
+    rows = own.select(F.col(doc_id).alias("id"), digest.alias("digest"), F.col(text).alias("text"))
     prints = stored(banded(rows, "text", shingle).drop("text"), "prints")
     distinct = stored(
         prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("keys").alias("keys")),
@@ -295,7 +297,8 @@ def first_of_near_copies(
         .select(_row_key(F.col("first.id"), F.col("first.digest")).alias("_row"))
     )
     # one key for the join and for repeated rows, so the texts are shuffled once
-    return df.withColumn("_row", _row_key(F.col(doc_id), digest)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    out = own.withColumn("_row", _row_key(F.col(doc_id), digest)).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return named_back(out, names, [])
 
 
 def _row_key(doc_id: Column, digest: Column) -> Column:

@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from trustlake.llm.common import bytes_or_empty
+from trustlake.llm.common import bytes_or_empty, named_back, renamed, stored
 from trustlake.llm.fmindex import FmIndex
+from trustlake.llm.importance import ranked
 
 WINDOW, GRAM = 20, 8
 #: Text bytes in a batch of documents, words in a shard of the index, minimizers in a shard of counts.
@@ -263,15 +264,23 @@ def _without(docs: pa.Table, answers: pa.Table, doc_id: str, text: str, schema:
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with n_words, n_removed and kept, the words that are left joined by one space."""
-    names = [f.name for f in ADDED]
-    keep = T.StructType([f for f in df.schema if f.name not in names])
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows, names = renamed(df)
+    doc_id, text = names[doc_id], names[text]
+    if not isinstance(rows.schema[doc_id].dataType, T.IntegralType):
+        # ids of another type are compared by their place among all ids
+        ids = rows.select(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")).distinct()
+        ids = stored(ids, "ids")
+        placed = ranked(ids, ["none", "id"], ids.count(), "place").drop("none")
+        rows = rows.join(placed, F.col(doc_id).eqNullSafe(F.col("id"))).drop("id")
+        doc_id = "place"
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
     shards = max(1, -(-size // (6 * SHARD_KEYS)))
     batch = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(batches))
-    docs = df.drop(*names).withColumn("_batch", batch).repartition(int(batches), "_batch")
-    grouped = docs.groupBy("_batch")
-    schema = to_arrow_schema(T.StructType([*keep, *ADDED]))
+    docs = rows.withColumn("batch", batch).repartition(int(batches), "batch")
+    grouped = docs.groupBy("batch")
+    all_columns = T.StructType([*rows.schema, *ADDED])
+    schema = to_arrow_schema(all_columns)
 
     counts = grouped.applyInArrow(
         lambda key, rows: _minimizers(rows, key[0].as_py(), doc_id, text), "batch long, key long, n long"
@@ -298,6 +307,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
     index_shards = max(1, -(-size // (6 * SHARD_WORDS)))
     masks = candidates.groupBy(F.pmod("route", F.lit(index_shards)).alias("shard")).applyInArrow(_first_starts, answer)
-    return grouped.cogroup(repeated.unionByName(masks).groupBy("batch")).applyInArrow(
-        lambda rows, answers: _without(rows, answers, doc_id, text, schema), T.StructType([*keep, *ADDED])
+    out = grouped.cogroup(repeated.unionByName(masks).groupBy("batch")).applyInArrow(
+        lambda rows, answers: _without(rows, answers, doc_id, text, schema), all_columns
     )
+    return named_back(out, names, ADDED.names)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustlake.llm.common import adding, bytes_or_empty
+from trustlake.llm.common import adding, bytes_or_empty, named_back, renamed
 
 #: Bytes of an n-gram, and labelled documents of each class that the models are fitted on at most.
 ORDER, MAX_DOCS = 6, 20_000
@@ -225,4 +225,5 @@ def scored(
     slope, intercept = fitted_curve(raw, truth, weight / weight.mean())
     whole = Ratio(keys, *sums)
     value = 1 / (1 + F.exp(-(F.lit(slope) * F.col("_raw") + F.lit(intercept))))
-    return raw_scores(docs.drop(out), [whole], text, "_raw").withColumn(out, value).drop("_raw")
+    rows, names = renamed(docs)
+    return named_back(raw_scores(rows, [whole], names[text], "_raw").withColumn(out, value), names, [out])
