@@ -283,8 +283,9 @@ def test_as_of_both_ways(spark):
         live = [(r, v) for v, r, s, _ in versions if s != "candidate" and r <= ts]
         return max(live)[1] if live else None
 
-    got = {r["id"]: r["as_of_version"] for r in governance.calibrator_as_of(decisions, registry).collect()}
-    assert got == {i: want(ts) for i, ts in rows}
+    for slices in (None, 7):
+        got = {r["id"]: r["as_of_version"] for r in governance.calibrator_as_of(decisions, registry, slices=slices).collect()}
+        assert got == {i: want(ts) for i, ts in rows}
 
 
 def test_migration(spark):
@@ -349,3 +350,58 @@ def test_policy_head_never_scores_its_own_rows(spark):
     assert len(got) == 100 and all(got[i] == (None, 1) for i in [*range(20), 99])
     assert all(abs(got[i][0] - 0.5) < 0.01 for i in range(20, 80))  # the past knows nothing, also of rows 60 to 79
     assert all((got[i][0] > 0.7) == (i % 2 == 0) for i in range(80, 99))
+
+
+def test_drift_monitor_moves_its_anchor(spark):
+    """A state machine by hand: the anchor follows a re-anchoring, and each verdict appears."""
+    import math
+
+    shares = {"flat": [10] * 10, "left": [37] + [7] * 9, "steep": [55] + [5] * 9, "right": [7] * 9 + [37]}
+    plan = {
+        "a": ["flat", "flat", "left", "steep", "flat", "right", "flat"],
+        "b": ["left", "flat", "flat"],
+        "c": ["flat"],
+    }
+    rows = [(k, day, *[n * (2 if day else 1) for n in shares[s]]) for k, days in plan.items() for day, s in enumerate(days)]
+    rows.append(("a", 7, *[1] * 10))
+    names = [f"_c{b}" for b in range(10)]
+    days = spark.createDataFrame(rows, "k string, day bigint, " + ", ".join(f"{n} bigint" for n in names))
+    reference = spark.createDataFrame([("a", *[100] * 10), ("b", *[100] * 10)], "k string, " + ", ".join(f"_r{b} bigint" for b in range(10)))
+
+    def psi(r, c):
+        if not r or not sum(r):
+            return None
+        total = lambda x: [max(v / sum(x), 1e-6) for v in x]
+        return sum((c - r) * math.log(c / r) for r, c in zip(total(r), total(c)))
+
+    want = {}
+    for k in plan:
+        known = k != "c"
+        anchor, at, past = [100] * 10 if known else None, None, []
+        for day, cur in sorted((r[1], list(r[2:])) for r in rows if r[0] == k):
+            short = [sum(x) for x in zip(*past[-2:])]
+            values = psi(short, cur), psi([100] * 10 if known else None, cur), psi(anchor, cur)
+            verdict = spark_verdict(sum(cur), *values) if known else "insufficient_data"
+            want[k, day] = (verdict, at, *[None if v is None else round(v, 9) for v in values])
+            if verdict == "re_anchor":
+                anchor, at = cur, day
+            past.append(cur)
+    got = {
+        (r.k, r.day): (r.verdict, r.anchored, *[None if v is None else round(v, 9) for v in (r.psi_short, r.psi_long, r.psi_drift)])
+        for r in drift.monitor(days, reference, ["k"], "day", short=2).collect()
+    }
+    assert got == want
+    assert {"ok", "re_anchor", "L1", "L2", "L3", "insufficient_data"} >= {v[0] for v in got.values()} >= {"re_anchor", "L3", "ok", "insufficient_data"}
+    assert any(at is not None for _, at, *_ in got.values())
+
+
+def spark_verdict(n, short, long, anchor):
+    if n < 100:
+        return "insufficient_data"
+    if long is not None and long > 0.30:
+        return "L3"
+    if anchor is not None and anchor > 0.25:
+        return "L2"
+    if short is not None and short > 0.20:
+        return "re_anchor" if long is not None and long <= 0.10 else "L1"
+    return "ok"

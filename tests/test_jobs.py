@@ -64,13 +64,36 @@ def test_a_closed_outcome_stays(spark, night, tmp_path):
     heavier = spark.createDataFrame([(3, 200, 900, "clean", "human_override", 1.0, None)], EVENTS)
     out = jobs.run_nightly(spark, decisions, events.unionByName(heavier), root, 10_000)
     assert [r["decision_id"] for r in out["closed"].collect()] == [201]
-    closed = {r["decision_id"]: (r["outcome"], r["closed_us"]) for r in tables.read_snapshot(spark, f"{root}-closed").collect()}
+    closed = {r["decision_id"]: (r["outcome"], r["closed_us"]) for r in tables.read_segments(spark, f"{root}-closed", 2).collect()}
     assert closed == {200: ("wrong", 1000), 201: ("wrong", 10_000)}
     assert {r["event_id"]: r["processed_us"] for r in out["events"].collect()} == {1: 1000, 2: 10_000, 3: 1000}
     assert out["trust"].first()["n_own_raw"] == 122
     assert tables.read_snapshot(spark, f"{root}-drift").first()["run_us"] == 10_000
 
 
+def test_a_night_writes_what_it_closes(spark, night, tmp_path):
+    """Every run appends its own closings; merged segments hold the same rows, and a broken-off run is done again."""
+    decisions, events = night
+    root = f"{tmp_path}/t"
+    rows = [(300 + i, 600, *KEY, None, None, None, 1000 * i) for i in range(1, 10)]
+    decisions = decisions.unionByName(spark.createDataFrame(rows, DECISIONS))
+    more = spark.createDataFrame([(10 + i, 300 + i, 700, "clean", "reversal", 0.9, None) for i in range(1, 10)], EVENTS)
+    events = events.unionByName(more)
+    for i in range(1, 10):
+        jobs.run_nightly(spark, decisions, events, root, 1000 * i + 1)
+        assert spark.read.parquet(f"{root}-closed/from={i}-to={i}").count() <= 2
+    log = f"{root}-closed"
+    assert [s.rpartition("/")[2] for s in tables.segments(spark, log, 9)] == ["from=1-to=8", "from=9-to=9"]
+    closed = sorted(r["decision_id"] for r in tables.read_segments(spark, log, 9).collect())
+    assert closed == [200, 201, *range(301, 310)]
+    assert tables.vacuum_segments(spark, log, 9) == 8 and tables.vacuum_segments(spark, log, 9) == 0
+    assert sorted(r["decision_id"] for r in tables.read_segments(spark, log, 9).collect()) == closed
+    # a tenth run that wrote its segment but no trust snapshot
+    tables.append_segment(tables.read_segments(spark, log, 9), log, 10)
+    out = jobs.run_nightly(spark, decisions, events, root, 10_001)
+    assert out["closed"].count() == 0 and spark.read.parquet(f"{log}/from=10-to=10").count() == 0
+
+
 def test_bootstrap(spark):
     rows = spark.range(400).select(
         "id", (F.col("id") * 10).alias("ts_us"), F.lit("issue_refund").alias("action"), F.lit(5000.0).alias("amount"),

@@ -105,16 +105,17 @@ def run_nightly(
 ) -> dict[str, DataFrame]:
     """One nightly run on the state under ``root``, and the next numbered state written there.
 
-    The state is what the runs have decided, not a copy of the large tables: all
-    closed outcomes (``closed``), one row a decision, the trust rows, and the run's
-    drift log. Earlier closings are laid over the decisions and mark their events
+    The state is what the runs have decided, not a copy of the large tables: the log of
+    closed outcomes (``closed``, one row a decision), to which a run appends what it closes, the
+    trust rows, and the run's drift log. Segments of the log are merged now and then, so what a
+    night writes follows what it closes. Earlier closings are laid over the decisions and mark their events
     as processed before anything is computed, so nothing closes twice and no later
     reference time picks another winner. The trust snapshot is written last; a run
     that broke off before has no number and is done again.
     """
     done = tables.snapshots(spark, root)
     old = tables.read_snapshot(spark, root)
-    before = spark.read.parquet(f"{root}-closed/snapshot={done[-1]}") if done else None
+    before = tables.read_segments(spark, f"{root}-closed", done[-1]) if done else None
     if before is not None:
         decisions = outcomes.apply_outcomes(decisions, before)
         marks = before.select("decision_id", F.col("closed_us").alias("_done"))
@@ -127,9 +128,10 @@ def run_nightly(
     if not dry_run:
         number = done[-1] + 1 if done else 1
         closed = out["closed"].withColumn("closed_us", F.lit(as_of_us))
-        tables.write_snapshot(closed if before is None else before.unionByName(closed), f"{root}-closed", number)
+        tables.append_segment(closed, f"{root}-closed", number)
         tables.write_snapshot(out["drift_checks"].withColumn("run_us", F.lit(as_of_us)), f"{root}-drift", number)
         tables.write_snapshot(out["trust"], root, number)
+        tables.compact_segments(spark, f"{root}-closed", number)
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlake.config import SETTINGS
@@ -154,6 +154,76 @@ def windowed_drift(
     return against_reference(folded(current, [*keys, "day"], "c"), folded(reference, keys, "r"), keys, "day", bins)
 
 
+def window_histograms(
+    rows: DataFrame, value: str, keys: Sequence[str], edges: DataFrame, window: Column, name: str = "day", prefix: str = "c",
+    bins: int = SETTINGS.bins,
+) -> DataFrame:
+    """Per key and window the counts (``_c0`` ..) on the key's fixed edges; histograms of any windows can be added up."""
+    joined = spread_join(rows.withColumn(name, window), edges, keys, spread=value, how="left")
+    slot = joined.withColumn("_b", bucket(F.col(value), F.col("edges"), bins))
+    return slot.groupBy(*keys, name).agg(
+        *[F.count(F.when(F.col("_b") == b, 1)).alias(f"_{prefix}{b}") for b in range(bins)]
+    )
+
+
+def _psi_arrays(ref: Column, cur: Column) -> Column:
+    """PSI of two arrays of counts, null if one is missing or empty."""
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    def term(r: Column, c: Column) -> Column:
+        r, c = (F.greatest(x / total(whole), F.lit(SETTINGS.psi_floor)) for x, whole in ((r, ref), (c, cur)))
+        return (c - r) * F.ln(c / r)
+
+    value = F.aggregate(F.zip_with(ref, cur, term), F.lit(0.0), lambda a, x: a + x)
+    return F.when((total(ref) > 0) & (total(cur) > 0), value)
+
+
+def monitor(
+    days: DataFrame, reference: DataFrame, keys: Sequence[str], window: str = "day", short: int = 7, bins: int = SETTINGS.bins
+) -> DataFrame:
+    """Each key's windows against three baselines, with a verdict, re-anchoring as it goes.
+
+    ``days`` has a key's windows with their counts (``_c0`` ..), ``reference`` its fixed histogram (``_r0`` ..). ``psi_short``
+    compares a window with the sum of the ``short`` windows of the key before it, ``psi_long`` with the reference,
+    and ``psi_drift`` with the anchor: the reference at first, and from a window with verdict ``re_anchor`` on that window
+    (``anchored``). A key without a reference has no verdict but ``insufficient_data``. The anchor makes each verdict depend on
+    the ones before, so a key's windows, one short row each, are folded in order in one row; the decisions themselves are not.
+    """
+    counts = [f"_c{b}" for b in range(bins)]
+    before = Window.partitionBy(*keys).orderBy(window).rowsBetween(-short, -1)
+    rolled = days.select(
+        *keys, window, F.array(*counts).alias("cur"), F.array(*[F.sum(c).over(before) for c in counts]).alias("past")
+    )
+    step = F.struct(F.col(window).alias("at"), "cur", F.when(F.get("past", F.lit(0)).isNotNull(), F.col("past")).alias("past"))
+    lists = rolled.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    fixed = reference.select(*keys, F.array(*[F.col(f"_r{b}") for b in range(bins)]).alias("ref"))
+    at_type = days.schema[window].dataType.simpleString()
+    out_type = f"array<struct<at:{at_type},n:bigint,psi_short:double,psi_long:double,psi_drift:double,verdict:string,anchored:{at_type}>>"
+
+    def fold(state: Column, now: Column) -> Column:
+        n = F.aggregate(now["cur"], F.lit(0).cast("bigint"), lambda a, x: a + x)
+        psis = [_psi_arrays(base, now["cur"]) for base in (now["past"], F.col("ref"), state["anchor"])]
+        verdict = F.when(F.col("ref").isNull(), "insufficient_data").otherwise(drift_verdict(n, *psis))
+        row = F.struct(
+            now["at"].alias("at"), n.alias("n"), *[p.alias(x) for p, x in zip(psis, ("psi_short", "psi_long", "psi_drift"))],
+            verdict.alias("verdict"), state["anchored"].alias("anchored"),
+        )
+        moved = verdict == "re_anchor"
+        return F.struct(
+            F.when(moved, now["cur"]).otherwise(state["anchor"]).alias("anchor"),
+            F.when(moved, now["at"]).otherwise(state["anchored"]).alias("anchored"),
+            F.concat(state["out"], F.array(row)).cast(out_type).alias("out"),
+        )
+
+    start = F.struct(
+        F.col("ref").alias("anchor"), F.lit(None).cast(at_type).alias("anchored"), F.array().cast(out_type).alias("out")
+    )
+    folded = lists.join(fixed, list(keys), "left").withColumn("_out", F.aggregate("steps", start, fold)["out"])
+    return folded.select(*keys, F.explode("_out").alias("_r")).select(*keys, F.col("_r.at").alias(window), "_r.*").drop("at")
+
+
 def against_reference(
     counts: DataFrame, reference: DataFrame, keys: Sequence[str], window: str, bins: int = SETTINGS.bins
 ) -> DataFrame:

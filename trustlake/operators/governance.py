@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from trustlake.config import DAY_US, SETTINGS
 from trustlake.functions import decision as dec
 from trustlake.functions import ledger
+from trustlake.operators.ranking import last_known
 
 
 def newest_ready(registry: DataFrame, keys: Sequence[str] = ("capability_tier",)) -> DataFrame:
@@ -21,21 +23,31 @@ def newest_ready(registry: DataFrame, keys: Sequence[str] = ("capability_tier",)
 
 
 def calibrator_as_of(
-    decisions: DataFrame, registry: DataFrame, tier: str = "capability_tier", ts: str = "ts_us"
+    decisions: DataFrame, registry: DataFrame, tier: str = "capability_tier", ts: str = "ts_us", slices: int | None = None
 ) -> DataFrame:
     """Add ``as_of_version``: the newest version of the tier ready at the decision's time.
 
-    Versions in production then and since retired both count. The registry, a few
-    releases a day at most, becomes one sorted array per tier; how the tiers reach
-    the decisions is left to the planner.
+    Versions in production then and since retired both count. Versions and decisions are
+    merged in the order of their times, and the last version is carried forward
+    (``ranking.last_known``), so a registry of any length costs a row a version.
     """
     live = registry.filter(F.col("ready_us").isNotNull() & F.col("state").isin("production", "retired")).select(
-        tier, "ready_us", "version"
+        tier, F.col("ready_us").alias("_at"), F.lit(0).alias("_kind"), F.col("version").alias("_version"), F.lit(0).cast("bigint").alias("_tie")
     )
-    arrays = live.groupBy(tier).agg(F.array_sort(F.collect_list(F.struct("ready_us", "version"))).alias("_versions"))
-    seen = F.filter("_versions", lambda v: v["ready_us"] <= F.col(ts))
-    newest = F.try_element_at(seen, F.lit(-1))["version"]
-    return decisions.join(arrays, tier, "left").withColumn("as_of_version", newest).drop("_versions")
+    plain = [f.name for f in decisions.schema if isinstance(f.dataType, AtomicType)]
+    asked = decisions.withColumns(
+        {
+            "_at": F.col(ts),
+            "_kind": F.lit(1),
+            "_version": F.lit(None).cast(registry.schema["version"].dataType),
+            "_tie": F.xxhash64(*plain),
+        }
+    )
+    merged = asked.unionByName(live, allowMissingColumns=True)
+    # a version that is ready at the very time counts; of several ready at one time the greatest does
+    order = ["_at", "_kind", "_version", "_tie"]
+    found = last_known(merged, [tier], order, F.col("_version"), "as_of_version", slices)
+    return found.filter("_kind = 1").drop("_at", "_kind", "_version", "_tie")
 
 
 def mixed_version_windows(decisions: DataFrame, window: str) -> DataFrame:

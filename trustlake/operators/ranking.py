@@ -170,6 +170,34 @@ def running_sums(
     return both.withColumns(out).filter("_seq = 1").drop("_seq", SLICE, *[f"_v_{n}" for n in names])
 
 
+def last_known(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str, slices: int | None = None
+) -> DataFrame:
+    """Per row: the last ``value`` that is not null among the key's rows up to and with this one.
+
+    The last value of each (key, slice) is carried forward over the slices, as one leading row.
+    """
+    rows = slice_rows(df.withColumn("_value", value), order, slices)
+    by = terms(order)
+    columns = {f"_o{i}": t.value for i, t in enumerate(by)}
+    known = rows.filter(F.col("_value").isNotNull()).withColumns(columns)
+    if any(t.descending for t in by):
+        raise ValueError("last_known needs an ascending order")
+    ends = known.groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*columns)).alias("_end"))
+    places = rows.select(*keys, SLICE).distinct()
+    carried = places.withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType)).unionByName(ends)
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rangeBetween(Window.unboundedPreceding, -1)
+    lead = (
+        carried.withColumn("_value", F.last("_end", ignorenulls=True).over(earlier))
+        .groupBy(*keys, SLICE)
+        .agg(F.first("_value", ignorenulls=True).alias("_value"))
+        .withColumn("_seq", F.lit(0))
+    )
+    inside = Window.partitionBy(*keys, SLICE).orderBy("_seq", *order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("_seq", F.lit(1)).unionByName(lead, allowMissingColumns=True)
+    return both.withColumn(name, F.last("_value", ignorenulls=True).over(inside)).filter("_seq = 1").drop("_seq", SLICE, "_value")
+
+
 def global_rank(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank0", totals: bool = False
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +128,63 @@ def read_snapshot(spark: SparkSession, root: str, ddl: str | None = None) -> Dat
     return reader.parquet(f"{root}/snapshot={found[-1]}")
 
 
+#: Segments of one length that are merged into the next length.
+FAN = 8
+
+
+def append_segment(rows: DataFrame, root: str, run: int) -> None:
+    """What run number ``run`` (from 1) adds to an append-only log; a run that is done again replaces its own rows."""
+    rows.write.mode("overwrite").parquet(f"{root}/from={run}-to={run}")
+
+
+def segments(spark: SparkSession, root: str, upto: int) -> list[str]:
+    """The complete segments that together hold the runs 1 to ``upto``, each as long as there is."""
+    fs, base, jvm = _fs(spark, root)
+    ends: dict[int, list[int]] = {}
+    for status in fs.listStatus(base) if fs.exists(base) else []:
+        name = re.fullmatch(r"from=(\d+)-to=(\d+)", status.getPath().getName())
+        if name and int(name[2]) <= upto and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            ends.setdefault(int(name[1]), []).append(int(name[2]))
+    found, at = [], 1
+    while at <= upto:
+        if at not in ends:
+            raise FileNotFoundError(f"run {at} is missing under {root}")
+        found.append(f"{root}/from={at}-to={max(ends[at])}")
+        at = max(ends[at]) + 1
+    return found
+
+
+def read_segments(spark: SparkSession, root: str, upto: int) -> DataFrame | None:
+    """The log of the runs 1 to ``upto``."""
+    paths = segments(spark, root, upto)
+    return spark.read.parquet(*paths) if paths else None
+
+
+def compact_segments(spark: SparkSession, root: str, run: int, fan: int = FAN) -> None:
+    """After every ``fan`` runs their segments become one, after ``fan`` of those these become one, and so on.
+
+    A row is so written once for each power of ``fan`` up to the number of runs. Merged segments stay until ``vacuum_segments``.
+    """
+    length = fan
+    while run % length == 0:
+        first = run - length + 1
+        pieces = [f"{root}/from={a}-to={a + length // fan - 1}" for a in range(first, run + 1, length // fan)]
+        spark.read.parquet(*pieces).write.mode("overwrite").parquet(f"{root}/from={first}-to={run}")
+        length *= fan
+
+
+def vacuum_segments(spark: SparkSession, root: str, upto: int) -> int:
+    """Delete the segments that longer ones hold; how many there were. No reader of them may be running."""
+    fs, base, _ = _fs(spark, root)
+    kept = {path.rpartition("/")[2] for path in segments(spark, root, upto)}
+    gone = 0
+    for status in fs.listStatus(base):
+        name = re.fullmatch(r"from=\d+-to=(\d+)", status.getPath().getName())
+        if name and int(name[1]) <= upto and name[0] not in kept:
+            gone += bool(fs.delete(status.getPath(), True))
+    return gone
+
+
 def spill(rows: DataFrame, path: str) -> None:
     """Put overflow rows aside as JSON lines with the log's own columns."""
     logged_columns(rows).write.mode("append").json(path)
