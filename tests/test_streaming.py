@@ -1,5 +1,7 @@
 """Streams against their batch twins, over several micro-batches."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,12 +148,57 @@ def test_trust_stream_updates_touched_keys_only(spark, tmp_path):
     b = history(spark, C * 35 + W * 3, ("b", "issue_refund", "0-2k", "f"), 100)
     everything = a.unionByName(b)
     stream = as_stream(spark, [a, b], tmp_path / "in")
-    closing.stream_trust(stream, lambda s: everything, str(tmp_path / "run"), 1000)
+    closing.stream_trust(stream, str(tmp_path / "run"), 1000)
     got = {r["agent_id"]: (r["n_own_raw"], r["state"]) for r in read_snapshot(spark, str(tmp_path / "run/trust")).collect()}
     want = {r["agent_id"]: (r["n_own_raw"], r["state"]) for r in trust.recompute_trust(everything, 1000).collect()}
     assert got == want == {"a": (40, "autonomous"), "b": (38, "supervised")}
 
 
+def test_trust_stream_of_many_batches_equals_batch(spark, tmp_path):
+    """A hot key, breakers on both sides of the trip, open rows and equal times, over many micro-batches."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        agent = "hot" if i % 3 else f"a{i % 5}"
+        outcome = rng.choice(["clean"] * 60 + ["wrong", None])
+        rows.append((i, (i // 4) * 1_000_000_000, agent, "issue_refund", "2k-10k", "f", outcome, "reversal" if outcome else None, None))
+    rows += [(2000 + i, 900_000_000_000, "tripped", "issue_refund", "0-2k", "f", "wrong" if i % 20 == 0 else "clean", "click", None) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = [df.filter((F.col("id") >= a) & (F.col("id") < a + 250)) for a in range(0, 2250, 250)]
+    as_of = 2_000_000_000_000
+    closing.stream_trust(as_stream(spark, parts, tmp_path / "in"), str(tmp_path / "run"), as_of)
+
+    def shown(table):
+        return {
+            (r.agent_id, r.band): (round(r.n_total, 9), round(r.n_clean, 9), r.n_own_raw, round(r.budget, 9), r.state, r.tripped_at, r.n_decisions)
+            for r in table.collect()
+        }
+
+    want = shown(trust.recompute_trust(df, as_of).select(*read_snapshot(spark, str(tmp_path / "run/trust")).columns))
+    assert shown(read_snapshot(spark, str(tmp_path / "run/trust"))) == want
+    assert want["tripped", "0-2k"][5] == as_of and len(want) == 7
+
+
+def test_trust_state_holds_the_tail():
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), i, rng.choice(["clean"] * 30 + ["wrong", None])) for i in range(600)]
+    state, wrong, last = None, None, []
+    for a in range(0, 600, 37):  # in order of time
+        chunk = sorted(rows)[a : a + 37]
+        rng.shuffle(chunk)
+        frame = pd.DataFrame([(*r, 1.0, r[0]) for r in chunk], columns=["ts_us", "id", "outcome", "weight", "seen_us"])
+        state, wrong, last = closing.TrustKeeper.added(frame, state, wrong, last)
+        done = sorted(rows)[: a + 37]
+        after = max((r[:2] for r in done if r[2] == "wrong"), default=(-1, -1))
+        assert last == done[-100:] and state[4] == len(done)
+        assert state[5] == sum(r[2] == "clean" and r[:2] > after for r in done) and state[6] == 0
+    old = pd.DataFrame([(-5, 9999, "clean", 1.0, 0)], columns=["ts_us", "id", "outcome", "weight", "seen_us"])
+    again, _, kept = closing.TrustKeeper.added(old, state, wrong, last)
+    assert again[6] == 1 and kept == last and again[4] == 601 and again[2] == state[2] + 2.0 ** (-again[0] / closing.HALF_LIFE_US)
+
+
 def test_drift_stream_equals_batch(spark, tmp_path):
     day = 86_400_000_000
     rows = spark.range(900).select(

@@ -126,16 +126,19 @@ def recompute_trust(
     """
     dim = actions if actions is not None else action_table(decisions.sparkSession)
     keys = list(TRUST_KEYS)
-    priced = decisions.filter(F.col("band").isin(*BAND_NAMES)).join(
-        F.broadcast(dim.select("action")), "action", "left_semi"
-    )
+    priced = earning(decisions, dim)
     counts = weighted_counts(priced, as_of_us)
     if borrow:
         counts = borrow_strength(counts)
     else:
         counts = counts.withColumn("k_eff", F.col("n_clean")).withColumn("n_eff", F.col("n_total"))
-    state = breaker_state(record_tail(priced), as_of_us, prior)
-    rows = pricing.with_action_terms(counts.join(state, keys), dim)
+    return trust_rows(counts.join(record_tail(priced), keys), as_of_us, prior, dim)
+
+
+def trust_rows(record: DataFrame, as_of_us: int, prior: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """Trust rows from each key's record: k_eff, n_eff, the counts, and the tail of ``record_tail``."""
+    dim = actions if actions is not None else action_table(record.sparkSession)
+    rows = pricing.with_action_terms(breaker_state(record, as_of_us, prior), dim)
     tripped = F.col("tripped_at").isNotNull()
     return (
         rows.withColumn("p_lo", ledger.wilson_lower(F.col("k_eff"), F.col("n_eff")))
@@ -149,12 +152,18 @@ def recompute_trust(
         .withColumn("state", F.when(F.col("budget") > 0, "autonomous").otherwise("supervised"))
         .withColumn("updated_at", F.lit(as_of_us))
         .select(
-            *keys, "n_total", "n_clean", "n_own_raw", "p_lo", "budget", "ceiling", "state",
+            *TRUST_KEYS, "n_total", "n_clean", "n_own_raw", "p_lo", "budget", "ceiling", "state",
             "tripped_at", "clean_since_trip", "updated_at", "n_decisions",
         )
     )
 
 
+def earning(decisions: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """The decisions that can earn a budget: registered actions in bands with a price."""
+    dim = actions if actions is not None else action_table(decisions.sparkSession)
+    return decisions.filter(F.col("band").isin(*BAND_NAMES)).join(F.broadcast(dim.select("action")), "action", "left_semi")
+
+
 def upsert_trust(old: DataFrame, new: DataFrame, keys: Sequence[str] = TRUST_KEYS) -> DataFrame:
     """Next snapshot: new rows replace old ones with the same key, the others stay.
 

@@ -26,6 +26,16 @@ def stream_view(spark, sf, name):
     return fx.VIEWS[name].spark(spark, sf, source=lambda t: stream_table(spark, sf, t))
 
 
+def in_batches(rows, time, n, folder):
+    """Rows as a stream of ``n`` micro-batches in the order of ``time``."""
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    part = F.floor((F.col(time) - low) * n / (high - low + 1)) if low is not None else F.lit(0)
+    for i in range(n):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query("stream_span_scores")
 def stream_span_scores(spark, sf):
     chunks = spans.chunked(stream_table(spark, sf, "documents"), "doc_id", "text")
@@ -94,9 +104,8 @@ select {KEYS}, round(n_total, 6) as n_total, round(budget, 6) as budget from v_t
 """)
 def stream_trust(spark, sf):
     folder = runner.work_folder(spark, "trust")
-    closing.stream_trust(
-        stream_view(spark, sf, "v_decision"), lambda s: fx.view(s, sf, "v_decision"), folder, AS_OF
-    )
+    rows = in_batches(fx.view(spark, sf, "v_decision"), "ts_us", 4, f"{folder}/in")
+    closing.stream_trust(rows, folder, AS_OF)
     from trustlake.sources.tables import read_snapshot
 
     return read_snapshot(spark, f"{folder}/trust").select(

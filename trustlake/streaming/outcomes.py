@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from trustlake.config import SETTINGS
+from trustlake.config import DAY_US, OUTCOMES, SETTINGS
+from trustlake.functions import ledger
 from trustlake.operators import drift, outcomes
 from trustlake.operators.gate import TRUST_KEYS
-from trustlake.operators.joins import spread_join
-from trustlake.operators.trust import recompute_trust, upsert_trust
+from trustlake.operators.trust import earning, trust_rows, upsert_trust
 from trustlake.sources.tables import snapshots, write_snapshot
 from trustlake.streaming.runner import drain_batches, write_batch
 
@@ -118,25 +120,106 @@ def stream_close_outcomes(events: DataFrame, delay: str = "0 seconds", closed: D
     )
 
 
-def stream_trust(decisions: DataFrame, history, folder: str, as_of_us: int) -> None:
-    """Keep trust current: each micro-batch recomputes the keys it touches and upserts them.
+#: What a key's state gives out: its sums at its epoch, and its tail.
+RECORD = "epoch bigint, clean double, total double, n_own_raw bigint, n_decisions bigint, failures bigint, clean_run bigint, late bigint"
+HALF_LIFE_US = float(SETTINGS.age_halflife_days * DAY_US)
 
-    ``history(spark)`` reads the decision table that includes the batch. Only
-    rows of touched keys are read on; untouched rows keep their snapshot.
+
+class TrustKeeper(StatefulProcessor):
+    """Per key: evidence weights summed up at a fixed epoch, and the last decisions in order.
+
+    A weight halves with every half-life, for all rows alike, so a sum at one time is the sum at another times one factor: rows are added at
+    the key's epoch and never read again. The last ``trip_window`` decisions are kept as a list, the clean ones since the
+    last wrong one as a number. A row that is older than a full list counts in the sums; of the tail it can change only the
+    number of clean decisions since a wrong one, which then starts from the list, and it is counted as late.
+    """
+
+    def __init__(self, id_type: str):
+        self.id_type = id_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState(
+            "sums", "epoch bigint, clean double, total double, raw bigint, n bigint, run bigint, late bigint"
+        )
+        self.wrong = handle.getValueState("wrong", f"ts_us bigint, id {self.id_type}")
+        self.last = handle.getListState("last", f"ts_us bigint, id {self.id_type}, outcome string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        sums = list(self.sums.get()) if self.sums.exists() else None
+        wrong = tuple(self.wrong.get()) if self.wrong.exists() else None
+        last = [tuple(r) for r in self.last.get()] if self.last.exists() else []
+        for batch in rows:
+            sums, wrong, last = self.added(batch, sums, wrong, last)
+        epoch, clean, total, raw, n, run, late = sums
+        self.sums.update(tuple(sums))
+        if wrong is not None:
+            self.wrong.update(wrong)
+        self.last.put(last)
+        failures = sum(outcome == "wrong" for _, _, outcome in last)
+        columns = [c.split()[0] for c in RECORD.split(", ")]
+        yield pd.DataFrame([(*key, epoch, clean, total, raw, n, failures, run, late)], columns=[*TRUST_KEYS, *columns])
+
+    @staticmethod
+    def added(batch: pd.DataFrame, sums: list | None, wrong: tuple | None, last: list[tuple]) -> tuple[list, tuple | None, list[tuple]]:
+        """State after the rows of ``batch``."""
+        seen = batch["seen_us"].to_numpy(np.int64)
+        epoch, clean, total, raw, n, run, late = sums or [int(seen.max()), 0.0, 0.0, 0, 0, 0, 0]
+        labelled = batch["outcome"].isin(OUTCOMES).to_numpy()
+        is_clean, is_wrong = (batch["outcome"] == "clean").to_numpy(), (batch["outcome"] == "wrong").to_numpy()
+        weight = np.where(labelled, batch["weight"].to_numpy(float) * np.exp2((seen - epoch) / HALF_LIFE_US), 0.0)
+        rows = list(zip(batch["ts_us"].tolist(), batch["id"].tolist(), batch["outcome"].tolist()))
+        full = last[0][:2] if len(last) == SETTINGS.trip_window else None
+        behind = sum(r[:2] < full for r in rows) if full else 0
+        newest = heapq.nlargest(SETTINGS.trip_window, rows + last, key=lambda r: r[:2])[::-1]
+        here = max((r[:2] for r, w in zip(rows, is_wrong) if w), default=None)
+        if here is not None and (wrong is None or here > wrong):
+            wrong = here
+            run = sum(r[2] == "clean" and r[:2] > wrong for r in rows + last)
+        else:
+            run += sum(bool(c) and (wrong is None or r[:2] > wrong) for r, c in zip(rows, is_clean))
+        sums = [
+            epoch, clean + float(weight[is_clean].sum()), total + float(weight.sum()), raw + int(labelled.sum()), n + len(batch), run,
+            late + behind,
+        ]
+        return sums, wrong, newest
+
+    def close(self) -> None:
+        pass
+
+
+def trust_records(decisions: DataFrame) -> DataFrame:
+    """A stream of decisions as a stream of their keys' records (``RECORD``), after every batch for the keys in it."""
+    rows = earning(decisions).select(
+        *TRUST_KEYS, "ts_us", "id", "outcome", ledger.source_weight(F.col("source")).alias("weight"),
+        ledger.observed_at(F.col("outcome_us"), F.col("ts_us")).alias("seen_us"),
+    )
+    keys = ", ".join(f"{k} string" for k in TRUST_KEYS)
+    return rows.groupBy(*TRUST_KEYS).transformWithStateInPandas(
+        statefulProcessor=TrustKeeper(decisions.schema["id"].dataType.simpleString()),
+        outputStructType=f"{keys}, {RECORD}", outputMode="Update", timeMode="None",
+    )
+
+
+def stream_trust(decisions: DataFrame, folder: str, as_of_us: int) -> None:
+    """Keep trust current: each micro-batch updates the state of the keys it touches and upserts their rows.
+
+    No history is read: the state has all that trust needs (``TrustKeeper``). ``as_of_us`` should not come before the
+    outcomes that are read. Untouched rows keep their snapshot.
     """
     root = f"{folder}/trust"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select(*TRUST_KEYS).distinct()
-        rows = spread_join(history(spark), touched, TRUST_KEYS, spread="id", how="left_semi")
-        new = recompute_trust(rows, as_of_us)
+        # a key's state gives out one row a batch
+        aged = F.pow(F.lit(0.5), (F.lit(as_of_us) - F.col("epoch")) / F.lit(HALF_LIFE_US))
+        record = batch.withColumns({"n_clean": F.col("clean") * aged, "n_total": F.col("total") * aged})
+        new = trust_rows(record.withColumns({"k_eff": F.col("n_clean"), "n_eff": F.col("n_total")}), as_of_us)
         earlier = [s for s in snapshots(spark, root) if s < batch_id]
         if earlier:
             new = upsert_trust(spark.read.parquet(f"{root}/snapshot={earlier[-1]}"), new)
         write_snapshot(new, root, batch_id)
 
-    drain_batches(decisions, handle, folder)
+    drain_batches(trust_records(decisions), handle, folder, mode="update")
 
 
 def stream_drift_histogram(

@@ -51,11 +51,12 @@ def drain(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str) -> None:
+def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
     """Run ``handle`` on every micro-batch of the available input."""
     with settings(stream.sparkSession, **{PROVIDER: ROCKSDB}):
         running = (
             stream.writeStream.foreachBatch(handle)
+            .outputMode(mode)
             .option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(availableNow=True)
             .start()
