@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trustlake.llm.bpe import byte_characters
 from trustlake.llm.common import answered, parts, renamed, stored, text_or_empty
-from trustlake.llm.counting import byte_level, splitter
+from trustlake.llm.counting import Merges, byte_level, merged_ids, splitter
 
 #: Text bytes and distinct pairs of a batch.
 BATCH_BYTES, BATCH_PAIRS = 24 << 20, 1_000_000
@@ -65,7 +65,7 @@ LINKS = T.StructType(
 class _Ids(dict):
     """A piece of a text -> its ids as little-endian int32 bytes, each distinct piece encoded once."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode = encode
 
     def joined(self, rows: list[list[str]]) -> list[bytes]:
@@ -74,7 +74,7 @@ class _Ids(dict):
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = [*set(chain.from_iterable(rows))]
-        self.update(zip(new, (array("i", ids).tobytes() for ids in self.encode(new))))
+        self.update(zip(new, self.encode(new)))
         return [b"".join(map(self.__getitem__, row)) for row in rows]
 
 
@@ -85,19 +85,15 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec)
-        self.split, tokenize = splitter(tokenizer), tokenizer.model.tokenize
-        shown = dict(enumerate(byte_characters()))
-        back = {c: b for b, c in shown.items()}
+        self.split = splitter(Tokenizer.from_str(spec))
+        back = {c: b for b, c in enumerate(byte_characters())}
         # special tokens have no place here: their strings in texts are plain text
-        vocab = byte_level(spec)["model"]["vocab"]
-        self.bytes_of = [b""] * (max(vocab.values()) + 1)
-        for token, at in vocab.items():
+        model = byte_level(spec)["model"]
+        self.bytes_of = [b""] * (max(model["vocab"].values()) + 1)
+        for token, at in model["vocab"].items():
             self.bytes_of[at] = bytes(map(back.__getitem__, token))
-        # bytes as Latin-1 characters, then as the printable characters of the vocabulary
-        self.known = _Ids(
-            lambda new: [[t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))] for p in new]
-        )
+        merges = Merges(model)
+        self.known = _Ids(lambda new: merged_ids([p.encode() for p in new], merges) if new else [])
 
     def ids(self, spaced: list[str]) -> list[bytes]:
         return self.known.joined([self.split(t) for t in spaced])
@@ -121,18 +117,24 @@ class Pieces:
         ]
         self.apart = not any(regex.search("[^▁]▁", p) for p in pieces)
         self.space = self.model.piece_to_id("▁")
-        self.runs = regex.compile(" +[^ ]*").findall
+        # a space less than the run has, since the model adds one
+        self.runs = regex.compile(" ( *[^ ]*)").findall
         self.known = _Ids(self._encoded)
 
-    def _encoded(self, new: list[str]) -> list[list[int]]:
-        # the model adds the first space; of a lone one nothing is left that it would encode
-        found = self.model.encode([p[1:] for p in new], num_threads=1)
-        return [ids if p != " " else [self.space] for p, ids in zip(new, found)]
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        # of an empty text nothing is left that the model would put its space before
+        found = self.model.encode(new, num_threads=1)
+        return [array("i", ids if p else [self.space]).tobytes() for p, ids in zip(new, found)]
+
+    def _split(self, spaced: str) -> list[str]:
+        if "  " in spaced or spaced[-1] == " ":
+            return self.runs(spaced)
+        return spaced[1:].split(" ")
 
     def ids(self, spaced: list[str]) -> list[bytes]:
         if not self.apart:
             return [array("i", ids).tobytes() for ids in self.model.encode([t[1:] for t in spaced], num_threads=1)]
-        return self.known.joined([self.runs(t) for t in spaced])
+        return self.known.joined([self._split(t) for t in spaced])
 
 
 def _lists(rows: list[bytes]) -> pa.ListArray:

@@ -92,6 +92,24 @@ class Merges:
 
 def merged_counts(pieces: list[bytes], merges: Merges) -> np.ndarray:
     """How many symbols survive of each piece; pieces are not empty."""
+    return _merged(pieces, merges, None)
+
+
+def merged_ids(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """The symbols that survive of each piece, as int32 in the machine's order."""
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    counts = _merged(pieces, merges, done)
+    first = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int32)
+    for which, symbols in done:
+        sizes = counts[which]
+        out[np.arange(len(symbols)) + np.repeat(first[which] - (np.cumsum(sizes) - sizes), sizes)] = symbols
+    data, ends = out.tobytes(), (4 * np.r_[first, len(out)]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _merged(pieces: list[bytes], merges: Merges, done: list | None) -> np.ndarray:
+    """Symbols of each piece; ``done`` takes (pieces, their symbols) as they are finished."""
     counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
     symbols = merges.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
     live, sizes = np.arange(len(pieces)), counts.copy()
@@ -105,6 +123,8 @@ def merged_counts(pieces: list[bytes], merges: Merges) -> np.ndarray:
         if not more.all():
             counts[live[~more]] = sizes[~more]
             stay = np.repeat(more, sizes)
+            if done is not None:
+                done.append((live[~more], symbols[~stay]))
             symbols, rank = symbols[stay], rank[stay]
             live, sizes, best = live[more], sizes[more], best[more]
             if not len(live):
