@@ -165,7 +165,7 @@ def test_select_at_is_exact(spark, monkeypatch):
         everything[r.k].append((r.v, r.id))
     order = lambda key: (key[0] is not None, key[0] or 0, key[1])
 
-    def places(n):
+    def places(n, _=None):
         return [0, n // 3, n // 2, n - 1, n]
 
     got = ranking.select_at(df, ["v", "id"], places, "k")

@@ -16,7 +16,7 @@ from trustlake.config import SETTINGS
 from trustlake.functions import ledger, pricing
 from trustlake.operators import calibration, drift, features, gate, models, outcomes, trust
 from trustlake.session import build_session, durable
-from trustlake.sources import tables
+from trustlake.sources import model_store, tables
 
 
 def nightly(
@@ -46,15 +46,22 @@ def nightly(
     }
 
 
-def bootstrap(turns: DataFrame, tier: str = "none", agent_id: str = "agent_corpus", row_id: str = "id") -> dict[str, DataFrame]:
-    """Scored corpus, baselines and first trust rows from labelled turns with assembled ``features``.
+def bootstrap(
+    turns: DataFrame, tier: str = "none", agent_id: str = "agent_corpus", row_id: str = "id", embedding: str | None = None,
+    version: str = "cal-v1", runtime_version: str = "", store: str | None = None,
+) -> dict[str, DataFrame]:
+    """Scored corpus, both calibrators, baselines, registry row and first trust rows from labelled turns with assembled ``features``.
 
     ``turns``: id, ts_us, action, amount, band, outcome, features. Every turn is
     scored by a calibrator fitted on earlier turns only and then replayed through
     the gate; the baselines come from a calibrator fitted on the first 80 % and
-    measured on the frozen rest.
+    measured on the frozen rest. With an ``embedding`` column the policy feature is filled out of fold first.
+    Calibrator B stacks the out-of-fold probability and the judge's answer, on the judged rows of the first 80 %. With
+    ``store`` both are published there under ``<version>-a`` and ``<version>-b`` before the registry row says that they are ready.
     """
     fields = turns.schema["features"].dataType.fieldNames()
+    if embedding is not None:
+        turns = with_policy_scores(turns, embedding, fields, row_id)
     names = features.model_features(tier, with_judge=False)
     vector = features.to_vector(F.col("features"), names, fields)
     rows = durable(
@@ -62,13 +69,22 @@ def bootstrap(turns: DataFrame, tier: str = "none", agent_id: str = "agent_corpu
     )
     labelled = F.col("outcome").isin("clean", "wrong")
     wrong = F.col("outcome") == "wrong"
+    train, test = F.col("split") == "train", F.col("split") == "test"
 
-    model_a = models.fit_calibrator(rows.filter(labelled & (F.col("split") == "train")), "vector", wrong)
-    frozen = model_a.transform(rows.filter(labelled & (F.col("split") == "test")), "vector")
-    held_out = calibration.reliability(
-        calibration.reliability_bins(frozen.select(row_id, "p_wrong", "outcome"), [], "p_wrong", wrong, row_id), []
+    model_a = models.fit_calibrator(rows.filter(labelled & train), "vector", wrong)
+    frozen = model_a.transform(rows.filter(labelled & test), "vector")
+    held_out = durable(
+        calibration.reliability(
+            calibration.reliability_bins(frozen.select(row_id, "p_wrong", "outcome"), [], "p_wrong", wrong, row_id), []
+        )
     )
     scored = durable(models.expanding_crossfit(rows, "vector", "ts_us", row_id).drop("vector"))
+    judge = F.col("features")["judge_p_wrong"] if "judge_p_wrong" in fields else F.lit(None).cast("double")
+    judged = scored.withColumn("judge_p", judge)
+    model_b = models.fit_second(judged.filter(labelled & train), "p_wrong", "judge_p", wrong)
+    second = models.crossfit_second(
+        judged.select(row_id, "ts_us", "outcome", "split", "p_wrong", "judge_p"), "p_wrong", "judge_p", "ts_us", row_id
+    )
     replayed = gate.replay_gate(
         scored.withColumns({s: F.col("features")[s] for s in ("pii_score", "injection_score", "secret_score")}),
         signals=True,
@@ -85,15 +101,51 @@ def bootstrap(turns: DataFrame, tier: str = "none", agent_id: str = "agent_corpu
         .withColumn("state", F.when(F.col("budget") > 0, "autonomous").otherwise("supervised"))
         .select(*keys, "n_clean", "n_total", "p_lo", "ceiling", "budget", "state")
     )
+    null_rates = drift.null_rates(turns.select("features.*"), features.FEATURE_NAMES)
+    spark = turns.sparkSession
+    if store is not None:
+        model_store.publish(spark, store, f"{version}-a", model_a, features.vector_names(names), runtime_version)
+        model_store.publish(spark, store, f"{version}-b", model_b, models.STACKED, runtime_version)
+    span = rows.agg(
+        F.min("ts_us").alias("created_us"), F.max("ts_us").alias("ready_us"), F.min(F.when(test, F.col("ts_us"))).alias("boundary_us"),
+        F.count(F.when(labelled & train, 1)).alias("n_train"), F.count(F.when(labelled & test, 1)).alias("n_test"),
+    )
+    held = held_out.first()
+    ece, mce, brier = (F.lit(None if held is None else held[m]).cast("double") for m in ("ece", "mce", "brier"))
+    baseline = span.select(
+        F.lit(version).alias("version"), F.lit(tier).alias("capability_tier"), F.lit(runtime_version).alias("runtime_version"),
+        F.array(*map(F.lit, names)).alias("model_a_features"), F.array(*map(F.lit, models.STACKED)).alias("model_b_features"),
+        ece.alias("ece_global"), mce.alias("mce_global"), brier.alias("brier_global"), "boundary_us", "n_train", "n_test",
+        F.lit(model_b.n).cast("bigint").alias("n_second"), F.lit(float(model_a.base_rate)).alias("fallback_prior"),
+    )
+    registry = span.select(
+        F.lit(version).alias("version"), "created_us", F.col("ready_us").alias("promoted_us"), "ready_us", F.lit("production").alias("state"),
+        F.lit("A").alias("promotion_path"), F.lit(runtime_version).alias("runtime_version"), F.lit(tier).alias("capability_tier"),
+        ece.alias("ece_global"), F.col("n_train").alias("rows_carried"),
+    )
     return {
         "scored": replayed.withColumn("p_wrong", F.round("p_wrong", 6)),
         "held_out": held_out,
-        "null_rates": drift.null_rates(turns.select("features.*"), features.FEATURE_NAMES),
+        "second": second,
+        "null_rates": null_rates,
         "base_rates": calibration.base_rates(rows),
+        "baseline": baseline,
+        "registry": registry,
         "trust": first,
     }
 
 
+def with_policy_scores(turns: DataFrame, embedding: str, fields: list[str], row_id: str = "id") -> DataFrame:
+    """``turns`` with the policy feature from heads fitted on earlier blocks; the embedding has done its work."""
+    scored = models.crossfit_policy_head(turns, embedding, "ts_us", row_id)
+    parts = []
+    for name in fields:
+        own = name in ("policy_score", "policy_score_unavailable")
+        kind = turns.schema["features"].dataType[name].dataType
+        parts.append((F.col(name).cast(kind) if own else F.col("features")[name]).alias(name))
+    return scored.withColumn("features", F.struct(*parts)).drop("policy_score", "policy_score_unavailable", "block", embedding)
+
+
 def close_call_delta(new_report: DataFrame, old_report: DataFrame) -> Column:
     """Change of the close-call error between two one-row criteria tables, as a constant for ``migrate_trust``."""
     values = [r.select("ece_close_call").head()[0] or 0.0 for r in (new_report, old_report)]

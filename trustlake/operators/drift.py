@@ -78,7 +78,7 @@ def psi_of(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
 def selected_edges(long: DataFrame, key: str, value: str = "value", bins: int = SETTINGS.bins) -> dict[str, list[float]]:
     """The edges of ``quantile_edges`` for the few values of ``key``, selected without moving a row."""
 
-    def positions(n: int) -> list[int]:
+    def positions(n: int, _) -> list[int]:
         return [min(n - 1, round(i * n / bins)) for i in range(1, bins)]
 
     return {k: [at[0] for at in edges] for k, (_, edges) in select_at(long, [value], positions, key).items()}

@@ -58,6 +58,62 @@ def fit_calibrator(df: DataFrame, vector: str, wrong: Column, c: float = 1.0) ->
     return Calibrator(learner.fit(data), positive / n, n)
 
 
+def score_column(calibrator: Calibrator, inputs: Sequence[Column]) -> Column:
+    """The calibrator's probability as one expression over its inputs, for plans that take a column."""
+    if calibrator.model is None:
+        return F.lit(float(calibrator.base_rate))
+    margin = F.lit(float(calibrator.model.intercept))
+    for weight, value in zip(calibrator.model.coefficients, inputs, strict=True):
+        margin = margin + F.lit(float(weight)) * value
+    return 1 / (1 + F.exp(-margin))
+
+
+def logit(p: Column) -> Column:
+    """Log odds of a probability kept away from 0 and 1."""
+    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    return F.ln(clipped / (1 - clipped))
+
+
+#: Inputs of the second calibrator, in order.
+STACKED = ("p_logit", "judge_logit", "gap")
+
+
+def stacked_inputs(p: Column, judge: Column) -> dict[str, Column]:
+    """What the second calibrator sees: the first probability, the judge's answer, and how far they are apart."""
+    return dict(zip(STACKED, (logit(p), logit(judge), F.abs(logit(p) - logit(judge)))))
+
+
+def fit_second(df: DataFrame, p: str, judge: str, wrong: Column, c: float = 1.0) -> Calibrator:
+    """Calibrator B: stacks the first probability and the judge's answer, on the labelled rows that were judged.
+
+    ``p`` has to come out of fold (``expanding_crossfit``): a first probability that has seen the row's label would be
+    trusted more than the one that the gate has.
+    """
+    judged = df.filter(F.col(p).isNotNull() & F.col(judge).isNotNull())
+    vector = F.array(*stacked_inputs(F.col(p), F.col(judge)).values())
+    return fit_calibrator(judged.withColumn("_stacked", vector), "_stacked", wrong, c)
+
+
+def second_column(calibrator: Calibrator, p: Column, judge: Column) -> Column:
+    """B's probability for ``decide_batch(model_b=..)``; null where the judge gave no answer."""
+    return F.when(judge.isNotNull(), score_column(calibrator, list(stacked_inputs(p, judge).values())))
+
+
+def crossfit_second(
+    df: DataFrame, p: str, judge: str, ts_us: str, row_id: str, out: str = "p_second", blocks: int = SETTINGS.crossfit_blocks
+) -> DataFrame:
+    """Add ``out``: B's probability of each judged row from earlier blocks only, null in the first block and without an answer."""
+    wrong = F.col("outcome") == "wrong"
+    rows = durable(time_blocks(df, ts_us, row_id, blocks))
+    column = F.lit(None).cast("double")
+    for b in range(1, blocks):
+        past = rows.filter(F.col("outcome").isin("clean", "wrong") & (F.col("block") < b))
+        fitted = fit_second(past, p, judge, wrong)
+        if fitted.n:
+            column = F.when(F.col("block") == b, second_column(fitted, F.col(p), F.col(judge))).otherwise(column)
+    return rows.withColumn(out, column)
+
+
 def time_blocks(df: DataFrame, ts_us: str, row_id: str, blocks: int = SETTINGS.crossfit_blocks) -> DataFrame:
     """Add ``block``: equal runs of rows in time order, the last one takes the remainder."""
     size = F.greatest(F.lit(1), F.floor(F.col("n_total") / blocks))
@@ -75,25 +131,26 @@ def expanding_crossfit(
 
     The driver runs one fit per block; rows never leave the executors.
     """
-    labelled = F.col("outcome").isin("clean", "wrong")
-    wrong = F.col("outcome") == "wrong"
     rows = durable(time_blocks(df, ts_us, row_id, blocks))
-    base = rows.filter(labelled).agg(F.avg(wrong.cast("int"))).first()[0]
-    parts = [rows.filter("block = 0").withColumn(out, F.lit(base if base is not None else SETTINGS.default_prior))]
-    for b in range(1, blocks):
-        past = rows.filter(labelled & (F.col("block") < b))
-        fitted = fit_calibrator(past, vector, wrong)
+    wrong = F.col("outcome") == "wrong"
+    base = rows.filter(F.col("outcome").isin("clean", "wrong")).agg(F.avg(wrong.cast("int"))).first()[0]
+    rate = F.lit(base if base is not None else SETTINGS.default_prior)
+    parts = [rows.filter("block = 0").withColumn(out, rate)]
+    for b, fitted in enumerate(block_models(rows, vector, blocks), 1):
         here = rows.filter(F.col("block") == b)
-        if fitted.n == 0:
-            parts.append(here.withColumn(out, F.lit(base if base is not None else SETTINGS.default_prior)))
-        else:
-            parts.append(fitted.transform(here, vector, out))
+        parts.append(here.withColumn(out, rate) if fitted.n == 0 else fitted.transform(here, vector, out))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
+def block_models(rows: DataFrame, vector: str, blocks: int = SETTINGS.crossfit_blocks) -> list[Calibrator]:
+    """The models of the blocks 1, 2, ..: each fitted on the labelled rows of the blocks before it."""
+    labelled, wrong = F.col("outcome").isin("clean", "wrong"), F.col("outcome") == "wrong"
+    return [fit_calibrator(rows.filter(labelled & (F.col("block") < b)), vector, wrong) for b in range(1, blocks)]
+
+
 def fit_policy_head(df: DataFrame, embedding: str, wrong: Column) -> Calibrator:
     """Logistic head on sentence embeddings."""
     vector = df.withColumn("_embedding", F.transform(embedding, lambda v: v.cast("double")))

@@ -6,7 +6,7 @@ is summed, the sums are carried forward over the slices (at most one row per key
 and slice), and the row-level window only runs inside one (key, slice).
 
 A slice is a function of the row: the number of bounds before it, and the bounds
-are constants taken from a sample of the order columns, chosen by hash. So nothing is
+are constants taken from a sample of the order columns. So nothing is
 written, every reader of the rows gives a row the same slice, and the number of
 slices follows the number of rows. The carried-forward sums enter the row window as
 extra leading rows, so the rows are shuffled once and no join is needed.
@@ -23,12 +23,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = "_slice"
 #: Rows of a slice, about, and sampled rows for each bound; the driver holds the sample.
 SLICE_ROWS, SAMPLES = 250_000, 32
-#: Pivots drawn for an open interval, and rows of an interval that are looked at one by one.
-PIVOTS, DIRECT = 256, 2_000
+#: Equal parts of an open interval of numbers, pivots drawn for one of other values, and rows that are looked at one by one.
+BUCKETS, PIVOTS, DIRECT = 1024, 256, 2_000
 
 
 @dataclass(frozen=True)
@@ -103,10 +104,10 @@ def _sorted(order: list[Term], keys: Sequence[tuple]) -> list[tuple]:
 
 
 def _sample(df: DataFrame, order: list[Term], one_in: int, seed: int) -> list[tuple]:
-    """The keys of about one row in ``one_in``, chosen by a hash of the key, so that a repeated read draws the same."""
+    """The keys of about one row in ``one_in``."""
     keys = df.select(*[t.value.alias(f"f{i}") for i, t in enumerate(order)])
     if one_in > 1:
-        keys = keys.filter(F.pmod(F.xxhash64(F.lit(seed), *keys.columns), F.lit(one_in)) == 0)
+        keys = keys.filter(F.rand(seed) * one_in < 1)
     return [tuple(r) for r in keys.collect()]
 
 
@@ -375,7 +376,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions:
     known = df.filter(F.col(value).isNotNull())
     if not keys:
         spark = df.sparkSession
-        found = select_at(known, [value], lambda n: evaluated(spark, list(positions.values()), n)).get(None)
+        found = select_at(known, [value], lambda n, _: evaluated(spark, list(positions.values()), n)).get(None)
         n, picked = found or (0, [None] * len(positions))
         kind = df.schema[value].dataType
         return spark.range(1 if n else 0).select(
@@ -408,114 +409,229 @@ class Interval:
 
 
 def select_at(
-    df: DataFrame, order: Sequence[str | Column], positions: Callable[[int], Sequence[int]], group: str | None = None
+    df: DataFrame, order: Sequence[str | Column], positions: Callable[[int, object], Sequence[int]], group: str | None = None
 ) -> dict:
     """The keys at zero-based positions of each group's order: {group: (number of rows, [key or None beyond the end])}.
+    ``positions`` gives them from a group's number of rows and the group.
 
-    Works by refinement. Random pivots cut the open intervals that hold a position, one pass counts the rows between
-    and at the pivots exactly, and what holds no position is left out of the next pass. A pivot that is at a position is found; the
-    rows of an interval of ``DIRECT`` rows or less are looked at themselves. Rows are neither shuffled nor written; the
-    driver holds the pivots and those last rows, whose number depends on the positions and groups only. ``group`` should
+    Works by refinement, column by column of the order. For a number, a pass counts the rows in ``BUCKETS`` equal parts of
+    every open interval of values, with the least and greatest value of each part; only the part that holds a position stays open, between these
+    two, until one value is left. Rows that share it are told apart by the next columns. Columns of other types are refined
+    by random pivots. What is left of ``DIRECT`` rows or less is looked at itself. Rows are neither shuffled nor written; the
+    driver holds counts and those last rows, whose number depends on the positions and groups only. ``group`` should
     have few values.
     """
     by = terms(order)
-    of = F.lit(None).cast("string") if group is None else F.col(group)
+    of = F.lit("") if group is None else F.col(group)
     rows = df.select(of.alias("_group"), *[t.value.alias(f"f{i}") for i, t in enumerate(by)])
     by = [Term(F.col(f"f{i}"), t.descending) for i, t in enumerate(by)]
+    if isinstance(rows.schema["f0"].dataType, T.NumericType) and not by[0].descending:
+        sizes, found, wanted = _select_numbers(rows, by, positions)
+        return {None if group is None else g: (n, [found[g].get(p) for p in wanted[g]]) for g, n in sizes.items()}
     sizes = {r["_group"]: r["n"] for r in rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {g: list(positions(n)) for g, n in sizes.items()}
+    wanted = {g: list(positions(n, g)) for g, n in sizes.items()}
     found: dict = {g: {} for g in sizes}
     open_ = {g: [Interval(None, None, 0, n)] for g, n in sizes.items() if any(0 <= p < n for p in wanted[g])}
     seed = 0
     while open_:
         seed += 1
-        small = {g: [x for x in xs if x.n <= DIRECT] for g, xs in open_.items()}
-        large = {g: [x for x in xs if x.n > DIRECT] for g, xs in open_.items()}
-        _look_at(rows, by, {g: xs for g, xs in small.items() if xs}, wanted, found)
-        open_ = _refined(rows, by, {g: xs for g, xs in large.items() if xs}, wanted, found, seed)
-    return {g: (n, [found[g].get(p) for p in wanted[g]]) for g, n in sizes.items()}
-
-
-def _inside(rows: DataFrame, by: list[Term], intervals: dict) -> Column:
-    """The group's number of the interval that a row lies in, null for none."""
-    out = F.lit(None).cast("int")
+        open_ = _refined(rows, by, open_, wanted, found, seed)
+    return {None if group is None else g: (n, [found[g].get(p) for p in wanted[g]]) for g, n in sizes.items()}
+
+
+def _select_numbers(rows: DataFrame, by: list[Term], positions: Callable) -> tuple[dict, dict, dict]:
+    """(rows, keys by position, positions) of each group; the first column is a number."""
+    v = F.col("f0")
+    kind = rows.schema["f0"].dataType
+    # nulls first, then what has no place on a line: both infinities, and NaN as the greatest
+    special = F.when(v.isNull(), 0)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        special = special.when(F.isnan(v), 4).when(v == float("-inf"), 1).when(v == float("inf"), 3)
+    special = special.otherwise(2)
+    ends = rows.groupBy("_group", special.alias("_kind")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    sizes: dict = {}
+    held: dict = {}  # group -> (first position, rows, least, greatest) in order
+    for r in sorted(ends.collect(), key=lambda r: r["_kind"]):
+        held.setdefault(r["_group"], []).append((sizes.get(r["_group"], 0), r["n"], r["lo"], r["hi"]))
+        sizes[r["_group"]] = sizes.get(r["_group"], 0) + r["n"]
+    wanted = {g: list(positions(n, g)) for g, n in sizes.items()}
+    open_: list[tuple] = []  # group, first position, rows, least, greatest
+    values: dict = {}  # group, position -> least and greatest value that it can have, their first position, their rows
+    for g, parts in held.items():
+        _sort_out([(g, *part) for part in parts], wanted[g], open_, values)
+    while open_:
+        number, bucket = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (g, _, _, lo, hi) in enumerate(open_):
+            here = F.col("_group").eqNullSafe(F.lit(g)) & (v >= F.lit(lo)) & (v <= F.lit(hi))
+            share = (v.cast("double") - F.lit(float(lo))) / F.lit(max(float(hi) - float(lo), 5e-324))
+            number = F.when(here, F.lit(i)).otherwise(number)
+            bucket = F.when(here, F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).cast("int")).otherwise(bucket)
+        counted = (
+            rows.select(v, number.alias("_in"), bucket.alias("_bucket"))
+            .filter("_in is not null")
+            .groupBy("_in", "_bucket")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+            .collect()
+        )
+        following: list[tuple] = []
+        at = [x[1] for x in open_]
+        for r in sorted(counted, key=lambda r: (r["_in"], r["_bucket"])):
+            g = open_[r["_in"]][0]
+            _sort_out([(g, at[r["_in"]], r["n"], r["lo"], r["hi"])], wanted[g], following, values)
+            at[r["_in"]] += r["n"]
+        open_ = following
+    found: dict = {g: {} for g in sizes}
+    # rows between two values, few of them, are looked at; among many rows of one value the next columns decide
+    few: dict = {}
+    large: dict = {}
+    for (g, p), (lo, hi, first, n) in values.items():
+        if len(by) == 1 and (lo is None or lo == hi or lo != lo):
+            found[g][p] = (lo,)
+        elif n <= DIRECT:
+            few.setdefault((g, lo, hi, first), []).append(p)
+        else:
+            large.setdefault((g, lo, first), []).append(p)
+    number = F.lit(None).cast("int")
+    for i, (g, lo, hi, _) in enumerate(few):
+        inside = v.eqNullSafe(F.lit(lo).cast(kind)) if lo is None or lo != lo else (v >= F.lit(lo)) & (v <= F.lit(hi))
+        number = F.when(F.col("_group").eqNullSafe(F.lit(g)) & inside, F.lit(i)).otherwise(number)
+    keys: dict = {}
+    for r in rows.withColumn("_in", number).filter("_in is not null").collect() if few else []:
+        keys.setdefault(r["_in"], []).append(tuple(r[f"f{k}"] for k in range(len(by))))
+    for i, ((g, _, _, first), places) in enumerate(few.items()):
+        mine = _sorted(by, keys[i])
+        found[g].update({p: mine[p - first] for p in places})
+    for (g, value, first), places in large.items():
+        same = rows.filter(F.col("_group").eqNullSafe(F.lit(g)) & v.eqNullSafe(F.lit(value).cast(kind)))
+        inside = select_at(same, [t.value if not t.descending else t.value.desc() for t in by[1:]], lambda n, _: [p - first for p in places])
+        for p, key in zip(places, inside[None][1]):
+            found[g][p] = (value, *key)
+    return sizes, found, wanted
+
+
+def _sort_out(parts: list[tuple], wanted: Sequence[int], open_: list, values: dict) -> None:
+    """Parts (group, first position, rows, least, greatest) that hold a position: of one value or few rows they are done."""
+    for g, first, n, lo, hi in parts:
+        here = [p for p in wanted if first <= p < first + n]
+        if here and (n <= DIRECT or lo is None or lo == hi or lo != lo):
+            values.update({(g, p): (lo, hi, first, n) for p in here})
+        elif here:
+            open_.append((g, first, n, lo, hi))
+
+
+def _placed(rows: DataFrame, by: list[Term], cuts: dict[object, tuple[list, list]], seed: int) -> DataFrame:
+    """The rows with ``_part``, ``_info`` and a random ``_draw``, without those whose part has no info.
+
+    ``cuts`` has each group's sorted cuts and an info for each part: part 2 i lies before cut i, part 2 i + 1 is cut i. It
+    is a table of a row a group, which is broadcast.
+    """
+    step = max(2, int(max(len(c) for c, _ in cuts.values()) ** 0.5) + 1)
+    key = T.StructType([rows.schema[f"f{i}"] for i in range(len(by))])
+    schema = T.StructType(
+        [
+            T.StructField("_of", rows.schema["_group"].dataType),
+            T.StructField("_heads", T.ArrayType(key)),
+            T.StructField("_blocks", T.ArrayType(T.ArrayType(key))),
+            T.StructField("_infos", T.ArrayType(T.LongType())),
+        ]
+    )
+    table = []
+    for g, (keys, infos) in cuts.items():
+        blocks = [keys[i : i + step] for i in range(0, len(keys), step)]
+        table.append((g, [b[-1] for b in blocks], blocks, infos))
+    small = F.broadcast(rows.sparkSession.createDataFrame(table, schema))
     columns = [t.value for t in by]
-    for g, xs in intervals.items():
-        here = F.lit(None).cast("int")
-        for i, x in enumerate(xs):
-            inside = F.lit(True)
-            if x.low is not None:
-                inside = inside & _before_key(by, _literals(rows, by, [x.low])[0], columns)
-            if x.high is not None:
-                high = _literals(rows, by, [x.high])[0]
-                same = F.lit(True)
-                for k, c in enumerate(columns):
-                    same = same & high[f"f{k}"].eqNullSafe(c)
-                inside = inside & ~_before_key(by, high, columns) & ~same
-            here = F.when(inside, F.lit(i)).otherwise(here)
-        out = F.when(F.col("_group").eqNullSafe(F.lit(g)), here).otherwise(out)
-    return out
 
+    def before(array: Column) -> Column:
+        return F.coalesce(F.size(F.filter(array, lambda k: _before_key(by, k, columns))), F.lit(0))
 
-def _look_at(rows: DataFrame, by: list[Term], intervals: dict, wanted: dict, found: dict) -> None:
-    """Positions in small intervals, from their rows."""
-    if not intervals:
-        return
-    held = rows.withColumn("_in", _inside(rows, by, intervals)).filter("_in is not null").collect()
-    keys: dict = {}
-    for r in held:
-        keys.setdefault((r["_group"], r["_in"]), []).append(tuple(r[f"f{k}"] for k in range(len(by))))
-    for g, xs in intervals.items():
-        for i, x in enumerate(xs):
-            mine = _sorted(by, keys.get((g, i), []))
-            for p in wanted[g]:
-                if x.before <= p < x.before + len(mine):
-                    found[g][p] = mine[p - x.before]
+    same = F.lit(True)
+    for i, c in enumerate(columns):
+        same = same & F.col("_cut")[f"f{i}"].eqNullSafe(c)
+    return (
+        rows.join(small, F.col("_group").eqNullSafe(F.col("_of")))
+        .withColumn("_block", before(F.col("_heads")))
+        .withColumn("_in", F.greatest(before(F.get("_blocks", F.col("_block"))), F.lit(0)))
+        .withColumn("_cut", F.get(F.get("_blocks", F.col("_block")), F.col("_in")))
+        .withColumn("_part", 2 * (F.col("_block") * step + F.col("_in")) + F.when(F.col("_cut").isNotNull() & same, 1).otherwise(0))
+        # behind the last, shorter block
+        .withColumn("_part", F.least(F.col("_part"), F.size("_infos") - 1))
+        # a random number keeps the filters above the searches, which would be repeated in them otherwise
+        .withColumns({"_info": F.get("_infos", F.col("_part")), "_draw": F.rand(seed)})
+        .filter(F.col("_info").isNotNull())
+        .drop("_of", "_heads", "_blocks", "_infos", "_block", "_in", "_cut")
+    )
 
 
 def _refined(rows: DataFrame, by: list[Term], intervals: dict, wanted: dict, found: dict, seed: int) -> dict:
-    """One round: the parts of the intervals that still hold a position."""
-    if not intervals:
-        return {}
-    inside = rows.withColumn("_in", _inside(rows, by, intervals)).filter("_in is not null")
-    # about PIVOTS keys of each interval
-    one_in = F.lit(None).cast("bigint")
-    for g, xs in intervals.items():
-        each = F.element_at(F.array(*[F.lit(max(1, x.n // PIVOTS)).cast("bigint") for x in xs]), F.col("_in") + 1)
-        one_in = F.when(F.col("_group").eqNullSafe(F.lit(g)), each).otherwise(one_in)
+    """One round: finds the positions in small intervals; gives the parts of the others that still hold one."""
     names = [f"f{k}" for k in range(len(by))]
-    drawn = inside.filter(F.pmod(F.xxhash64(F.lit(seed), *names), one_in) == 0).select("_group", "_in", *names).distinct().collect()
-    pivots: dict = {}
-    for r in drawn:
-        pivots.setdefault((r["_group"], r["_in"]), []).append(tuple(r[n] for n in names))
-    pivots = {place: _sorted(by, keys) for place, keys in pivots.items()}
-    # parts between pivots are even, pivots odd
-    part = F.lit(0)
-    for (g, i), keys in pivots.items():
-        literals = _literals(rows, by, keys)
-        below = bounds_before(by, literals)
-        at = F.get(F.array(*literals), below)
-        same = F.lit(True)
-        for n in names:
-            same = same & at[n].eqNullSafe(F.col(n))
-        mine = 2 * below + F.when(at.isNotNull() & same, 1).otherwise(0)
-        part = F.when(F.col("_group").eqNullSafe(F.lit(g)) & (F.col("_in") == i), mine).otherwise(part)
-    counts = {
-        (r["_group"], r["_in"], r["_part"]): r["n"]
-        for r in inside.groupBy("_group", "_in", part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    following: dict = {}
+    # one in so many rows of an interval is looked at: about PIVOTS, or all
+    ends: dict = {}
+    part_of: dict = {}
     for g, xs in intervals.items():
-        for i, x in enumerate(xs):
-            keys, before = pivots.get((g, i), []), x.before
-            for k in range(2 * len(keys) + 1):
+        cuts: list = []
+        infos: list = []
+        for x in xs:  # in order; two may meet in one cut
+            if x.low is not None and (not cuts or cuts[-1] != x.low):
+                infos += [None, None]
+                cuts.append(x.low)
+            part_of[g, 2 * len(cuts)] = x
+            infos.append(1 if x.n <= DIRECT else max(1, x.n // PIVOTS))
+            if x.high is not None:
+                infos.append(None)
+                cuts.append(x.high)
+        infos += [None] * (2 * len(cuts) + 1 - len(infos))
+        ends[g] = cuts, infos
+    # drawn by row, so that a value that many rows hold is likely to be a pivot; any pivots give the same result
+    held = _placed(rows, by, ends, seed).filter(F.col("_draw") * F.col("_info") < 1).collect()
+    keys: dict = {}
+    for r in held:
+        keys.setdefault((r["_group"], r["_part"]), []).append(tuple(r[n] for n in names))
+
+    cuts_of: dict = {}
+    large: dict = {}
+    for (g, part), x in part_of.items():
+        mine = _sorted(by, keys.get((g, part), []))
+        if x.n <= DIRECT:
+            found[g].update({p: mine[p - x.before] for p in wanted[g] if x.before <= p < x.before + len(mine)})
+        else:
+            pivots = [k for i, k in enumerate(mine) if not i or mine[i - 1] != k]
+            large.setdefault(g, []).append((x, pivots))
+    if not large:
+        return {}
+    # the parts between and at the pivots are counted, each under its number
+    numbered: dict = {}
+    for g, xs in large.items():
+        cuts, infos = [], []
+        for i, (x, pivots) in enumerate(xs):
+            if x.low is not None and (not cuts or cuts[-1] != x.low):
+                infos += [None, None]
+                cuts.append(x.low)
+            for k in range(2 * len(pivots) + 1):
+                numbered[g, 2 * len(cuts) + k] = i, k
+            infos += [1] * (2 * len(pivots) + 1)
+            cuts += pivots
+            if x.high is not None:
+                infos.append(None)
+                cuts.append(x.high)
+        infos += [None] * (2 * len(cuts) + 1 - len(infos))
+        cuts_of[g] = cuts, infos
+    counts: dict = {}
+    for r in _placed(rows, by, cuts_of, seed).groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[(r["_group"], *numbered[r["_group"], r["_part"]])] = r["n"]
+    following: dict = {}
+    for g, xs in large.items():
+        for i, (x, pivots) in enumerate(xs):
+            before = x.before
+            for k in range(2 * len(pivots) + 1):
                 n = counts.get((g, i, k), 0)
-                held = [p for p in wanted[g] if before <= p < before + n]
-                if held and k % 2:
-                    found[g].update(dict.fromkeys(held, keys[k // 2]))
-                elif held:
-                    low = keys[k // 2 - 1] if k else x.low
-                    high = keys[k // 2] if k // 2 < len(keys) else x.high
+                here = [p for p in wanted[g] if before <= p < before + n]
+                if here and k % 2:
+                    found[g].update(dict.fromkeys(here, pivots[k // 2]))
+                elif here:
+                    low = pivots[k // 2 - 1] if k else x.low
+                    high = pivots[k // 2] if k // 2 < len(pivots) else x.high
                     following.setdefault(g, []).append(Interval(low, high, before, n))
                 before += n
     return following
@@ -545,7 +661,7 @@ def cut_points(df: DataFrame, order: Sequence[str], positions: Sequence[Column])
     per position is used as a constant.
     """
     spark = df.sparkSession
-    found = select_at(df, order, lambda n: evaluated(spark, positions, n)).get(None)
+    found = select_at(df, order, lambda n, _: evaluated(spark, positions, n)).get(None)
     keys = found[1] if found else [None] * len(positions)
     return [None if key is None else dict(zip(order, key)) for key in keys]
 

@@ -370,3 +370,69 @@ def drift_verdicts(spark, sf):
     )
 
 
+
+
+SEASON = 90 * DAY
+#: In a season, how many tenths of the ids have their probability halved twice; long runs, jumps and returns.
+TENTHS = (0, 0, 4, 4, 0, 5, 6, 6, 3, 0)
+DUCK_VIEWS["v_season"] = f"""
+select action, day, is_ref, case when not is_ref and id % 10 < [{", ".join(map(str, TENTHS))}][day % {len(TENTHS)} + 1]
+  then p_wrong * {x.d(0.25)} else p_wrong end as p
+from (select id, action, p_wrong, ts_us < {SPLIT_AT} as is_ref,
+  cast(floor(ts_us / cast({SEASON} as double)) as bigint) as day from v_decision) q"""
+
+
+def season_psi(ref: str, cur: str) -> str:
+    share = lambda of: f"greatest({of}[b] / list_sum({of})::double, {x.d(1e-6)})"
+    return (
+        f"case when list_sum({ref}) > 0 and list_sum({cur}) > 0 then "
+        f"list_sum(list_transform(range(1, 11), lambda b: ({share(cur)} - {share(ref)}) * ln({share(cur)} / {share(ref)}))) end"
+    )
+
+
+def season_verdict(n: str, short: str, long: str, anchor: str) -> str:
+    return (
+        f"case when {n} < 100 then 'insufficient_data' when coalesce({long} > 0.3, false) then 'L3' "
+        f"when coalesce({anchor} > 0.25, false) then 'L2' when {short} > 0.2 and coalesce({long} <= 0.1, false) then 're_anchor' "
+        f"when {short} > 0.2 then 'L1' else 'ok' end"
+    )
+
+
+@query("drift_monitor", f"""
+with recursive e as (
+  select action, list(p order by i) as edges from (
+    select action, p, row_number() over (partition by action order by p) - 1 as rn, count(*) over (partition by action) as n
+    from v_season where is_ref) r
+  join (select unnest(range(1, 10)) as i) g on rn = least(n - 1, cast(round_even(i*n/10.0::double, 0) as bigint)) group by 1),
+b as (select action, day, is_ref, len(list_filter(edges, lambda e: e < p)) as b from v_season join e using (action)),
+h as (select action, day, is_ref, count(*) as n, {", ".join(f"count(*) filter (b = {i}) as c{i}" for i in range(10))} from b group by 1, 2, 3),
+ref as (select action, [{", ".join(f"sum(c{i})" for i in range(10))}] as ref from h where is_ref group by 1),
+d as (select action, day, n, [{", ".join(f"c{i}" for i in range(10))}] as cur,
+    [{", ".join(f"sum(c{i}) over w" for i in range(10))}] as past, row_number() over (partition by action order by day) as i
+  from h where not is_ref window w as (partition by action order by day rows between 3 preceding and 1 preceding)),
+s as (select action, i, day, n, cur, ref, {season_psi("past", "cur")} as short, {season_psi("ref", "cur")} as long from d join ref using (action)),
+r as (
+  select action, i, day, n, cur, short, long, ref as base, null::bigint as anchored, {season_psi("ref", "cur")} as drift from s where i = 1
+  union all
+  select s.action, s.i, s.day, s.n, s.cur, s.short, s.long, q.base, q.anchored, {season_psi("q.base", "s.cur")}
+  from (select *, case when v = 're_anchor' then cur else base0 end as base, case when v = 're_anchor' then day else anchored0 end as anchored
+    from (select action, i, day, cur, base as base0, anchored as anchored0, {season_verdict("n", "short", "long", "drift")} as v from r) t) q
+  join s on s.action = q.action and s.i = q.i + 1)
+select action, day, n, round(short, 6) as psi_short, round(long, 6) as psi_long, round(drift, 6) as psi_drift, anchored,
+  {season_verdict("n", "short", "long", "drift")} as verdict from r
+""")
+def drift_monitor(spark, sf):
+    season = F.floor(F.col("ts_us") / SEASON).cast("bigint")
+    tenths = F.element_at(F.array(*map(F.lit, TENTHS)), (season % len(TENTHS) + 1).cast("int"))
+    rows = fx.view(spark, sf, "v_decision").select(
+        "action",
+        season.alias("day"),
+        (F.col("ts_us") < SPLIT_AT).alias("is_ref"),
+        F.when((F.col("ts_us") >= SPLIT_AT) & (F.col("id") % 10 < tenths), F.col("p_wrong") * 0.25).otherwise(F.col("p_wrong")).alias("value"),
+    )
+    reference, current = rows.filter("is_ref"), rows.filter("not is_ref")
+    edges = drift.quantile_edges(reference, ["action"])
+    fixed = drift.window_histograms(reference, "value", ["action"], edges, F.lit(0), prefix="r").drop("day")
+    days = drift.window_histograms(current, "value", ["action"], edges, F.col("day"))
+    out = drift.monitor(days, fixed, ["action"], "day", short=3)
+    return out.withColumns({c: F.round(c, 6) for c in ("psi_short", "psi_long", "psi_drift")})

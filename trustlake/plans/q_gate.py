@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trustlake.config import OUTCOMES, SETTINGS, action_table
 from trustlake.functions import decision as dec
 from trustlake.functions import ledger, pricing
-from trustlake.operators import gate
+from trustlake.operators import gate, models
 from trustlake.plans import fixtures as fx
 from trustlake.plans import sqlx as x
 from trustlake.plans.fixtures import DUCK_VIEWS
@@ -303,6 +303,47 @@ def tier2_resolution(spark, sf):
     )
 
 
+#: A second calibrator in plain numbers: weights of the two log odds and of their gap, and the intercept.
+SECOND = (0.7, 0.6, 0.1, -0.4)
+SECOND_SQL = "1 / (1 + exp(-({w[0]} * {p} + {w[1]} * {j} + {w[2]} * abs({p} - {j}) + {w[3]})))".format(
+    w=[x.d(w) for w in SECOND], p="logit_p", j="logit_j"
+)
+LOGIT = f"ln(greatest({x.d(1e-6)}, least({x.d(1 - 1e-6)}, {{0}})) / (1 - greatest({x.d(1e-6)}, least({x.d(1 - 1e-6)}, {{0}}))))"
+DUCK_VIEWS["v_second_b"] = f"""
+select id, band, exposure, budget, region, tier_reached, policy_mode, second_p as p_wrong, amount, action,
+  case when not fires then verdict when forced and judge_p is null then 'escalate'
+    else {x.decide("second_p", "exposure", "budget", "len(failed) > 0", "1")} end as verdict
+from (select * exclude (tier_reached), case when fires then 2 else 1 end as tier_reached, case when fires and judge_p is not null then {SECOND_SQL} else p_wrong end as second_p
+  from (select f.*, j.judge_p, tier2_mode <> 'disabled' and (verdict = 'check_harder' or forced) as fires,
+      {LOGIT.format("p_wrong")} as logit_p, {LOGIT.format("j.judge_p")} as logit_j
+    from (select *, tier2_mode='side_effects' and action not in ('no_action','escalate')
+            and coalesce(exposure > 40, false) and len(failed) = 0 as forced from v_first) f
+    left join v_judge j on j.turn_id = f.id) g) h"""
+SECOND_DECISION = f"""
+select cast(id as bigint) as id, tier_reached, round(p_wrong, 9) as p_wrong, region,
+  case when verdict = 'act' and {HIT} then 'escalate' else verdict end as verdict from v_second_b"""
+
+
+def second_model():
+    """The plain second calibrator as the column that the gate takes."""
+    inputs = models.stacked_inputs(F.col("p_wrong"), F.col("judge_p"))
+    margin = F.lit(SECOND[3])
+    for weight, value in zip(SECOND, inputs.values()):
+        margin = margin + F.lit(weight) * value
+    return F.when(F.col("judge_p").isNotNull(), 1 / (1 + F.exp(-margin)))
+
+
+@query("second_decision", SECOND_DECISION)
+def second_decision(spark, sf):
+    """After the deeper check calibrator B decides, not the judge's own number."""
+    requests = decisions(spark, sf).drop("band", "outcome", "tier_reached").withColumnRenamed("p_wrong", "model_p")
+    priors = spark.createDataFrame([("issue_refund", 0.05)], "action string, prior double")
+    rows, _ = gate.decide_batch(
+        requests, key_trust(spark, sf), judgements(spark, sf), priors, model_p=F.col("model_p"), model_b=second_model()
+    )
+    return rows.select("id", "tier_reached", F.round("p_wrong", 9).alias("p_wrong"), "region", "verdict")
+
+
 @query("forced_review", f"""
 select id, case when verdict='act' and {HIT} then 'escalate' else verdict end as verdict, region,
   verdict='act' and {HIT} as forced_review from v_first

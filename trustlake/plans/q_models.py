@@ -54,6 +54,25 @@ def gradient(rows, p, vector, wrong, weights, n, c=1.0):
     )
 
 
+def block_slopes(rows, vector, models_of, inputs, wrong=None):
+    """(block, coefficient, slope) of each block's model on the labelled rows before the block, in one pass."""
+    wrong = F.col("outcome") == "wrong" if wrong is None else wrong
+    past = rows.filter(F.col("outcome").isin("clean", "wrong"))
+    out = None
+    for b, fitted in enumerate(models_of, 1):
+        score = models.score_column(fitted, [F.col(vector)[i] for i in range(inputs)])
+        here = gradient(
+            past.filter(F.col("block") < b).withColumn("_p", score), "_p", vector, wrong, list(fitted.model.coefficients), fitted.n
+        ).withColumn("block", F.lit(b))
+        out = here if out is None else out.unionByName(here)
+    return out.select("block", "coefficient", "slope")
+
+
+def no_block_slopes(parts: int) -> str:
+    return f"""
+select cast(b as integer) as block, cast(i as integer) as coefficient, cast(0 as double) as slope from range(1, 5) bs(b), range({parts}) r(i)"""
+
+
 def no_slope(parts: int) -> str:
     return f"select cast(i as integer) as coefficient, cast(0 as double) as slope from range({parts}) r(i)"
 
@@ -100,6 +119,57 @@ def crossfit_base_block(spark, sf):
     return out.filter("block = 0").select("id", F.round("p_wrong", 9).alias("p_wrong"))
 
 
+@query("crossfit_optimum", no_block_slopes(5))
+def crossfit_optimum(spark, sf):
+    """The model that scores a block has no slope left on the rows before the block, for every block that has one."""
+    rows = models.time_blocks(vectors(spark, sf), "ts_us", "id")
+    return block_slopes(rows, "vector", models.block_models(rows, "vector"), 4)
+
+
+@query("crossfit_scores", """
+with b as (select id, cast(least(4, (row_number() over (order by ts_us, id) - 1) // greatest(1, (select count(*) from v_decision) // 5)) as integer) as block
+  from v_decision)
+select id, block, true as by_its_model from b where block > 0
+""")
+def crossfit_scores(spark, sf):
+    """Every row after the first block has the score of the model that was fitted on the blocks before its own."""
+    rows = models.time_blocks(vectors(spark, sf), "ts_us", "id")
+    want = F.lit(None).cast("double")
+    for b, fitted in enumerate(models.block_models(rows, "vector"), 1):
+        score = models.score_column(fitted, [F.col("vector")[i] for i in range(4)])
+        want = F.when(F.col("block") == b, score).otherwise(want)
+    out = models.expanding_crossfit(vectors(spark, sf), "vector", "ts_us", "id").filter("block > 0")
+    return out.select("id", "block", (F.abs(F.col("p_wrong") - want) < 1e-9).alias("by_its_model"))
+
+
+def judged_scores(spark, sf):
+    """Judged decisions with both probabilities."""
+    judge = fx.view(spark, sf, "v_judge").select(F.col("turn_id").alias("id"), "judge_p")
+    return fx.view(spark, sf, "v_decision").select("id", "ts_us", "outcome", "p_wrong").join(judge, "id")
+
+
+@query("fit_second_optimum", no_slope(4))
+def fit_second_optimum(spark, sf):
+    """The second calibrator stacks probability and judgement and has no slope left in any coefficient."""
+    rows = judged_scores(spark, sf).filter("outcome is not null")
+    fitted = models.fit_second(rows, "p_wrong", "judge_p", is_wrong())
+    parts = F.array(*models.stacked_inputs(F.col("p_wrong"), F.col("judge_p")).values())
+    scored = rows.withColumns({"_x": parts, "_p": models.second_column(fitted, F.col("p_wrong"), F.col("judge_p"))})
+    return gradient(scored.filter("judge_p is not null"), "_p", "_x", is_wrong(), list(fitted.model.coefficients), fitted.n)
+
+
+@query("second_out_of_fold", """
+with b as (select id, least(4, (row_number() over (order by ts_us, id) - 1) // greatest(1, count(*) over () // 5)) as block, judge_p
+  from v_decision join v_judge on turn_id = id)
+select id, cast(block as integer) as block, block > 0 and judge_p is not null as scored from b
+""")
+def second_out_of_fold(spark, sf):
+    """Every judged row after the first block has a second score from the blocks before its own."""
+    out = models.crossfit_second(judged_scores(spark, sf), "p_wrong", "judge_p", "ts_us", "id")
+    inside = F.col("p_second").isNotNull() & F.col("p_second").between(0.0, 1.0)
+    return out.select("id", "block", inside.alias("scored"))
+
+
 PLATT_X = f"ln(greatest({x.d(1e-6)}, least({x.d(1 - 1e-6)}, p_wrong)) / (1 - greatest({x.d(1e-6)}, least({x.d(1 - 1e-6)}, p_wrong))))"
 
 
@@ -202,6 +272,29 @@ def bootstrap_trust(spark, sf):
     return jobs.bootstrap(corpus(spark, sf))["trust"].drop("state")
 
 
+@query("bootstrap_baseline", """
+with o as (select id, ts_us, outcome, row_number() over (order by ts_us, id) - 1 as rn, count(*) over () as n from v_decision),
+s as (select *, rn < cast(floor(n * (1 - 0.2::double)) as bigint) as train from o)
+select 'cal-v1' as version, 'none' as capability_tier, min(ts_us) as created_us, max(ts_us) as ready_us, 'production' as state,
+  min(ts_us) filter (where not train) as boundary_us, count(*) filter (where train and outcome is not null) as n_train,
+  count(*) filter (where not train and outcome is not null) as n_test,
+  count(*) filter (where train and outcome is not null and judge_p is not null) as n_second,
+  round(avg(case when outcome = 'wrong' then 1 else 0 end) filter (where train and outcome is not null), 9) as fallback_prior
+from s left join v_judge on turn_id = id
+""")
+def bootstrap_baseline(spark, sf):
+    """The baseline and the registry row of the first calibrators, one each."""
+    judge = fx.view(spark, sf, "v_judge").select(F.col("turn_id").alias("id"), "judge_p")
+    turns = corpus(spark, sf).join(judge, "id", "left")
+    turns = turns.withColumn("features", F.col("features").withField("judge_p_wrong", F.col("judge_p"))).drop("judge_p")
+    out = jobs.bootstrap(turns)
+    registry = out["registry"].select("version", "created_us", "ready_us", "state")
+    return out["baseline"].join(registry, "version").select(
+        "version", "capability_tier", "created_us", "ready_us", "state", "boundary_us", "n_train", "n_test", "n_second",
+        F.round("fallback_prior", 9).alias("fallback_prior"),
+    )
+
+
 @query("review_sample", """
 select id from v_decision where ('0x' || substr(md5(cast(id as varchar)), 1, 8))::bigint < 214748364
 """)

@@ -2,15 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from trustlake.operators import drift
+from trustlake.operators import drift, models
 from trustlake.plans import fixtures as fx
 from trustlake.plans import sqlx as x
 from trustlake.plans.fixtures import DAY
-from trustlake.plans.q_calibration import SPLIT_AT, drift_sql
-from trustlake.plans.q_gate import AS_OF, judgements, key_trust
+from trustlake.plans.q_calibration import SPLIT_AT, drift_sql, is_wrong
+from trustlake.plans.q_gate import AS_OF, SECOND_DECISION, judgements, key_trust, second_model
 from trustlake.plans.q_reports import registry
 from trustlake.plans.q_trust import KEYS, accepted, reports
 from trustlake.plans.registry import query
+from trustlake.sources import model_store
 from trustlake.streaming import decisions as live
 from trustlake.streaming import outcomes as closing
 from trustlake.streaming import runner, spans
@@ -78,6 +79,60 @@ def stream_decide(spark, sf):
     )
 
 
+@query("stream_second_decision", SECOND_DECISION)
+def stream_second_decision(spark, sf):
+    """The live gate with calibrator B."""
+    folder = runner.work_folder(spark, "second")
+    requests = stream_view(spark, sf, "v_signal").drop("band", "outcome", "tier_reached").withColumnRenamed("p_wrong", "model_p")
+    live.stream_decide(
+        requests, folder, trust=lambda s: key_trust(s, sf), judgements=lambda s: judgements(s, sf),
+        priors=lambda s: s.createDataFrame([("issue_refund", 0.05)], "action string, prior double"),
+        model_p=F.col("model_p"), model_b=second_model(),
+    )
+    rows = spark.read.parquet(f"{folder}/decisions")
+    return rows.select("id", "tier_reached", F.round("p_wrong", 9).alias("p_wrong"), "region", "verdict")
+
+
+@query("model_versions", """
+select cast(id as bigint) as id, case when part = 0 then 'cal-v1' else 'cal-v2' end as calibrator_version, true as by_its_version,
+  case when part = 2 then 'RefusedModel: other inputs' end as refused
+from (select id, cast(floor((ts_us - min(ts_us) over ()) * 3 / (max(ts_us) over () - min(ts_us) over () + 1)) as integer) as part, policy_mode from v_signal) q
+where policy_mode in ('fast', 'adaptive', 'deep')
+""")
+def model_versions(spark, sf):
+    """Three batches, each after a new version was published: two score their batch, the broken third is refused."""
+    folder = runner.work_folder(spark, "versions")
+    view = fx.view(spark, sf, "v_signal")
+    inputs = {"pii_score": F.coalesce("pii_score", F.lit(0.0)), "model_p": F.col("model_p") * 10}
+    vector = view.withColumn("_x", F.array(F.coalesce("pii_score", F.lit(0.0)), F.col("p_wrong") * 10)).filter("outcome is not null")
+    fitted = [models.fit_calibrator(vector.filter(F.col("id") % 2 == i), "_x", is_wrong()) for i in (0, 1)]
+    for i, model in enumerate(fitted, 1):
+        model_store.publish(spark, f"{folder}/models", f"cal-v{i}", model, list(inputs), "rt-2")
+    model_store.publish(spark, f"{folder}/models", "cal-v3", fitted[0], list(inputs)[::-1], "rt-2")
+    ready = []
+
+    def registered(s):
+        ready.append((f"cal-v{len(ready) + 1}", len(ready) + 1, "production", "none", "rt-2"))
+        return s.createDataFrame(ready, "version string, ready_us bigint, state string, capability_tier string, runtime_version string")
+
+    requests = view.drop("band", "outcome", "tier_reached").withColumnRenamed("p_wrong", "model_p")
+    live.stream_decide(
+        in_batches(requests, "ts_us", 3, f"{folder}/in"), folder, trust=lambda s: key_trust(s, sf),
+        judgements=lambda s: judgements(s, sf).limit(0),
+        priors=lambda s: s.createDataFrame([("issue_refund", 0.05)], "action string, prior double"),
+        registry=registered, running_version="rt-2", load_model=model_store.scorer(spark, f"{folder}/models", inputs, "rt-2"),
+    )
+    used = F.lit(None).cast("double")
+    for i, model in enumerate(fitted, 1):
+        used = F.when(F.col("calibrator_version") == f"cal-v{i}", models.score_column(model, list(inputs.values()))).otherwise(used)
+    asked = fx.view(spark, sf, "v_signal").select("id", "pii_score", F.col("p_wrong").alias("model_p"))
+    rows = spark.read.parquet(f"{folder}/decisions").select("id", "calibrator_version", "p_wrong", "batch").join(asked, "id")
+    swaps = spark.read.parquet(f"{folder}/swaps").select("batch", "refused")
+    return rows.join(swaps, "batch", "left").select(
+        "id", "calibrator_version", (F.abs(F.col("p_wrong") - used) < 1e-9).alias("by_its_version"), "refused"
+    )
+
+
 @query("stream_outcome_ingest", "select event_id, outcome, source, weight from v_accepted")
 def stream_outcome_ingest(spark, sf):
     folder = runner.work_folder(spark, "ingest")

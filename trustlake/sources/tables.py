@@ -101,7 +101,8 @@ def write_snapshot(table: DataFrame, root: str, snapshot: int) -> str:
     return path
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """(file system, path, JVM) of a Hadoop path."""
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path, jvm
@@ -109,7 +110,7 @@ def _fs(spark: SparkSession, path: str):
 
 def snapshots(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the complete snapshots under ``root``."""
-    fs, base, jvm = _fs(spark, root)
+    fs, base, jvm = file_system(spark, root)
     if not fs.exists(base):
         return []
     done = []
@@ -139,7 +140,7 @@ def append_segment(rows: DataFrame, root: str, run: int) -> None:
 
 def segments(spark: SparkSession, root: str, upto: int) -> list[str]:
     """The complete segments that together hold the runs 1 to ``upto``, each as long as there is."""
-    fs, base, jvm = _fs(spark, root)
+    fs, base, jvm = file_system(spark, root)
     ends: dict[int, list[int]] = {}
     for status in fs.listStatus(base) if fs.exists(base) else []:
         name = re.fullmatch(r"from=(\d+)-to=(\d+)", status.getPath().getName())
@@ -175,7 +176,7 @@ def compact_segments(spark: SparkSession, root: str, run: int, fan: int = FAN) -
 
 def vacuum_segments(spark: SparkSession, root: str, upto: int) -> int:
     """Delete the segments that longer ones hold; how many there were. No reader of them may be running."""
-    fs, base, _ = _fs(spark, root)
+    fs, base, _ = file_system(spark, root)
     kept = {path.rpartition("/")[2] for path in segments(spark, root, upto)}
     gone = 0
     for status in fs.listStatus(base):
@@ -210,7 +211,7 @@ def write_feature_cache(features: DataFrame, path: str) -> None:
 
 def read_feature_cache(spark: SparkSession, path: str, turns: DataFrame, judgements: DataFrame) -> DataFrame | None:
     """Cached features with the judge's answer put in, or None when a turn is missing from the cache."""
-    fs, base, _ = _fs(spark, path)
+    fs, base, _ = file_system(spark, path)
     if not fs.exists(base):
         return None
     cached = spark.read.parquet(path)
