@@ -111,6 +111,8 @@ def test_log_falls_back_to_the_spill(spark, tmp_path):
     blocked.write_text("a file where the log should be")
     live.log_batch(decisions(spark, range(3)), str(blocked), str(tmp_path / "spill"), 0)
     assert spark.read.json(str(tmp_path / "spill/batch=0")).count() == 3
+    why = spark.read.parquet(str(tmp_path / "spill-reasons")).first()
+    assert why["batch"] == 0 and why["message"]
 
 
 EVENTS = "event_id bigint, decision_id bigint, reported_us bigint, outcome string, source string, weight double, horizon_us bigint"

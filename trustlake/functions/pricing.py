@@ -73,9 +73,12 @@ def multipliers(payload: Column | None = None) -> Column:
 
 
 def with_action_terms(df: DataFrame, actions: DataFrame | None = None) -> DataFrame:
-    """Attach the risk surface of the action; unregistered actions get NULLs."""
-    dim = actions if actions is not None else action_table(df.sparkSession)
-    return df.join(F.broadcast(dim), "action", "left")
+    """Attach the risk surface of the action; unregistered actions get NULLs.
+
+    The built-in table is broadcast; how a caller's table travels is left to the planner, which knows its size.
+    """
+    dim = actions if actions is not None else F.broadcast(action_table(df.sparkSession))
+    return df.join(dim, "action", "left")
 
 
 def exposure(amount: Column, payload: Column | None = None) -> Column:

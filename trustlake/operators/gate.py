@@ -41,7 +41,7 @@ def price(decisions: DataFrame, actions: DataFrame | None = None, payload: Colum
 
 def reject_unpriced(decisions: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): an executing action must be registered."""
-    known = F.broadcast(actions.select("action", F.lit(True).alias("_known")))
+    known = actions.select("action", F.lit(True).alias("_known"))
     flagged = decisions.join(known, "action", "left")
     fine = F.col("action").isin(*NON_EXECUTING_ACTIONS) | F.col("_known").isNotNull()
     return flagged.filter(fine).drop("_known"), flagged.filter(~fine).drop("_known")
@@ -64,7 +64,7 @@ def lookup_budget(decisions: DataFrame, trust: DataFrame) -> DataFrame:
 
 def apply_policy(decisions: DataFrame, policies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(decisions with ``budget`` and ``policy_k``, decisions with an unknown mode)."""
-    dim = F.broadcast(policies if policies is not None else policy_table(decisions.sparkSession))
+    dim = policies if policies is not None else F.broadcast(policy_table(decisions.sparkSession))
     joined = decisions.join(dim, "policy_mode", "left")
     known = joined.filter(F.col("policy_k").isNotNull()).withColumn(
         "budget", F.col("earned_budget") * F.col("budget_multiplier")
@@ -218,14 +218,13 @@ def decide_batch(
     Requests carry id, ts_us, agent_id, action, amount, fingerprint, policy_mode
     and the sensor scores. ``model_p`` is the first probability, ``model_b`` the one
     after the deeper check (it may use ``judge_p``). The plan is narrow apart from the
-    lookups of trust and judgement; the configuration tables are broadcast.
+    lookups of trust and judgement; the built-in configuration tables are broadcast.
     """
     if capability_tier not in CAPABILITY_TIERS:
         raise ValueError(f"unknown capability tier {capability_tier!r}")
     spark = requests.sparkSession
-    modes = F.broadcast(policies if policies is not None else policy_table(spark))
-    dim = actions if actions is not None else action_table(spark)
-    joined = pricing.with_action_terms(requests, dim).join(modes, "policy_mode", "left")
+    modes = policies if policies is not None else F.broadcast(policy_table(spark))
+    joined = pricing.with_action_terms(requests, actions).join(modes, "policy_mode", "left")
     idle = F.col("action").isin(*NON_EXECUTING_ACTIONS)
     reason = F.when(~idle & F.col("has_amount").isNull(), "unregistered_action").when(
         F.col("policy_k").isNull(), "unknown_policy_mode"

@@ -124,21 +124,19 @@ def recompute_trust(
     Unregistered and declining actions and the bands without a price mint no
     budget and are left out. A tripped breaker holds the budget at zero.
     """
-    dim = actions if actions is not None else action_table(decisions.sparkSession)
     keys = list(TRUST_KEYS)
-    priced = earning(decisions, dim)
+    priced = earning(decisions, actions)
     counts = weighted_counts(priced, as_of_us)
     if borrow:
         counts = borrow_strength(counts)
     else:
         counts = counts.withColumn("k_eff", F.col("n_clean")).withColumn("n_eff", F.col("n_total"))
-    return trust_rows(counts.join(record_tail(priced), keys), as_of_us, prior, dim)
+    return trust_rows(counts.join(record_tail(priced), keys), as_of_us, prior, actions)
 
 
 def trust_rows(record: DataFrame, as_of_us: int, prior: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
     """Trust rows from each key's record: k_eff, n_eff, the counts, and the tail of ``record_tail``."""
-    dim = actions if actions is not None else action_table(record.sparkSession)
-    rows = pricing.with_action_terms(breaker_state(record, as_of_us, prior), dim)
+    rows = pricing.with_action_terms(breaker_state(record, as_of_us, prior), actions)
     tripped = F.col("tripped_at").isNotNull()
     return (
         rows.withColumn("p_lo", ledger.wilson_lower(F.col("k_eff"), F.col("n_eff")))
@@ -160,8 +158,8 @@ def trust_rows(record: DataFrame, as_of_us: int, prior: DataFrame | None = None,
 
 def earning(decisions: DataFrame, actions: DataFrame | None = None) -> DataFrame:
     """The decisions that can earn a budget: registered actions in bands with a price."""
-    dim = actions if actions is not None else action_table(decisions.sparkSession)
-    return decisions.filter(F.col("band").isin(*BAND_NAMES)).join(F.broadcast(dim.select("action")), "action", "left_semi")
+    dim = actions if actions is not None else F.broadcast(action_table(decisions.sparkSession))
+    return decisions.filter(F.col("band").isin(*BAND_NAMES)).join(dim.select("action"), "action", "left_semi")
 
 
 def upsert_trust(old: DataFrame, new: DataFrame, keys: Sequence[str] = TRUST_KEYS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,13 +93,19 @@ def stream_decide(
 def log_batch(rows: DataFrame, path: str, spill_path: str, batch_id: int) -> None:
     """Write a batch to the log; where the log cannot be written the rows go to the spill, to be replayed.
 
-    The rows are computed before, so an error in the decision itself is raised, not spilled.
+    The rows are computed before, so an error in the decision itself is raised, not spilled. So is one that no
+    later try can mend, as of a schema or a format; for every other the reason is kept beside the spill.
     """
     logged = durable(logged_columns(rows))
     try:
         write_batch(logged, path, batch_id)
-    except Exception:
+    except (AnalysisException, ParseException, IllegalArgumentException):
+        raise
+    except Exception as error:  # the storage is not there
         spill(logged, f"{spill_path}/batch={batch_id}")
+        why = [(batch_id, type(error).__name__, str(error)[:2000])]
+        reasons = logged.sparkSession.createDataFrame(why, "batch bigint, error string, message string")
+        write_batch(reasons, f"{spill_path}-reasons", batch_id)
 
 
 def stream_length_z(replies: DataFrame, folder: str) -> None:
