@@ -21,6 +21,13 @@ def _row(df: DataFrame, check: str, skip: Column, ok: Column, detail: Column) ->
     return df.select(F.lit(check).alias("check"), status.alias("status"), detail.alias("detail"))
 
 
+def stored_order(rows: DataFrame, features: str = "features") -> DataFrame:
+    """Position and name of the features as a stored table has them, without their flags."""
+    fields = rows.schema[features].dataType.fieldNames()
+    names = [(i, n) for i, n in enumerate(f for f in fields if not f.endswith("_unavailable"))]
+    return rows.sparkSession.createDataFrame(names, "position int, name string")
+
+
 def feature_order(fields: DataFrame) -> DataFrame:
     """``fields``: position and name of the stored feature order."""
     order = fields.agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("_f"))

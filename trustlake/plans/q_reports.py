@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trustlake.config import BAND_NAMES, FEATURE_NAMES, INTENT_MIX
+from trustlake.config import BAND_NAMES, INTENT_MIX
 from trustlake.functions import pricing
 from trustlake.operators import calibration as cal
 from trustlake.operators import drift, gate, governance, record, reports, sampling, validation
@@ -13,7 +13,10 @@ from trustlake.plans.fixtures import DAY, DUCK_VIEWS
 from trustlake.plans.q_calibration import ORDER, checked_answers, feature_rows, is_wrong, judged_pairs, region_report
 from trustlake.plans.q_gate import AS_OF, checked, key_trust, replayed
 from trustlake.plans.q_record import pools
+from trustlake.plans.q_trust import assembled
 from trustlake.plans.registry import query
+from trustlake.sources import tables
+from trustlake.streaming import runner
 
 # --- corpus validation ------------------------------------------------------------
 
@@ -59,12 +62,20 @@ def check_mode(spark, sf):
     return validation.judge_mode(fx.view(spark, sf, "v_judge"))
 
 
+def stored_features(spark, sf, swapped=False):
+    """Assembled features as a cache file has them; ``swapped`` writes two of them in each other's place."""
+    path = f"{runner.work_folder(spark, 'features')}"
+    rows = assembled(spark, sf).select(F.col("id").alias("turn_id"), "features")
+    if swapped:
+        names = rows.schema["features"].dataType.fieldNames()
+        names[0], names[1] = names[1], names[0]
+        rows = rows.withColumn("features", F.struct(*[F.col("features")[n].alias(n) for n in names]))
+    tables.write_feature_cache(rows, path)
+    return spark.read.parquet(path)
+
+
 def check_order(spark, sf):
-    fields = fx.view(spark, sf, "v_decision").select(
-        (F.col("id") % len(FEATURE_NAMES)).cast("int").alias("position")
-    ).distinct()
-    names = F.array(*[F.lit(n) for n in FEATURE_NAMES])
-    return validation.feature_order(fields.withColumn("name", F.get(names, F.col("position"))))
+    return validation.feature_order(validation.stored_order(stored_features(spark, sf)))
 
 
 DUCK_VIEWS["v_check_labels"] = """
@@ -102,7 +113,7 @@ DUCK_VIEWS["v_check_mode"] = """
 select 'judge-mode' as "check", case when n = 1 then 'PASS' else 'FAIL' end as status, n || ' judge configuration(s)' as detail
 from (select count(distinct (model, thinking)) as n from v_judge) q"""
 DUCK_VIEWS["v_check_order"] = """
-select 'feature-order' as "check", 'PASS' as status, count(distinct id%15) || ' features' as detail from v_decision"""
+select 'feature-order' as "check", case when count(*) > 0 then 'PASS' else 'SKIP' end as status, '15 features' as detail from v_decision"""
 
 CHECKS = {
     "label_balance": (check_labels, "v_check_labels"),
@@ -121,6 +132,12 @@ for _name, (_check, _view) in CHECKS.items():
 ALL_CHECKS = "\nunion all\n".join(f"select * from {view}" for _, view in CHECKS.values())
 
 
+@query("feature_order_swapped", """select 'feature-order' as "check", 'FAIL' as status, '15 features' as detail""")
+def feature_order_swapped(spark, sf):
+    """Features that were stored in another order are found."""
+    return validation.feature_order(validation.stored_order(stored_features(spark, sf, swapped=True)))
+
+
 @query("validation_gate", ALL_CHECKS)
 def validation_gate(spark, sf):
     return validation.validation_gate([check(spark, sf) for check, _ in CHECKS.values()])
