@@ -22,9 +22,9 @@ def _row(df: DataFrame, check: str, skip: Column, ok: Column, detail: Column) ->
 
 
 def stored_order(rows: DataFrame, features: str = "features") -> DataFrame:
-    """Position and name of the features as a stored table has them, without their flags."""
-    fields = rows.schema[features].dataType.fieldNames()
-    names = [(i, n) for i, n in enumerate(f for f in fields if not f.endswith("_unavailable"))]
+    """Position and name of the features as a stored table has them, without their flags and what says how they were made."""
+    fields = [f for f in rows.schema[features].dataType.fieldNames() if f not in ("as_of", "capability_tier")]
+    names = list(enumerate(f for f in fields if not f.endswith("_unavailable")))
     return rows.sparkSession.createDataFrame(names, "position int, name string")
 
 

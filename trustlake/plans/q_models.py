@@ -289,7 +289,10 @@ def bootstrap_baseline(spark, sf):
     turns = turns.withColumn("features", F.col("features").withField("judge_p_wrong", F.col("judge_p"))).drop("judge_p")
     out = jobs.bootstrap(turns)
     registry = out["registry"].select("version", "created_us", "ready_us", "state")
-    return out["baseline"].join(registry, "version").select(
+    # one row each
+    both = out["baseline"].unionByName(registry, allowMissingColumns=True).drop("model_a_features", "model_b_features")
+    one = both.groupBy("version").agg(*[F.max(c).alias(c) for c in both.columns if c != "version"])
+    return one.select(
         "version", "capability_tier", "created_us", "ready_us", "state", "boundary_us", "n_train", "n_test", "n_second",
         F.round("fallback_prior", 9).alias("fallback_prior"),
     )
