@@ -39,7 +39,7 @@ from trustlake.llm.common import answered, bytes_or_empty, named_back, parts, re
 #: Longest context in bytes; contexts up to SHORT bytes are in the broadcast table.
 ORDER, SHORT = 4, 2
 #: Text bytes, distinct n-grams and distinct words of a batch, at which it closes; n-grams of a group, about.
-BATCH_BYTES, BATCH_GRAMS, BATCH_WORDS, GROUP_GRAMS = 24 << 20, 1_500_000, 500_000, 500_000
+BATCH_BYTES, BATCH_GRAMS, BATCH_WORDS, GROUP_GRAMS = 24 << 20, 1_500_000, 900_000, 500_000
 #: Symbols: a word's bytes, the space after it, and the end of the text in the place of a word.
 SPACE, END = 0x20, 0x0A
 ADDED = T.StructType(
