@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trustlake.config import BAND_NAMES, INTENT_MIX
+from trustlake.config import BAND_NAMES, FEATURE_NAMES, INTENT_MIX
 from trustlake.functions import pricing
 from trustlake.operators import calibration as cal
 from trustlake.operators import drift, gate, governance, record, reports, sampling, validation
@@ -68,7 +68,8 @@ def stored_features(spark, sf, swapped=False):
     rows = assembled(spark, sf).select(F.col("id").alias("turn_id"), "features")
     if swapped:
         names = rows.schema["features"].dataType.fieldNames()
-        names[0], names[1] = names[1], names[0]
+        first, second = (names.index(n) for n in FEATURE_NAMES[:2])
+        names[first], names[second] = names[second], names[first]
         rows = rows.withColumn("features", F.struct(*[F.col("features")[n].alias(n) for n in names]))
     tables.write_feature_cache(rows, path)
     return spark.read.parquet(path)
