@@ -158,6 +158,21 @@ def test_feature_cache(spark, tmp_path):
     assert tables.read_feature_cache(spark, path, more, judge) is None
 
 
+def test_feature_cache_is_merged_not_broadcast(spark, tmp_path):
+    from trustlake.operators.features import assemble_features
+
+    turns = spark.range(2000).select(F.col("id").alias("turn_id"))
+    path = f"{tmp_path}/cache"
+    tables.write_feature_cache(assemble_features(turns.withColumn("pii_score", F.lit(0.5)), F.lit(1), "none"), path)
+    turns.withColumn("judge_p", F.lit(0.5)).write.parquet(f"{tmp_path}/judge")
+    judge = spark.read.parquet(f"{tmp_path}/judge")
+    out = tables.read_feature_cache(spark, path, turns, judge)
+    for df in (out, tables.uncached(turns, spark.read.parquet(path))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.filter("features.judge_p_wrong = 0.5").count() == 2000
+
+
 def test_dims_and_report(spark, tmp_path):
     actions, policies = tables.dims(spark)
     assert (actions.count(), policies.count()) == (2, 3)
