@@ -55,6 +55,21 @@ def test_round_robin_against_brute_force(spark):
     assert len({i for i, _ in got}) == len(got)
 
 
+def test_round_robin_computes_the_intents_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, name, BAND_NAMES[i % 4]) for i in range(500) for name, _ in INTENT_MIX]
+    schema = "order_id bigint, intent string, band string"
+    df = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    assert sampling.round_robin_sample(df, "order_id", 40).count() == sum(int(round(40 * share)) for _, share in INTENT_MIX)
+    assert seen.value == len(rows)
+
+
 def test_diversified_top_k(spark):
     rows = [(i, "a" if i < 50 else "b" if i < 53 else "c", float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, k string, v double")

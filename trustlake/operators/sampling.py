@@ -93,22 +93,30 @@ def round_robin_sample(intents: DataFrame, key: str, total: int, mix=INTENT_MIX)
     band is used up before a plentiful one dominates. How many a band gives follows from
     the sizes of the cells, and which ones from a threshold on the hash; only sizes and
     thresholds reach the driver, and picked rows number at most ``total``.
+
+    ``intents`` is computed once. The other intents take no more than all targets together, so no cell gives a row behind that many
+    of its own; these leading rows are cut out first, and the turns are taken among them.
     """
     target = {name: int(round(total * share)) for name, share in mix}
-    wanted = intents.filter(F.col("intent").isin(*target))
-    sizes = {r["intent"]: r["n"] for r in wanted.groupBy("intent").agg(F.count("*").alias("n")).collect()}
-    order = draw_keys(key)
+    most = sum(target.values())
+    wanted = durable(intents.filter(F.col("intent").isin(*target)).withColumn("_draw", draw_keys(key)[0]))
+    counts = wanted.groupBy("intent", "band").agg(F.count("*").alias("n")).collect()
+    sizes = {name: sum(r["n"] for r in counts if r["intent"] == name) for name in target}
+    order = [F.col("_draw"), *draw_keys(key)[1:]]
+    cells = wanted.filter(F.col("band").isin(*BAND_NAMES)).withColumn("_cell", F.concat_ws("|", "intent", "band"))
+    each = {f"{name}|{band}": most for name in target for band in BAND_NAMES}
+    leading = durable(cells.filter(first_rows(cells, order, each, "_cell")).drop("_cell"))
     picked: DataFrame | None = None
     for name, _ in sorted(mix, key=lambda item: sizes.get(item[0], 0)):
-        free = wanted.filter((F.col("intent") == name) & F.col("band").isin(*BAND_NAMES))
+        free = leading.filter(F.col("intent") == name)
         if picked is not None:
             free = free.join(F.broadcast(picked.select(key)), key, "left_anti")  # at most ``total`` rows
-        cells = {r["band"]: r["n"] for r in free.groupBy("band").agg(F.count("*").alias("n")).collect()}
-        bands = [b for b in BAND_NAMES if b in cells]
-        quota = dict(zip(bands, turns_taken([cells[b] for b in bands], target[name])))
+        held = {r["band"]: r["n"] for r in free.groupBy("band").agg(F.count("*").alias("n")).collect()}
+        bands = [b for b in BAND_NAMES if b in held]
+        quota = dict(zip(bands, turns_taken([held[b] for b in bands], target[name])))
         turn = free.filter(first_rows(free, order, quota, "band"))
         picked = durable(turn if picked is None else picked.unionByName(turn))
-    return picked
+    return picked.drop("_draw")
 
 
 def population_weights(population: DataFrame, drawn: DataFrame) -> DataFrame:
