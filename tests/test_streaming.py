@@ -313,3 +313,89 @@ def test_late_lengths_are_set_aside(spark, tmp_path):
     got = {r["id"]: r["length_z"] for r in spark.read.parquet(str(tmp_path / "run/out")).collect()}
     late = {r["id"] for r in spark.read.parquet(str(tmp_path / "run/late")).collect()}
     assert late == {100, 101} and set(got) == {*range(40), 102, 103} and got[102] is not None
+
+
+class FakeHandle:
+    """State and timers of one part, with the number of calls into them."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, *schemas):
+        return FakeState(self, name)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class FakeState:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def getValue(self, key):
+        self.handle.calls += 1
+        return self.handle.values.get((self.name, key))
+
+    def updateValue(self, key, value):
+        self.handle.calls += 1
+        self.handle.values[self.name, key] = value
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def clear(self):
+        self.handle.calls += 1
+        self.handle.values.pop((self.name, None), None)
+
+
+def test_decisions_share_the_closing_state():
+    """Many decisions of one part over many batches, against each decision for itself; few calls into the state."""
+    from types import SimpleNamespace as Obj
+
+    import pandas as pd
+
+    rng = random.Random(7)
+    handle, closer = FakeHandle(), closing.OutcomeCloser()
+    closer.init(handle)
+    best, done, want, got, watermark = {}, set(), [], [], 0
+    columns = ["id_text", "cell", "weight", "reported_us", "event_id", "outcome", "source", "horizon_us"]
+    for batch in range(12):
+        rows = []
+        for event in range(400):
+            i, weight, at = rng.randrange(500), rng.choice([0.3, 0.9, 1.0]), (batch * 1000 + rng.randrange(1500)) * 1000
+            rows.append((f"d{i}", i % 4, weight, at, batch * 400 + event, rng.choice(["clean", "wrong"]), "s", (i % 90) * 150 * 1000))
+        for i in [k for k, v in best.items() if v[1] <= watermark]:
+            want.append((i, "closed", *best.pop(i)[0][3:], 0))
+            done.add(i)
+        late = {}
+        fresh = {}
+        for id_, _, weight, at, event, outcome, _, horizon in rows:
+            if id_ in done:
+                late[id_] = late.get(id_, 0) + 1
+            else:
+                fires = best[id_][1] if id_ in best else max(horizon // 1000, watermark + 1)
+                fresh[id_] = max(fresh.get(id_, ((),))[0], (weight, at, event, outcome)), fires
+                best[id_] = max(best.get(id_, ((),))[0], (weight, at, event, outcome)), fires
+        want += [(i, "late", None, n) for i, n in late.items()]
+        times = Obj(getCurrentWatermarkInMs=lambda: watermark)
+        frames = list(closer.handleInputRows((1,), iter([pd.DataFrame(rows[:150], columns=columns), pd.DataFrame(rows[150:], columns=columns)]), times))
+        for at in sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.discard(at)
+            frames += closer.handleExpiredTimer((1,), times, Obj(getExpiryTimeInMs=lambda: at))
+        for frame in frames:
+            assert list(frame.columns) == closing.COLUMNS
+            got += [(r[0], r[1], r[2], 0) if r[1] == "closed" else (r[0], r[1], None, r[5]) for r in frame.itertuples(index=False)]
+        watermark = batch * 1000
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r[1] for r in got} == {"closed", "late"}
+    assert len({r[0] for r in got if r[1] == "closed"}) == sum(r[1] == "closed" for r in got)
+    assert handle.calls < 12 * 25

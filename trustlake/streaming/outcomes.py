@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,61 +34,107 @@ def stream_outcome_ingest(reports: DataFrame, folder: str) -> None:
     drain_batches(reports, handle, folder)
 
 
+#: A call into the state costs more than the work for a decision, so decisions share state by hash: ``PARTS`` groups of
+#: decisions, whose marks lie in ``CELLS`` lists each.
+PARTS, CELLS = 4096, 256
+
+
 class OutcomeCloser(StatefulProcessor):
     """Per decision: remember the heaviest event until the horizon, emit it once, then only count late ones.
 
-    The state is one event and a counter, never the list of events. A closed decision
-    keeps a mark of one number for good, so no later event can close it again.
+    The state of a decision is one event and a counter, never the list of events. A closed decision
+    keeps a mark of its id for good, so no later event can close it again. The open decisions of a part are one value,
+    read and written once a batch, with one timer at their earliest horizon; of the marks only the cells are read that a batch asks for.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState(
-            "best", "weight double, reported_us bigint, event_id bigint, outcome string, source string, n bigint, "
-            "fires_ms bigint"
-        )
-        self.closed = handle.getValueState("closed", "at bigint")
+        # [id, cell, weight, reported_us, event_id, outcome, source, number of events, fires_ms] of each decision
+        self.open = handle.getValueState("open", "rows string")
+        self.marks = handle.getMapState("closed", "cell int", "ids string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        best = self.best.get() if self.best.exists() else None
-        late = 0
-        out = []
+        held = self.held()
+        timer = min((r[8] for r in held.values()), default=None)
         # rows come before timers: a horizon that has passed closes the decision first
-        if best is not None and best[6] <= watermark:
-            self.handle.deleteTimer(best[6])
-            out.append(self.close_now(key, watermark))
-            best = None
-        done = self.closed.exists()
+        closed = self.close_passed(held, watermark)
+        marked: dict[int, set] = {}
+        horizons: dict = {}
+        late: dict = {}
         for batch in rows:
-            if done:
-                late += len(batch)
-                continue
-            top = batch.sort_values(["weight", "reported_us", "event_id"]).iloc[-1]
-            candidate = (float(top["weight"]), int(top["reported_us"]), int(top["event_id"]), top["outcome"], top["source"])
-            if best is None:
-                # a horizon that has passed already fires with the next batch
-                fires = max(int(top["horizon_us"]) // 1000, watermark + 1)
-                self.handle.registerTimer(fires)
-                best = (*candidate, len(batch), fires)
-            else:
-                best = (*max(candidate, tuple(best[:5])), int(best[5]) + len(batch), best[6])
-        if late:
-            out.append((key[0], "late", None, None, None, late))
-        if best is not None:
-            self.best.update(best)
-        if out:
-            yield pd.DataFrame(out, columns=COLUMNS)
+            columns = ["id_text", "cell", "weight", "reported_us", "event_id", "outcome", "source", "horizon_us"]
+            for id_, cell, weight, reported, event, outcome, source, horizon in zip(*(batch[c].tolist() for c in columns)):
+                if id_ not in held:
+                    if cell not in marked:
+                        marked[cell] = set(self.marked(cell))
+                    if id_ in marked[cell]:
+                        late[id_] = late.get(id_, 0) + 1
+                        continue
+                event = [id_, cell, float(weight), int(reported), int(event), outcome, source, 1, None]
+                best = held.get(id_)
+                if best is not None:
+                    event[7:] = best[7] + 1, best[8]
+                if best is None or self.weighed(event) > self.weighed(best):
+                    held[id_] = event
+                    if event[8] is None:
+                        horizons[id_] = int(horizon)
+                else:
+                    best[7] += 1
+        for id_, horizon in horizons.items():
+            # a horizon that has passed already fires with the next batch
+            held[id_][8] = max(horizon // 1000, watermark + 1)
+        self.keep(held, timer)
+        yield from self.out(closed, [(id_, "late", None, None, None, n) for id_, n in late.items()])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.best.exists() and not self.closed.exists():
-            yield pd.DataFrame([self.close_now(key, expiredTimerInfo.getExpiryTimeInMs())], columns=COLUMNS)
+        held = self.held()
+        closed = self.close_passed(held, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
+        if closed:
+            self.keep(held, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self.out(closed)
 
-    def close_now(self, key, at: int) -> tuple:
-        _, reported, _, outcome, source, n, _ = self.best.get()
-        self.closed.update((int(at),))
-        self.best.clear()
-        return (key[0], "closed", outcome, source, reported, n)
+    @staticmethod
+    def weighed(row: list) -> tuple:
+        return (*row[2:5], row[5] or "", row[6] or "")
+
+    @staticmethod
+    def out(*parts: list[tuple]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if part:
+                yield pd.DataFrame(part, columns=COLUMNS)
+
+    def held(self) -> dict:
+        """The open decisions of the part."""
+        found = self.open.get()
+        return {r[0]: r for r in json.loads(found[0])} if found else {}
+
+    def marked(self, cell: int) -> list:
+        found = self.marks.getValue((cell,))
+        return json.loads(found[0]) if found else []
+
+    def close_passed(self, held: dict, watermark: int) -> list[tuple]:
+        """Take the decisions whose horizon has passed out of ``held``, mark them as closed, and give their rows."""
+        passed = [r for r in held.values() if r[8] <= watermark]
+        cells: dict[int, list] = {}
+        for r in passed:
+            del held[r[0]]
+            cells.setdefault(r[1], []).append(r[0])
+        for cell, ids in cells.items():
+            self.marks.updateValue((cell,), (json.dumps(self.marked(cell) + ids),))
+        return [(r[0], "closed", r[5], r[6], r[3], r[7]) for r in passed]
+
+    def keep(self, held: dict, timer: int | None) -> None:
+        """Write the open decisions, and put the part's timer, which stands at ``timer``, at the first of their horizons."""
+        following = min((r[8] for r in held.values()), default=None)
+        if timer is not None and timer != following:
+            self.handle.deleteTimer(timer)
+        if following is not None and timer != following:
+            self.handle.registerTimer(following)
+        if held:
+            self.open.update((json.dumps(list(held.values())),))
+        else:
+            self.open.clear()
 
     def close(self) -> None:
         pass
@@ -105,18 +152,22 @@ def stream_close_outcomes(events: DataFrame, delay: str = "0 seconds", closed: D
     if closed is not None:
         timed = timed.join(closed.select("decision_id"), "decision_id", "left_anti")
     kind = events.schema["decision_id"].dataType.simpleString()
+    place = F.pmod(F.xxhash64("decision_id"), F.lit(PARTS * CELLS))
     return (
         timed.select(
-            "decision_id", "weight", "reported_us", "event_id", "outcome", "source", "horizon_us", "reported_at"
+            F.col("decision_id").cast("string").alias("id_text"), F.floor(place / CELLS).cast("int").alias("part"),
+            (place % CELLS).cast("int").alias("cell"),
+            "weight", "reported_us", "event_id", "outcome", "source", "horizon_us", "reported_at",
         )
-        .groupBy("decision_id")
+        .groupBy("part")
         .transformWithStateInPandas(
             statefulProcessor=OutcomeCloser(),
-            outputStructType=f"decision_id {kind}, kind string, outcome string, outcome_source string, "
+            outputStructType="decision_id string, kind string, outcome string, outcome_source string, "
             "outcome_us bigint, events bigint",
             outputMode="Append",
             timeMode="EventTime",
         )
+        .withColumn("decision_id", F.col("decision_id").cast(kind))
     )
 
 
