@@ -236,6 +236,20 @@ def test_near_copies_keep_the_first(docs, doc_rows, no_docs):
     assert simhash.first_of_near_copies(no_docs).count() == 0
 
 
+def test_near_copies_meet_by_simhash(spark):
+    """Without a band in common, close fingerprints alone bring similar texts together, and only similar ones are linked."""
+    long = [f"w{i}" for i in range(2000)]
+    texts = {1: " ".join(long), 2: " ".join(long[:-1] + ["other"]), 3: " ".join(reversed(long)), 4: "", 5: None, 6: "one two"}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+    sets = simhash.banded(rows, "text", 5).withColumn("keys", F.array().cast("array<bigint>")).dropDuplicates(["node"])
+    a, b = (s.fingerprint for s in sets.filter("id in (1, 2)").collect())
+    assert (a ^ b).bit_count() <= 3
+    nodes = {bytes(r.node): r.id for r in sets.filter("id is not null").collect()}
+    distinct = sets.select("node", "size", "fingerprint", "digest", "keys")
+    edges = simhash._similar_links(distinct, rows.select("digest", "text"), 5, 0.8).collect()
+    assert [{nodes[bytes(e.a)], nodes[bytes(e.b)]} for e in edges] == [{1, 2}]
+
+
 def test_near_copies_catch_similar_texts(spark):
     rng = np.random.default_rng(5)
     rows, n = [], 0

@@ -182,21 +182,23 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def banded(df: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``df`` with node (a 128-bit digest of the set of shingles), its size, and the keys of its bands."""
+    """``df`` with node (a 128-bit digest of the set of shingles), its size, its SimHash, and the keys of its bands."""
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for t in bytes_or_empty(batch.column(text)):
                 hashes = shingle_set(t, shingle)
                 nodes.append(xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
+                prints.append(signed(simhash(hashes)))
                 keys.append(band_keys(hashes))
-            yield batch, [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, prints)]
+            yield batch, [pa.array(nodes, pa.binary()), *numbers, pa.array(keys, pa.list_(pa.int64()))]
 
-    added = [("node", T.BinaryType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    added = [("node", T.BinaryType()), ("size", T.LongType()), ("fingerprint", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
     return adding(df, T.StructType([T.StructField(n, t) for n, t in added]), columns)
 
 
@@ -227,13 +229,16 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def _similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): edges that span the links between the sets ``distinct`` (node, size, digest, keys).
+    """(a, b): edges that span the links between the sets ``distinct`` (node, size, fingerprint, digest, keys).
 
-    Sets that share a band meet in a piece; crowded bands are dealt out in chunks by hash, and every pair of chunks
+    Sets whose fingerprints are connected within the radius (``classes``: pigeonhole blocks, Hamming check) meet in a piece,
+    and sets that share a band do; crowded keys are dealt out in chunks by hash, and every pair of chunks
     is a piece. Pieces of the same sets are one. The sets come to the pieces whole, made again from ``texts``
     (digest, text), and every link is counted out there.
     """
-    keyed = distinct.select("node", "size", F.explode("keys").alias("key"))
+    worded = distinct.filter("size > 0")
+    close = worded.join(classes(worded, "node"), "fingerprint").select("node", "size", F.xxhash64("component").alias("key"))
+    keyed = close.unionByName(worded.select("node", "size", F.explode("keys").alias("key")))
     crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum")).filter("n > 1")
     dealt = (
         keyed.join(crowds, "key")
@@ -275,7 +280,8 @@ def first_of_near_copies(
     """The rows of ``df`` without near copies: of each class the row with the smallest id, null last.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles, counted out, is ``similarity`` or
-    more; classes are the connected components. Pairs are found by bands of minima (see ``BANDS``). If rows of a
+    more; classes are the connected components. Pairs are found by SimHash, as in ``near_duplicates``, and, since similar
+    sets often differ in more bits than its radius, by bands of minima too (see ``BANDS``). If rows of a
     class share the smallest id, the text with the smallest MD5 stays, and of wholly repeated rows one.
     """
     own, names = renamed(df)
@@ -284,7 +290,7 @@ def first_of_near_copies(
     rows = own.select(F.col(doc_id).alias("id"), digest.alias("digest"), F.col(text).alias("text"))
     prints = stored(banded(rows, "text", shingle).drop("text"), "prints")
     distinct = stored(
-        prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("keys").alias("keys")),
+        prints.groupBy("node").agg(F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("size", "fingerprint", "keys")]),
         "distinct-sets",
     )
     edges = _similar_links(distinct, rows.select("digest", "text"), shingle, similarity)
