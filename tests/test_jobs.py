@@ -117,3 +117,12 @@ def test_bootstrap(spark):
 def test_close_call_delta(spark):
     new, old = (spark.createDataFrame([(v,)], "ece_close_call double") for v in (0.07, 0.04))
     assert spark.range(1).select(jobs.close_call_delta(new, old).alias("d")).first()["d"] == pytest.approx(0.03)
+
+
+def test_written_tables_are_read_by_column(spark):
+    """A pass over a few columns of a wide table reads these only, which a checkpoint of rows cannot."""
+    from trustlake.session import written
+
+    out = written(spark.range(10).select("id", F.array(F.col("id").cast("double")).alias("vector")))
+    plan = out.filter("id > 3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and out.count() == 10

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trustlake.config import SETTINGS
 from trustlake.functions import ledger, pricing
 from trustlake.operators import calibration, drift, features, gate, models, outcomes, trust
-from trustlake.session import build_session, durable
+from trustlake.session import build_session, durable, written
 from trustlake.sources import model_store, tables
 
 
@@ -64,9 +64,9 @@ def bootstrap(
         turns = with_policy_scores(turns, embedding, fields, row_id)
     names = features.model_features(tier, with_judge=False)
     vector = features.to_vector(F.col("features"), names, fields)
-    rows = durable(
-        calibration.temporal_split(turns.withColumn("vector", vector).withColumn("agent_id", F.lit(agent_id)), "ts_us", row_id)
-    )
+    # both are read many times, a few columns each time
+    whole = written(turns.withColumn("vector", vector).withColumn("agent_id", F.lit(agent_id)))
+    rows = calibration.temporal_split(whole, "ts_us", row_id)
     labelled = F.col("outcome").isin("clean", "wrong")
     wrong = F.col("outcome") == "wrong"
     train, test = F.col("split") == "train", F.col("split") == "test"
@@ -78,7 +78,7 @@ def bootstrap(
             calibration.reliability_bins(frozen.select(row_id, "p_wrong", "outcome"), [], "p_wrong", wrong, row_id), []
         )
     )
-    scored = durable(models.expanding_crossfit(rows, "vector", "ts_us", row_id).drop("vector"))
+    scored = written(models.expanding_crossfit(rows, "vector", "ts_us", row_id).drop("vector"))
     judge = F.col("features")["judge_p_wrong"] if "judge_p_wrong" in fields else F.lit(None).cast("double")
     judged = scored.withColumn("judge_p", judge)
     model_b = models.fit_second(judged.filter(labelled & train), "p_wrong", "judge_p", wrong)
