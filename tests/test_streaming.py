@@ -399,3 +399,15 @@ def test_decisions_share_the_closing_state():
     assert sorted(map(str, got)) == sorted(map(str, want)) and {r[1] for r in got} == {"closed", "late"}
     assert len({r[0] for r in got if r[1] == "closed"}) == sum(r[1] == "closed" for r in got)
     assert handle.calls < 12 * 25
+
+
+def test_large_batches_have_several_files(spark, tmp_path):
+    from trustlake.plans.q_streams import in_batches
+
+    rows = spark.range(0, 3000, 1, 4).select("id", F.col("id").alias("ts_us"))
+    folder = f"{tmp_path}/in"
+    stream = in_batches(rows, "ts_us", 3, folder, file_rows=250)
+    assert spark.read.parquet(folder).select(F.input_file_name()).distinct().count() == 12
+    seen = []
+    runner.drain_batches(stream, lambda batch, i: seen.append(batch.agg(F.min("id"), F.max("id"), F.count("*")).first()), str(tmp_path / "run"))
+    assert [tuple(r) for r in seen] == [(0, 999, 1000), (1000, 1999, 1000), (2000, 2999, 1000)]

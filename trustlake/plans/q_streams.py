@@ -27,14 +27,22 @@ def stream_view(spark, sf, name):
     return fx.VIEWS[name].spark(spark, sf, source=lambda t: stream_table(spark, sf, t))
 
 
-def in_batches(rows, time, n, folder):
-    """Rows as a stream of ``n`` micro-batches in the order of ``time``."""
+#: Rows of a file of a batch, at least, where a batch has several files.
+FILE_ROWS = 500_000
+
+
+def in_batches(rows, time, n, folder, file_rows=FILE_ROWS):
+    """Rows as a stream of ``n`` micro-batches in the order of ``time``, each of equally many files."""
     spark = rows.sparkSession
     low, high = rows.agg(F.min(time), F.max(time)).first()
     part = F.floor((F.col(time) - low) * n / (high - low + 1)) if low is not None else F.lit(0)
+    sizes = rows.agg(*[F.count(F.when(part == i, 1)) for i in range(n)]).first()
+    files = max(1, min(sizes) // file_rows)
     for i in range(n):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        here = rows.filter(part == i)
+        # dealt out in turn, so no file is empty
+        (here.coalesce(1) if files == 1 else here.repartition(files)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("stream_span_scores")
