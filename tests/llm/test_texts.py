@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -360,6 +362,28 @@ def test_substrings_in_many_batches_and_crowds(docs, doc_rows, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.sha) for r in got) == brute_removed(doc_rows)
 
 
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    texts = [b"one two  three", b"", b"a-word-over-many-pieces two", b" one"]
+    whole = substrings.Words(texts).hashes
+    assert whole[0] == whole[-1] and whole[1] == whole[4] and len(set(whole.tolist())) == 4
+    for size in (1, 2, 7):
+        monkeypatch.setattr(substrings, "HASHED_BYTES", size)
+        assert (substrings.Words(texts).hashes == whole).all()
+
+
+def test_minimizers_of_a_batch_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(rng.choice([b"alpha", b"beta", b"gamma", b"delta"], 5000).tolist()).decode() for _ in range(100)]
+    docs = pa.table({"id": pa.array(range(100), pa.int64()), "text": texts})
+    tracemalloc.start()
+    try:
+        substrings._minimizers(docs, 0, "id", "text")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * sum(map(len, texts))
+
+
 def test_fm_index_finds_repeats():
     from trustlake.llm.fmindex import FmIndex
 

@@ -46,6 +46,8 @@ WINDOW, GRAM = 20, 8
 BATCH_BYTES, SHARD_WORDS, SHARD_KEYS = 8 << 20, 400_000, 400_000
 #: A minimizer with more occurrences than this sends its windows singly.
 CROWD = 500
+#: Bytes whose prefix sums are held at a time; they take eight bytes a byte, several times over.
+HASHED_BYTES = 1 << 18
 #: Odd multipliers modulo 2**64 for the hashes of bytes and of words.
 BYTE, WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 ADDED = T.StructType(
@@ -66,6 +68,29 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: the difference of two prefix sums, moved to the front by the inverse power.
+
+    The sums go through ``data`` piece by piece and are kept at the words' ends only; a word may lie in many pieces.
+    """
+    inverse = pow(int(BYTE), -1, 1 << 64)
+    longest = min(len(data), HASHED_BYTES)
+    powers, inverses = _powers(BYTE, longest), _powers(np.uint64(inverse), longest)
+    before, after, back = (np.empty(len(starts), np.uint64) for _ in range(3))
+    total = np.zeros(1, np.uint64)
+    for lo in range(0, len(data), HASHED_BYTES):
+        piece = data[lo : lo + HASHED_BYTES]
+        terms = (piece + np.uint64(1)) * powers[: len(piece)] * np.uint64(pow(int(BYTE), lo, 1 << 64))
+        sums = np.cumsum(np.concatenate((total, terms)), dtype=np.uint64)
+        total = sums[-1:]
+        a, b = np.searchsorted(starts, (lo, lo + len(piece)))
+        at = starts[a:b] - lo
+        before[a:b], back[a:b] = sums[at], inverses[at] * np.uint64(pow(inverse, lo, 1 << 64))
+        a, b = np.searchsorted(ends, (lo + 1, lo + len(piece) + 1))
+        after[a:b] = sums[ends[a:b] - lo]
+    return _mixed((after - before) * back)
+
+
 class Words:
     """The words of a list of texts as byte positions, with a hash of each and the number of its text."""
 
@@ -80,11 +105,7 @@ class Words:
         offsets = np.cumsum(lengths + 1) - lengths - 1
         self.first = np.searchsorted(self.starts, np.append(offsets, len(data) + 1))
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        # a word's hash is the difference of two prefix sums, moved to the front by the inverse power
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * _powers(BYTE, len(data)), dtype=np.uint64)))
-        inverse = np.uint64(pow(int(BYTE), -1, 1 << 64))
-        back = _powers(inverse, len(data) + 1)[self.starts]
-        self.hashes = _mixed((sums[self.ends] - sums[self.starts]) * back)
+        self.hashes = _word_hashes(data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
