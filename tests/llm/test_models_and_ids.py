@@ -186,6 +186,12 @@ def test_ppm_with_hot_grams_and_clashing_columns(spark, docs, doc_rows, monkeypa
     assert sorted(r.score for r in got) == pytest.approx(sorted(w[3] for w in want))
 
 
+def test_ppm_asks_for_words_in_one_shuffle(docs):
+    out, _, _ = ppm.scored(docs, F.lit(True))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Join Inner, (gram" in plan  # words are answered from where they were counted
+
+
 def test_ppm_without_training(docs, no_docs, doc_rows):
     out, n, v = ppm.scored(docs.filter("doc_id < 9"), F.lit(False))
     assert (n, v) == (0, 0)

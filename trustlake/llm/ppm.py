@@ -9,9 +9,10 @@ occurrences escapes with q / (n + q). Below the empty context all bytes not excl
 text has a probability, and the probabilities of all texts sum to one at most.
 
 The trie is never whole in one place. A task cuts its rows into batches of bounded size and writes them with the
-distinct n-grams and words of the batch and their training counts. Counts are summed by n-gram, combined on the map
-side, so a common one costs a row a task. An n-gram is then looked up once for the corpus, in groups by its last three
-context bytes: all contexts of three bytes and more of an n-gram lie in its group, and groups follow the number of n-grams. The
+distinct n-grams and words of the batch and their training counts. A word is asked for once a batch: it is stored with its
+count and the batches that have it, and the answers are read from there. Counts of n-grams are combined on the map side,
+so a common one costs a row a task. An n-gram is then looked up once for the corpus, in groups by its last three context
+bytes: all contexts of three bytes and more of an n-gram lie in its group, and groups follow the number of n-grams. The
 orders below are one table of at most 2**24 rows (n-grams of three bytes), which is broadcast. Every batch is answered the
 code lengths of its n-grams and the counts of its words, each once, and adds them up over its texts.
 
@@ -299,10 +300,12 @@ def scored(df: DataFrame, learn: Column, text: str = "text") -> tuple[DataFrame,
     flag = next(n for n in map("learn{}".format, range(len(df.columns) + 1)) if n not in df.columns)
     rows, names = renamed(df.withColumn(flag, F.coalesce(learn, F.lit(False))))
     text, flag = names[text], names.pop(flag)
-    rows = stored(_batched(rows, text, flag, "kept"), "batches")
+    rows = stored(_batched(rows, text, flag, "kept"), "batches", compression="zstd")
 
     asked_words, asked_grams = _asked(rows, "kept", "words", "word"), _asked(rows, "kept", "grams", "gram")
-    words = stored(asked_words.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asks")), "words")
+    # a word has a row in each batch at most, so no partial sums go ahead of the shuffle
+    by_word = asked_words.repartition("word").groupBy("word")
+    words = stored(by_word.agg(F.sum("n").alias("n"), F.collect_list("batch").alias("batches")), "words", compression="zstd")
     totals = words.filter("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, distinct = totals[0] or 0, totals[1] or 0
 
@@ -319,7 +322,9 @@ def scored(df: DataFrame, learn: Column, text: str = "text") -> tuple[DataFrame,
     none = {"gram": F.lit(None).cast("long"), "value": F.lit(None).cast("double"), "word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")}
     columns = ["batch", *none]
     answers = (
-        answered(asked_words.drop("n"), words, "word").withColumns({c: none[c] for c in ("gram", "value")}).select(columns)
+        words.select(F.explode("batches").alias("batch"), "word", "n")
+        .withColumns({c: none[c] for c in ("gram", "value")})
+        .select(columns)
     ).unionByName(
         answered(asked_grams.drop("n"), lengths, "gram").withColumns({c: none[c] for c in ("word", "n")}).select(columns)
     )
