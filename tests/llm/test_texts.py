@@ -371,13 +371,26 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
         assert (substrings.Words(texts).hashes == whole).all()
 
 
+def test_segments_do_not_depend_on_runs(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c"], n).tolist()) for n in (0, 19, 20, 90, 0, 3, 400, 21, 0)]
+    words = substrings.Words(texts)
+    whole = substrings.segments(words)
+    assert whole[1].sum() == 1 + 71 + 381 + 2
+    for size in (1, 25, 120):
+        monkeypatch.setattr(substrings, "RUN_WORDS", size)
+        assert len(list(words.runs(size))) > 1
+        assert all((x == y).all() for x, y in zip(substrings.segments(words), whole, strict=True))
+    assert [len(x) for x in substrings.segments(substrings.Words([]))] == [0, 0, 0]
+
+
 def test_minimizers_of_a_batch_in_bounded_memory():
     rng = np.random.default_rng(3)
     texts = [b" ".join(rng.choice([b"alpha", b"beta", b"gamma", b"delta"], 5000).tolist()).decode() for _ in range(100)]
     docs = pa.table({"id": pa.array(range(100), pa.int64()), "text": texts})
     tracemalloc.start()
     try:
-        substrings._minimizers(docs, 0, "id", "text")
+        substrings._minimizers(docs, 0, "text")
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()

@@ -28,6 +28,7 @@ columns are passed through, and columns with the names of added ones are replace
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -48,6 +49,8 @@ BATCH_BYTES, SHARD_WORDS, SHARD_KEYS = 8 << 20, 400_000, 400_000
 CROWD = 500
 #: Bytes whose prefix sums are held at a time; they take eight bytes a byte, several times over.
 HASHED_BYTES = 1 << 18
+#: Words whose minimizers are found at a time; a longer text is taken whole.
+RUN_WORDS = 1 << 17
 #: Odd multipliers modulo 2**64 for the hashes of bytes and of words.
 BYTE, WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 ADDED = T.StructType(
@@ -110,6 +113,14 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def runs(self, size: int) -> Iterator[tuple[int, int]]:
+        """(start, stop) of whole texts with about ``size`` words together."""
+        at = 0
+        while at < len(self.first) - 1:
+            after = max(at + 1, int(np.searchsorted(self.first, self.first[at] + size, side="right")) - 1)
+            yield int(self.first[at]), int(self.first[after])
+            at = after
+
     def bytes_of(self, start: int, stop: int) -> bytes:
         """The words start .. stop joined by one space."""
         return b" ".join(self.data[self.starts[start] : self.ends[stop - 1]].split())
@@ -123,10 +134,15 @@ class Words:
 
 def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, minimizer) of the segments, in the order of the texts."""
-    n = len(words)
-    if n < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    value = words.run_hash(np.arange(n - GRAM + 1), GRAM)
+    none = np.empty(0, np.int64)
+    found = [(none, none, none), *(_segments_between(words, a, b) for a, b in words.runs(RUN_WORDS) if b - a >= WINDOW)]
+    first, count, key = (np.concatenate(x) for x in zip(*found))
+    return first, count, key
+
+
+def _segments_between(words: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of the words a .. b of whole texts."""
+    value = words.run_hash(np.arange(a, b - GRAM + 1), GRAM)
     place = np.arange(len(value))
     width, wanted = 1, WINDOW - GRAM + 1
     while width < wanted:
@@ -134,10 +150,10 @@ def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         right = value[step:] < value[:-step]  # the left one if equal
         value, place = np.where(right, value[step:], value[:-step]), np.where(right, place[step:], place[:-step])
         width += step
-    windows = np.flatnonzero(words.doc[: n - WINDOW + 1] == words.doc[WINDOW - 1 :])
+    windows = np.flatnonzero(words.doc[a : b - WINDOW + 1] == words.doc[a + WINDOW - 1 : b])
     value, place = value[windows], place[windows]
     cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.empty(0, np.int64)
-    return windows[cuts], np.diff(np.append(cuts, len(windows))), value[cuts].view(np.int64)
+    return a + windows[cuts], np.diff(np.append(cuts, len(windows))), value[cuts].view(np.int64)
 
 
 def _ordered(docs: pa.Table, doc_id: str, text: str) -> tuple[pa.Table, np.ndarray, list[bytes]]:
@@ -148,8 +164,8 @@ def _ordered(docs: pa.Table, doc_id: str, text: str) -> tuple[pa.Table, np.ndarr
     return docs.take(pa.array(order, pa.int64())), ids[order], [texts[i] for i in order]
 
 
-def _minimizers(docs: pa.Table, batch: int, doc_id: str, text: str) -> pa.Table:
-    _, _, texts = _ordered(docs, doc_id, text)
+def _minimizers(docs: pa.Table, batch: int, text: str) -> pa.Table:
+    texts = bytes_or_empty(docs.column(text).combine_chunks())
     keys, counts = np.unique(segments(Words(texts))[2], return_counts=True)
     return pa.table({"batch": np.full(len(keys), batch, np.int64), "key": keys, "n": counts.astype(np.int64)})
 
@@ -304,7 +320,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     schema = to_arrow_schema(all_columns)
 
     counts = grouped.applyInArrow(
-        lambda key, rows: _minimizers(rows, key[0].as_py(), doc_id, text), "batch long, key long, n long"
+        lambda key, rows: _minimizers(rows, key[0].as_py(), text), "batch long, key long, n long"
     )
     answer = "batch long, kind long, key long, value long"
     repeated = counts.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInArrow(_repeated, answer)
