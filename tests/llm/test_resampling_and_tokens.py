@@ -265,6 +265,50 @@ def test_aligned_texts():
     assert got == [(*r[:4], r[6]) for r in brute_alignment(texts)]
 
 
+@pytest.mark.parametrize("limits", [{}, {"UNITS": 30, "TOGETHER": 3, "REMEMBERED": 10}, {"UNIT_CHARS": 40}])
+def test_aligned_units(monkeypatch, limits):
+    # white space of all kinds before, between and after words, cut into units that are remembered and forgotten
+    for name, most in limits.items():
+        monkeypatch.setattr(alignment, name, most)
+    rnd = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2028", "\u3000", "\u0301", "▁", "ﬁ", "ދ"]
+    parts += ["the", "don't", "'s", "x.", "12", "é", "日本", "€", "over-long", "The"] * 3
+    texts = odd_texts(60) + ["".join(rnd.choices(parts, k=rnd.randint(1, 14))) for _ in range(1500)] + ["the x. the"] * 5
+    align = alignment.Aligner(open(PATH_A, encoding="utf-8").read(), open(PATH_B, "rb").read())
+    got, links = [], []
+    for i in range(0, len(texts), 50):
+        counts, groups, doc, pair = align(texts[i : i + 50])
+        got += [(*row, g) for *row, g in zip(*(c.tolist() for c in counts), groups.to_pylist())]
+        links += zip((doc + i).tolist(), (pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist())
+    want = brute_alignment(texts)
+    assert got == [(*r[:4], r[6]) for r in want]
+    docs, most = collections.Counter((a, b) for _, a, b in set(links)), collections.Counter()
+    for (a, _), n in docs.items():
+        most[a] = max(most[a], n)
+    sums, best = collections.Counter(), collections.Counter()
+    for d, a, b in links:
+        sums[d] += docs[a, b]
+        best[d] += docs[a, b] == most[a]
+    assert [(best[d], sums[d]) for d in range(len(texts))] == [r[4:6] for r in want]
+
+
+def test_frequent_words_are_encoded_once():
+    # however many others come between them
+    align = alignment.Aligner(open(PATH_A, encoding="utf-8").read(), open(PATH_B, "rb").read())
+    asked, model = collections.Counter(), align.b.model
+
+    class Spy:
+        def encode(self, texts, **options):
+            asked.update(texts)
+            return model.encode(texts, **options)
+
+    align.b.model = Spy()
+    frequent = [f"often{i}" for i in range(100)]
+    for k in range(10):
+        align([" ".join(frequent + [f"w{k}x{i}" for i in range(j, j + 1500)]) for j in range(0, 45_000, 1500)])
+    assert len(asked) > 400_000 and {asked[w] for w in frequent} == {1}
+
+
 @pytest.mark.parametrize("hot", [100_000, 1])
 def test_alignment_counts(spark, docs, doc_rows, monkeypatch, hot):
     # small batches; with hot = 1 every pair of two batches or more is answered by broadcast

@@ -2,12 +2,16 @@
 
 Every text is encoded twice: A, a byte-level BPE of the ``tokenizers`` library, encodes a space and the text; B, a
 ``sentencepiece`` model that puts the space there itself, encodes the text. Both models' files are read on the driver
-and broadcast (a few MB, bounded by the vocabularies). From the id lists on, a batch is Arrow and numpy arrays: lists are
-flattened with their parents' indices, token lengths are summed up cumulatively within each document, and a hash
-join on (document, end) finds the cuts, where a token of A and one of B both end. The tokens between two cuts are a group. Between
-two neighbouring ends of either tokenizer lies the overlap of exactly one token of A and one of B: these are the links.
+and broadcast (a few MB, bounded by the vocabularies). From the id lists on, a batch is Arrow and numpy arrays: token
+lengths are summed up cumulatively, and flags on the byte offsets tell the cuts, where a token of A and one of B both end.
+The tokens between two cuts are a group. Between two neighbouring ends of either tokenizer lies the overlap of exactly one
+token of A and one of B: these are the links.
 
-The count of an id pair is the number of documents that hold it linked. ``Table.group_by`` counts the pairs of a
+Texts are cut before spaces at which tokens of both end, whatever else the text holds. These units are aligned each by
+itself, once as long as a task remembers it; what a document has is its units' tokens, groups and links, one after the
+other. A text with a unit whose tokens' bytes are not its own is aligned as a whole.
+
+The count of an id pair is the number of documents that hold it linked. A task counts the pairs of a
 batch, Spark adds the batches' counts up, and each batch asks for the counts of its pairs, each once (``common.answered``).
 The highest count of each id of A is one row for each id of its vocabulary. Documents travel once, as places in their
 batch's list of pairs.
@@ -23,9 +27,9 @@ added columns replace columns of their names.
 from __future__ import annotations
 
 import os
-from array import array
+import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +42,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trustlake.llm.bpe import byte_characters
 from trustlake.llm.common import answered, parts, renamed, stored, text_or_empty
-from trustlake.llm.counting import Merges, byte_level, merged_ids, splitter
+from trustlake.llm.counting import SAFE, Merges, byte_level, merged_ids, splitter
 
 #: Text bytes and distinct pairs of a batch.
 BATCH_BYTES, BATCH_PAIRS = 24 << 20, 1_000_000
-#: Text bytes that are encoded at a time: their tokens as objects and arrays take some hundred times as much.
+#: Text bytes that are encoded at a time: their units and tokens as objects and arrays take some hundred times as much.
 PART_BYTES = 1 << 19
-#: Pre-tokens and runs between spaces whose ids a task remembers, each; beyond it the memory starts anew.
+#: Links whose counts are summed up at a time.
+SUMMED = 1 << 19
+#: Pre-tokens whose ids a task remembers; beyond it the memory starts anew.
 REMEMBERED = 100_000
-#: Bits of a byte offset in a key of (document of a batch, offset).
-OFFSET = 40
+#: Units that A cuts at a time; where one can't follow another they are cut each by itself.
+TOGETHER = 128
+#: Units that a task remembers, and characters in them; beyond it those seen least are forgotten.
+UNITS, UNIT_CHARS = 200_000, 8_000_000
+#: A character that no version of Unicode takes for white space.
+SURE = r"[^\s" + "".join(f"\\U{a + 1:08x}-\\U{b - 1:08x}" for (_, a), (b, _) in zip(SAFE, (*SAFE[1:], (0x110000, 0)))) + "]"
 
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_a", "n_b", "n_groups", "n_links")])
 #: What ``linked`` keeps for ``counted``: the batch, the links as places in the batch's list of pairs, and in one
@@ -62,24 +72,54 @@ LINKS = T.StructType(
 )
 
 
-class _Ids(dict):
-    """A piece of a text -> its ids as little-endian int32 bytes, each distinct piece encoded once."""
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each row's values; ``first`` is where the rows begin, and the end of the last."""
+    return np.diff(np.r_[0, np.cumsum(values, dtype=np.int64)][first])
+
+
+def _first(sizes) -> np.ndarray:
+    """Where rows of these sizes begin, and the end of the last."""
+    return np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+
+
+def _sizes(rows: list) -> np.ndarray:
+    return np.fromiter(map(len, rows), np.int64, len(rows))
+
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
+def _taken(values: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values of the rows ``at``, one after the other."""
+    sizes = np.diff(first)[at]
+    return values[np.arange(sizes.sum()) + np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes)]
 
-    def joined(self, rows: list[list[str]]) -> list[bytes]:
-        """The ids of each row's pieces."""
-        new = [*set(chain.from_iterable(rows)).difference(self)]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = [*set(chain.from_iterable(rows))]
-        self.update(zip(new, self.encode(new)))
-        return [b"".join(map(self.__getitem__, row)) for row in rows]
+
+class _Ids:
+    """Ids of pieces of texts, each distinct piece encoded once as long as it is remembered."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.encode, self.most = encode, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after the other, and how many each has."""
+        new = [*set(pieces).difference(self.place)]
+        if len(self.place) + len(new) > self.most:
+            self._clear()
+            new = [*set(pieces)]
+        if new:
+            ids, sizes = self.encode(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.ids = np.concatenate([self.ids, ids])
+            self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        return _taken(self.ids, self.first, at), np.diff(self.first)[at]
 
 
 class ByteLevel:
-    """Tokenizer A: ids of texts with a space before them, and the bytes of each id."""
+    """Tokenizer A: ids of units with a space before them, and the bytes of each id."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
@@ -92,22 +132,42 @@ class ByteLevel:
         self.bytes_of = [b""] * (max(model["vocab"].values()) + 1)
         for token, at in model["vocab"].items():
             self.bytes_of[at] = bytes(map(back.__getitem__, token))
-        merges = Merges(model)
-        self.known = _Ids(lambda new: merged_ids([p.encode() for p in new], merges) if new else [])
-
-    def ids(self, spaced: list[str]) -> list[bytes]:
-        return self.known.joined([self.split(t) for t in spaced])
+        self.merges = Merges(model)
+        self.known = _Ids(self._encoded, REMEMBERED)
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = merged_ids([p.encode() for p in new], self.merges)
+        return np.frombuffer(b"".join(ids), np.int32), _sizes(ids) // 4
+
+    def _cut(self, spaced: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of the units, and where each unit's begin."""
+        runs = [spaced[i : i + TOGETHER] for i in range(0, len(spaced), TOGETHER)]
+        rows = [self.split("".join(run)) for run in runs]
+        unit_ends = np.cumsum(_sizes(spaced))
+        while True:
+            pieces = [*chain.from_iterable(rows)]
+            ends = np.cumsum(_sizes(pieces))
+            last = np.searchsorted(ends, unit_ends)
+            over = np.flatnonzero(ends[last] != unit_ends)
+            if not len(over):
+                return pieces, np.r_[0, last + 1]
+            for i in np.unique(over // TOGETHER).tolist():
+                rows[i] = [*chain.from_iterable(map(self.split, runs[i]))]
+
+    def ids(self, units: list[str]) -> pa.ListArray:
+        pieces, first = self._cut([" " + u for u in units])
+        ids, sizes = self.known.joined(pieces)
+        return _lists(ids, _first(sizes)[first])
 
 
 class Pieces:
-    """Tokenizer B: ids of texts, given with the space that it adds itself, and the bytes of each id.
+    """Tokenizer B: ids of units, given without the space that it adds itself, and the bytes of each id.
 
     If no piece holds a space after another character, no merge reaches over the place before a space, and the runs
     of spaces and what follows them are encoded each once; otherwise whole texts are.
     """
 
     def __init__(self, model: bytes):
-        import regex
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -115,46 +175,44 @@ class Pieces:
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        self.apart = not any(regex.search("[^▁]▁", p) for p in pieces)
+        self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
         self.space = self.model.piece_to_id("▁")
         # a space less than the run has, since the model adds one
-        self.runs = regex.compile(" ( *[^ ]*)").findall
-        self.known = _Ids(self._encoded)
+        self.runs = re.compile(" ( *[^ ]*)").findall
+        self.known = _Ids(self._encoded, 0)
 
-    def _encoded(self, new: list[str]) -> list[bytes]:
-        # of an empty text nothing is left that the model would put its space before
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.encode(new, num_threads=1)
-        return [array("i", ids if p else [self.space]).tobytes() for p, ids in zip(new, found)]
+        if self.apart and "" in new:
+            # of an empty text nothing is left that the model would put its space before
+            found[new.index("")] = [self.space]
+        sizes = _sizes(found)
+        return np.fromiter(chain.from_iterable(found), np.int32, sizes.sum()), sizes
 
-    def _split(self, spaced: str) -> list[str]:
-        if "  " in spaced or spaced[-1] == " ":
-            return self.runs(spaced)
-        return spaced[1:].split(" ")
+    def ids(self, units: list[str]) -> pa.ListArray:
+        rows = [self.runs(" " + u) if self.apart and " " in u else (u,) for u in units]
+        ids, sizes = self.known.joined([*chain.from_iterable(rows)])
+        return _lists(ids, _first(sizes)[_first(_sizes(rows))])
 
-    def ids(self, spaced: list[str]) -> list[bytes]:
-        if not self.apart:
-            return [array("i", ids).tobytes() for ids in self.model.encode([t[1:] for t in spaced], num_threads=1)]
-        return self.known.joined([self._split(t) for t in spaced])
 
-
-def _lists(rows: list[bytes]) -> pa.ListArray:
-    """Arrow lists of int32 from each row's bytes."""
-    ends = np.cumsum([0, *map(len, rows)]) // 4
-    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+def _lists(ids: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
 
 
 class Side:
-    """One tokenizer's tokens of a batch: their ids, documents and ends, from the beginning of their document."""
-
-    def __init__(self, lists: pa.ListArray, lengths: pa.Array):
-        self.ids, self.doc = pc.list_flatten(lists), pc.list_parent_indices(lists)
-        # cumulative sums within each document: those of the batch less what lies before the document
-        running = np.r_[0, pc.cumulative_sum(pc.take(lengths, self.ids)).to_numpy()]
-        first = np.asarray(lists.offsets)
-        end = running[1:] - np.repeat(running[first[:-1]], np.diff(first))
-        self.key = self.doc.to_numpy() << OFFSET | end
-        self.n, self.first = np.diff(first).astype(np.int64), first
+    """One tokenizer's tokens of a batch: their ids, and their ends as byte offsets in the batch."""
+
+    def __init__(self, lists: pa.ListArray, lengths: np.ndarray):
+        self.ids, self.first = lists.values.to_numpy(), np.asarray(lists.offsets)
+        running = np.r_[0, np.cumsum(lengths[self.ids])]
+        self.end, self.row_ends = running[1:], running[self.first]
+        self.n = np.diff(self.first).astype(np.int64)
+
+    def ends(self) -> np.ndarray:
+        """For each offset whether a token ends there."""
+        out = np.zeros(self.row_ends[-1] + 1, bool)
+        out[self.end] = True
+        return out
 
 
 def _whole(lists: pa.ListArray, tokens: pa.Array, expected: pa.Array) -> pa.Array:
@@ -163,50 +221,134 @@ def _whole(lists: pa.ListArray, tokens: pa.Array, expected: pa.Array) -> pa.Arra
     return pc.equal(pc.binary_join(pieces, pa.scalar(b"", pa.binary())), expected)
 
 
+def _emptied(lists: pa.ListArray, kept: pa.Array) -> pa.ListArray:
+    """The lists, those that aren't kept without what they hold."""
+    keep, first = kept.to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+    sizes = np.diff(first)
+    return _lists(lists.values.to_numpy()[np.repeat(keep, sizes)], _first(sizes * keep))
+
+
+class Units:
+    """What a task remembers of units: their places here, and by place the counts, groups and links of each.
+
+    ``whole`` tells whether the bytes of a unit's tokens are its own; a unit of which they are not has no tokens.
+    """
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.chars = 0
+        self.counts = np.empty((0, 4), np.int64)
+        self.whole, self.seen = np.empty(0, bool), np.empty(0, np.int64)
+        self.groups = pa.array([], pa.string())
+        self.first, self.pairs = np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def add(self, units: list[str], counts: list[np.ndarray], whole: np.ndarray, groups: pa.Array, pairs: np.ndarray) -> None:
+        self.place.update(zip(units, range(len(self.place), len(self.place) + len(units))))
+        self.chars += sum(map(len, units))
+        self.counts = np.concatenate([self.counts, np.column_stack(counts)])
+        self.whole = np.r_[self.whole, whole]
+        self.seen = np.r_[self.seen, np.zeros(len(units), np.int64)]
+        self.groups = pa.concat_arrays([self.groups, groups])
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(counts[3])]
+        self.pairs = np.r_[self.pairs, pairs]
+
+    def links(self, at: np.ndarray) -> np.ndarray:
+        """The id pairs of the links of the units at these places."""
+        return _taken(self.pairs, self.first, at)
+
+    def forget(self) -> None:
+        """If there are too many, keeps half of them at most: those seen twice, or oftener, of late."""
+        if len(self.place) <= UNITS and self.chars <= UNIT_CHARS:
+            return
+        least = 2
+        while np.count_nonzero(self.seen >= least) > UNITS // 2:
+            least *= 2
+        kept = self.seen >= least
+        units = [*compress(self.place, kept.tolist())]
+        if self.chars > UNIT_CHARS and sum(map(len, units)) > UNIT_CHARS // 2:
+            return self.__init__()
+        at = np.flatnonzero(kept)
+        old, self.place, self.chars = self.seen[at] // 2, {}, 0
+        pairs, groups = self.links(at), self.groups.take(pa.array(at))
+        counts, whole = self.counts[at], self.whole[at]
+        self.__init__()
+        self.add(units, [*counts.T], whole, groups, pairs)
+        self.seen = old
+
+
 class Aligner:
     """In a task: tokens, groups and links of texts."""
 
     def __init__(self, spec: str, model: bytes):
         self.a, self.b = ByteLevel(spec), Pieces(model)
         self.tokens = [pa.array(side.bytes_of, pa.binary()) for side in (self.a, self.b)]
-        self.lengths = [pc.binary_length(t).cast(pa.int64()) for t in self.tokens]
+        self.lengths = [pc.binary_length(t).to_numpy().astype(np.int64) for t in self.tokens]
         # ids as text, each followed by what may follow it: the next one or the end of its side
         self.shown = pa.array([f"{i}{end}" for n, ends in zip(map(len, self.tokens), (",|", ",;")) for i in range(n) for end in ends])
+        # A cuts before a space after a character that isn't white space, and before a single one that such a character
+        # follows; a space before a unit is left out
+        self.unsure = re.compile(f" (?!{SURE})").search
+        self.cut = re.compile(f" ( *[^ ]*(?:(?<!{SURE}) (?!{SURE}) *[^ ]*)*)").findall
+        self.known = Units()
+
+    def _units(self, text: str) -> list[str]:
+        if not text or not self.b.apart:
+            return [text] if text else []
+        if text[0] != " " and self.unsure(text) is None:
+            return text.split(" ")
+        return self.cut(" " + text)
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links; groups as text; document and id pair of each link) of a batch."""
-        spaced = [" " + t for t in texts]
-        ids = [side.ids(spaced) for side in (self.a, self.b)]
-        expected = pa.array([t.encode() if len(t) > 1 else None for t in spaced], pa.binary())
-        whole = pc.and_(*[_whole(_lists(x), tokens, expected) for x, tokens in zip(ids, self.tokens)]).to_pylist()
-        lists = [_lists([row if fits else b"" for row, fits in zip(x, whole)]) for x in ids]
+        known = self.known
+        known.forget()
+        rows = [self._units(t) for t in texts]
+        at, first = self._places(rows)
+        odd = np.flatnonzero(_sums(~known.whole[at], first))
+        if len(odd):
+            for i in odd.tolist():
+                rows[i] = [texts[i]]
+            at, first = self._places(rows)
+        known.seen += np.bincount(at, minlength=len(known.seen))
+        counts = [_sums(c[at], first) for c in known.counts.T]
+        groups = pa.ListArray.from_arrays(pa.array(first, pa.int32()), known.groups.take(pa.array(at)))
+        return counts, pc.binary_join(groups, ";"), np.repeat(np.arange(len(texts)), counts[3]), known.links(at)
+
+    def _places(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each unit of the rows, and where the rows begin; new units are aligned."""
+        new = [*set(chain.from_iterable(rows)).difference(self.known.place)]
+        if new:
+            self.known.add(new, *self._aligned(new))
+        first = _first(_sizes(rows))
+        return np.fromiter(map(self.known.place.__getitem__, chain.from_iterable(rows)), np.int64, first[-1]), first
+
+    def _aligned(self, units: list[str]) -> tuple[list[np.ndarray], np.ndarray, pa.Array, np.ndarray]:
+        """(n_a, n_b, n_groups, n_links; whether it is whole; groups as text) of each unit, and the id pairs of the links."""
+        lists = [side.ids(units) for side in (self.a, self.b)]
+        expected = pa.array([" " + u for u in units], pa.string()).cast(pa.binary())
+        whole = pc.and_(*[_whole(x, tokens, expected) for x, tokens in zip(lists, self.tokens)])
+        lists = [x if pc.all(whole).as_py() else _emptied(x, whole) for x in lists]
         a, b = (Side(x, lengths) for x, lengths in zip(lists, self.lengths))
 
-        left = pa.table({"key": a.key, "a": np.arange(len(a.key))})
-        right = pa.table({"key": b.key, "b": np.arange(len(b.key))})
-        cuts = left.join(right, "key", join_type="inner", use_threads=False).sort_by("a")
-        cut_a, cut_b = cuts.column("a").to_numpy(), cuts.column("b").to_numpy()
-        n_groups = np.bincount(cuts.column("key").to_numpy() >> OFFSET, minlength=len(texts))
-
+        # whole units have the same bytes on both sides, so a unit begins at the same offset of both
+        ends_a, ends_b = a.ends(), b.ends()
+        last_a, last_b = ends_b[a.end], ends_a[b.end]
         # an interval between neighbouring ends lies in the first token of either side that ends at it or later
-        ends = np.sort(np.r_[a.key, b.key], kind="stable")
-        ends = ends[np.diff(ends, prepend=-1) > 0]
-        at_a, at_b = np.searchsorted(a.key, ends), np.searchsorted(b.key, ends)
-        doc = ends >> OFFSET
-        pair = a.ids.to_numpy()[at_a].astype(np.int64) << 32 | b.ids.to_numpy()[at_b]
-        counts = [a.n, b.n, n_groups, np.bincount(doc, minlength=len(texts))]
-        return counts, self._groups(a, b, cut_a, cut_b), doc, pair
-
-    def _groups(self, a: Side, b: Side, cut_a: np.ndarray, cut_b: np.ndarray) -> pa.Array:
-        """The groups of each document as text: ``a1,a2|b1;a3|b2,b3``."""
-        group_a = np.searchsorted(cut_a, np.arange(len(a.key)))
-        group_b = np.searchsorted(cut_b, np.arange(len(b.key)))
-        shown = np.empty(len(a.key) + len(b.key), np.int64)
-        last_a, last_b = np.zeros(len(a.key), bool), np.zeros(len(b.key), bool)
-        last_a[cut_a], last_b[cut_b] = True, True
+        ends = np.flatnonzero(ends_a | ends_b)
+        at_a, at_b = (np.cumsum(x[ends]) - x[ends] for x in (ends_a, ends_b))
+        pairs = a.ids[at_a].astype(np.int64) << 32 | b.ids[at_b]
+        n_links = np.diff(np.searchsorted(ends, a.row_ends, side="right"))
+        counts = [a.n, b.n, _sums(last_a, a.first), n_links]
+        return counts, whole.to_numpy(zero_copy_only=False), self._groups(a, b, last_a, last_b), pairs
+
+    def _groups(self, a: Side, b: Side, last_a: np.ndarray, last_b: np.ndarray) -> pa.Array:
+        """The groups of each unit as text: ``a1,a2|b1;a3|b2,b3``."""
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
+        before_a, before_b = (np.r_[0, np.flatnonzero(x) + 1] for x in (last_b, last_a))
+        shown = np.empty(len(a.ids) + len(b.ids), np.int64)
         # a group's tokens of A come before its tokens of B
-        shown[np.arange(len(a.key)) + np.r_[0, cut_b + 1][group_a]] = 2 * a.ids.to_numpy() + last_a
-        shown[np.arange(len(b.key)) + np.r_[cut_a + 1][group_b]] = 2 * (len(self.tokens[0]) + b.ids.to_numpy().astype(np.int64)) + last_b
+        shown[np.arange(len(a.ids)) + before_a[group_a]] = 2 * a.ids + last_a
+        shown[np.arange(len(b.ids)) + before_b[group_b + 1]] = 2 * (len(self.tokens[0]) + b.ids.astype(np.int64)) + last_b
         rows = pa.ListArray.from_arrays(pa.array(a.first + b.first, pa.int32()), pc.take(self.shown, pa.array(shown)))
         return pc.utf8_rtrim(pc.binary_join(rows, ""), ";")
 
@@ -222,16 +364,20 @@ class Batch:
     def add(self, doc: np.ndarray, pair: np.ndarray, size: int) -> np.ndarray:
         """The places of the links' pairs; the documents are new ones."""
         self.size += size
-        each = pa.table({"doc": doc, "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([])
-        counted = each.group_by("pair", use_threads=False).aggregate([("doc", "count")]).sort_by("pair")
-        pairs, docs = counted.column("pair").to_numpy(), counted.column("doc_count").to_numpy()
-        new = pairs[~np.isin(pairs, self.sorted, assume_unique=True)]
-        order = np.argsort(np.r_[self.sorted, new], kind="stable")
-        self.place = np.r_[self.place, len(self.sorted) + np.arange(len(new))][order]
-        self.sorted = np.r_[self.sorted, new][order]
-        self.docs = np.r_[self.docs, np.zeros(len(new), np.int64)]
-        self.docs[self.place[np.searchsorted(self.sorted, pairs)]] += docs
-        return self.place[np.searchsorted(self.sorted, pair)].astype(np.int32)
+        coded = pa.array(pair).dictionary_encode()
+        pairs, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        each = pc.unique(pa.array(doc * len(pairs) + code)).to_numpy()
+        order = np.argsort(pairs)
+        at = np.searchsorted(self.sorted, pairs[order])
+        new = np.r_[self.sorted, -1][at] != pairs[order]
+        total = len(self.sorted)
+        self.place = np.insert(self.place, at[new], total + np.arange(np.count_nonzero(new)))
+        self.sorted = np.insert(self.sorted, at[new], pairs[order][new])
+        self.docs = np.r_[self.docs, np.zeros(len(self.sorted) - total, np.int64)]
+        place = self.place[np.searchsorted(self.sorted, pairs)]
+        if len(pairs):
+            self.docs[place] += np.bincount(each % len(pairs), minlength=len(pairs))
+        return place[code].astype(np.int32)
 
     def pairs(self) -> np.ndarray:
         out = np.empty(len(self.sorted), np.int64)
@@ -324,11 +470,14 @@ def counted(rows: DataFrame, links: str = "links") -> DataFrame:
     def summed(docs: pa.Table, found: pa.Table) -> pa.Table:
         size = found.num_rows
         at = found.column("at").to_numpy()
-        n, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n, best = np.zeros(size, np.int64), np.zeros(size, bool)
         n[at], best[at] = found.column("n").to_numpy(), found.column("best").to_numpy(zero_copy_only=False)
-        places = pc.list_flatten(docs.column("at")).to_numpy()
-        of_doc = np.r_[0, np.cumsum(docs.column(names["n_links"]).to_numpy())]
-        sums = [np.diff(np.r_[0, np.cumsum(x[places])][of_doc]) for x in (best, n)]
+        first = _first(docs.column(names["n_links"]).to_numpy())
+        sums = np.zeros((2, docs.num_rows), np.int64)
+        runs = np.unique(first[:-1] // SUMMED, return_index=True)[1].tolist()
+        for i, j in zip(runs, [*runs[1:], docs.num_rows]):
+            places = pc.list_flatten(docs.column("at").slice(i, j - i)).to_numpy()
+            sums[:, i:j] = [_sums(x[places], first[i : j + 1] - first[i]) for x in (best, n)]
         old = [docs.column(names[f.name]).cast(arrow.field(f.name).type) for f in kept]
         return pa.Table.from_arrays([*old, *map(pa.array, sums)], schema=arrow)
 
