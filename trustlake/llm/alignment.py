@@ -45,17 +45,17 @@ from trustlake.llm.common import answered, parts, renamed, stored, text_or_empty
 from trustlake.llm.counting import SAFE, Merges, byte_level, merged_ids, splitter
 
 #: Text bytes and distinct pairs of a batch.
-BATCH_BYTES, BATCH_PAIRS = 24 << 20, 1_000_000
+BATCH_BYTES, BATCH_PAIRS = 12 << 20, 1_000_000
 #: Text bytes that are encoded at a time: their units and tokens as objects and arrays take some hundred times as much.
 PART_BYTES = 1 << 19
 #: Links whose counts are summed up at a time.
 SUMMED = 1 << 19
 #: Pre-tokens whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: Units that A cuts at a time; where one can't follow another they are cut each by itself.
 TOGETHER = 128
 #: Units that a task remembers, and characters in them; beyond it those seen least are forgotten.
-UNITS, UNIT_CHARS = 200_000, 8_000_000
+UNITS, UNIT_CHARS = 100_000, 4_000_000
 #: A character that no version of Unicode takes for white space.
 SURE = r"[^\s" + "".join(f"\\U{a + 1:08x}-\\U{b - 1:08x}" for (_, a), (b, _) in zip(SAFE, (*SAFE[1:], (0x110000, 0)))) + "]"
 
@@ -418,6 +418,9 @@ def linked(
             waiting = part, counts, shown, batch.add(doc, pair, sum(map(len, texts)))
         if waiting is not None:
             yield _closed(waiting, batch)
+        # the worker lives on in later stages
+        del align, batch, waiting
+        pa.default_memory_pool().release_unused()
 
     def _closed(waiting: tuple, batch: Batch) -> pa.RecordBatch:
         """The last rows of a batch; the first of them has the batch's pairs."""
