@@ -77,6 +77,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, both shuffled, whatever their sizes.
+
+    For tables that grow with the data. As long as they are small, the planner would broadcast them, and one join
+    after another the driver collects a table, builds its hash map and keeps both until its garbage is collected.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns _c0, _c1, ..; and the new name of each old one.
 

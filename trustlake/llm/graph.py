@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import stored
+from trustlake.llm.common import merged, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with an edge to another node; ``component`` is the smallest node reachable.
 
-    Every round hooks neighbours to the smallest node of each neighbourhood; the stars are written to the shared
-    folder, so the lineage stays short and a lost executor re-reads files. A neighbourhood is reduced to its
-    minimum with a map-side combine and joined back, so a node with very many edges is not one task's work.
+    Every round hooks neighbours to the smallest node of each neighbourhood; both halves of a round are written to the
+    shared folder, so the lineage stays short, a lost executor re-reads files, and the driver holds plans of a few
+    kilobytes: a round in one plan has the large stars three times, and adaptive execution reports it anew after each
+    of its stages. A neighbourhood is reduced to its minimum with a map-side combine and joined back, so a node with
+    very many edges is not one task's work.
     Null nodes and loops are ignored; an empty edge list gives no rows.
     """
     now = stored(
@@ -22,27 +24,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "edges",
     )
-    while True:
-        following = stored(_small_star(_large_star(now)), "edges")
-        same = following.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(following, ["u", "v"], "left_anti").isEmpty()
-        now = following
-        if same:
-            break
+    while not _are_stars(now):
+        now = stored(_small_star(stored(_large_star(now), "stars")), "edges")
     # stars around the smallest node of each component
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no v is a u: then v is the smallest of its component. Edges come as (larger, smaller)."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hooks"), F.lit(0).alias("center")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("hooks"), F.lit(1).alias("center"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("hooks").alias("hooks"), F.max("center").alias("center"))
+    return seen.filter(F.col("hooks") + F.col("center") > 1).isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour that is larger than u goes to the smallest of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return merged(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours go to the smallest of them. Edges come as (larger, smaller)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hooked = merged(edges, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()

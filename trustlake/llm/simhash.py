@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustlake.llm.common import adding, bytes_or_empty, named_back, renamed, stored
+from trustlake.llm.common import adding, bytes_or_empty, merged, named_back, renamed, stored
 from trustlake.llm.graph import components
 
 BITS = 64
@@ -110,7 +110,7 @@ def links(prints: DataFrame, out: str = "fingerprint", radius: int = 3, blocks:
     )
     crowds = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     pieces = (
-        keyed.join(crowds, ["choice", "key"])
+        merged(keyed, crowds, ["choice", "key"])
         .withColumn("chunks", F.ceil(F.col("n") / CHUNK))
         .withColumn("own", F.pmod(F.xxhash64("value"), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
@@ -132,9 +132,9 @@ def classes(prints: DataFrame, node: str, out: str = "fingerprint", radius: int
     """(fingerprint, component): the smallest ``node`` of the class of each distinct fingerprint in ``prints``."""
     distinct = stored(prints.groupBy(out).agg(F.min(node).alias("_least")), "fingerprints")
     hooked = components(links(distinct, out, radius, blocks)).withColumnRenamed("node", out)
-    rooted = distinct.join(hooked, out, "left").withColumn("_root", F.coalesce("component", out)).drop("component")
+    rooted = merged(distinct, hooked, out, "left").withColumn("_root", F.coalesce("component", out)).drop("component")
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component"))
-    return rooted.join(least, "_root").select(out, "component")
+    return merged(rooted, least, "_root").select(out, "component")
 
 
 def near_duplicates(
@@ -142,7 +142,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(``node``, fingerprint, component) of every row of ``df``; ``component`` is the smallest ``node`` reachable."""
     prints = stored(fingerprints(df.select(node, text), text, "fingerprint", shingle).drop(text), "prints")
-    return prints.join(classes(prints, node, "fingerprint", radius, blocks), "fingerprint").select(node, "fingerprint", "component")
+    return merged(prints, classes(prints, node, "fingerprint", radius, blocks), "fingerprint").select(node, "fingerprint", "component")
 
 
 def hex16(value: str | Column) -> Column:
@@ -237,11 +237,14 @@ def _similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similari
     (digest, text), and every link is counted out there.
     """
     worded = distinct.filter("size > 0")
-    close = worded.join(classes(worded, "node"), "fingerprint").select("node", "size", F.xxhash64("component").alias("key"))
+    # written, as the plan of the pieces would hold the search for the classes twice
+    close = stored(
+        merged(worded, classes(worded, "node"), "fingerprint").select("node", "size", F.xxhash64("component").alias("key")), "close"
+    )
     keyed = close.unionByName(worded.select("node", "size", F.explode("keys").alias("key")))
     crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum")).filter("n > 1")
     dealt = (
-        keyed.join(crowds, "key")
+        merged(keyed, crowds, "key")
         .withColumn("chunks", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("sum") / CHUNK_SHINGLES)))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
@@ -256,13 +259,13 @@ def _similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similari
         .select("piece", F.explode("nodes").alias("node")),
         "pieces",
     )
-    wanted = stored(distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest"), "wanted")
+    wanted = stored(merged(distinct, members.select("node").distinct(), "node", "left_semi").select("node", "digest"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
             yield batch, [pa.array([shingle_set(t, shingle).tobytes() for t in bytes_or_empty(batch.column("text"))], pa.binary())]
 
-    found = adding(texts.join(wanted, "digest"), T.StructType([T.StructField("set", T.BinaryType())]), sets)
+    found = adding(merged(texts, wanted, "digest"), T.StructType([T.StructField("set", T.BinaryType())]), sets)
     whole = stored(found.select("node", "set").dropDuplicates(["node"]), "sets")
 
     def span(piece: pa.Table) -> pa.Table:
@@ -271,7 +274,7 @@ def _similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similari
         edges = similar_forest(arrays, similarity)
         return pa.table({"a": pa.array([nodes[i] for i, _ in edges], pa.binary()), "b": pa.array([nodes[j] for _, j in edges], pa.binary())})
 
-    return members.join(whole, "node").groupBy("piece").applyInArrow(span, "a binary, b binary").distinct()
+    return merged(members, whole, "node").groupBy("piece").applyInArrow(span, "a binary, b binary").distinct()
 
 
 def first_of_near_copies(
@@ -296,14 +299,13 @@ def first_of_near_copies(
     edges = _similar_links(distinct, rows.select("digest", "text"), shingle, similarity)
     of = components(edges)
     kept = (
-        prints.select("id", "digest", "node")
-        .join(of, "node", "left")
+        merged(prints.select("id", "digest", "node"), of, "node", "left")
         .groupBy(F.coalesce("component", "node").alias("class"))
         .agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest")).alias("first"))
         .select(_row_key(F.col("first.id"), F.col("first.digest")).alias("_row"))
     )
     # one key for the join and for repeated rows, so the texts are shuffled once
-    out = own.withColumn("_row", _row_key(F.col(doc_id), digest)).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    out = merged(own.withColumn("_row", _row_key(F.col(doc_id), digest)), kept, "_row", "left_semi").dropDuplicates(["_row"])
     return named_back(out, names, [])
 
 
