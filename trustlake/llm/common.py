@@ -80,8 +80,8 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, both shuffled, whatever their sizes.
 
-    For tables that grow with the data. As long as they are small, the planner would broadcast them, and one join
-    after another the driver collects a table, builds its hash map and keeps both until its garbage is collected.
+    For tables that the planner takes for smaller than they are, such as those with a row for each element of an array:
+    it estimates one element, and the driver would collect and broadcast them all.
     """
     return left.join(right.hint("merge"), on, how)
 
