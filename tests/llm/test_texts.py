@@ -241,10 +241,10 @@ def test_keys_and_pieces_are_not_broadcast(spark, monkeypatch):
     before = spark.conf.get(threshold)
     spark.conf.set(threshold, "10m")
     try:
-        prints = spark.createDataFrame([(1, 0), (2, 1)], "fingerprint long, node long")
+        prints = stored(spark.createDataFrame([(1, 0), (2, 1)], "fingerprint long, node long"), "prints")
         texts = [(i, p[1 + k]) for i, p in enumerate(pairs_at([0.9] * 5, 150, 23)) for k in (0, 1)]
         rows = spark.createDataFrame(texts, "id long, text string").withColumn("digest", F.md5("text"))
-        distinct = simhash.banded(rows, "text", 5).dropDuplicates(["node"])
+        distinct = stored(simhash.banded(rows, "text", 5).dropDuplicates(["node"]), "distinct")
         edges = simhash._similar_links(distinct, rows.select("digest", "text"), 5, 0.8)
         found = [df._jdf.queryExecution().executedPlan().toString() for df in (simhash.links(prints), *plans, edges)]
         assert edges.count() == 5
